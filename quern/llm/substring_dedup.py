@@ -15,7 +15,7 @@ earlier in the corpus is removed.
    is a repeat, whose earliest leaf stays and whose other leaves are reported.
 5. Reported starts are gathered per document as word runs and removed from the text.
 
-Path edges are 64-bit hashes of 64-bit word hashes, three to a path.
+Path edges are 64-bit hashes of 64-bit word hashes, three to a path. Batches are hashed with numpy as a whole.
 
 Defined results: null and empty texts have no words; texts of fewer than 20 words lose nothing. Documents are
 ordered by doc_id, null last. Rows of one doc_id are one document: repeated rows don't make each other
@@ -28,11 +28,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import NO_ID, discard, release, stash, table
+from quern.llm.wordhash import mixed, pieces, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 EDGES = ((0, 8), (8, 14), (14, 20))
@@ -41,18 +41,9 @@ FREQUENT = 20_000
 #: Suffixes in a bin, about.
 BIN = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = _WORD.findall(text or "")
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+_A = np.uint64(0x9E3779B97F4A7C15)
+#: Low bits that hold a position where hashes are compared; hashes keep the others.
+_PLACE = np.uint64((1 << 28) - 1)
 
 
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -63,52 +54,42 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(k):
         out = out * _A + words[j : j + n]
-    return _mixed(out)
+    return mixed(out)
+
 
+def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts of all texts, the position of the anchor of each, and the hash of each 8-word sequence.
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start the position of its anchor (of equals the first), and the hash of each 8-word sequence."""
+    ``at`` has where each text starts in ``words``. Of equal hashes the first position counts.
+    """
     grams = sequence_hashes(words, ANCHOR)
     n = len(words) - WINDOW + 1
     if n < 1:
-        return np.zeros(0, np.int64), grams
-    span = WINDOW - ANCHOR + 1
-    return np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1), grams
-
-
-def _rows(batches):
-    """(doc, text) of Arrow batches, doc null last."""
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield doc, text.as_py()
-
-
-def _flush(columns: list[list[np.ndarray]], schema: pa.Schema):
-    arrays = [pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema, strict=True)]
-    for c in columns:
-        c.clear()
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
+    low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    reach, span = 1, WINDOW - ANCHOR + 1
+    while reach * 2 <= span:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    low = np.minimum(low[: n], low[span - reach : span - reach + n])
+    room = np.repeat(at[1:], np.diff(at))[:n] - np.arange(n)
+    start = np.flatnonzero(room >= WINDOW)
+    return start, (low[start] & _PLACE).astype(np.int64), grams
 
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
 
 
 def _find_anchors(batches):
-    cols: list[list] = [[], [], []]
-    held = 0
-    for doc, text in _rows(batches):
-        at, grams = anchors(word_hashes(text))
-        at = np.unique(at)
-        if len(at):
-            cols[0].append(grams[at].view(np.int64))
-            cols[1].append(np.full(len(at), doc))
-            cols[2].append(at.astype(np.int32))
-            held += len(at)
-        if held > 100_000:
-            yield _flush(cols, _ANCHORS)
-            held = 0
-    if held:
-        yield _flush(cols, _ANCHORS)
+    for batch in batches:
+        for part in pieces(batch, 1):
+            words, at = word_hashes(part.column(1))
+            _, pos, grams = anchors(words, at)
+            # Anchors never go back as windows go on, so equal ones are neighbours.
+            pos = pos[np.diff(pos, prepend=-1) != 0]
+            doc = np.searchsorted(at, pos, side="right") - 1
+            ids = part.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((pos - at[doc]).astype(np.int32))], schema=_ANCHORS)
 
 
 _SUFFIXES = pa.schema([("bin", pa.int64()), ("hot", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int64()), ("e3", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
@@ -118,32 +99,27 @@ def _find_suffixes(frequent: int):
     """Suffixes of the windows whose anchor repeats. Batches: doc, text, positions of such anchors, their counts."""
 
     def run(batches):
-        cols: list[list] = [[] for _ in _SUFFIXES]
-        held = 0
         for batch in batches:
-            for doc, text, pos, count in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                words = word_hashes(text.as_py())
-                at, _ = anchors(words)
+            for part in pieces(batch, 1):
+                words, at = word_hashes(part.column(1))
+                start, pos, _ = anchors(words, at)
                 many = np.zeros(len(words) + 1, np.int64)
-                many[np.asarray(pos.values)] = np.asarray(count.values)
-                n = many[at]
-                start = np.flatnonzero(n)
+                for k, (p, c) in enumerate(zip(part.column(2), part.column(3), strict=True)):
+                    many[at[k] + np.asarray(p.values)] = np.asarray(c.values)
+                n = many[pos]
+                start, n = start[n > 0], n[n > 0]
                 if not len(start):
                     continue
-                n = n[start]
                 edges = [sequence_hashes(words[a:], b - a)[start] for a, b in EDGES]
-                two = _mixed(edges[0] * _A + edges[1])
-                whole = _mixed(two * _A + edges[2])
+                two = mixed(edges[0] * _A + edges[1])
+                whole = mixed(two * _A + edges[2])
                 hot = n > 8 * frequent
                 key = np.where(hot, whole, np.where(n > frequent, two, edges[0]))
-                for c, x in zip(cols, (key.view(np.int64), hot, *(e.view(np.int64) for e in edges), np.full(len(start), doc), start.astype(np.int32)), strict=True):
-                    c.append(x)
-                held += len(start)
-                if held > 100_000:
-                    yield _flush(cols, _SUFFIXES)
-                    held = 0
-        if held:
-            yield _flush(cols, _SUFFIXES)
+                doc = np.searchsorted(at, start, side="right") - 1
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(hot), *(pa.array(e.view(np.int64)) for e in edges), pa.array(ids[doc], pa.int64()), pa.array((start - at[doc]).astype(np.int32))], schema=_SUFFIXES
+                )
 
     return run
 
