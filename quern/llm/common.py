@@ -27,6 +27,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def has_word(text: Column) -> Column:
+    """Whether a text holds a word; cheaper than to count them. False for null."""
+    return F.coalesce(F.translate(text, " " + BLANKS, "") != "", F.lit(False))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, connected_components, discard, let, release, stash, table, words_of
+from quern.llm.common import ascii_lower, connected_components, has_word, let, release, stash, table, words_of
 
 SHINGLE = 5
 #: Least similarity: 3 / 4.
@@ -76,7 +76,7 @@ def _by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members: doc_id, n, k (class), ext (shingles within reach). Classes with links to look for: k, doc_id, n, sc."""
     n = F.size("toks")
-    sets = shingle_sets(docs.where("doc_id IS NOT NULL")).where(n > 0)
+    sets = shingle_sets(docs.where(F.col("doc_id").isNotNull() & has_word(F.col("text"))))
     members = stash(sets.select("doc_id", n.alias("n"), F.xxhash64("toks").alias("k"), F.slice("toks", 1, _reach(n)).alias("ext")), "sets")
     flat = members.select("k", F.explode("ext").alias("tok"))
     shared = flat.groupBy("tok").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("tok")
@@ -171,19 +171,19 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     some = jaccard_components(docs)
     # Rows without words, or without an id, are their own component.
-    words = F.size(words_of(F.col("text")))
-    empty = docs.where(F.col("doc_id").isNull() | (words == 0))
+    some_word = has_word(F.col("text"))
+    empty = docs.where(F.col("doc_id").isNull() | ~some_word)
     n = F.size(let(words_of(ascii_lower(F.col("text"))), _shingles)).cast("long")
-    rest = empty.select("doc_id", F.when(words == 0, F.lit(0)).otherwise(n).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rest = empty.select("doc_id", F.when(some_word, n).otherwise(F.lit(0)).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(rest)
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """Columns of the input, one document of each component: the one of the least doc_id. Rows without doc_id or words stay."""
     keep = jaccard_components(docs).groupBy("component_id").agg(F.lit(1).alias("_one")).select(F.col("component_id").alias("_keep"))
-    words = F.size(words_of(F.col("text")))
-    apart = docs.where(F.col("doc_id").isNull() | (words == 0))
-    rest = docs.where(F.col("doc_id").isNotNull() & (words > 0))
+    some_word = has_word(F.col("text"))
+    apart = docs.where(F.col("doc_id").isNull() | ~some_word)
+    rest = docs.where(F.col("doc_id").isNotNull() & some_word)
     first = rest.join(keep, rest["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
     return first.select(*docs.columns).unionByName(apart.select(*docs.columns))
 

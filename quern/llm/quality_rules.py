@@ -48,10 +48,9 @@ RULES = (
 
 def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window that the text holds twice or more."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("i")),
-    )
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i")))
 
     def repeated(s: Column) -> Column:
         twice = F.filter(s, lambda x, j: ((j > 0) & (F.get(s, j - 1)["g"] == x["g"])) | F.coalesce(F.get(s, j + 1)["g"] == x["g"], F.lit(False)))
@@ -63,7 +62,8 @@ def _repeat_words(words: Column) -> Column:
         )
         return fold["n"]
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), repeated))
+    # Words are bound once: inside a lambda the optimiser would have them split again for each window.
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows(w)), repeated)))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """All columns of the input, the measures, base_failed and kept."""
     rows = measures(docs.drop(*[c for c in docs.columns if c.lower() in ("base_failed", "kept")]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    # The row number, always true, keeps a filter on the verdict above the measures: below, they'd be computed for each use.
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules) & (F.monotonically_increasing_id() >= 0)})
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
