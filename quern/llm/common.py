@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,8 +64,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        # Python tells the JVM what it has dropped from another thread, and Spark cleans up from a third.
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:

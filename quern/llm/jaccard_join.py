@@ -24,10 +24,14 @@ doc_id and text are read; no rows give no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, connected_components, has_word, let, release, stash, table, words_of
+from quern.llm.common import connected_components, discard, has_word, release, stash, table
+from quern.llm.wordhash import pieces, sequence_hashes, word_hashes
 
 SHINGLE = 5
 #: Least similarity: 3 / 4.
@@ -35,19 +39,50 @@ NUM, DEN = 3, 4
 #: Rows up to which a list of ids is broadcast (16 bytes each); beyond, the join is by shuffle.
 SMALL = 500_000
 #: Least shingles by hash over which classes look for a typical class, and of how many such they try.
-KEYS, TRIES = 8, 3
+KEYS, TRIES = 8, 2
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles."""
+    words, at = word_hashes(column, lower=True)
+    grams = sequence_hashes(words, SHINGLE).view(np.int64)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        # Few words: one hash of all, with their number.
+        whole = b - a < SHINGLE
+        out.append(np.unique(grams[a : b - SHINGLE + 1]) if not whole else (sequence_hashes(np.r_[words[a:b], np.uint64(b - a)], b - a + 1).view(np.int64) if b > a else np.zeros(0, np.int64)))
+    return out
+
+
+def _name(toks: np.ndarray) -> int:
+    """The class of a set."""
+    return xxhash.xxh3_64_intdigest(toks.tobytes()) - 2**63
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
 
 
-def _shingles(words: Column) -> Column:
-    n = F.size(words)
-    each = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))
-    whole = F.array(F.xxhash64(words))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < SHINGLE, whole).otherwise(F.sort_array(F.array_distinct(each)))
+def _members(batches):
+    """doc_id, n, k, ext of texts with words."""
+    for batch in batches:
+        for part in pieces(batch, 1):
+            sets = shingle_sets(part.column(1))
+            n = [len(x) for x in sets]
+            # As _reach has it.
+            ext = [x[: len(x) - -(-len(x) * NUM // DEN) + -(-len(x) // 8)] for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array([_name(x) for x in sets], pa.int64()), _lists(ext)], names=["doc_id", "n", "k", "ext"])
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and toks, the sorted hashes of the distinct shingles."""
-    return docs.select("doc_id", let(words_of(ascii_lower(F.col("text"))), _shingles).alias("toks"))
+def _wanted(batches):
+    """k, sc, toks of texts whose class is the wanted one. Batches: want, text, sc."""
+    for batch in batches:
+        for part in pieces(batch, 1):
+            sets = shingle_sets(part.column(1))
+            good = [_name(x) == w for x, w in zip(sets, part.column(0).to_pylist(), strict=True)]
+            kept = part.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), _lists([x for x, g in zip(sets, good, strict=True) if g])], names=["k", "sc", "toks"])
 
 
 def _share(n: Column) -> Column:
@@ -74,17 +109,20 @@ def _by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members: doc_id, n, k (class), ext (shingles within reach). Classes with links to look for: k, doc_id, n, sc."""
-    n = F.size("toks")
-    sets = shingle_sets(docs.where(F.col("doc_id").isNotNull() & has_word(F.col("text"))))
-    members = stash(sets.select("doc_id", n.alias("n"), F.xxhash64("toks").alias("k"), F.slice("toks", 1, _reach(n)).alias("ext")), "sets")
-    flat = members.select("k", F.explode("ext").alias("tok"))
+    """Members: doc_id, n, k (class). Classes that may have links: k, doc_id, sc (part of shingles within reach that others share)."""
+    rows = docs.where(F.col("doc_id").isNotNull() & has_word(F.col("text"))).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wide = stash(rows.mapInArrow(_members, f"doc_id {kind}, n int, k bigint, ext array<bigint>"), "sets")
+    flat = wide.select("k", F.explode("ext").alias("tok"))
     shared = flat.groupBy("tok").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("tok")
     held = flat.join(shared.hint("shuffle_hash"), "tok").groupBy("k").agg(F.count("*").alias("held"))
-    classes = members.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = wide.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     # Copies hold the same shingles, so each counted that many times.
     alive = classes.join(held, "k").where(F.col("held") >= _needed(F.col("n")) * F.col("copies"))
-    alive = stash(alive.select("k", "doc_id", "n", (F.col("held") / F.col("copies") / _reach(F.col("n"))).alias("sc")), "alive")
+    alive = stash(alive.select("k", "doc_id", (F.col("held") / F.col("copies") / _reach(F.col("n"))).alias("sc")), "alive")
+    members = stash(wide.select("doc_id", "n", "k"), "members")
+    del flat, shared, held, classes
+    discard(wide)
     release(docs.sparkSession)
     return members, alive
 
@@ -95,9 +133,11 @@ def _typical(sets: DataFrame) -> DataFrame:
     best = keys.groupBy("tok").agg(F.max(F.struct("sc", "k")).alias("b")).select("tok", F.col("b.k").alias("b"))
     votes = keys.join(best, "tok").where("k <> b").groupBy("k", "b").agg(F.count("*").alias("v"))
     picked = votes.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "b")), asc=False), 1, TRIES).alias("p"))
-    pairs = picked.select(F.col("k").alias("a"), F.explode("p.b").alias("b"))
-    mine = pairs.join(sets.select(F.col("k").alias("a"), F.col("toks").alias("x")), "a")
-    both = mine.join(sets.select(F.col("k").alias("b"), F.col("toks").alias("y")), "b")
+    pairs = stash(picked.select(F.col("k").alias("a"), F.explode("p.b").alias("b")), "tries")
+    mine = _by_id(sets.select(F.col("k").alias("a"), F.col("toks").alias("x")), pairs, "a")
+    # Few classes are typical ones.
+    typical = _by_id(sets.select(F.col("k").alias("b"), F.col("toks").alias("y")), pairs.select("b").distinct(), "b")
+    both = mine.join(typical, "b")
     return both.where(_linked(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
@@ -105,11 +145,14 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different groups, by the token-group matrix."""
     rows = sets.join(group.withColumnRenamed("node", "k").withColumnRenamed("component", "g"), "k", "left")
     rows = rows.select("k", F.coalesce("g", "k").alias("g"), F.size("toks").alias("n"), "toks")
-    flat = rows.select("k", "g", "n", F.explode("toks").alias("tok"))
+    # As in the first step, with other groups in the place of other classes.
+    flat = rows.select("k", "g", "n", F.explode(F.slice("toks", 1, _reach(F.col("n")))).alias("tok"))
     many = flat.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
-    outside = flat.join(many.hint("shuffle_hash"), "tok").groupBy("k", "g", "n").agg(F.collect_set("tok").alias("toks"))
-    ask = stash(outside.where(F.size("toks") >= _share(F.col("n"))), "ask")
+    held = flat.join(many.hint("shuffle_hash"), "tok").groupBy("k", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _needed(F.col("n"))).select("k")
+    held = stash(held, "held")
+    del flat, many
     release(sets.sparkSession)
+    ask = stash(_by_id(rows, held, "k"), "ask")
     # The matrix over classes that may have links outside their group; frequency is the number of groups.
     flat = ask.select("k", "g", "n", F.explode("toks").alias("tok"))
     matrix = flat.select("tok", "g").distinct()
@@ -139,9 +182,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row with a doc_id and a word."""
     spark = docs.sparkSession
     members, alive = classes_and_members(docs)
-    texts = _by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), alive.select("doc_id", F.col("k").alias("want"), "sc"), "doc_id")
-    sets = wanted_sets(texts)
-    sets = stash(sets, "tokens")
+    wanted = alive.select("doc_id", F.col("k").alias("want"), "sc")
+    texts = _by_id(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), wanted, "doc_id").dropDuplicates(["doc_id", "want", "text"])
+    sets = stash(texts.select("want", "text", "sc").mapInArrow(_wanted, "k bigint, sc double, toks array<bigint>"), "tokens")
+    del texts
+    release(spark)
     links = stash(_typical(sets), "typical")
     group = stash(connected_components(links), "groups")
     links = links.unionByName(_across(sets, group))
@@ -152,13 +197,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out
 
 
-def wanted_sets(texts: DataFrame) -> DataFrame:
-    """k, sc, toks of the wanted classes, once each."""
-    rows = texts.dropDuplicates(["doc_id", "want", "text"])
-    toks = let(words_of(ascii_lower(F.col("text"))), _shingles)
-    return rows.select("want", "sc", toks.alias("toks")).where(F.xxhash64("toks") == F.col("want")).select(F.col("want").alias("k"), "sc", "toks")
-
-
 def classes_named(members: DataFrame, found: DataFrame) -> DataFrame:
     """k with component_id: the least doc_id of any class in its component."""
     classes = members.groupBy("k").agg(F.min("doc_id").alias("least"))
@@ -171,10 +209,10 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     some = jaccard_components(docs)
     # Rows without words, or without an id, are their own component.
-    some_word = has_word(F.col("text"))
-    empty = docs.where(F.col("doc_id").isNull() | ~some_word)
-    n = F.size(let(words_of(ascii_lower(F.col("text"))), _shingles)).cast("long")
-    rest = empty.select("doc_id", F.when(some_word, n).otherwise(F.lit(0)).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    empty = docs.where(F.col("doc_id").isNull() | ~has_word(F.col("text")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = empty.select("doc_id", "text").mapInArrow(_members, f"doc_id {kind}, n int, k bigint, ext array<bigint>")
+    rest = rest.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(rest)
 
 

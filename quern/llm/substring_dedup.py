@@ -15,7 +15,7 @@ earlier in the corpus is removed.
    is a repeat, whose earliest leaf stays and whose other leaves are reported.
 5. Reported starts are gathered per document as word runs and removed from the text.
 
-Path edges are 64-bit hashes of 64-bit word hashes, three to a path. Batches are hashed with numpy as a whole.
+Path edges are hashes of 64, 32 and 32 bits of 64-bit word hashes: 128 bits tell a path apart. Batches are hashed with numpy as a whole.
 
 Defined results: null and empty texts have no words; texts of fewer than 20 words lose nothing. Documents are
 ordered by doc_id, null last. Rows of one doc_id are one document: repeated rows don't make each other
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import NO_ID, discard, release, stash, table
-from quern.llm.wordhash import mixed, pieces, word_hashes
+from quern.llm.wordhash import MULTIPLIER, mixed, pieces, sequence_hashes, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 EDGES = ((0, 8), (8, 14), (14, 20))
@@ -41,22 +41,10 @@ FREQUENT = 20_000
 #: Suffixes in a bin, about.
 BIN = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_A = np.uint64(0x9E3779B97F4A7C15)
 #: Low bits that hold a position where hashes are compared; hashes keep the others.
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words, by start."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * _A + words[j : j + n]
-    return mixed(out)
-
-
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window starts of all texts, the position of the anchor of each, and the hash of each 8-word sequence.
 
@@ -92,10 +80,10 @@ def _find_anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((pos - at[doc]).astype(np.int32))], schema=_ANCHORS)
 
 
-_SUFFIXES = pa.schema([("bin", pa.int64()), ("hot", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int64()), ("e3", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+_SUFFIXES = pa.schema([("bin", pa.int32()), ("hot", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())])
 
 
-def _find_suffixes(frequent: int):
+def _find_suffixes(frequent: int, bins: int):
     """Suffixes of the windows whose anchor repeats. Batches: doc, text, positions of such anchors, their counts."""
 
     def run(batches):
@@ -111,21 +99,21 @@ def _find_suffixes(frequent: int):
                 if not len(start):
                     continue
                 edges = [sequence_hashes(words[a:], b - a)[start] for a, b in EDGES]
-                two = mixed(edges[0] * _A + edges[1])
-                whole = mixed(two * _A + edges[2])
+                two = mixed(edges[0] * MULTIPLIER + edges[1])
+                whole = mixed(two * MULTIPLIER + edges[2])
                 hot = n > 8 * frequent
                 key = np.where(hot, whole, np.where(n > frequent, two, edges[0]))
                 doc = np.searchsorted(at, start, side="right") - 1
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(hot), *(pa.array(e.view(np.int64)) for e in edges), pa.array(ids[doc], pa.int64()), pa.array((start - at[doc]).astype(np.int32))], schema=_SUFFIXES
+                    [pa.array((key % np.uint64(bins)).astype(np.int32)), pa.array(hot), pa.array(edges[0].view(np.int64)), *(pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)) for e in edges[1:]), pa.array(ids[doc], pa.int64()), pa.array((start - at[doc]).astype(np.int32))], schema=_SUFFIXES
                 )
 
     return run
 
 
-_LEAVES = "first boolean, e1 bigint, e2 bigint, e3 bigint, doc bigint, pos int"
-_LEAF_SCHEMA = pa.schema([("first", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int64()), ("e3", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+_LEAVES = "first boolean, e1 bigint, e2 int, e3 int, doc bigint, pos int"
+_LEAF_SCHEMA = pa.schema([("first", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())])
 
 
 def subtree(e1, e2, e3, doc, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,20 +152,21 @@ def repeated_windows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     found = rows.mapInArrow(_find_anchors, "anchor bigint, doc bigint, pos int")
-    # Distinct places count, so that repeated rows of a document aren't repeats: first and last of an anchor differ.
-    many = found.groupBy("anchor").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max(F.struct("doc", "pos")).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("anchor", "n")
-    near = found.join(many.hint("shuffle_hash"), "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("a"))
+    # Repeated rows of a document count too; that only leaves more to look at.
+    many = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    near = found.join(many.hint("shuffle_hash"), "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))).alias("a"))
     near = stash(near.select("doc", F.col("a.pos").alias("pos"), F.col("a.n").alias("n"), F.size("a").alias("size")), "anchors")
+    del found, many
     release(spark)
     total = (near.agg(F.sum("size")).first()[0] or 0) * 7
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BIN + 1)
     texts = rows.join(near.hint("shuffle_hash"), "doc").select("doc", "text", "pos", "n")
-    suffixes = texts.mapInArrow(_find_suffixes(frequent), "bin bigint, hot boolean, e1 bigint, e2 bigint, e3 bigint, doc bigint, pos int")
+    suffixes = texts.mapInArrow(_find_suffixes(frequent, 8 * bins), "bin int, hot boolean, e1 bigint, e2 int, e3 int, doc bigint, pos int")
     if (near.select(F.max(F.array_max("n"))).first()[0] or 0) > 8 * frequent:
         suffixes = stash(suffixes, "suffixes")
         hot = suffixes.where("hot").repartition(bins, "bin", F.pmod(F.xxhash64("doc"), F.lit(bins))).drop("hot", "bin")
         local = stash(hot.mapInArrow(_subtrees(True), _LEAVES), "salted")
-        whole = F.xxhash64("e1", "e2", "e3").alias("bin")
+        whole = F.pmod(F.xxhash64("e1", "e2", "e3"), F.lit(8 * bins)).cast("int").alias("bin")
         cold = suffixes.where("NOT hot").drop("hot").unionByName(local.where("first").select(whole, "e1", "e2", "e3", "doc", "pos"))
         early = local.where("NOT first").select("doc", "pos")
     else:
@@ -185,6 +174,7 @@ def repeated_windows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     leaves = cold.repartition(bins, "bin").drop("bin").mapInArrow(_subtrees(False), _LEAVES).select("doc", "pos")
     leaves = leaves if early is None else leaves.unionByName(early)
     out = stash(leaves.groupBy("doc").agg(F.collect_set("pos").alias("starts")), "repeats")
+    del suffixes, cold, early, leaves, texts
     discard(near)
     release(spark)
     return out

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 _PLACES = 64
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,3 +73,14 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     if length.max() > _PLACES:
         part = part * (2 * (place // _PLACES) + 1).astype(np.uint64)
     return mixed(np.add.reduceat(part, starts)), np.searchsorted(first, at)
+
+
+def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive words, by start."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = out * MULTIPLIER + words[j : j + n]
+    return mixed(out)
