@@ -16,7 +16,7 @@ at most ``MOST_BLOCKS``. All row work is DataFrame operations. Results depend on
 
 Defined results: a null text has no words and is never taken. A null source is a source of its own, the last.
 Equal rows are told apart by a rank among equals. Null doc_ids are allowed. If no source has a word, nothing is
-taken. Other columns are kept by ``mix``; columns named like a result column are replaced. No rows give no rows.
+taken. Other columns are kept by ``mix``; names that begin with an underscore are its own. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -191,17 +191,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """The mixed documents: columns of the input, a row for each copy taken, in shuffled order in each output shard."""
-    rows = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "_row", "_c", "_u")])
-    rows = rows.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    plan = plan_mix(_sized(rows).select("doc_id", "source", "_row", "size"), shards=shards, seed=seed)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    plan = plan_mix(_sized(rows.select("doc_id", "source", "text", "_row")).select("doc_id", "source", "_row", "size"), shards=shards, seed=seed)
     # Equal rows share their plan's rows by sum: copies of a group of equals are dealt to the group.
-    taken = plan.where("copies > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_c", "shards", "place"))).alias("t"))
+    taken = plan.where("copies > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_c", "shards", "place"))).alias("_t"))
     nth = Window.partitionBy("_row").orderBy("doc_id")
     if plan.where("_c > 1").limit(1).count():
         rows = rows.withColumn("_c", F.row_number().over(nth))
     else:
         rows = rows.withColumn("_c", F.lit(1))
-    mine = F.flatten(F.transform(F.filter("t", lambda x: x["_c"] == F.col("_c")), lambda x: F.transform(x["shards"], lambda s, k: F.struct(s.alias("shard"), F.xxhash64(x["place"], k).alias("place")))))
+    mine = F.flatten(F.transform(F.filter("_t", lambda x: x["_c"] == F.col("_c")), lambda x: F.transform(x["shards"], lambda s, k: F.struct(s.alias("shard"), F.xxhash64(x["place"], k).alias("place")))))
     out = rows.join(taken, "_row").withColumn("_m", F.explode(mine))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = out.repartition(parts, F.col("_m.shard"), F.pmod(F.col("_m.place"), F.lit(parts // shards))).sortWithinPartitions("_m.shard", "_m.place")
