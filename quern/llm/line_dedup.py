@@ -46,6 +46,8 @@ def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
     mixed = slim.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("doc").alias("d1"), F.max("doc").alias("d2")).where("lo <> hi AND d1 <> d2").select("leaf")
     seen = _lines(docs).join(mixed.hint("shuffle_hash"), "leaf").groupBy("leaf", "line").agg(F.first("tok").alias("tok"), F.count("*").alias("n"))
     seen = stash(seen, "leaves")
+    del mixed
+    release(docs.sparkSession)
     places = seen.select("leaf", "n", F.posexplode("tok").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("n").alias("n"))
     modal = places.groupBy("leaf", "p").agg(F.max(F.struct("n", "t")).alias("m")).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("p", F.col("m.t").alias("t")))).alias("modal"))
     modal = modal.select("leaf", F.col("modal.t").alias("modal"))
@@ -56,7 +58,8 @@ def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc (hash of doc_id and text) with the positions of its dropped lines."""
     slim = stash(_lines(docs).select("doc", "pos", "leaf", "line"), "lines")
-    member = templates(docs, slim).withColumnRenamed("leaf", "t")
+    member = stash(templates(docs, slim).withColumnRenamed("leaf", "t"), "members")
+    release(docs.sparkSession)
     named = slim.select("doc", "pos", "line").join(member, "line", "left").select("doc", "pos", F.xxhash64(F.coalesce("t", "line"), F.col("t").isNull()).alias("t"))
     named = stash(named, "templates")
     common = named.select("t", "doc").distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= DOCS).select("t")
