@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, has_word, release, stash, table, words_of
+from quern.llm.common import discard, release, stash, table
 
 DEPTH = 3
 ALIKE = 0.6
@@ -28,36 +28,47 @@ DOCS = 3
 VARIABLE = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """Tokens of a line, those with a digit as variable fields."""
-    return F.transform(words_of(line), lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w))
+#: A word with a digit; the look-behind holds it to the start of a word, so that long words are read once.
+_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: White space inside a line that is not a single blank.
+_WIDE_BLANK = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
+
+
+def masked(text: Column) -> Column:
+    """A text with its words with a digit as variable fields and single blanks inside lines."""
+    return F.regexp_replace(F.regexp_replace(text, _WITH_DIGIT, VARIABLE), _WIDE_BLANK, " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc (hash), pos, tok (masked tokens), leaf, line (hashes) of each line with a token."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.where(has_word(F.col("line"))).select("doc", "pos", masked(F.col("line")).alias("tok"))
-    leaf = F.xxhash64(F.size("tok"), F.slice("tok", 1, DEPTH))
-    return rows.withColumns({"leaf": leaf, "line": F.xxhash64(F.lit(1), "tok")})
+    """doc (hash), pos, tok (masked tokens with a blank between), leaf (hash) of each line with a token."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("pos", "tok"))
+    rows = rows.withColumn("tok", F.trim("tok")).where("tok <> ''")
+    blanks = F.octet_length("tok") - F.octet_length(F.replace("tok", F.lit(" "), F.lit("")))
+    return rows.withColumn("leaf", F.xxhash64(blanks, F.substring_index("tok", " ", DEPTH)))
+
+
+def _line() -> Column:
+    return F.xxhash64(F.lit(1), "tok")
 
 
 def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
     """line and leaf of the lines that belong to the template of their leaf."""
     mixed = slim.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.min("doc").alias("d1"), F.max("doc").alias("d2")).where("lo <> hi AND d1 <> d2").select("leaf")
-    seen = _lines(docs).join(mixed.hint("shuffle_hash"), "leaf").groupBy("leaf", "line").agg(F.first("tok").alias("tok"), F.count("*").alias("n"))
+    seen = _lines(docs).select("leaf", "tok").join(mixed.hint("shuffle_hash"), "leaf").groupBy("leaf", "tok").agg(F.count("*").alias("n"))
     seen = stash(seen, "leaves")
     del mixed
     release(docs.sparkSession)
-    places = seen.select("leaf", "n", F.posexplode("tok").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("n").alias("n"))
+    words = seen.select("leaf", _line().alias("line"), "n", F.split("tok", " ").alias("tok"))
+    places = words.select("leaf", "n", F.posexplode("tok").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("n").alias("n"))
     modal = places.groupBy("leaf", "p").agg(F.max(F.struct("n", "t")).alias("m")).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("p", F.col("m.t").alias("t")))).alias("modal"))
     modal = modal.select("leaf", F.col("modal.t").alias("modal"))
     agree = F.aggregate(F.zip_with("tok", "modal", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return seen.join(modal, "leaf").where(agree >= ALIKE * F.size("tok")).select("line", "leaf")
+    return words.join(modal, "leaf").where(agree >= ALIKE * F.size("tok")).select("line", "leaf")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc (hash of doc_id and text) with the positions of its dropped lines."""
-    slim = stash(_lines(docs).select("doc", "pos", "leaf", "line"), "lines")
+    slim = stash(_lines(docs).select("doc", "pos", "leaf", _line().alias("line")), "lines")
     member = stash(templates(docs, slim).withColumnRenamed("leaf", "t"), "members")
     release(docs.sparkSession)
     named = slim.select("doc", "pos", "line").join(member, "line", "left").select("doc", "pos", F.xxhash64(F.coalesce("t", "line"), F.col("t").isNull()).alias("t"))
