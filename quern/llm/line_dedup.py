@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, release, stash, table
+from quern.llm.common import BLANKS, discard, release, stash, table
 
 DEPTH = 3
 ALIKE = 0.6
@@ -29,20 +29,22 @@ VARIABLE = "<*>"
 
 
 #: A word with a digit; the look-behind holds it to the start of a word, so that long words are read once.
-_WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: White space inside a line that is not a single blank.
-_WIDE_BLANK = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
+_WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
-def masked(text: Column) -> Column:
-    """A text with its words with a digit as variable fields and single blanks inside lines."""
-    return F.regexp_replace(F.regexp_replace(text, _WITH_DIGIT, VARIABLE), _WIDE_BLANK, " ")
+def masked(line: Column) -> Column:
+    """A line's words with one blank between, those with a digit as variable fields. Patterns run only where they would change something."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in BLANKS.replace("\n", ""):
+        odd = odd | F.contains(line, F.lit(blank))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]++", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc (hash), pos, tok (masked tokens with a blank between), leaf (hash) of each line with a token."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("pos", "tok"))
-    rows = rows.withColumn("tok", F.trim("tok")).where("tok <> ''")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.select("doc", "pos", masked(F.col("line")).alias("tok")).where("tok <> ''")
     blanks = F.octet_length("tok") - F.octet_length(F.replace("tok", F.lit(" "), F.lit("")))
     return rows.withColumn("leaf", F.xxhash64(blanks, F.substring_index("tok", " ", DEPTH)))
 
@@ -73,7 +75,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     named = slim.select("doc", "pos", "line").join(member, "line", "left").select("doc", "pos", F.xxhash64(F.coalesce("t", "line"), F.col("t").isNull()).alias("t"))
     named = stash(named, "templates")
-    common = named.select("t", "doc").distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= DOCS).select("t")
+    # Written first, so that the join deals named anew and can split a very common template.
+    common = stash(named.select("t", "doc").distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= DOCS).select("t"), "common")
     out = stash(named.join(common, "t").groupBy("doc").agg(F.collect_set("pos").alias("gone")), "dropped")
     discard(slim)
     discard(named)
