@@ -24,6 +24,8 @@ doc_id and text are read; no rows give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +42,8 @@ NUM, DEN = 3, 4
 SMALL = 500_000
 #: Least shingles by hash over which classes look for a typical class, and of how many such they try.
 KEYS, TRIES = 8, 2
+#: Ranges of shingles whose shuffles follow one another.
+RANGES = 2
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -153,14 +157,32 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     del flat, many
     release(sets.sparkSession)
     ask = stash(_by_id(rows, held, "k"), "ask")
-    # The matrix over classes that may have links outside their group; frequency is the number of groups.
+    discard(sets)
+    # The matrix over classes that may have links outside their group, a range of shingles after the other, so that
+    # disk holds the shuffle of one range alone. Shingles of one group are in no overlap that counts here.
     flat = ask.select("k", "g", "n", F.explode("toks").alias("tok"))
-    matrix = flat.select("tok", "g").distinct()
-    often = matrix.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = flat.join(often, "tok").groupBy("k", "g", "n").agg(F.sort_array(F.collect_set(F.struct("f", "tok"))).alias("t"))
+    parts = []
+    for i in range(RANGES):
+        part = flat.where(F.pmod("tok", F.lit(RANGES)) == i)
+        many = part.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
+        parts.append(stash(part.join(many.hint("shuffle_hash"), "tok").select("k", "g", "n", "tok"), "matrix"))
+        del part, many
+        release(ask.sparkSession)
+    del flat
+    discard(ask)
+    outside = reduce(DataFrame.unionByName, parts)
+    kept = stash(outside.groupBy("k", "n").agg(F.count("*").alias("t")).where(F.col("t") >= _share(F.col("n"))).select("k"), "kept")
+    outside = _by_id(outside, kept, "k")
+    # Frequency is the number of groups.
+    often = outside.select("tok", "g").distinct().groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = outside.join(often.hint("shuffle_hash"), "tok").groupBy("k", "g", "n").agg(F.sort_array(F.collect_set(F.struct("f", "tok"))).alias("t"))
     ranked = ranked.where(F.size("t") >= _share(F.col("n")))
     # Shingles known in no other group are the rarest and come first; of n - share + 1 those left are asked with.
     ranked = stash(ranked.select("k", "g", "n", F.col("t.tok").alias("toks"), (F.size("t") - _share(F.col("n")) + 1).alias("p")), "ranked")
+    for part in parts:
+        discard(part)
+    del outside, often, kept
+    release(ask.sparkSession)
     rare = ranked.select("k", "g", "n", "p", F.explode(F.slice("toks", 1, F.col("p"))).alias("tok"))
     union = ranked.select("g", F.explode("toks").alias("tok")).distinct()
     asked = rare.join(union.withColumnRenamed("g", "h"), "tok").where("g <> h").select("k", "n", "h").distinct()
