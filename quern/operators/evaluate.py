@@ -82,3 +82,36 @@ def distribution_overlap(a: DataFrame, b: DataFrame, key: str, label: str) -> Da
 
     both = share(a, "_p").join(share(b, "_q"), [key, label], "full")
     return both.groupBy(key).agg((1 - F.sum(F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_q", F.lit(0.0)))) / 2).alias("overlap"))
+
+
+def calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
+    """One row: ece, the gap of confidence and accuracy over the bins, weighted by their rows."""
+    r = reliability(rows, p, y, bins)
+    return r.agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
+
+
+def binned_thresholds(rows: DataFrame, score: str, margin: str, alpha: float, bins: int) -> DataFrame:
+    """bin, n, threshold: the split-conformal threshold within each bin; edges are the inner quantiles of the margin.
+
+    A bin is the number of edges not above the margin. Distinct scores are aggregated before the window over a bin.
+    """
+    edges = rows.agg(F.percentile(margin, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges"))
+    binned = rows.crossJoin(F.broadcast(edges)).select(F.size(F.filter("_edges", lambda e: e <= F.col(margin))).alias("bin"), F.col(score).alias("s"))
+    each = binned.groupBy("bin", "s").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("bin")
+    each = each.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy("s"))})
+    k = F.ceil((F.col("n") + 1) * (1 - alpha))
+    return each.groupBy("bin", "n").agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(float("inf"))).alias("threshold"))
+
+
+def discordance(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: only_a, only_b (hits of one side alone) and McNemar's statistic with continuity correction, 0 without any."""
+    only_a, only_b = F.count_if(F.col(a) & ~F.col(b)), F.count_if(~F.col(a) & F.col(b))
+    n = rows.agg(only_a.alias("only_a"), only_b.alias("only_b"))
+    x, y = F.col("only_a"), F.col("only_b")
+    return n.withColumn("statistic", F.when(x + y > 0, F.pow(F.abs(x - y) - 1, F.lit(2)) / (x + y)).otherwise(0.0))
+
+
+def discordance_p(statistic: float) -> float:
+    """The chance of a larger statistic: chi-squared with one degree of freedom."""
+    return math.erfc(math.sqrt(statistic / 2))

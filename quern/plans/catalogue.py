@@ -335,3 +335,25 @@ def route_utilities(spark: SparkSession, d: str) -> DataFrame:
     ranked = g.withColumn("rank", F.rank().over(Window.partitionBy("query_id", "route").orderBy(F.col("s").desc())) - 1)
     mine = ranked.join(F.broadcast(q.select("query_id", "video_id")), ["query_id", "video_id"])
     return mine.select("query_id", "route", "rank", F.round(search.utility(F.col("rank"), F.lit(False), F.col("cost")), 6).alias("utility"))
+
+
+@query(_HALF + ", b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM l GROUP BY 1) SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM b")
+def calibration_error(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.calibration_error(_probabilities(spark, d), "p", "y").select(F.round("ece", 6).alias("ece"))
+
+
+@query("""WITH l AS (SELECT (list_transform(embedding, lambda x: x::DOUBLE)[1] + 1) / 2 AS p, embedding[2]::DOUBLE AS m FROM embeddings),
+e AS (SELECT quantile_cont(m, 0.25) AS a, quantile_cont(m, 0.5) AS b, quantile_cont(m, 0.75) AS c FROM l),
+x AS (SELECT p, (m >= a)::INT + (m >= b)::INT + (m >= c)::INT AS bin FROM l, e),
+o AS (SELECT bin, p, row_number() OVER (PARTITION BY bin ORDER BY p) AS i, count(*) OVER (PARTITION BY bin) AS n FROM x)
+SELECT bin, n::BIGINT AS n, round(min(CASE WHEN i >= ceil((n + 1) * 0.9::DOUBLE) THEN p END), 6) AS threshold FROM o GROUP BY bin, n""")
+def conformal_bins(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(((F.col("embedding")[0].cast("double") + 1) / 2).alias("p"), F.col("embedding")[1].cast("double").alias("m"))
+    return evaluate.binned_thresholds(e, "p", "m", 0.1, 4).select("bin", "n", F.round("threshold", 6).alias("threshold"))
+
+
+@query("""WITH h AS (SELECT embedding[1] > 0 AS a, embedding[2] > 0 AS b FROM embeddings), n AS (SELECT count_if(a AND NOT b)::BIGINT AS only_a, count_if(b AND NOT a)::BIGINT AS only_b FROM h)
+SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(abs(only_a - only_b)::DOUBLE - 1, 2) / (only_a + only_b) ELSE 0 END, 6) AS statistic FROM n""")
+def discordance(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "embeddings").select((F.col("embedding")[0] > 0).alias("a"), (F.col("embedding")[1] > 0).alias("b"))
+    return evaluate.discordance(h, "a", "b").select("only_a", "only_b", F.round("statistic", 6).alias("statistic"))

@@ -59,3 +59,16 @@ def test_unknown_is_a_mismatch_but_null_passes(spark):
 def test_haversine(spark):
     v = spark.range(1).select(metadata.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("d")).first().d
     assert math.isclose(v, math.pi * 6371)
+
+
+def test_discordance(spark):
+    df = spark.createDataFrame([(True, False)] * 9 + [(False, True)] * 1 + [(True, True)] * 5, "a boolean, b boolean")
+    r = evaluate.discordance(df, "a", "b").first()
+    assert (r.only_a, r.only_b, r.statistic) == (9, 1, 4.9)
+    assert math.isclose(evaluate.discordance_p(3.841458820694124), 0.05, rel_tol=1e-9)
+    assert evaluate.discordance(df.limit(0), "a", "b").first().statistic == 0.0
+
+
+def test_few_rows_in_a_bin_have_no_threshold(spark):
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "s double, m double")
+    assert [r.threshold for r in evaluate.binned_thresholds(df, "s", "m", 0.1, 2).collect()] == [math.inf, math.inf]
