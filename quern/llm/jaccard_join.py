@@ -44,6 +44,8 @@ SMALL = 500_000
 KEYS, TRIES = 8, 2
 #: Ranges of shingles whose shuffles follow one another.
 RANGES = 2
+#: Very common shingles are looked for in one class of SAMPLE, and told apart from the rest if SEEN or more of those hold them.
+SAMPLE, SEEN, COMMON = 64, 8, 20_000
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -69,14 +71,19 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _members(batches):
-    """doc_id, n, k, ext of texts with words."""
+    """doc_id, n, k, ext of texts with words. Of the copies in one task only the first has ext."""
+    known: set[int] = set()
     for batch in batches:
         for part in pieces(batch, 1):
             sets = shingle_sets(part.column(1))
+            names = [_name(x) for x in sets]
             n = [len(x) for x in sets]
-            # As _reach has it.
-            ext = [x[: len(x) - -(-len(x) * NUM // DEN) + -(-len(x) // 8)] for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array([_name(x) for x in sets], pa.int64()), _lists(ext)], names=["doc_id", "n", "k", "ext"])
+            ext = []
+            for x, k in zip(sets, names, strict=True):
+                # As _reach has it.
+                ext.append(x[:0] if k in known else x[: len(x) - -(-len(x) * NUM // DEN) + -(-len(x) // 8)])
+                known.add(k)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(names, pa.int64()), _lists(ext)], names=["doc_id", "n", "k", "ext"])
 
 
 def _wanted(batches):
@@ -112,20 +119,37 @@ def _by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(ids) if ids.count() <= SMALL else ids, key)
 
 
+def _in_several(flat: DataFrame, who: str) -> DataFrame:
+    """The rows of flat (tok, who, others) whose tok more than one ``who`` holds.
+
+    One shuffle by tok serves both the count and the join. What a sample of ``who`` proves to be in several and very
+    common is broadcast (at most COMMON numbers) and stays out of that shuffle, so that no task gets a common tok's rows.
+    """
+    others = [c for c in flat.columns if c not in ("tok", who)]
+    some = flat.where(F.pmod(F.xxhash64(who), F.lit(SAMPLE)) == 0).groupBy("tok").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("seen"))
+    common = stash(some.where(f"lo <> hi AND seen >= {SEEN}").orderBy(F.desc("seen"), "tok").limit(COMMON).select("tok", F.lit(True).alias("common")), "common")
+    marked = flat.join(F.broadcast(common), "tok", "left")
+    dealt = marked.where("common IS NULL").select(*flat.columns).repartition("tok")
+    # The others are counted so that both uses of the shuffle have the same columns, and Spark runs it once.
+    low = [F.max(c).alias(f"_{c}") for c in others]
+    several = dealt.groupBy("tok").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), *low)
+    several = several.where(" AND ".join(["lo <> hi", *(f"_{c} IS NOT NULL" for c in others)])).select("tok")
+    return dealt.join(several.hint("shuffle_hash"), "tok").select(*flat.columns).unionByName(marked.where("common").select(*flat.columns))
+
+
 def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members: doc_id, n, k (class). Classes that may have links: k, doc_id, sc (part of shingles within reach that others share)."""
     rows = docs.where(F.col("doc_id").isNotNull() & has_word(F.col("text"))).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     wide = stash(rows.mapInArrow(_members, f"doc_id {kind}, n int, k bigint, ext array<bigint>"), "sets")
     flat = wide.select("k", F.explode("ext").alias("tok"))
-    shared = flat.groupBy("tok").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("tok")
-    held = flat.join(shared.hint("shuffle_hash"), "tok").groupBy("k").agg(F.count("*").alias("held"))
-    classes = wide.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    # Copies hold the same shingles, so each counted that many times.
+    held = _in_several(flat, "k").groupBy("k").agg(F.count("*").alias("held"))
+    classes = wide.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sum((F.size("ext") > 0).cast("int")).alias("copies"))
+    # Copies of several tasks hold the same shingles, so each counted that many times.
     alive = classes.join(held, "k").where(F.col("held") >= _needed(F.col("n")) * F.col("copies"))
     alive = stash(alive.select("k", "doc_id", (F.col("held") / F.col("copies") / _reach(F.col("n"))).alias("sc")), "alive")
     members = stash(wide.select("doc_id", "n", "k"), "members")
-    del flat, shared, held, classes
+    del flat, held, classes
     discard(wide)
     release(docs.sparkSession)
     return members, alive
@@ -151,10 +175,9 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     rows = rows.select("k", F.coalesce("g", "k").alias("g"), F.size("toks").alias("n"), "toks")
     # As in the first step, with other groups in the place of other classes.
     flat = rows.select("k", "g", "n", F.explode(F.slice("toks", 1, _reach(F.col("n")))).alias("tok"))
-    many = flat.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
-    held = flat.join(many.hint("shuffle_hash"), "tok").groupBy("k", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _needed(F.col("n"))).select("k")
+    held = _in_several(flat, "g").groupBy("k", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _needed(F.col("n"))).select("k")
     held = stash(held, "held")
-    del flat, many
+    del flat
     release(sets.sparkSession)
     ask = stash(_by_id(rows, held, "k"), "ask")
     discard(sets)
@@ -164,9 +187,8 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     parts = []
     for i in range(RANGES):
         part = flat.where(F.pmod("tok", F.lit(RANGES)) == i)
-        many = part.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
-        parts.append(stash(part.join(many.hint("shuffle_hash"), "tok").select("k", "g", "n", "tok"), "matrix"))
-        del part, many
+        parts.append(stash(_in_several(part, "g"), "matrix"))
+        del part
         release(ask.sparkSession)
     del flat
     discard(ask)
