@@ -10,8 +10,9 @@ result is each document's component. Documents with equal sets form a class, whi
    the groups.
 3. Matrix. One row for each shingle and group: the union of the group's members. A class of which fewer than 75%
    of the shingles occur in other groups has all its links inside its group and leaves.
-4. Bound. A class asks those groups that hold one of its rarest shingles (by the number of groups); the number
-   of its shingles in the group's union bounds its overlap with any member. Groups below 75% stay closed.
+4. Bound. The smaller of two linked classes holds 6/7 of its shingles in the other. A class asks those groups of which
+   members of its size or more hold one of its rarest shingles (by the number of groups); the number of its shingles in
+   the group's union bounds its overlap with any such member. Groups below 6/7 stay closed.
 5. Open. Members of the qualifying groups that share one of the rarest shingles are compared exactly.
 
 Shingles and classes are told apart by 64-bit hashes.
@@ -101,6 +102,11 @@ def _share(n: Column) -> Column:
     return F.ceil(n * NUM / DEN).cast("int")
 
 
+def _share_above(n: Column) -> Column:
+    """Least overlap of a set of n with a linked one of n or more: NUM (n + n) / (NUM + DEN)."""
+    return F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int")
+
+
 def _reach(n: Column) -> Column:
     return (n - _share(n) + F.ceil(n / 8)).cast("int")
 
@@ -206,13 +212,20 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     del outside, often, kept
     release(ask.sparkSession)
     rare = ranked.select("k", "g", "n", "p", F.explode(F.slice("toks", 1, F.col("p"))).alias("tok"))
-    union = ranked.select("g", F.explode("toks").alias("tok")).distinct()
-    asked = rare.join(union.withColumnRenamed("g", "h"), "tok").where("g <> h").select("k", "n", "h").distinct()
-    bound = asked.join(ranked.select("k", F.explode("toks").alias("tok")), "k").join(union.withColumnRenamed("g", "h"), ["tok", "h"])
-    open_ = bound.groupBy("k", "n", "h").agg(F.count("*").alias("ub")).where(F.col("ub") >= _share(F.col("n"))).select("k", "h")
+    # The smaller of two linked sets asks, and so needs a larger part of its own: fewer shingles to ask with.
+    # A group answers for the sizes of those members that hold the shingle.
+    union = ranked.select("g", "n", F.explode("toks").alias("tok")).groupBy("g", "tok").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    union = stash(union.withColumnRenamed("g", "h"), "union")
+    above = _share_above(F.col("n"))
+    asking = ranked.where(F.size("toks") >= above)
+    first = asking.select("k", "g", "n", F.explode(F.slice("toks", 1, F.size("toks") - above + 1)).alias("tok"))
+    fits = (F.col("hi") >= F.col("n")) & (F.col("lo") * NUM <= F.col("n") * DEN)
+    asked = first.join(union, "tok").where((F.col("g") != F.col("h")) & fits).select("k", "n", "h").distinct()
+    bound = asked.join(asking.select("k", F.explode("toks").alias("tok")), "k").join(union, ["tok", "h"]).where(fits)
+    open_ = bound.groupBy("k", "n", "h").agg(F.count("*").alias("ub")).where(F.col("ub") >= above).select("k", "h")
     other = rare.select(F.col("k").alias("d"), F.col("g").alias("h"), F.col("n").alias("m"), "tok")
-    near = rare.join(open_, "k").join(other, ["tok", "h"]).where("k < d")
-    size = (F.col("m") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("m") * NUM)
+    near = first.join(open_, "k").join(other, ["tok", "h"])
+    size = (F.col("m") >= F.col("n")) & (F.col("n") * DEN >= F.col("m") * NUM)
     pairs = near.where(size).select("k", "d").distinct()
     full = ranked.select("k", "n", "toks")
     a = full.select(F.col("k"), F.col("n").alias("na"), F.col("toks").alias("x"))
