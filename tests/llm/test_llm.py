@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -213,6 +214,30 @@ def test_op6_scores_part_held_out_documents(spark):
     assert {x.score for x in lm_scoring.lm_scores(df, labels.limit(0)).collect()} == {0.0, None}
 
 
+def test_op6_every_word_and_bigram_counts(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join(f"w{int(3 ** (r.random() * 9.5))}" for _ in range(800))) for k in range(200)]
+    rows += [(300, "rare1 rare2 w1 rare1 rare2"), (301, "Rare1 rare2"), (302, "w1 w2 w9 w1 w2"), rows[7]]
+    good = {k for k in range(0, 200, 3)} | {300}
+    labels = spark.createDataFrame([(k, 1, 0) for k in good], "doc_id long, quality int, toxic int")
+    n, t, n2, t2 = (collections.Counter() for _ in range(4))
+    for k, text in rows:
+        w = text.lower().split()
+        for one, two in [(n, n2), (t, t2)][: 1 + (k in good)]:
+            one.update(w)
+            two.update(zip(w, w[1:]))
+    assert sum(n.values()) > 2 / 2e-5
+
+    def loss(one, two, w):
+        uni = [(one[x] + 1) / (sum(one.values()) + len(n) + 1) for x in w]
+        bi = [0.7 * (two[a, b] / one[a] if one[a] else u) + 0.3 * u for a, b, u in zip(w, w[1:], uni[1:])]
+        return -sum(map(math.log, [uni[0], *bi]))
+
+    want = sorted((k, round((loss(t, t2, w) - loss(n, n2, w)) / len(w), 9)) for k, text in rows for w in [text.lower().split()])
+    got = sorted((x.doc_id, round(x.score, 9)) for x in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect())
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-8 for a, b in zip(got, want, strict=True))
+
+
 def test_op1_links(spark):
     first = "The plan is to meet at noon tomorrow."
     rows = [
