@@ -2,8 +2,8 @@
 
 Operator 3. Each source has a target of words: its weight's share of 150% of all words, at most twice its own size,
 the excess dealt again by weight. A source is taken whole as often as its target allows; of the rest, its
-documents are read in a random order, cut into blocks, up to the target, and the gap that the first document
-beyond leaves is filled with the largest documents that fit.
+documents are read in a random order, cut into blocks, up to the target. Documents longer than the gap that is left are
+then skipped, and the rest of the order is read up to the gap, round after round, until no document fits.
 
 Blocks are then dealt to output shards. The tree halves the shards again and again; at each node the number of blocks of
 each source that go left is a multivariate hypergeometric draw, given the node's blocks and the left half's exact
@@ -22,6 +22,7 @@ taken. Other columns are kept by ``mix``; names that begin with an underscore ar
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,8 +35,6 @@ SHARE, MOST = 1.5, 2.0
 SHARDS = 8
 #: Documents of a block, about; most blocks of a source; most sources.
 BLOCK, MOST_BLOCKS, MOST_SOURCES = 100, 50_000, 100_000
-#: Documents that may fill the gap at the end of a source's order, each the largest that fits.
-FILLS = 3
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -117,45 +116,34 @@ def plan_mix(docs: DataFrame, key: str = "_row", shards: int = SHARDS, seed: int
     rows = rows.withColumn("_c", F.row_number().over(same)).withColumn("_u", u)
     rows = rows.withColumn("_b", F.least((F.col("_u") / F.lit(float(2**63)) * F.col("_blocks")).cast("int"), F.col("_blocks") - 1))
     rows = stash(rows, "mixrows")
-    sums = rows.groupBy("_s", "_b").agg(F.sum("size").alias("w"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    lead = sums.select("_s", "_b", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_lead"))
-    inner = Window.partitionBy("_s", "_b").orderBy("_u", key, "_c")
-    rows = rows.join(lead, ["_s", "_b"]).withColumn("_end", F.col("_lead") + F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = stash(rows.withColumn("_in", (F.col("_end") <= F.col("_rest")) & (F.col("size") > 0)), "mixorder")
-    fills = _fill_gaps(rows, key)
-    rows = _with_fills(rows, fills, key)
+    rows = _filled(rows, {k: line[5] for k, line in enumerate(lines)}, key)
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_full") + F.col("_in").cast("int")).otherwise(0))
     return _dealt(rows, each, key, shards, seed)
 
 
-def _fill_gaps(rows: DataFrame, key: str) -> list[list]:
-    """(source, key, rank) of documents that fill what is left of each source's rest."""
-    gap = {r["_s"]: r["gap"] for r in rows.groupBy("_s").agg((F.first("_rest") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0))).alias("gap")).collect()}
-    out: list[list] = []
-    spark = rows.sparkSession
-    for _ in range(FILLS):
-        open_ = [[s, g] for s, g in gap.items() if g is not None and g >= 1]
-        if not open_:
-            break
-        left = _with_fills(rows, out, key).where("NOT _in AND size > 0").join(F.broadcast(_literal(spark, open_, "_gs int, _gap double")), F.col("_gs") == F.col("_s"))
-        best = left.where("size <= _gap").groupBy("_s").agg(F.max(F.struct("size", "_u", key, "_c")).alias("m")).collect()
-        if not best:
-            break
-        for r in best:
-            out.append([r["_s"], r.m[key], r.m["_c"]])
-            gap[r["_s"]] -= r.m["size"]
-    return out
-
+def _filled(rows: DataFrame, gap: dict[int, float], key: str) -> DataFrame:
+    """Adds _in: whether a document is taken for its source's rest, so that no other would fit in what is left of it.
 
-def _with_fills(rows: DataFrame, fills: list[list], key: str) -> DataFrame:
-    if not fills:
-        return rows
-    # At most FILLS documents of each source, as a literal table.
-    small = _literal(rows.sparkSession, fills, "_fs int, _fk bigint, _fc int")
-    joined = rows.join(F.broadcast(small), (F.col("_fs") == F.col("_s")) & (F.col("_fk") == F.col(key)) & (F.col("_fc") == F.col("_c")), "left")
-    picked = F.col("_fs").isNotNull()
-    return joined.withColumn("_in", F.col("_in") | picked).drop("_fs", "_fk", "_fc")
+    A round takes documents of size up to the gap, in their order, while their sum is within it. The first of them always
+    is, so a source that takes none in a round has none that fit.
+    """
+    inner = Window.partitionBy("_s", "_b").orderBy("_u", key, "_c").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    left, taken = rows.where("size > 0").select("_s", "_b", "_u", key, "_c", "size"), []
+    while open_ := [[s, g] for s, g in gap.items() if g >= 1]:
+        fits = left.join(F.broadcast(_literal(rows.sparkSession, open_, "_gs int, _gap double")), (F.col("_gs") == F.col("_s")) & (F.col("size") <= F.col("_gap"))).drop("_gs")
+        sums = fits.groupBy("_s", "_b").agg(F.sum("size").alias("w"))
+        lead = sums.select("_s", "_b", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_lead"))
+        now = fits.join(lead, ["_s", "_b"]).withColumn("_new", F.col("_lead") + F.sum("size").over(inner) <= F.col("_gap"))
+        now = stash(now.drop("_lead", "_gap"), "mixorder")
+        took = now.where("_new").groupBy("_s").agg(F.sum("size").alias("w")).collect()
+        gap = {r["_s"]: gap[r["_s"]] - r.w for r in took}
+        left = now.where("NOT _new").drop("_new")
+        taken.append(now.where("_new").select("_s", key, "_c"))
+    if not taken:
+        return rows.withColumn("_in", F.lit(False))
+    picked = reduce(DataFrame.unionByName, taken).withColumn("_in", F.lit(True))
+    return rows.join(picked, ["_s", key, "_c"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
 
 
 def _dealt(rows: DataFrame, each: list, key: str, shards: int, seed: int) -> DataFrame:

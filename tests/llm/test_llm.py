@@ -186,6 +186,19 @@ def test_op3_targets(docs):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
+def test_op3_reads_on_past_long_documents(spark):
+    r = random.Random(4)
+    sizes = [r.randint(150, 400) for _ in range(150)] + [9000] * 6
+    df = spark.createDataFrame([(k, f"w{k} " * n, s) for k, n in enumerate(sizes) for s in "abcd"], "doc_id long, text string, source string")
+    rows = mixing.plan_mix(df.select("doc_id", "source", F.xxhash64("doc_id", "source").alias("_row"), F.size(F.split(F.trim("text"), " ")).cast("long").alias("size"))).collect()
+    for s in "abcd":
+        mine = [x for x in rows if x.source == s]
+        gap = mine[0].target - sum(x.taken for x in mine)
+        # What is taken once more than the others is for the rest; of the others, none fits the gap.
+        full = min(int(mine[0].target // mine[0].source_size), 2)
+        assert 0 <= gap and not any(x.size <= gap for x in mine if x.copies == full < 2)
+
+
 def test_op3_tree():
     t = mixing.splitting_tree([7, 0, 12], 8, 3)
     assert [sum(r) for r in t] == [7, 0, 12] and sorted(map(sum, zip(*t))) == [2] * 5 + [3] * 3
