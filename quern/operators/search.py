@@ -1,4 +1,4 @@
-"""Prototypes, batch search with hubness correction, hybrid search, routes."""
+"""Prototypes, batch search with hubness correction, utilities of routes."""
 
 from __future__ import annotations
 
