@@ -6,7 +6,7 @@ passage; the rest of a message, without attribution lines such as "On ... wrote:
 messages' own text: the latest earlier message of the conversation that holds one, or else the first message of
 any conversation. The message that most words of the outermost quotes point to is the parent. Following parents gives
 each message its thread and its depth in it; ordered by thread, depth and turn, every message follows the one that it
-answers, without quotes.
+answers, without quotes. Where links between conversations close a circle, its first message loses its parent.
 
 The earlier message is looked up in blocks of turns: a grouped maximum over earlier blocks, and a window inside one.
 A hot conversation or a very common line is split by those blocks and by partial aggregation. No join pairs
@@ -128,6 +128,28 @@ def _sources(parsed: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "level", "hash", "words", src.alias("src")).where("src IS NOT NULL")
 
 
+def _acyclic(parent: DataFrame) -> DataFrame:
+    """The links without that of the first message of each circle, which leads to another conversation.
+
+    Steps are doubled with the first message on the way, which is the message itself only for the one to cut.
+    """
+    links = stash(parent, "links")
+    # In a conversation links go to earlier turns, so a circle has one to a conversation of a larger number.
+    if not links.where("parent.conv_id > conv_id").limit(1).count():
+        return links
+    now = links.select(F.struct("conv_id", "turn").alias("m"), F.col("parent").alias("up"), F.col("parent").alias("low"))
+    steps = 1
+    while True:
+        far = now.select(F.col("m").alias("up"), F.col("up").alias("next"), F.col("low").alias("more"))
+        # What leads to a message without a parent is in no circle.
+        now = stash(now.join(far, "up").select("m", F.col("next").alias("up"), F.least("low", "more").alias("low")), "circles")
+        steps *= 2
+        if steps >= now.count():
+            break
+    cut = now.where("low = m").select("m.conv_id", "m.turn")
+    return links.join(cut, ["conv_id", "turn"], "left_anti")
+
+
 def _threads(parent: DataFrame) -> DataFrame:
     """conv_id, turn, thread (conv_id, turn), depth of messages with a parent, by doubling the steps towards the root."""
     now = stash(parent.select(F.struct("conv_id", "turn").alias("m"), F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("depth")), "parents")
@@ -151,8 +173,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     votes = sources.groupBy("conv_id", "turn", "level", "src").agg(F.sum("words").alias("words"))
     # The outermost level counts first; then words, then the later message.
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("words"), F.col("src.turn"), F.col("src"))).alias("v")).select("conv_id", "turn", F.col("v.src").alias("parent"))
-    # A link to another conversation must not close a circle: it only goes to one of a smaller number.
-    best = best.where("parent.conv_id = conv_id OR parent.conv_id < conv_id")
+    best = _acyclic(best)
     linked = sources.groupBy("conv_id", "turn").agg(F.countDistinct("level", "hash").alias("n_linked"))
     threads = _threads(best)
     known = linked.join(best, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")

@@ -264,6 +264,18 @@ def test_op1_links(spark):
     assert got[1, 5].n_linked == 0 and got[1, 5].parent_turn is None and got[None, 1].reply == ""
 
 
+def test_op1_originals_in_later_conversations(spark):
+    rows = [
+        (1, 0, "u", "> the original has a larger number\nI agree with that entirely."), (7, 3, "u", "The original has a larger number."), (8, 0, "a", "> I agree with that entirely.\nSo do I."),
+        (2, 0, "u", "> second message of the circle\nFirst message of the circle."), (3, 0, "u", "> third message of the circle\nSecond message of the circle."),
+        (4, 0, "u", "> first message of the circle\nThird message of the circle."), (5, 0, "u", "> third message of the circle\nOutside."),
+    ]
+    got = {r.conv_id: ((r.parent_conv, r.parent_turn), (r.thread_conv, r.thread_turn), r.depth, r.n_linked) for r in quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1] == ((7, 3), (7, 3), 1, 1) and got[8] == ((1, 0), (7, 3), 2, 1)
+    assert got[2] == ((None, None), (2, 0), 0, 1)
+    assert got[4] == ((2, 0), (2, 0), 1, 1) and got[3] == ((4, 0), (2, 0), 2, 1) and got[5] == ((4, 0), (2, 0), 2, 1)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
