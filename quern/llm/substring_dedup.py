@@ -18,8 +18,8 @@ earlier in the corpus is removed.
 Path edges are hashes of 64, 32 and 32 bits of 64-bit word hashes: 128 bits tell a path apart. Batches are hashed with numpy as a whole.
 
 Defined results: null and empty texts have no words; texts of fewer than 20 words lose nothing. Documents are
-ordered by doc_id, null last. Rows of one doc_id are one document: repeated rows don't make each other
-repeats, and a removal holds for each row of that doc_id. Only doc_id and text are read; no rows give no rows.
+ordered by doc_id, null last, then by a hash of the text. Rows of one doc_id and text are one document: repeated rows don't
+make each other repeats, and a removal holds for each of them. Other texts of that doc_id, or of none, are documents of their own. Only doc_id and text are read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, (low[start] & _PLACE).astype(np.int64), grams
 
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int32())])
 
 
 def _find_anchors(batches):
@@ -77,14 +77,14 @@ def _find_anchors(batches):
             pos = pos[np.diff(pos, prepend=-1) != 0]
             doc = np.searchsorted(at, pos, side="right") - 1
             ids = part.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array((pos - at[doc]).astype(np.int32))], schema=_ANCHORS)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[pos].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(part.column(2).to_numpy()[doc], pa.int64()), pa.array((pos - at[doc]).astype(np.int32))], schema=_ANCHORS)
 
 
-_SUFFIXES = pa.schema([("bin", pa.int32()), ("hot", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())])
+_SUFFIXES = pa.schema([("bin", pa.int32()), ("hot", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int32())])
 
 
 def _find_suffixes(frequent: int, bins: int):
-    """Suffixes of the windows whose anchor repeats. Batches: doc, text, positions of such anchors, their counts."""
+    """Suffixes of the windows whose anchor repeats. Batches: doc, text, positions of such anchors, their counts, sub."""
 
     def run(batches):
         for batch in batches:
@@ -106,19 +106,19 @@ def _find_suffixes(frequent: int, bins: int):
                 doc = np.searchsorted(at, start, side="right") - 1
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((key % np.uint64(bins)).astype(np.int32)), pa.array(hot), pa.array(edges[0].view(np.int64)), *(pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)) for e in edges[1:]), pa.array(ids[doc], pa.int64()), pa.array((start - at[doc]).astype(np.int32))], schema=_SUFFIXES
+                    [pa.array((key % np.uint64(bins)).astype(np.int32)), pa.array(hot), pa.array(edges[0].view(np.int64)), *(pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)) for e in edges[1:]), pa.array(ids[doc], pa.int64()), pa.array(part.column(4).to_numpy()[doc], pa.int64()), pa.array((start - at[doc]).astype(np.int32))], schema=_SUFFIXES
                 )
 
     return run
 
 
-_LEAVES = "first boolean, e1 bigint, e2 int, e3 int, doc bigint, pos int"
-_LEAF_SCHEMA = pa.schema([("first", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())])
+_LEAVES = "first boolean, e1 bigint, e2 int, e3 int, doc bigint, sub bigint, pos int"
+_LEAF_SCHEMA = pa.schema([("first", pa.bool_()), ("e1", pa.int64()), ("e2", pa.int32()), ("e3", pa.int32()), ("doc", pa.int64()), ("sub", pa.int64()), ("pos", pa.int32())])
 
 
-def subtree(e1, e2, e3, doc, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subtree(e1, e2, e3, doc, sub, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of the leaves, the depth in words at which each parts from the one before, and whether it leads its node of depth 20."""
-    order = np.lexsort((pos, doc, e3, e2, e1))
+    order = np.lexsort((pos, sub, doc, e3, e2, e1))
     a, b, c = e1[order], e2[order], e3[order]
     depth = np.zeros(len(order), np.int64)
     one = a[1:] == a[:-1]
@@ -133,47 +133,55 @@ def _subtrees(keep_firsts: bool):
         if not batches:
             return
         t = pa.Table.from_batches(batches)
-        e1, e2, e3, doc, pos = (t.column(k).to_numpy() for k in ("e1", "e2", "e3", "doc", "pos"))
-        order, _, leads = subtree(e1, e2, e3, doc, pos)
-        d, p = doc[order], pos[order]
+        e1, e2, e3, doc, sub, pos = (t.column(k).to_numpy() for k in ("e1", "e2", "e3", "doc", "sub", "pos"))
+        order, _, leads = subtree(e1, e2, e3, doc, sub, pos)
+        d, u, p = doc[order], sub[order], pos[order]
         node = np.flatnonzero(leads)[np.cumsum(leads) - 1]
-        later = (d != d[node]) | (p != p[node])
+        later = (d != d[node]) | (u != u[node]) | (p != p[node])
         out = later | (leads if keep_firsts else False)
         pick = order[out]
         for k in range(0, len(pick), 100_000):
             i = pick[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(~later[out][k : k + 100_000]), *(pa.array(x[i], f.type) for x, f in zip((e1, e2, e3, doc, pos), list(_LEAF_SCHEMA)[1:], strict=True))], schema=_LEAF_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(~later[out][k : k + 100_000]), *(pa.array(x[i], f.type) for x, f in zip((e1, e2, e3, doc, sub, pos), list(_LEAF_SCHEMA)[1:], strict=True))], schema=_LEAF_SCHEMA)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """doc (doc_id, null as the largest long) with the array of starts of its windows that start earlier elsewhere."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    found = rows.mapInArrow(_find_anchors, "anchor bigint, doc bigint, pos int")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds doc, which orders documents (doc_id, null as the largest long), and sub, which tells different texts of one doc apart (0 for a single text)."""
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text")
+    several = docs.select(doc, text.alias("h")).groupBy("doc").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    several = stash(several.select("doc", F.lit(True).alias("_several")), "several")
+    return docs.select("doc_id", "text", doc).join(several, "doc", "left").select("doc_id", "text", "doc", F.when(F.col("_several"), text).otherwise(F.lit(0)).cast("long").alias("sub"))
+
+
+def repeated_windows(keyed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """doc and sub with the array of starts of its windows that start earlier elsewhere."""
+    spark = keyed.sparkSession
+    rows = keyed.select("doc", "text", "sub")
+    found = rows.mapInArrow(_find_anchors, "anchor bigint, doc bigint, sub bigint, pos int")
     # Repeated rows of a document count too; that only leaves more to look at.
     many = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    near = found.join(many.hint("shuffle_hash"), "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))).alias("a"))
-    near = stash(near.select("doc", F.col("a.pos").alias("pos"), F.col("a.n").alias("n"), F.size("a").alias("size")), "anchors")
+    near = found.join(many.hint("shuffle_hash"), "anchor").groupBy("doc", "sub").agg(F.collect_list(F.struct("pos", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))).alias("a"))
+    near = stash(near.select("doc", "sub", F.col("a.pos").alias("pos"), F.col("a.n").alias("n"), F.size("a").alias("size")), "anchors")
     del found, many
     release(spark)
     total = (near.agg(F.sum("size")).first()[0] or 0) * 7
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BIN + 1)
-    texts = rows.join(near.hint("shuffle_hash"), "doc").select("doc", "text", "pos", "n")
-    suffixes = texts.mapInArrow(_find_suffixes(frequent, 8 * bins), "bin int, hot boolean, e1 bigint, e2 int, e3 int, doc bigint, pos int")
+    texts = rows.join(near.hint("shuffle_hash"), ["doc", "sub"]).select("doc", "text", "pos", "n", "sub")
+    suffixes = texts.mapInArrow(_find_suffixes(frequent, 8 * bins), "bin int, hot boolean, e1 bigint, e2 int, e3 int, doc bigint, sub bigint, pos int")
     if (near.select(F.max(F.array_max("n"))).first()[0] or 0) > 8 * frequent:
         suffixes = stash(suffixes, "suffixes")
-        hot = suffixes.where("hot").repartition(bins, "bin", F.pmod(F.xxhash64("doc"), F.lit(bins))).drop("hot", "bin")
+        hot = suffixes.where("hot").repartition(bins, "bin", F.pmod(F.xxhash64("doc", "sub"), F.lit(bins))).drop("hot", "bin")
         local = stash(hot.mapInArrow(_subtrees(True), _LEAVES), "salted")
         whole = F.pmod(F.xxhash64("e1", "e2", "e3"), F.lit(8 * bins)).cast("int").alias("bin")
-        cold = suffixes.where("NOT hot").drop("hot").unionByName(local.where("first").select(whole, "e1", "e2", "e3", "doc", "pos"))
-        early = local.where("NOT first").select("doc", "pos")
+        cold = suffixes.where("NOT hot").drop("hot").unionByName(local.where("first").select(whole, "e1", "e2", "e3", "doc", "sub", "pos"))
+        early = local.where("NOT first").select("doc", "sub", "pos")
     else:
         cold, early = suffixes.drop("hot"), None
-    leaves = cold.repartition(bins, "bin").drop("bin").mapInArrow(_subtrees(False), _LEAVES).select("doc", "pos")
+    leaves = cold.repartition(bins, "bin").drop("bin").mapInArrow(_subtrees(False), _LEAVES).select("doc", "sub", "pos")
     leaves = leaves if early is None else leaves.unionByName(early)
-    out = stash(leaves.groupBy("doc").agg(F.collect_set("pos").alias("starts")), "repeats")
+    out = stash(leaves.groupBy("doc", "sub").agg(F.collect_set("pos").alias("starts")), "repeats")
     del suffixes, cold, early, leaves, texts
     discard(near)
     release(spark)
@@ -199,8 +207,8 @@ def _removals(batches, make):
 
 
 def _joined(docs: DataFrame, frequent: int) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    return rows.join(repeated_windows(docs, frequent).hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "starts")
+    rows = _keyed(docs)
+    return rows.join(repeated_windows(rows, frequent).hint("shuffle_hash"), ["doc", "sub"], "left").select("doc_id", "text", "starts")
 
 
 def substring_dedup(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:

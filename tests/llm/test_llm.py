@@ -134,6 +134,18 @@ def test_op10_removals(docs, frequent):
     assert by_id(substring_dedup.substring_dedup(docs, frequent).select("doc_id", "n_words", "n_removed", "kept")) == sorted(want[k] for k, *_ in ROWS)
 
 
+@pytest.mark.parametrize("frequent", [1, 20_000])
+def test_op10_texts_of_one_id(spark, frequent):
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    same, late, alone, twice = prose(25), prose(30), prose(40), prose(22)
+    rows = [(None, same + " tail one"), (None, same + " tail two"), (None, prose(300) + " " + late), (5, late), (None, alone), (7, twice + " a"), (7, twice + " b"), (8, prose(30))]
+    got = {x.text: x.n_removed for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent).collect()}
+    assert sorted(got[t] for _, t in rows[:2]) == [0, 26]  # the 25 words and "tail"
+    assert (got[rows[2][1]], got[late], got[alone], got[rows[7][1]]) == (30, 0, 0, 0)
+    assert sorted(got[t] for _, t in rows[5:7]) == [0, 22]
+
+
 def test_op4_spans(docs):
     got = {r.doc_id: r for r in secret_scan.report(docs).collect()}
     for k, text, *_ in ROWS:
