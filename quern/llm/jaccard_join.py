@@ -5,15 +5,17 @@ result is each document's component. Documents with equal sets form a class, whi
 
 1. Reach. Shingles are ordered by hash. Two linked sets share at least ``_needed`` of the first ``_reach`` shingles
    of either; classes that share fewer of theirs with other classes have no link and leave. This is exact.
-2. Groups. Remaining classes join the most typical class among those that share one of their least shingles, if
-   the two are linked: similar documents form a group, without pairs inside it. Components of these links are
-   the groups.
-3. Matrix. One row for each shingle and group: the union of the group's members. A class of which fewer than 75%
-   of the shingles occur in other groups has all its links inside its group and leaves.
-4. Bound. The smaller of two linked classes holds 6/7 of its shingles in the other. A class asks those groups of which
-   members of its size or more hold one of its rarest shingles (by the number of groups); the number of its shingles in
-   the group's union bounds its overlap with any such member. Groups below 6/7 stay closed.
-5. Open. Members of the qualifying groups that share one of the rarest shingles are compared exactly.
+2. Groups. Remaining classes are compared with the most typical classes among those that share one of their least
+   shingles: similar documents form a group, without pairs inside it. Components of these links are the groups.
+3. Filter. A class counts how many of its shingles other groups hold, for each range of sizes that a linked class may
+   have. Where none suffices, all its links are inside its group, and it leaves; as others then hold less, that goes
+   on while many leave. Typical classes are known better then: who is left tries those, and the groups grow.
+4. Matrix. One row for each shingle and group: the union of the group's members, with their sizes. Shingles of at most
+   ``RARE`` groups are rare. A class's overlap with any member of a group is bounded by its rare shingles in the
+   union and the frequent ones of both sides; groups below 6/7 of the smaller class stay closed. Where the
+   frequent shingles alone may suffice, the class asks with the rarest of these, by ranges of both sizes.
+5. Open. Each qualifying pair of groups, then of a class and a group, is tried with a likely member. Those that
+   are in different components still are compared by members.
 
 Shingles and classes are told apart by 64-bit hashes.
 
@@ -25,13 +27,15 @@ doc_id and text are read; no rows give no rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import connected_components, discard, has_word, release, stash, table
 from quern.llm.wordhash import pieces, sequence_hashes, word_hashes
@@ -43,10 +47,16 @@ NUM, DEN = 3, 4
 SMALL = 500_000
 #: Least shingles by hash over which classes look for a typical class, and of how many such they try.
 KEYS, TRIES = 8, 2
+#: Turns of that, and how many classes one copy of a typical class's shingles is compared with.
+TURNS, SALT = 2, 2000
 #: Ranges of shingles whose shuffles follow one another.
 RANGES = 2
 #: Very common shingles are looked for in one class of SAMPLE, and told apart from the rest if SEEN or more of those hold them.
 SAMPLE, SEEN, COMMON = 64, 8, 20_000
+#: Groups up to which a shingle is rare.
+RARE = 32
+#: Sizes are told apart by ranges of this ratio; those of a linked set are at most STEPS ranges away.
+RATIO, STEPS = 1.1, 4
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -161,24 +171,105 @@ def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, alive
 
 
-def _typical(sets: DataFrame) -> DataFrame:
-    """Links (a, b) of classes to typical ones: for each of a class's least shingles the class there that shares most."""
-    keys = sets.select("k", "sc", F.explode(F.slice("toks", 1, KEYS)).alias("tok"))
-    best = keys.groupBy("tok").agg(F.max(F.struct("sc", "k")).alias("b")).select("tok", F.col("b.k").alias("b"))
-    votes = keys.join(best, "tok").where("k <> b").groupBy("k", "b").agg(F.count("*").alias("v"))
-    picked = votes.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "b")), asc=False), 1, TRIES).alias("p"))
-    pairs = stash(picked.select(F.col("k").alias("a"), F.explode("p.b").alias("b")), "tries")
-    mine = _by_id(sets.select(F.col("k").alias("a"), F.col("toks").alias("x")), pairs, "a")
-    # Few classes are typical ones.
-    typical = _by_id(sets.select(F.col("k").alias("b"), F.col("toks").alias("y")), pairs.select("b").distinct(), "b")
-    both = mine.join(typical, "b")
-    return both.where(_linked(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
-
-
-def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of different groups, by the token-group matrix."""
-    rows = sets.join(group.withColumnRenamed("node", "k").withColumnRenamed("component", "g"), "k", "left")
-    rows = rows.select("k", F.coalesce("g", "k").alias("g"), F.size("toks").alias("n"), "toks")
+def _typical(sets: DataFrame, turn: int, degree: DataFrame | None, group: DataFrame | None) -> DataFrame:
+    """Links (a, b) of classes to typical ones: for each of a class's least shingles the class there that is linked most, then shares most.
+
+    Each turn takes other shingles. Classes of one group are not compared again.
+    """
+    scored = sets.select("k", "sc", "toks")
+    scored = scored.withColumn("deg", F.lit(0)) if degree is None else scored.join(degree.select(F.col("b").alias("k"), "deg"), "k", "left").fillna(0, ["deg"])
+    keys = scored.select("k", "sc", "deg", F.explode(F.slice("toks", 1 + KEYS * turn, KEYS)).alias("tok"))
+    best = keys.groupBy("tok").agg(F.max(F.struct("deg", "sc", "k")).alias("b")).select("tok", F.col("b.k").alias("b"), F.col("b.deg").alias("bdeg"))
+    votes = keys.select("k", "tok").join(best, "tok").where("k <> b").groupBy("k", "b").agg(F.count("*").alias("v"), F.max("bdeg").alias("bdeg"))
+    if group is not None:
+        of = group.withColumnRenamed("component", "g")
+        votes = votes.join(of.withColumnRenamed("node", "k"), "k", "left").join(of.select(F.col("node").alias("b"), F.col("g").alias("h")), "b", "left")
+        votes = votes.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False)))
+    picked = votes.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("bdeg", "v", "b")), asc=False), 1, TRIES).alias("p"))
+    pairs = stash(picked.select("k", F.explode("p.b").alias("d")), "tries")
+    return _compared(sets.select("k", F.size("toks").alias("n"), "toks"), pairs)
+
+
+def _grown(links: DataFrame | None, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame] | None:
+    """links with those found, and the groups (node, component) they make; None if none were found."""
+    found = stash(found, name)
+    if not found.limit(1).count():
+        discard(found)
+        return None
+    links = found if links is None else stash(links.unionByName(found), "links")
+    return links, stash(connected_components(links), "groups")
+
+
+def _grouped(sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (a, b) to typical classes, and the groups (node, component) that they make; None if there are none."""
+    links = group = degree = None
+    for turn in range(TURNS):
+        grown = _grown(links, _typical(sets, turn, degree, group), "typical")
+        if grown:
+            links, group = grown
+            degree = links.groupBy("b").agg(F.count("*").alias("deg"))
+    return links, group
+
+
+def _sizes_met(part: DataFrame) -> DataFrame:
+    """(k, c): for each class and range of sizes about its own, how many of its shingles a class of another group and that size holds.
+
+    part: k, g, n, b (the range of n), tok. Shuffled by tok as in ``_in_several``.
+    """
+    some = part.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).groupBy("tok").agg(F.count("*").alias("seen"))
+    common = stash(some.where(f"seen >= {SEEN}").orderBy(F.desc("seen"), "tok").limit(COMMON).select("tok", F.lit(True).alias("common")), "common")
+    marked = part.join(F.broadcast(common), "tok", "left")
+
+    def by_size(rows: DataFrame) -> DataFrame:
+        of = rows.groupBy("tok", "b").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("n").alias("n_"), F.max("k").alias("k_"))
+        of = of.groupBy("tok").agg(F.collect_list(F.struct("b", "lo", "hi")).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_").alias("n_"), F.max("k_").alias("k_"))
+        # n and k are read so that both uses of the shuffle have the same columns, and Spark runs it once.
+        return of.where("lo <> hi AND n_ IS NOT NULL AND k_ IS NOT NULL").select("tok", "held")
+
+    dealt = marked.where("common IS NULL").select(*part.columns).repartition("tok")
+    often = marked.where("common").select(*part.columns)
+    met = dealt.join(by_size(dealt).hint("shuffle_hash"), "tok").unionByName(often.join(F.broadcast(stash(by_size(often), "often")), "tok"))
+    other = F.filter("held", lambda x: ((x["lo"] != F.col("g")) | (x["hi"] != F.col("g"))) & (F.abs(x["b"] - F.col("b")) <= STEPS))
+    mask = F.aggregate(other, F.lit(0), lambda m, x: m + F.call_function("shiftleft", F.lit(1), x["b"] - F.col("b") + STEPS))
+    met = met.select("k", mask.alias("mask"))
+    return met.groupBy("k").agg(F.array(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))) for i in range(2 * STEPS + 1)]).alias("c"))
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """The rows (k, g, n, toks) that may have a link outside their group, by the sizes and the shingles that others hold."""
+    flat = rows.select("k", "g", "n", F.floor(F.log("n") / F.lit(math.log(RATIO))).cast("int").alias("b"), F.explode("toks").alias("tok"))
+    parts = []
+    for i in range(RANGES):
+        parts.append(stash(_sizes_met(flat.where(F.pmod("tok", F.lit(RANGES)) == i)), "met"))
+        release(rows.sparkSession)
+    each = reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(2 * STEPS + 1)]).alias("c"))
+    sized = rows.select("k", "n").join(each, "k")
+    b = F.floor(F.log("n") / F.lit(math.log(RATIO)))
+
+    def enough(i: int) -> Column:
+        # The least size of the range; a little less than it may be is safe.
+        m = F.greatest(F.ceil(F.col("n") * NUM / DEN), F.floor(F.pow(F.lit(RATIO), b + (i - STEPS)) - 1e-6))
+        return F.col("c")[i] * (NUM + DEN) >= (F.col("n") + m) * NUM
+
+    kept = stash(sized.where(reduce(Column.__or__, [enough(i) for i in range(2 * STEPS + 1)])).select("k"), "kept")
+    for part in parts:
+        discard(part)
+    left = stash(_by_id(rows, kept, "k"), "outside")
+    discard(kept)
+    return left
+
+
+def _regrouped(rows: DataFrame, group: DataFrame | None) -> DataFrame:
+    """rows with g, the group of k: itself if it has none."""
+    if group is None:
+        return rows.withColumn("g", F.col("k"))
+    rows = rows.drop("g").join(group.select(F.col("node").alias("k"), F.col("component").alias("g")), "k", "left")
+    return rows.withColumn("g", F.coalesce("g", "k"))
+
+
+def _across(sets: DataFrame, links: DataFrame | None, group: DataFrame | None) -> DataFrame | None:
+    """Groups (node, component) with the links between classes of different groups, by the token-group matrix."""
+    rows = _regrouped(sets.select("k", F.size("toks").alias("n"), "toks"), group)
     # As in the first step, with other groups in the place of other classes.
     flat = rows.select("k", "g", "n", F.explode(F.slice("toks", 1, _reach(F.col("n")))).alias("tok"))
     held = _in_several(flat, "g").groupBy("k", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _needed(F.col("n"))).select("k")
@@ -187,56 +278,140 @@ def _across(sets: DataFrame, group: DataFrame) -> DataFrame:
     release(sets.sparkSession)
     ask = stash(_by_id(rows, held, "k"), "ask")
     discard(sets)
-    # The matrix over classes that may have links outside their group, a range of shingles after the other, so that
-    # disk holds the shuffle of one range alone. Shingles of one group are in no overlap that counts here.
-    flat = ask.select("k", "g", "n", F.explode("toks").alias("tok"))
-    parts = []
-    for i in range(RANGES):
-        part = flat.where(F.pmod("tok", F.lit(RANGES)) == i)
-        parts.append(stash(_in_several(part, "g"), "matrix"))
-        del part
-        release(ask.sparkSession)
-    del flat
+    discard(held)
+    while True:
+        ask, ranked = _ranked(ask)
+        # With all that is shared counted, typical classes are better known: link to those, and see who is left.
+        grown = _grown(links, _compared(ranked, stash(_centres(ranked), "tries")), "typical")
+        if not grown:
+            break
+        links, group = grown
+        again = stash(_regrouped(ask, group), "ask")
+        discard(ask)
+        discard(ranked)
+        ask = again
     discard(ask)
-    outside = reduce(DataFrame.unionByName, parts)
-    kept = stash(outside.groupBy("k", "n").agg(F.count("*").alias("t")).where(F.col("t") >= _share(F.col("n"))).select("k"), "kept")
-    outside = _by_id(outside, kept, "k")
-    # Frequency is the number of groups.
-    often = outside.select("tok", "g").distinct().groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = outside.join(often.hint("shuffle_hash"), "tok").groupBy("k", "g", "n").agg(F.sort_array(F.collect_set(F.struct("f", "tok"))).alias("t"))
+    open_ = stash(_qualifying(ranked), "open")
+    # A group needs one link to another, and a class one to a group: most of the rest is in one component then.
+    for who in (["g", "h"], ["k", "h"], None):
+        if not open_.limit(1).count():
+            break
+        best = open_.groupBy(*who).agg(F.max(F.struct("ub", "k", "d")).alias("best")).select("best.k", "best.d").distinct() if who else _members_of(ranked, open_)
+        grown = _grown(links, _compared(ranked, best), "first")
+        if grown:
+            links, group = grown
+            k = group.select(F.col("node").alias("k"), F.col("component").alias("x"))
+            h = group.select(F.col("node").alias("h"), F.col("component").alias("y"))
+            left = open_.join(k, "k", "left").join(h, "h", "left").where(F.coalesce("x", "k") != F.coalesce("y", "h"))
+            left = stash(left.select(*open_.columns), "left")
+            discard(open_)
+            open_ = left
+    discard(ranked)
+    return group
+
+
+def _ranked(ask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have a link outside their group; and of them k, g, n, toks (those in several groups, rarest first), r (how many of these are rare)."""
+    # What leaves takes shingles with it that others counted, so go on as long as many leave.
+    before, now = 0, ask.count()
+    while now and (not before or now < 0.75 * before):
+        left = _outside(ask)
+        discard(ask)
+        ask, before, now = left, now, left.count()
+    flat = ask.select("k", "g", "n", F.explode("toks").alias("tok"))
+    # Frequency is the number of groups. Shingles of one group are in no overlap that counts here.
+    often = flat.groupBy("tok", "g").agg(F.lit(1).alias("one")).groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = flat.join(often, "tok").groupBy("k", "g", "n").agg(F.sort_array(F.collect_set(F.struct("f", "tok"))).alias("t"))
     ranked = ranked.where(F.size("t") >= _share(F.col("n")))
-    # Shingles known in no other group are the rarest and come first; of n - share + 1 those left are asked with.
-    ranked = stash(ranked.select("k", "g", "n", F.col("t.tok").alias("toks"), (F.size("t") - _share(F.col("n")) + 1).alias("p")), "ranked")
-    for part in parts:
-        discard(part)
-    del outside, often, kept
-    release(ask.sparkSession)
-    rare = ranked.select("k", "g", "n", "p", F.explode(F.slice("toks", 1, F.col("p"))).alias("tok"))
-    # The smaller of two linked sets asks, and so needs a larger part of its own: fewer shingles to ask with.
-    # A group answers for the sizes of those members that hold the shingle.
-    union = ranked.select("g", "n", F.explode("toks").alias("tok")).groupBy("g", "tok").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    union = stash(union.withColumnRenamed("g", "h"), "union")
-    above = _share_above(F.col("n"))
-    asking = ranked.where(F.size("toks") >= above)
-    first = asking.select("k", "g", "n", F.explode(F.slice("toks", 1, F.size("toks") - above + 1)).alias("tok"))
-    fits = (F.col("hi") >= F.col("n")) & (F.col("lo") * NUM <= F.col("n") * DEN)
-    asked = first.join(union, "tok").where((F.col("g") != F.col("h")) & fits).select("k", "n", "h").distinct()
-    bound = asked.join(asking.select("k", F.explode("toks").alias("tok")), "k").join(union, ["tok", "h"]).where(fits)
-    open_ = bound.groupBy("k", "n", "h").agg(F.count("*").alias("ub")).where(F.col("ub") >= above).select("k", "h")
-    other = rare.select(F.col("k").alias("d"), F.col("g").alias("h"), F.col("n").alias("m"), "tok")
-    near = first.join(open_, "k").join(other, ["tok", "h"])
-    size = (F.col("m") >= F.col("n")) & (F.col("n") * DEN >= F.col("m") * NUM)
-    pairs = near.where(size).select("k", "d").distinct()
-    full = ranked.select("k", "n", "toks")
-    a = full.select(F.col("k"), F.col("n").alias("na"), F.col("toks").alias("x"))
-    b = full.select(F.col("k").alias("d"), F.col("n").alias("nb"), F.col("toks").alias("y"))
-    both = pairs.join(a, "k").join(b, "d")
-    # Shingles that were left out occur in one group alone, so they are in no overlap.
+    rare = F.size(F.filter("t", lambda x: x["f"] <= RARE))
+    ranked = stash(ranked.select("k", "g", "n", F.col("t.tok").alias("toks"), rare.alias("r")), "ranked")
+    del flat, often
+    release(ranked.sparkSession)
+    return ask, ranked
+
+
+def _centres(ranked: DataFrame) -> DataFrame:
+    """Pairs (k, d) of classes and typical ones of other groups: those with most frequent shingles that hold one of the class's most frequent."""
+    often = F.size("toks") - F.col("r")
+    best = ranked.select(F.struct(often.alias("q"), F.size("toks").alias("t"), "k", "g").alias("b"), F.explode("toks").alias("tok")).groupBy("tok").agg(F.max("b").alias("b"))
+    keys = ranked.select("k", "g", F.explode(F.slice(F.reverse("toks"), 1, KEYS)).alias("tok"))
+    votes = keys.join(best, "tok").where(F.col("g") != F.col("b.g")).groupBy("k", "b").agg(F.count("*").alias("v"))
+    picked = votes.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("b.q", "v", "b.k")), asc=False), 1, TRIES).alias("p"))
+    return picked.select("k", F.explode("p.k").alias("d"))
+
+
+def _sized(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(math.log(RATIO))).cast("int")
+
+
+def _frequent(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asks and answers by frequent shingles.
+
+    Shingles go from the rarest to the most frequent. That at place i of t is the first one that a set of n has in common with a
+    linked one of m only if NUM (n + m) <= (NUM + DEN) (t - i): up to ``most``. The smaller set asks, and rows meet by the ranges of both sizes.
+    """
+    n = F.col("n")
+    placed = ranked.select("k", "g", "n", "r", F.size("toks").alias("t"), F.posexplode("toks").alias("i", "tok")).where("i >= r")
+    placed = placed.select("k", "g", "n", "tok", "t", (F.floor((F.col("t") - F.col("i")) * (NUM + DEN) / NUM) - n).cast("int").alias("most")).where(F.col("most") >= _share(n))
+    above = F.least(F.col("most"), F.floor(n * DEN / NUM))
+    asks = placed.where("most >= n").withColumns({"b": _sized(n), "c": F.explode(F.sequence(_sized(n), _sized(above)))})
+    answers = placed.withColumns({"c": _sized(n), "b": F.explode(F.sequence(_sized(_share(n)), _sized(F.least("most", "n"))))})
+    return asks, answers.select(F.col("k").alias("d"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("most").alias("top"), "tok", "t", "b", "c")
+
+
+def _qualifying(ranked: DataFrame) -> DataFrame:
+    """k, g, h, ub, d: groups h in which a class k may have a link, the bound of its overlap, and a likely member.
+
+    Two sets share as many rare shingles as they share, and of frequent ones as many as the one with fewer of them has at most.
+    """
+    n, often = F.col("n"), F.size("toks") - F.col("r")
+    rare = ranked.select("k", "g", "n", often.alias("q"), F.explode(F.slice("toks", 1, F.col("r"))).alias("tok"))
+    # The matrix: each shingle of a group's union, with the sizes of the members that hold it.
+    matrix = rare.groupBy(F.col("g").alias("h"), "tok").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("q").alias("hq"), F.max(F.struct("q", "k")).alias("d"))
+    sizes = (F.col("g") != F.col("h")) & (F.col("hi") >= n) & (F.col("lo") * NUM <= n * DEN)
+    met = rare.join(matrix, "tok").where(sizes).groupBy("k", "g", "n", "q", "h").agg(F.count("*").alias("v"), F.max("hq").alias("hq"), F.max("d").alias("d"))
+    ub = F.col("v") + F.least("q", "hq")
+    met = met.withColumn("ub", ub).where(ub >= _share_above(n)).select("k", "g", "h", "ub", F.col("d.k").alias("d"))
+    # Sets that share no rare shingle share enough of the frequent ones.
+    asks, answers = _frequent(ranked)
+    matrix = answers.groupBy("h", "tok", "b", "c").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.max("top").alias("top"), F.max(F.struct("t", "d")).alias("d"))
+    fits = (F.col("g") != F.col("h")) & (F.col("top") >= n) & (F.col("hi") >= n) & (F.col("lo") <= F.col("most"))
+    asked = asks.join(matrix, ["tok", "b", "c"]).where(fits).groupBy("k", "g", "n", "h").agg(F.max("d").alias("d"))
+    union = ranked.select(F.col("g").alias("h"), F.explode(F.slice("toks", F.col("r") + 1, F.greatest(often, F.lit(0)))).alias("tok")).distinct()
+    mine = ranked.select("k", F.explode(F.slice("toks", F.col("r") + 1, F.greatest(often, F.lit(0)))).alias("tok"))
+    bound = asked.join(mine, "k").join(union, ["tok", "h"]).groupBy("k", "g", "n", "h").agg(F.count("*").alias("ub"), F.max("d").alias("d"))
+    return met.unionByName(bound.where(F.col("ub") >= _share_above(n)).select("k", "g", "h", "ub", F.col("d.d").alias("d")))
+
+
+def _members_of(ranked: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (k, d) of classes and members of the groups open to them, that may be linked."""
+    n, often = F.col("n"), F.size("toks") - F.col("r")
+    asked = open_.select("k", "h").distinct()
+    rare = ranked.select("k", "g", "n", often.alias("q"), F.explode(F.slice("toks", 1, F.col("r"))).alias("tok"))
+    theirs = rare.select(F.col("k").alias("d"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("q").alias("p"), "tok")
+    size = (F.col("m") >= n) & (F.col("m") * NUM <= n * DEN)
+    met = rare.join(asked, "k").join(theirs, ["tok", "h"]).where(size).groupBy("k", "n", "q", "d", "m", "p").agg(F.count("*").alias("v"))
+    met = met.where((F.col("v") + F.least("q", "p")) * (NUM + DEN) >= (n + F.col("m")) * NUM).select("k", "d")
+    asks, answers = _frequent(ranked)
+    fits = (F.col("top") >= n) & (F.col("m") >= n) & (F.col("m") <= F.col("most"))
+    return met.unionByName(asks.join(asked, "k").join(answers, ["tok", "h", "b", "c"]).where(fits).select("k", "d")).distinct()
+
+
+def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of pairs (k, d) of sets (k, n, toks), as (a, b). Shingles that toks leaves out are in no overlap.
+
+    Many are compared with a typical class, so its shingles go to as many salts as that takes.
+    """
+    salts = pairs.groupBy("d").agg(F.ceil(F.count("*") / SALT).cast("int").alias("s"))
+    b = _by_id(sets.select(F.col("k").alias("d"), F.col("n").alias("nb"), F.col("toks").alias("y")), salts, "d").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = pairs.select("k", "d").join(salts, "d").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("s")).cast("int")).drop("s")
+    a = _by_id(sets.select("k", F.col("n").alias("na"), F.col("toks").alias("x")), dealt, "k")
+    both = a.join(b, ["d", "salt"])
     return both.where(_linked(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb"))).select(F.col("k").alias("a"), F.col("d").alias("b"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row with a doc_id and a word."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members: doc_id, n, k (class). Classes: k, c (its component's node), component_id."""
     spark = docs.sparkSession
     members, alive = classes_and_members(docs)
     wanted = alive.select("doc_id", F.col("k").alias("want"), "sc")
@@ -244,22 +419,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = stash(texts.select("want", "text", "sc").mapInArrow(_wanted, "k bigint, sc double, toks array<bigint>"), "tokens")
     del texts
     release(spark)
-    links = stash(_typical(sets), "typical")
-    group = stash(connected_components(links), "groups")
-    links = links.unionByName(_across(sets, group))
-    found = connected_components(links)
-    named = classes_named(members, found)
-    out = members.select("doc_id", "n", "k").join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    found = _across(sets, *_grouped(sets))
     release(spark)
-    return out
+    return members, classes_named(members, found)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row with a doc_id and a word."""
+    members, named = _components(docs)
+    return members.select("doc_id", "n", "k").join(named, "k").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def classes_named(members: DataFrame, found: DataFrame) -> DataFrame:
-    """k with component_id: the least doc_id of any class in its component."""
+def classes_named(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """k with c, its component, and component_id: the least doc_id of any class in that."""
     classes = members.groupBy("k").agg(F.min("doc_id").alias("least"))
-    joined = classes.join(found.withColumnRenamed("node", "k"), "k", "left").select("k", "least", F.coalesce("component", "k").alias("c"))
+    joined = _regrouped(classes, found).select("k", "least", F.col("g").alias("c"))
     low = joined.groupBy("c").agg(F.min("least").alias("component_id"))
-    return joined.join(low, "c").select("k", "component_id")
+    return joined.join(low, "c").select("k", "c", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -273,14 +449,36 @@ def report(docs: DataFrame) -> DataFrame:
     return some.unionByName(rest)
 
 
+def _of_class(batches):
+    """Rows whose text is of the class in the first column, without that column. Batches: want, text, others."""
+    for batch in batches:
+        for part in pieces(batch, 1):
+            good = [_name(x) == w for x, w in zip(shingle_sets(part.column(1)), part.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(part.filter(pa.array(good, pa.bool_())).columns[2:], names=part.schema.names[2:])
+
+
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """Columns of the input, one document of each component: the one of the least doc_id. Rows without doc_id or words stay."""
-    keep = jaccard_components(docs).groupBy("component_id").agg(F.lit(1).alias("_one")).select(F.col("component_id").alias("_keep"))
+    """Columns of the input, one row of each component: a text of the least doc_id in it. Rows without doc_id or words stay.
+
+    Of several texts of that doc_id in one component the one of least class stays, of its repeated rows one by least hash.
+    """
+    members, named = _components(docs)
+    first = members.join(named, "k").groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("one")).select("one.*")
+    rows = members.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    first = stash(first.join(rows, "doc_id"), "firsts")
     some_word = has_word(F.col("text"))
     apart = docs.where(F.col("doc_id").isNull() | ~some_word)
     rest = docs.where(F.col("doc_id").isNotNull() & some_word)
-    first = rest.join(keep, rest["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionByName(apart.select(*docs.columns))
+    own = F.col("doc_id") == F.col("_quern_id")
+    # As a rule an id has one row, and that is all there is to know. Of the others the text's class has to be looked up.
+    single = rest.join(first.where("rows = 1").select(F.col("doc_id").alias("_quern_id")), own, "left_semi")
+    several = rest.join(first.where("rows > 1").select(F.col("doc_id").alias("_quern_id"), F.col("k").alias("_quern_want")), own)
+    mixed = several.select("_quern_want", F.col("text").alias("_quern_text"), F.xxhash64("doc_id", "_quern_want").alias("_quern_of"), F.xxhash64(*docs.columns).alias("_quern_row"), *docs.columns)
+    schema = T.StructType(mixed.schema.fields[2:])
+    mixed = mixed.mapInArrow(_of_class, schema)
+    order = Window.partitionBy("_quern_of").orderBy("_quern_row")
+    mixed = mixed.withColumn("_quern_at", F.row_number().over(order)).where("_quern_at = 1")
+    return single.select(*docs.columns).unionByName(mixed.select(*docs.columns)).unionByName(apart.select(*docs.columns))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,44 @@ def test_op8_components(docs):
     assert sorted(kept) == sorted({find(k) for k in sets})
 
 
+def test_op8_texts_of_one_id(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    one, two, three = prose(60), prose(60), prose(40)
+    rows = [(7, one, "a"), (7, two, "b"), (7, two, "c"), (8, one + " tail", "d"), (9, two, "e"), (None, one, "f"), (None, one, "g"), (10, None, "h"), (11, three, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _want string").repartition(3)
+    got = sorted((x.doc_id or 0, x.text or "") for x in jaccard_join.near_duplicates_removed(df).collect())
+    assert got == sorted([(7, one), (7, two), (0, one), (0, one), (10, ""), (11, three)])
+    assert jaccard_join.near_duplicates_removed(df).columns == df.columns
+    assert jaccard_join.report(df.limit(0)).count() == 0 and jaccard_join.near_duplicates_removed(df.limit(0)).count() == 0
+
+
+def test_op8_family_without_its_base(spark):
+    """Copies with edits from a small vocabulary, in which many pairs are near the threshold."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(base[: r.choice([100, 110, 120])])
+        for _ in range(r.randint(1, 8)):
+            w[r.randrange(len(w))] = f"e{r.randrange(3)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"z{k}x{i % 40}" for i in range(50)) + " " + " ".join(base[:30])) for k in range(20)]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+    low = {k: k for k in sets}
+    changed = True
+    near = [(a, b) for a in sets for b in sets if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in near:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard_join.report(df).collect()}
+    assert len(near) > 100 and len(set(low.values())) > 25 and got == low
+
+
 def test_op9_hits(docs, bench):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: pattern.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
