@@ -135,22 +135,55 @@ def _by_id(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(ids) if ids.count() <= SMALL else ids, key)
 
 
-def _in_several(flat: DataFrame, who: str) -> DataFrame:
-    """The rows of flat (tok, who, others) whose tok more than one ``who`` holds.
+def _common(flat: DataFrame, distinct: str) -> DataFrame:
+    """Shingles (tok) that a sample of classes proves to be very common and in several ``distinct``: at most COMMON, so that they can be broadcast."""
+    some = flat.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).groupBy("tok").agg(F.min(distinct).alias("lo"), F.max(distinct).alias("hi"), F.count("*").alias("seen"))
+    return stash(some.where(f"lo <> hi AND seen >= {SEEN}").orderBy(F.desc("seen"), "tok").limit(COMMON).select("tok", F.lit(True).alias("common")), "common")
 
-    One shuffle by tok serves both the count and the join. What a sample of ``who`` proves to be in several and very
-    common is broadcast (at most COMMON numbers) and stays out of that shuffle, so that no task gets a common tok's rows.
+
+def _columns(batches, *names: str) -> list[np.ndarray]:
+    """The columns of all batches of a task; shuffled by shingle without the common ones, a task has its share of the rows."""
+    t = pa.Table.from_batches([b for b in batches if b.num_rows], schema=pa.schema([(n, pa.int64()) for n in names])) if (batches := list(batches)) else None
+    return [t.column(n).to_numpy() for n in names] if t is not None else [np.zeros(0, np.int64)] * len(names)
+
+
+def _edges_of(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted columns."""
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _count_held(batches):
+    """k, held: how many rows of each k have a tok that more than one g holds. Batches: tok, k, g."""
+    tok, k, g = _columns(batches, "tok", "k", "g")
+    if not len(tok):
+        return
+    order = np.argsort(tok, kind="stable")
+    first = _edges_of(tok[order])
+    several = np.minimum.reduceat(g[order], first) != np.maximum.reduceat(g[order], first)
+    name, held = np.unique(k[order][np.repeat(several, np.diff(np.r_[first, len(tok)]))], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(held.astype(np.int64))], names=["k", "held"])
+
+
+def _held(flat: DataFrame) -> DataFrame:
+    """k, held: how many shingles of flat (tok, k, g: long) of a class several g hold.
+
+    What a sample proves to be common stays out of the shuffle by tok, so that no task gets a common tok's rows. Ranges of
+    shingles follow one another, so that disk holds the shuffle of one range alone.
     """
-    others = [c for c in flat.columns if c not in ("tok", who)]
-    some = flat.where(F.pmod(F.xxhash64(who), F.lit(SAMPLE)) == 0).groupBy("tok").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("seen"))
-    common = stash(some.where(f"lo <> hi AND seen >= {SEEN}").orderBy(F.desc("seen"), "tok").limit(COMMON).select("tok", F.lit(True).alias("common")), "common")
+    common = _common(flat, "g")
     marked = flat.join(F.broadcast(common), "tok", "left")
-    dealt = marked.where("common IS NULL").select(*flat.columns).repartition("tok")
-    # The others are counted so that both uses of the shuffle have the same columns, and Spark runs it once.
-    low = [F.max(c).alias(f"_{c}") for c in others]
-    several = dealt.groupBy("tok").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), *low)
-    several = several.where(" AND ".join(["lo <> hi", *(f"_{c} IS NOT NULL" for c in others)])).select("tok")
-    return dealt.join(several.hint("shuffle_hash"), "tok").select(*flat.columns).unionByName(marked.where("common").select(*flat.columns))
+    parts = []
+    for i in range(RANGES):
+        dealt = marked.where(F.col("common").isNull() & (F.pmod("tok", F.lit(RANGES)) == i)).select("tok", "k", "g").repartition("tok")
+        parts.append(stash(dealt.mapInArrow(_count_held, "k bigint, held bigint"), "held"))
+        del dealt
+        release(flat.sparkSession)
+    parts.append(marked.where("common").groupBy("k").agg(F.count("*").alias("held")))
+    return reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.sum("held").alias("held"))
 
 
 def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +191,8 @@ def classes_and_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.where(F.col("doc_id").isNotNull() & has_word(F.col("text"))).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     wide = stash(rows.mapInArrow(_members, f"doc_id {kind}, n int, k bigint, ext array<bigint>"), "sets")
-    flat = wide.select("k", F.explode("ext").alias("tok"))
-    held = _in_several(flat, "k").groupBy("k").agg(F.count("*").alias("held"))
+    flat = wide.select("k", F.explode("ext").alias("tok")).withColumn("g", F.col("k"))
+    held = _held(flat)
     classes = wide.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sum((F.size("ext") > 0).cast("int")).alias("copies"))
     # Copies of several tasks hold the same shingles, so each counted that many times.
     alive = classes.join(held, "k").where(F.col("held") >= _needed(F.col("n")) * F.col("copies"))
@@ -211,33 +244,49 @@ def _grouped(sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     return links, group
 
 
+def _count_sizes(batches):
+    """k, c: how many rows of each k have a tok that another g holds with a size of the range b + i, for each step i. Batches: tok, k, g, b."""
+    tok, k, g, b = _columns(batches, "tok", "k", "g", "b")
+    if not len(tok):
+        return
+    order = np.lexsort((g, b, tok))
+    tok, k, g, b = tok[order], k[order], g[order], b[order]
+    first = _edges_of(tok, b)
+    last = np.r_[first[1:], len(tok)]
+    # Places of (tok, range), far enough apart that steps don't reach the next tok.
+    at = np.searchsorted(_edges_of(tok), first, side="right") * 4096 + b[first]
+    of = np.repeat(np.arange(len(first)), last - first)
+    name, who = np.unique(k, return_inverse=True)
+    c = np.zeros((len(name), 2 * STEPS + 1), np.int64)
+    for i in range(2 * STEPS + 1):
+        there = np.minimum(np.searchsorted(at, at + i - STEPS), len(at) - 1)
+        found = at[there] == at + i - STEPS
+        lo, hi = g[first[there]], g[last[there] - 1]
+        c[:, i] = np.bincount(who[found[of] & ((lo[of] != g) | (hi[of] != g))], minlength=len(name))
+    some = np.flatnonzero(c.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(name[some]), _lists(list(c[some]))], names=["k", "c"])
+
+
 def _sizes_met(part: DataFrame) -> DataFrame:
     """(k, c): for each class and range of sizes about its own, how many of its shingles a class of another group and that size holds.
 
-    part: k, g, n, b (the range of n), tok. Shuffled by tok as in ``_in_several``.
+    part: k, g, b (the range of its size), tok. Common shingles stay out of the shuffle, as in ``_held``.
     """
-    some = part.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).groupBy("tok").agg(F.count("*").alias("seen"))
-    common = stash(some.where(f"seen >= {SEEN}").orderBy(F.desc("seen"), "tok").limit(COMMON).select("tok", F.lit(True).alias("common")), "common")
+    common = _common(part, "k")
     marked = part.join(F.broadcast(common), "tok", "left")
-
-    def by_size(rows: DataFrame) -> DataFrame:
-        of = rows.groupBy("tok", "b").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("n").alias("n_"), F.max("k").alias("k_"))
-        of = of.groupBy("tok").agg(F.collect_list(F.struct("b", "lo", "hi")).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_").alias("n_"), F.max("k_").alias("k_"))
-        # n and k are read so that both uses of the shuffle have the same columns, and Spark runs it once.
-        return of.where("lo <> hi AND n_ IS NOT NULL AND k_ IS NOT NULL").select("tok", "held")
-
-    dealt = marked.where("common IS NULL").select(*part.columns).repartition("tok")
+    dealt = marked.where("common IS NULL").select("tok", "k", "g", F.col("b").cast("long").alias("b")).repartition("tok")
     often = marked.where("common").select(*part.columns)
-    met = dealt.join(by_size(dealt).hint("shuffle_hash"), "tok").unionByName(often.join(F.broadcast(stash(by_size(often), "often")), "tok"))
+    by_size = often.groupBy("tok", "b").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).groupBy("tok").agg(F.collect_list(F.struct("b", "lo", "hi")).alias("held"))
+    met = often.join(F.broadcast(stash(by_size, "often")), "tok")
     other = F.filter("held", lambda x: ((x["lo"] != F.col("g")) | (x["hi"] != F.col("g"))) & (F.abs(x["b"] - F.col("b")) <= STEPS))
     mask = F.aggregate(other, F.lit(0), lambda m, x: m + F.call_function("shiftleft", F.lit(1), x["b"] - F.col("b") + STEPS))
-    met = met.select("k", mask.alias("mask"))
-    return met.groupBy("k").agg(F.array(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))) for i in range(2 * STEPS + 1)]).alias("c"))
+    met = met.select("k", mask.alias("mask")).groupBy("k").agg(F.array(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).cast("long") for i in range(2 * STEPS + 1)]).alias("c"))
+    return dealt.mapInArrow(_count_sizes, "k bigint, c array<bigint>").unionByName(met)
 
 
 def _outside(rows: DataFrame) -> DataFrame:
     """The rows (k, g, n, toks) that may have a link outside their group, by the sizes and the shingles that others hold."""
-    flat = rows.select("k", "g", "n", F.floor(F.log("n") / F.lit(math.log(RATIO))).cast("int").alias("b"), F.explode("toks").alias("tok"))
+    flat = rows.select("k", "g", _sized(F.col("n")).alias("b"), F.explode("toks").alias("tok"))
     parts = []
     for i in range(RANGES):
         parts.append(stash(_sizes_met(flat.where(F.pmod("tok", F.lit(RANGES)) == i)), "met"))
@@ -272,7 +321,7 @@ def _across(sets: DataFrame, links: DataFrame | None, group: DataFrame | None) -
     rows = _regrouped(sets.select("k", F.size("toks").alias("n"), "toks"), group)
     # As in the first step, with other groups in the place of other classes.
     flat = rows.select("k", "g", "n", F.explode(F.slice("toks", 1, _reach(F.col("n")))).alias("tok"))
-    held = _in_several(flat, "g").groupBy("k", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _needed(F.col("n"))).select("k")
+    held = rows.select("k", "n").join(_held(flat.select("tok", "k", "g")), "k").where(F.col("held") >= _needed(F.col("n"))).select("k")
     held = stash(held, "held")
     del flat
     release(sets.sparkSession)
@@ -314,7 +363,7 @@ def _ranked(ask: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that may have a link outside their group; and of them k, g, n, toks (those in several groups, rarest first), r (how many of these are rare)."""
     # What leaves takes shingles with it that others counted, so go on as long as many leave.
     before, now = 0, ask.count()
-    while now and (not before or now < 0.75 * before):
+    while now and (not before or now < 0.5 * before):
         left = _outside(ask)
         discard(ask)
         ask, before, now = left, now, left.count()
@@ -376,9 +425,12 @@ def _qualifying(ranked: DataFrame) -> DataFrame:
     asks, answers = _frequent(ranked)
     matrix = answers.groupBy("h", "tok", "b", "c").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.max("top").alias("top"), F.max(F.struct("t", "d")).alias("d"))
     fits = (F.col("g") != F.col("h")) & (F.col("top") >= n) & (F.col("hi") >= n) & (F.col("lo") <= F.col("most"))
-    asked = asks.join(matrix, ["tok", "b", "c"]).where(fits).groupBy("k", "g", "n", "h").agg(F.max("d").alias("d"))
-    union = ranked.select(F.col("g").alias("h"), F.explode(F.slice("toks", F.col("r") + 1, F.greatest(often, F.lit(0)))).alias("tok")).distinct()
-    mine = ranked.select("k", F.explode(F.slice("toks", F.col("r") + 1, F.greatest(often, F.lit(0)))).alias("tok"))
+    asked = stash(asks.join(matrix, ["tok", "b", "c"]).where(fits).groupBy("k", "g", "n", "h").agg(F.max("d").alias("d")), "asked")
+    if not asked.limit(1).count():
+        return met
+    high = F.slice("toks", F.col("r") + 1, F.greatest(often, F.lit(1)))
+    union = ranked.withColumnRenamed("g", "h").join(asked.select("h").distinct(), "h", "left_semi").select("h", F.explode(high).alias("tok")).distinct()
+    mine = ranked.join(asked.select("k").distinct(), "k", "left_semi").select("k", F.explode(high).alias("tok"))
     bound = asked.join(mine, "k").join(union, ["tok", "h"]).groupBy("k", "g", "n", "h").agg(F.count("*").alias("ub"), F.max("d").alias("d"))
     return met.unionByName(bound.where(F.col("ub") >= _share_above(n)).select("k", "g", "h", "ub", F.col("d.d").alias("d")))
 
