@@ -8,10 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SLACK = 3600.0
-#: Keywords of each class.
-GEO = {"indoor_home": ("home", "kitchen", "living room"), "urban": ("city", "street", "downtown"), "coast": ("beach", "coast", "sea"), "mountain": ("mountain", "hill", "hike")}
-MOTION = {"walking": ("walk", "stroll"), "running": ("run", "jog"), "cycling": ("bike", "cycl"), "vehicle": ("car", "driv", "bus")}
-DEVICE = {"iphone": ("iphone",), "gopro": ("gopro",), "drone": ("drone",)}
+#: Keywords of each class, in the order in which classes are tried.
+GEO = {
+    "coast": ("coast", "beach", "ocean", "seaside", "shore", "海边", "沙滩", "海滩", "海岸", "岸边"),
+    "mountain": ("mountain", "summit", "hill", "peak", "山", "山上", "山顶", "山里", "爬山"),
+    "urban": ("city", "downtown", "street", "urban", "skyline", "商场", "市区", "市中心", "街道", "城市"),
+    "indoor_home": ("home", "room", "bedroom", "kitchen", "living room", "家", "家里", "卧室", "厨房", "客厅", "屋里", "室内"),
+    "indoor_public": ("restaurant", "cafe", "mall", "office", "餐厅", "饭店", "咖啡", "商场", "办公室"),
+    "rural": ("countryside", "farm", "village", "乡下", "农村", "田野", "村庄"),
+    "road": ("highway", "road", "traffic", "高速", "马路", "公路"),
+}
+MOTION = {
+    "running": ("running", "jogging", "跑步", "跑", "晨跑", "夜跑", "奔跑"),
+    "walking": ("walk", "walking", "strolling", "hiking", "散步", "走路", "徒步", "漫步", "走"),
+    "cycling": ("cycling", "biking", "bike", "骑行", "骑车", "自行车"),
+    "vehicle": ("driving", "car ride", "bus", "train", "开车", "乘车", "坐车", "行车", "公交", "地铁"),
+    "stationary": ("sitting", "still", "静态", "静止", "坐着"),
+}
+DEVICE = {"huawei": ("huawei", "mate", "华为", "荣耀"), "iphone": ("iphone", "apple"), "samsung": ("samsung", "galaxy", "三星")}
+#: First and last month of the seasons, in the order in which they are tried.
+SEASONS = (("spring|春天|春季", 3, 5), ("summer|夏天|夏季", 6, 8), ("autumn|fall|秋天|秋季", 9, 11), ("winter|冬天|冬季", 12, 2))
 EARTH_KM = 6371.0
 
 
@@ -44,24 +60,41 @@ def motion_class(gyro: Column, acc: Column, hz: Column) -> Column:
     )
 
 
+def constrained(axis: str) -> Column:
+    """Whether the intent says something about time, geo, motion or device: an empty list or name doesn't."""
+    if axis == "time":
+        return F.col("t_start").isNotNull()
+    if axis == "device":
+        return F.coalesce(F.col("q_device") != "", F.lit(False))
+    return F.coalesce(F.size(f"q_{axis}") > 0, F.lit(False))
+
+
+AXES = ("time", "geo", "motion", "device")
+
+
+def has_constraint() -> Column:
+    return constrained("time") | constrained("geo") | constrained("motion") | constrained("device")
+
+
 def hard_pass(strict: bool, slack: float = SLACK) -> Column:
     """Whether a video (created, geo, motion, device) meets an intent (t_start, t_end, q_geo, q_motion, q_device): missing values pass unless strict."""
     gone = F.lit(not strict)
+    device = F.nullif(F.col("device"), F.lit(""))
     axes = (
-        (F.col("t_start").isNull(), F.col("created").between(F.col("t_start") - slack, F.col("t_end") + slack)),
-        (F.col("q_geo").isNull(), F.array_contains("q_geo", F.col("geo"))),
-        (F.col("q_motion").isNull(), F.array_contains("q_motion", F.col("motion"))),
-        (F.col("q_device").isNull(), F.instr(F.lower("device"), F.lower(F.col("q_device"))) > 0),
+        ("time", F.col("created").between(F.col("t_start") - slack, F.col("t_end") + slack)),
+        ("geo", F.when(F.col("geo").isNotNull(), F.array_contains("q_geo", F.col("geo")))),
+        ("motion", F.when(F.col("motion").isNotNull(), F.array_contains("q_motion", F.col("motion")))),
+        ("device", F.instr(F.lower(device), F.lower(F.col("q_device"))) > 0),
     )
     out = F.lit(True)
-    for free, ok in axes:
-        out = out & (free | F.coalesce(ok, gone))
+    for axis, ok in axes:
+        out = out & (~constrained(axis) | F.coalesce(ok, gone))
     return out
 
 
 def fired() -> Column:
     """The axes that an intent constrains, in fixed order."""
-    return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in (("t_start", "time"), ("q_geo", "geo"), ("q_motion", "motion"), ("q_device", "device"))]))
+    return F.array_compact(F.array(*[F.when(constrained(axis), F.lit(axis)) for axis in AXES]))
 
 
 def soft_score(slack: float = SLACK) -> Column:
@@ -71,15 +104,15 @@ def soft_score(slack: float = SLACK) -> Column:
     time = F.when(F.col("created").isNull(), 0.5).when(d <= h, 1.0).when(d >= h + k, 0.0).otherwise(1 - (d - h) / k)
     conf = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
     each = (
-        (F.col("t_start"), time),
-        (F.col("q_geo"), F.when(F.col("geo").isNull(), 0.5).otherwise(F.array_contains("q_geo", F.col("geo")).cast("double"))),
-        (F.col("q_motion"), F.when(F.col("motion").isNull(), 0.5).when(F.array_contains("q_motion", F.col("motion")), conf).otherwise(0.0)),
-        (F.col("q_device"), F.when(F.col("device").isNull(), 0.5).otherwise((F.instr(F.lower("device"), F.lower(F.col("q_device"))) > 0).cast("double"))),
+        ("time", time),
+        ("geo", F.when(F.col("geo").isNull(), 0.5).otherwise(F.array_contains("q_geo", F.col("geo")).cast("double"))),
+        ("motion", F.when(F.col("motion").isNull(), 0.5).when(F.array_contains("q_motion", F.col("motion")), conf).otherwise(0.0)),
+        ("device", F.when(F.nullif(F.col("device"), F.lit("")).isNull(), 0.5).otherwise((F.instr(F.lower("device"), F.lower(F.col("q_device"))) > 0).cast("double"))),
     )
     product, n = F.lit(1.0), F.lit(0)
     for axis, score in each:
-        product = product * F.when(axis.isNull(), 1.0).otherwise(score)
-        n = n + axis.isNotNull().cast("int")
+        product = product * F.when(constrained(axis), score).otherwise(1.0)
+        n = n + constrained(axis).cast("int")
     return F.when(n > 1, F.pow(product, 1 / n)).otherwise(product)
 
 
@@ -115,19 +148,31 @@ def time_window(text: Column, now: dt.datetime) -> Column:
     def span(a, b):
         return F.struct(F.lit(float(a.timestamp())).alias("t_start"), F.lit(float(b.timestamp())).alias("t_end"))
 
-    days = F.regexp_extract(low, r"last (\d+) days", 1).try_cast("double")
-    end = float((day + one).timestamp())
-    stated = F.regexp_extract(low, r"\b(20\d\d)$", 1).try_cast("int")
+    def season(first: int, last: int):
+        start = year.replace(month=first)
+        end = year.replace(year=year.year + 1, month=last + 1) if last < first else year.replace(month=last + 1)
+        return span(start, end)
+
+    rules = [
+        (r"\btoday\b|今天|今日", span(day, day + one)),
+        (r"\byesterday\b|昨天|昨日", span(day - one, day)),
+        ("前天", span(day - 2 * one, day - one)),
+        (r"\bthis week\b|本周|这周", span(week, week + 7 * one)),
+        (r"\blast week\b|上周|上个星期|上星期", span(week - 7 * one, week)),
+        (r"\bthis month\b|本月|这个月", span(month, after)),
+        (r"\blast month\b|上月|上个月", span(before, month)),
+        (r"\bthis year\b|今年", span(year, year.replace(year=year.year + 1))),
+        (r"\blast year\b|去年", span(year.replace(year=year.year - 1), year)),
+    ]
+    # Days end at the present moment, not with the day.
+    days = F.regexp_extract(low, r"(?:last|past|最近|过去|这)\s*(\d+)\s*(?:days|day|天)", 1).try_cast("double")
+    present = now.timestamp()
+    stated = F.regexp_extract(low, r"(\d{4})\s*(?:年|/|$)", 1).try_cast("int")
+    january = lambda y: F.unix_timestamp(F.make_timestamp(y, *[F.lit(x) for x in (1, 1, 0, 0, 0)])).cast("double")
     return F.coalesce(
-        F.when(F.instr(low, "today") > 0, span(day, day + one)),
-        F.when(F.instr(low, "yesterday") > 0, span(day - one, day)),
-        F.when(F.instr(low, "this week") > 0, span(week, week + 7 * one)),
-        F.when(F.instr(low, "last week") > 0, span(week - 7 * one, week)),
-        F.when(F.instr(low, "this month") > 0, span(month, after)),
-        F.when(F.instr(low, "last month") > 0, span(before, month)),
-        F.when(F.instr(low, "this year") > 0, span(year, year.replace(year=year.year + 1))),
-        F.when(F.instr(low, "last year") > 0, span(year.replace(year=year.year - 1), year)),
-        F.when(days.isNotNull(), F.struct((F.lit(end) - days * 86400).alias("t_start"), F.lit(end).alias("t_end"))),
-        F.when(F.instr(low, "weekend") > 0, span(saturday, saturday + 2 * one)),
-        F.when(stated.isNotNull(), F.struct(F.unix_timestamp(F.make_timestamp(stated, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).cast("double").alias("t_start"), F.unix_timestamp(F.make_timestamp(stated + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).cast("double").alias("t_end"))),
+        *[F.when(low.rlike(r), w) for r, w in rules],
+        F.when(days.isNotNull(), F.struct((F.lit(present) - days * 86400).alias("t_start"), F.lit(present).alias("t_end"))),
+        F.when(low.rlike(r"\bweekend\b|周末|礼拜"), span(saturday, saturday + 2 * one)),
+        *[F.when(low.rlike(names), season(a, b)) for names, a, b in SEASONS],
+        F.when(stated.between(1, 9998), F.struct(january(stated).alias("t_start"), january(stated + 1).alias("t_end"))),
     )

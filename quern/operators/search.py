@@ -1,4 +1,4 @@
-"""Prototypes, batch search with hubness correction, utilities of routes."""
+"""Prototypes, batch search with hubness correction, search under metadata constraints, utilities of routes."""
 
 from __future__ import annotations
 
@@ -31,24 +31,24 @@ def query_set(frames: DataFrame) -> DataFrame:
     return frames.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "video_id", l2_normalise(F.col("emb")).alias("emb"))
 
 
-def base_scores(protos: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, video_id, base: the best product over the finest prototypes."""
-    finest = protos.where(F.col("k") == protos.agg(F.max("k")).first()[0])
+def base_scores(protos: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+    """query_id, video_id, base: the best product over the finest prototypes, of which there are ``k``."""
+    finest = protos.where(F.col("k") == k)
     return scores(finest.select("video_id", "emb"), queries).groupBy("query_id", "video_id").agg(F.max("score").alias("base"))
 
 
-def qamp_scores(protos: DataFrame, queries: DataFrame, tau: float = 0.1) -> DataFrame:
+def qamp_scores(protos: DataFrame, queries: DataFrame, ks=(2, 4, 6), tau: float = 0.1) -> DataFrame:
     """query_id, video_id, base, qamp: softmax-weighted pooling over each K's prototypes, averaged over all K."""
     t = max(tau, 1e-6)
     s = scores(protos.select("video_id", "k", "emb"), queries)
     top = Window.partitionBy("query_id", "video_id", "k")
     e = s.withColumn("e", F.exp((F.col("score") - F.max("score").over(top)) / t))
     per_k = e.groupBy("query_id", "video_id", "k").agg((F.sum(F.col("e") * F.col("score")) / (F.sum("e") + 1e-9)).alias("pooled"), F.max("score").alias("best"))
-    n, finest = protos.agg(F.countDistinct("k"), F.max("k")).first()
+    n, finest = len(ks), max(ks)
     return per_k.groupBy("query_id", "video_id").agg(F.max(F.when(F.col("k") == finest, F.col("best"))).alias("base"), (F.sum("pooled") / n).alias("qamp"))
 
 
-def reranked(scored: DataFrame, alpha: float = 0.7, top: int = 20, shift_mode: str = "reference") -> DataFrame:
+def reranked(scored: DataFrame, alpha: float = 0.7, top: int = 500, shift_mode: str = "reference") -> DataFrame:
     """Adds out: hubness-corrected re-ranking of each query's ``top`` videos, others keep base."""
     column = Window.partitionBy("video_id")
     row = Window.partitionBy("query_id").orderBy(F.col("base").desc(), "video_id")
@@ -95,3 +95,37 @@ def utility(rank: Column, filtered: Column, cost: Column) -> Column:
     """-2 where the right video is filtered or absent (rank below 0), else reciprocal rank with bonuses less cost."""
     hit = lambda k: (rank < k).cast("double")
     return F.when(filtered | (rank < 0), -2.0).otherwise(1 / (rank + 1) + 0.5 * hit(1) + 0.1 * hit(5) - 0.05 * cost)
+
+
+def masked_softmax(scored: DataFrame, beta: float = 0.4, keep: str = "passed") -> DataFrame:
+    """Replaces out by its softmax over the queries of each video, among the rows that pass; others get null."""
+    w = Window.partitionBy("video_id")
+    inside = F.when(F.col(keep), F.col("out"))
+    e = scored.withColumn("_e", F.exp((inside - F.max(inside).over(w)) / beta))
+    return e.withColumn("out", F.col("_e") / (F.sum("_e").over(w) + 1e-12)).drop("_e")
+
+
+def hybrid_search(scored: DataFrame, k: int = 10, beta: float = 0.4, meta_alpha: float = 1.0) -> DataFrame:
+    """The k best of each query among the rows that pass, with rank, semantic (the score before) and margin.
+
+    scored: query_id, video_id, out (re-ranked scores of all pairs), passed, soft (metadata score) and constrained. With meta_alpha
+    below 1 the scores of constrained queries are blended with soft. Rows that don't pass are no results.
+    """
+    s = masked_softmax(scored.withColumn("semantic", F.col("out")), beta).where("passed")
+    if meta_alpha < 1:
+        s = s.withColumn("out", F.when(F.col("constrained"), meta_alpha * F.col("out") + (1 - meta_alpha) * F.col("soft")).otherwise(F.col("out")))
+    return with_margin(top_k(s, max(k, 2))).where(F.col("rank") < k)
+
+
+def min_max(value: Column, by: list[str], constant: float) -> Column:
+    """value scaled to 0..1 within its group; ``constant`` where all are equal."""
+    w = Window.partitionBy(*by)
+    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    return F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(constant)
+
+
+def fuse_scores(semantic: Column, meta: Column, alpha: float, by: list[str]) -> Column:
+    """alpha x semantic, scaled by query if it varies, + (1 - alpha) x meta."""
+    w = Window.partitionBy(*by)
+    lo, hi = F.min(semantic).over(w), F.max(semantic).over(w)
+    return alpha * F.when(hi > lo, (semantic - lo) / (hi - lo)).otherwise(semantic) + (1 - alpha) * meta

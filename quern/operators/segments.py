@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 
 def smoothed(rows: DataFrame, key: str, ts: str, score: str, w: int = 3) -> DataFrame:
     """Adds smooth: the moving sum over w rows divided by w, with zeros beyond the ends."""
+    # A series shorter than the window is the one that slides: w results come of it, of which the series' own are kept.
     back = (w - 1) // 2
-    return rows.withColumn("smooth", F.sum(score).over(Window.partitionBy(key).orderBy(ts).rowsBetween(back - w + 1, back)) / w)
+    by = Window.partitionBy(key)
+    mean = F.sum(score).over(by.orderBy(ts).rowsBetween(back - w + 1, back)) / w
+    n = F.count("*").over(by)
+    short = mean
+    for m in range(1, w):
+        low = (m - 1) // 2
+        # Place i of the result takes in the rows up to i + low, and as many before as the window has.
+        short = F.when(n == m, F.sum(score).over(by.orderBy(ts).rowsBetween(low - w + 1, low)) / w).otherwise(short)
+    return rows.withColumn("smooth", short)
 
 
 def islands(rows: DataFrame, key: str, ts: str, value: str, threshold: Column) -> DataFrame:
@@ -77,8 +86,8 @@ def interest_budget(intervals: Column, most: int = 10, total: float = 60.0, leas
 def nearest_gap(left: DataFrame, right: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Rows of left with gap: the time to the nearest row of right with the same key; null for none."""
     both = left.select(key, ts, F.lit(0).alias("_r")).unionByName(right.select(key, ts, F.lit(1).alias("_r")))
-    w = Window.partitionBy(key).orderBy(ts)
     mine = F.when(F.col("_r") == 1, F.col(ts))
-    # RANGE takes in rows of the same time on either side.
-    near = both.withColumns({"_b": F.max(mine).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_a": F.min(mine).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    # Running values from both ends; at equal times rows of right come first in each direction.
+    w = lambda time: Window.partitionBy(key).orderBy(time, F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"_b": F.max(mine).over(w(F.col(ts))), "_a": F.min(mine).over(w(F.col(ts).desc()))})
     return near.where("_r = 0").select(key, ts, F.least(F.col(ts) - F.col("_b"), F.col("_a") - F.col(ts)).alias("gap"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluate, metadata, search, segments
 from quern.sources.tables import frames, table
 
-NOW = dt.datetime(2026, 4, 24, tzinfo=dt.timezone.utc)
+NOW = dt.datetime(2026, 4, 24, 15, tzinfo=dt.timezone.utc)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -45,7 +45,7 @@ pk AS (SELECT query_id, own, video_id, k, max(s) AS best, sum(exp((s - mx) / 0.1
   FROM (SELECT *, max(s) OVER (PARTITION BY query_id, video_id, k) AS mx FROM sc) GROUP BY ALL),
 bq AS (SELECT query_id, own, video_id, max(CASE WHEN k = 6 THEN best END) AS base, sum(pooled) / 3 AS qamp FROM pk GROUP BY ALL),
 cs AS (SELECT *, (base - avg(base) OVER (PARTITION BY video_id)) / (stddev_pop(base) OVER (PARTITION BY video_id) + 1e-8) AS nnn,
-  row_number() OVER (PARTITION BY query_id ORDER BY base DESC, video_id) <= 20 AS inn FROM bq),
+  row_number() OVER (PARTITION BY query_id ORDER BY base DESC, video_id) <= 500 AS inn FROM bq),
 zz AS (SELECT *, 0.3 * (nnn - avg(CASE WHEN inn THEN nnn END) OVER w) / (stddev_pop(CASE WHEN inn THEN nnn END) OVER w + 1e-8)
   + 0.7 * (qamp - avg(CASE WHEN inn THEN qamp END) OVER w) / (stddev_pop(CASE WHEN inn THEN qamp END) OVER w + 1e-8) AS fused FROM cs WINDOW w AS (PARTITION BY query_id)),
 ou AS (SELECT query_id, own, video_id, base, qamp, CASE WHEN inn THEN fused - min(CASE WHEN inn THEN fused END) OVER w + coalesce(-max(CASE WHEN NOT inn THEN base END) OVER w, 0) + 1e-6 ELSE base END AS out
@@ -153,24 +153,48 @@ def meta_soft_score(spark: SparkSession, d: str) -> DataFrame:
     return _meta(spark, d).select("video_id", "intent_id", F.round(metadata.soft_score(), 6).alias("score"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, lower(text) AS l FROM conversations),
-x AS (SELECT conv_id, turn, l FROM t)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN contains(l,'home') OR contains(l,'kitchen') OR contains(l,'living room') THEN 'indoor_home' END, CASE WHEN contains(l,'city') OR contains(l,'street') OR contains(l,'downtown') THEN 'urban' END,
- CASE WHEN contains(l,'beach') OR contains(l,'coast') OR contains(l,'sea') THEN 'coast' END, CASE WHEN contains(l,'mountain') OR contains(l,'hill') OR contains(l,'hike') THEN 'mountain' END], lambda x: x IS NOT NULL), ',') AS geo,
- CASE WHEN contains(l,'walk') OR contains(l,'stroll') THEN 'walking' WHEN contains(l,'run') OR contains(l,'jog') THEN 'running' WHEN contains(l,'bike') OR contains(l,'cycl') THEN 'cycling' WHEN contains(l,'car') OR contains(l,'driv') OR contains(l,'bus') THEN 'vehicle' END AS motion FROM x""")
-def intent_labels(spark: SparkSession, d: str) -> DataFrame:
+#: Phrases that texts start with, since the texts themselves hold hardly any keyword.
+PHRASES = [
+    "clips from today", "what I did yesterday", "this week at home", "Walking on the beach last week", "the weekend trip", "this month at the office", "last month in the mountains", "last year in Paris",
+    "this year", "last 10 days by bike", "past 3 days", "videos from 2024", "a running dog", "上周末在海边跑步的视频", "前天在家里", "去年夏天骑行", "最近 5 天 华为", "summer evenings, driving downtown", "winter 2019年",
+    "Samsung galaxy clip of a farm", "iPhone, sitting still in a cafe", "the capital driver was scared", "highway traffic 1999/", "no time at all",
+]
+
+
+def _has(words) -> str:
+    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
+
+
+def _phrase(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations")
-    return t.select("conv_id", "turn", F.array_join(metadata.classes(F.col("text"), metadata.GEO), ",").alias("geo"), metadata.first_class(F.col("text"), metadata.MOTION).alias("motion"))
+    return t.select("conv_id", "turn", F.concat_ws(" ", F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.pmod("conv_id", F.lit(len(PHRASES))) + 1).cast("int")), F.col("text")).alias("text"))
 
 
-_PHRASES = ["clips from today", "what I did yesterday", "this week at home", "last week", "last weekend", "this month", "last month", "last year", "this year", "last 10 days", "the weekend trip", "trip in 2021", "no time at all"]
+_PHRASED = "WITH t AS (SELECT conv_id, turn, lower(concat_ws(' ', ([" + ", ".join(f"'{p}'" for p in PHRASES) + f"])[conv_id % {len(PHRASES)} + 1], text)) AS l FROM conversations)"
 
 
-@query("""WITH p(i, l, a, b) AS (VALUES (0,'clips from today',1776988800.0,1777075200.0),(1,'what I did yesterday',1776902400.0,1776988800.0),(2,'this week at home',1776643200.0,1777248000.0),(3,'last week',1776038400.0,1776643200.0),(4,'last weekend',1776038400.0,1776643200.0),
-(5,'this month',1775001600.0,1777593600.0),(6,'last month',1772323200.0,1775001600.0),(7,'last year',1735689600.0,1767225600.0),(8,'this year',1767225600.0,1798761600.0),(9,'last 10 days',1776211200.0,1777075200.0),(10,'the weekend trip',1776470400.0 - 0,1776643200.0),(11,'trip in 2021',1609459200.0,1640995200.0),(12,'no time at all',NULL,NULL))
-SELECT i::INT AS phrase_id, a::DOUBLE AS t_start, b::DOUBLE AS t_end FROM p""")
+@query(_PHRASED + " SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(w)} THEN '{n}' END" for n, w in metadata.GEO.items()) + "], lambda x: x IS NOT NULL), ',') AS geo, array_to_string(list_filter(["
+       + ", ".join(f"CASE WHEN {_has(w)} THEN '{n}' END" for n, w in metadata.MOTION.items()) + "], lambda x: x IS NOT NULL), ',') AS motion, CASE " + " ".join(f"WHEN {_has(w)} THEN '{n}'" for n, w in metadata.DEVICE.items()) + " END AS device FROM t")
+def intent_labels(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("text")
+    return _phrase(spark, d).select("conv_id", "turn", F.array_join(metadata.classes(x, metadata.GEO), ",").alias("geo"), F.array_join(metadata.classes(x, metadata.MOTION), ",").alias("motion"), metadata.first_class(x, metadata.DEVICE).alias("device"))
+
+
+@query("WITH p AS (SELECT unnest(range(0, " + str(len(PHRASES)) + ")) AS i, lower(unnest([" + ", ".join(f"'{p}'" for p in PHRASES) + r"""])) AS l), n AS (SELECT *, TIMESTAMP '2026-04-24 15:00:00' AS t FROM p),
+x AS (SELECT *, date_trunc('day', t) AS d, date_trunc('week', t) AS w, date_trunc('month', t) AS m, date_trunc('year', t) AS y FROM n),
+s AS (SELECT i, CASE WHEN regexp_matches(l, '\btoday\b|今天|今日') THEN [d, d + INTERVAL 1 DAY]
+ WHEN regexp_matches(l, '\byesterday\b|昨天|昨日') THEN [d - INTERVAL 1 DAY, d] WHEN contains(l, '前天') THEN [d - INTERVAL 2 DAY, d - INTERVAL 1 DAY]
+ WHEN regexp_matches(l, '\bthis week\b|本周|这周') THEN [w, w + INTERVAL 7 DAY] WHEN regexp_matches(l, '\blast week\b|上周|上个星期|上星期') THEN [w - INTERVAL 7 DAY, w]
+ WHEN regexp_matches(l, '\bthis month\b|本月|这个月') THEN [m, m + INTERVAL 1 MONTH] WHEN regexp_matches(l, '\blast month\b|上月|上个月') THEN [m - INTERVAL 1 MONTH, m]
+ WHEN regexp_matches(l, '\bthis year\b|今年') THEN [y, y + INTERVAL 1 YEAR] WHEN regexp_matches(l, '\blast year\b|去年') THEN [y - INTERVAL 1 YEAR, y]
+ WHEN regexp_matches(l, '(last|past|最近|过去|这)\s*(\d+)\s*(day|days|天)') THEN [t - regexp_extract(l, '(last|past|最近|过去|这)\s*(\d+)\s*(day|days|天)', 2)::INT * INTERVAL 1 DAY, t]
+ WHEN regexp_matches(l, '\bweekend\b|周末|礼拜') THEN [w - INTERVAL 2 DAY + CASE WHEN isodow(t) >= 6 THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END, w + CASE WHEN isodow(t) >= 6 THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END]
+ WHEN regexp_matches(l, 'spring|春天|春季') THEN [y + INTERVAL 2 MONTH, y + INTERVAL 5 MONTH] WHEN regexp_matches(l, 'summer|夏天|夏季') THEN [y + INTERVAL 5 MONTH, y + INTERVAL 8 MONTH]
+ WHEN regexp_matches(l, 'autumn|fall|秋天|秋季') THEN [y + INTERVAL 8 MONTH, y + INTERVAL 11 MONTH] WHEN regexp_matches(l, 'winter|冬天|冬季') THEN [y + INTERVAL 11 MONTH, y + INTERVAL 14 MONTH]
+ WHEN regexp_matches(l, '(\d{4})\s*(年|/|$)') THEN [make_timestamp(regexp_extract(l, '(\d{4})\s*(年|/|$)', 1)::BIGINT, 1, 1, 0, 0, 0.0), make_timestamp(regexp_extract(l, '(\d{4})\s*(年|/|$)', 1)::BIGINT + 1, 1, 1, 0, 0, 0.0)] END AS r FROM x)
+SELECT i::INT AS phrase_id, epoch(r[1])::DOUBLE AS t_start, epoch(r[2])::DOUBLE AS t_end FROM s""")
 def intent_time_window(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in _PHRASES])).alias("phrase_id", "text"))
+    p = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in PHRASES])).alias("phrase_id", "text"))
     return p.withColumn("w", metadata.time_window(F.col("text"), NOW)).select("phrase_id", "w.t_start", "w.t_end")
 
 
@@ -184,7 +208,7 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", hours.alias("t"), "value").groupBy("user_id", "t").agg(F.max("value").alias("v"))
 
 
-@query(_SERIES + """, m AS (SELECT user_id, t, v, sum(v) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS sm FROM r),
+@query(_SERIES + """, m AS (SELECT user_id, t, v, CASE WHEN count(*) OVER (PARTITION BY user_id) < 3 THEN sum(v) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE sum(v) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END / 3 AS sm FROM r),
 c AS (SELECT user_id, quantile_cont(sm, 0.8) AS cut FROM m GROUP BY user_id),
 f AS (SELECT m.*, sm >= cut AS hi, sm >= cut AND NOT coalesce(lag(sm >= cut) OVER (PARTITION BY user_id ORDER BY t), false) AS nw FROM m JOIN c USING (user_id)),
 g AS (SELECT *, sum(nw::INT) OVER (PARTITION BY user_id ORDER BY t) AS run FROM f),
@@ -296,12 +320,12 @@ def conformal_threshold(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.conformal_threshold(_probabilities(spark, d), "p", 0.1).select("n", F.round("threshold", 6).alias("threshold"))
 
 
-_LATTICE = """WITH v AS (SELECT vec_id AS query_id, sid, list_sum(list_transform(range(0, 4), lambda j: ((sid >> j) & 1) * embedding[j + 1]::DOUBLE)) - 0.01 * bit_count(sid::INT) * bit_count(sid::INT) AS value FROM embeddings, range(0, 16) t(sid) WHERE vec_id % 20 = 0),
+_LATTICE = """WITH v AS (SELECT vec_id AS query_id, sid, list_sum(list_transform(range(0, 4), lambda j: ((sid >> j) & 1) * embedding[j + 1]::DOUBLE)) - 0.01 * bit_count(sid::INT) * bit_count(sid::INT) AS value FROM embeddings, range(0, 16) t(sid)),
 m AS (SELECT a.query_id, a.sid, e AS expert, b.value - a.value AS marginal FROM v a, range(0, 4) t(e), v b WHERE (a.sid >> e) & 1 = 0 AND b.query_id = a.query_id AND b.sid = (a.sid | (1 << e)))"""
 
 
 def _lattice(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("sid"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("sid"))
     value = sum((F.when(F.expr(f"shiftright(sid, {j}) & 1 = 1"), F.col("embedding")[j].cast("double")).otherwise(0.0) for j in range(4)), F.lit(0.0))
     return e.select("query_id", "sid", (value - 0.01 * F.bit_count("sid") * F.bit_count("sid")).alias("value"))
 
