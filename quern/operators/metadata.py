@@ -76,19 +76,22 @@ def has_constraint() -> Column:
     return constrained("time") | constrained("geo") | constrained("motion") | constrained("device")
 
 
+def axis_pass(axis: str, strict: bool, slack: float = SLACK) -> Column:
+    """Whether a video meets an intent on one axis: an unconstrained one is met, a missing value is unless strict."""
+    if axis == "time":
+        ok = F.col("created").between(F.col("t_start") - slack, F.col("t_end") + slack)
+    elif axis == "device":
+        ok = F.instr(F.lower(F.nullif(F.col("device"), F.lit(""))), F.lower(F.col("q_device"))) > 0
+    else:
+        ok = F.when(F.col(axis).isNotNull(), F.array_contains(f"q_{axis}", F.col(axis)))
+    return ~constrained(axis) | F.coalesce(ok, F.lit(not strict))
+
+
 def hard_pass(strict: bool, slack: float = SLACK) -> Column:
-    """Whether a video (created, geo, motion, device) meets an intent (t_start, t_end, q_geo, q_motion, q_device): missing values pass unless strict."""
-    gone = F.lit(not strict)
-    device = F.nullif(F.col("device"), F.lit(""))
-    axes = (
-        ("time", F.col("created").between(F.col("t_start") - slack, F.col("t_end") + slack)),
-        ("geo", F.when(F.col("geo").isNotNull(), F.array_contains("q_geo", F.col("geo")))),
-        ("motion", F.when(F.col("motion").isNotNull(), F.array_contains("q_motion", F.col("motion")))),
-        ("device", F.instr(F.lower(device), F.lower(F.col("q_device"))) > 0),
-    )
+    """Whether a video (created, geo, motion, device) meets an intent (t_start, t_end, q_geo, q_motion, q_device) on all axes."""
     out = F.lit(True)
-    for axis, ok in axes:
-        out = out & (~constrained(axis) | F.coalesce(ok, gone))
+    for axis in AXES:
+        out = out & axis_pass(axis, strict, slack)
     return out
 
 
@@ -97,21 +100,24 @@ def fired() -> Column:
     return F.array_compact(F.array(*[F.when(constrained(axis), F.lit(axis)) for axis in AXES]))
 
 
+def axis_score(axis: str, slack: float = SLACK) -> Column:
+    """How well a video meets an intent on one axis, from 0 to 1: a missing value counts 0.5, a motion confidence of 0 as 1."""
+    if axis == "time":
+        c, h = (F.col("t_start") + F.col("t_end")) / 2, F.greatest((F.col("t_end") - F.col("t_start")) / 2, F.lit(1.0))
+        k, d = F.greatest(F.lit(slack), h), F.abs(F.col("created") - c)
+        return F.when(F.col("created").isNull(), 0.5).when(d <= h, 1.0).when(d >= h + k, 0.0).otherwise(1 - (d - h) / k)
+    if axis == "device":
+        device = F.nullif(F.col("device"), F.lit(""))
+        return F.when(device.isNull(), 0.5).otherwise((F.instr(F.lower(device), F.lower(F.col("q_device"))) > 0).cast("double"))
+    full = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) if axis == "motion" else F.lit(1.0)
+    return F.when(F.col(axis).isNull(), 0.5).when(F.array_contains(f"q_{axis}", F.col(axis)), full).otherwise(0.0)
+
+
 def soft_score(slack: float = SLACK) -> Column:
-    """Geometric mean over the constrained axes; missing values count 0.5, a motion confidence of 0 counts as 1."""
-    c, h = (F.col("t_start") + F.col("t_end")) / 2, F.greatest((F.col("t_end") - F.col("t_start")) / 2, F.lit(1.0))
-    k, d = F.greatest(F.lit(slack), h), F.abs(F.col("created") - c)
-    time = F.when(F.col("created").isNull(), 0.5).when(d <= h, 1.0).when(d >= h + k, 0.0).otherwise(1 - (d - h) / k)
-    conf = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
-    each = (
-        ("time", time),
-        ("geo", F.when(F.col("geo").isNull(), 0.5).otherwise(F.array_contains("q_geo", F.col("geo")).cast("double"))),
-        ("motion", F.when(F.col("motion").isNull(), 0.5).when(F.array_contains("q_motion", F.col("motion")), conf).otherwise(0.0)),
-        ("device", F.when(F.nullif(F.col("device"), F.lit("")).isNull(), 0.5).otherwise((F.instr(F.lower("device"), F.lower(F.col("q_device"))) > 0).cast("double"))),
-    )
+    """Geometric mean of the scores of the constrained axes; 1 if there are none."""
     product, n = F.lit(1.0), F.lit(0)
-    for axis, score in each:
-        product = product * F.when(constrained(axis), score).otherwise(1.0)
+    for axis in AXES:
+        product = product * F.when(constrained(axis), axis_score(axis, slack)).otherwise(1.0)
         n = n + constrained(axis).cast("int")
     return F.when(n > 1, F.pow(product, 1 / n)).otherwise(product)
 
