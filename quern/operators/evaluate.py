@@ -34,27 +34,43 @@ def wilson_upper(failed: Column, n: Column, z: float = 1.96) -> Column:
     return (p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def threshold_sweep(rows: DataFrame, score: str, failed: str, least: int, delta: float) -> DataFrame:
-    """tau, n, k, ucb of the smallest threshold that accepts ``least`` rows or more with a bounded failure rate; no row for none.
+#: Ranges of values whose sums are run through first.
+BLOCKS = 1024
+
 
-    Distinct scores are aggregated first; what runs through one window is one row for each.
+def running(each: DataFrame, value: str, counts: list[str], descending: bool = False) -> DataFrame:
+    """each (one row a value) with run_<count>: the sums of counts over all values up to its own.
+
+    The sums of at most BLOCKS + 1 ranges of values go through one window, the values of a range through its own.
     """
+    ends = F.broadcast(each.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    # One row of ends.
+    rows = each.crossJoin(ends).withColumn("_block", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BLOCKS), F.lit(0))).drop("_lo", "_hi")
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    blocks = rows.groupBy("_block").agg(*[F.sum(c).alias(c) for c in counts])
+    before = Window.orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_to_{c}") for c in counts])
+    w = Window.partitionBy("_block").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"run_{c}": F.sum(c).over(w) for c in counts}).join(F.broadcast(blocks), "_block")
+    return out.select(*each.columns, *[(F.col(f"run_{c}") + F.col(f"_to_{c}")).alias(f"run_{c}") for c in counts])
+
+
+def threshold_sweep(rows: DataFrame, score: str, failed: str, least: int, delta: float) -> DataFrame:
+    """tau, n, k, ucb of the smallest threshold that accepts ``least`` rows or more with a bounded failure rate; no row for none."""
     each = rows.groupBy(F.col(score).alias("tau")).agg(F.count("*").alias("c"), F.sum(failed).alias("f"))
-    w = Window.orderBy(F.col("tau").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    run = each.select("tau", F.sum("c").over(w).alias("n"), F.sum("f").over(w).alias("k"))
+    run = running(each, "tau", ["c", "f"], descending=True).select("tau", F.col("run_c").alias("n"), F.col("run_f").alias("k"))
     ok = run.where(F.col("n") >= least).withColumn("ucb", F.when(F.col("k") >= F.col("n"), 1.0).otherwise(wilson_upper(F.col("k"), F.col("n")))).where(F.col("ucb") <= delta)
     return ok.orderBy("tau").limit(1)
 
 
 def conformal_threshold(rows: DataFrame, score: str, alpha: float) -> DataFrame:
-    """n and the split-conformal threshold: the k-th least score, k = ceil((n + 1)(1 - alpha)); infinite beyond n."""
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    n = rows.count()
-    k = math.ceil((n + 1) * (1 - alpha))
-    if k > n:
-        return rows.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(float("inf")).alias("threshold"))
-    each = rows.groupBy(score).agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(w))
-    return each.where(F.col("_n") >= k).agg(F.lit(n).cast("bigint").alias("n"), F.min(score).alias("threshold"))
+    """n and the split-conformal threshold: the k-th least score, k = ceil((n + 1)(1 - alpha)); infinite beyond n, or without rows."""
+    each = running(rows.groupBy(score).agg(F.count("*").alias("c")), score, ["c"])
+    n = each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    k = F.ceil((F.col("n") + 1) * (1 - alpha))
+    # One row with n.
+    reach = each.crossJoin(F.broadcast(n)).where(F.col("run_c") >= k).agg(F.min(score).alias("t"))
+    return n.crossJoin(F.broadcast(reach)).select("n", F.coalesce("t", F.lit(float("inf"))).alias("threshold"))
 
 
 def subsets(names: list[str], costs: list[float]) -> list[tuple[int, list[str], float]]:

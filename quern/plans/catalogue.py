@@ -241,19 +241,6 @@ def uniform_grid(spark: SparkSession, d: str) -> DataFrame:
     return segments.uniform_grid(v, 2.0, 40).select("video_id", "i", F.round("ts", 6).alias("ts"))
 
 
-@query()
-def anchored_merge(spark: SparkSession, d: str) -> DataFrame:
-    p = _series(spark, d).groupBy("user_id").agg(F.collect_list("t").alias("p")).withColumn("a", segments.anchored_merge(F.col("p"), 5.0))
-    return p.select("user_id", F.size("a").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
-
-
-@query()
-def interest_budget(spark: SparkSession, d: str) -> DataFrame:
-    i = _series(spark, d).select("user_id", F.struct(F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score")).alias("x"))
-    kept = i.groupBy("user_id").agg(segments.interest_budget(F.collect_list("x")).alias("k"))
-    return kept.select("user_id", F.explode("k").alias("k")).select("user_id", F.round("k.start", 5).alias("start"), F.round("k.end", 5).alias("end"), F.col("k.score").alias("score"))
-
-
 @query("""WITH e AS (SELECT user_id, event_type, epoch_us(ts) / 1000000.0 AS t FROM events),
 a AS (SELECT * FROM e WHERE event_type = 'error'), b AS (SELECT * FROM e WHERE event_type = 'click')
 SELECT a.user_id, round(a.t, 3) AS ts, round((SELECT min(abs(a.t - b.t)) FROM b WHERE b.user_id = a.user_id), 3) AS gap FROM a""")

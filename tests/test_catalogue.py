@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, planning, routing, selection  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
