@@ -53,6 +53,8 @@ TURNS, SALT = 2, 2000
 RANGES = 2
 #: Very common shingles are looked for in one class of SAMPLE, and told apart from the rest if SEEN or more of those hold them.
 SAMPLE, SEEN, COMMON = 64, 8, 20_000
+#: Classes whose counts are summed up together.
+BLOCK = 50_000
 #: Groups up to which a shingle is rare.
 RARE = 32
 #: Sizes are told apart by ranges of this ratio; those of a linked set are at most STEPS ranges away.
@@ -244,8 +246,8 @@ def _grouped(sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     return links, group
 
 
-def _count_sizes(batches):
-    """k, c: how many rows of each k have a tok that another g holds with a size of the range b + i, for each step i. Batches: tok, k, g, b."""
+def _count_sizes(batches, blocks: int):
+    """How many rows of each k have a tok that another g holds with a size of the range b + i, for each step i; packed. Batches: tok, k, g, b."""
     tok, k, g, b = _columns(batches, "tok", "k", "g", "b")
     if not len(tok):
         return
@@ -257,17 +259,45 @@ def _count_sizes(batches):
     at = np.searchsorted(_edges_of(tok), first, side="right") * 4096 + b[first]
     of = np.repeat(np.arange(len(first)), last - first)
     name, who = np.unique(k, return_inverse=True)
-    c = np.zeros((len(name), 2 * STEPS + 1), np.int64)
+    c = np.zeros((len(name), 2 * STEPS + 1), np.int32)
     for i in range(2 * STEPS + 1):
         there = np.minimum(np.searchsorted(at, at + i - STEPS), len(at) - 1)
         found = at[there] == at + i - STEPS
         lo, hi = g[first[there]], g[last[there] - 1]
         c[:, i] = np.bincount(who[found[of] & ((lo[of] != g) | (hi[of] != g))], minlength=len(name))
     some = np.flatnonzero(c.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(name[some]), _lists(list(c[some]))], names=["k", "c"])
+    yield from _packed(name[some], c[some], blocks)
 
 
-def _sizes_met(part: DataFrame) -> DataFrame:
+_PACKED = pa.schema([("block", pa.int32()), ("k", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
+
+
+def _packed(k: np.ndarray, c: np.ndarray, blocks: int):
+    """One row for each block of classes, so that a task sends few rows however many classes it has met."""
+    block = (k.view(np.uint64) % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    first = np.append(_edges_of(block[order]), len(k)).astype(np.int32)
+    if len(k):
+        ks = pa.ListArray.from_arrays(pa.array(first), pa.array(k[order]))
+        cs = pa.ListArray.from_arrays(pa.array(first * c.shape[1]), pa.array(c[order].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][first[:-1]]), ks, cs], schema=_PACKED)
+
+
+def _added(batches):
+    """k, c: the counts of each class, summed up as they come. Batches: block, k, c."""
+    k, c = np.zeros(0, np.int64), np.zeros((0, 2 * STEPS + 1), np.int64)
+    for batch in batches:
+        more = batch.column(2).flatten().to_numpy().reshape(-1, 2 * STEPS + 1)
+        both = np.concatenate([k, batch.column(1).flatten().to_numpy()])
+        k, who = np.unique(both, return_inverse=True)
+        total = np.zeros((len(k), 2 * STEPS + 1), np.int64)
+        np.add.at(total, who, np.concatenate([c, more]))
+        c = total
+    if len(k):
+        yield pa.RecordBatch.from_arrays([pa.array(k), _lists(list(c))], names=["k", "c"])
+
+
+def _sizes_met(part: DataFrame, blocks: int) -> DataFrame:
     """(k, c): for each class and range of sizes about its own, how many of its shingles a class of another group and that size holds.
 
     part: k, g, b (the range of its size), tok. Common shingles stay out of the shuffle, as in ``_held``.
@@ -281,15 +311,16 @@ def _sizes_met(part: DataFrame) -> DataFrame:
     other = F.filter("held", lambda x: ((x["lo"] != F.col("g")) | (x["hi"] != F.col("g"))) & (F.abs(x["b"] - F.col("b")) <= STEPS))
     mask = F.aggregate(other, F.lit(0), lambda m, x: m + F.call_function("shiftleft", F.lit(1), x["b"] - F.col("b") + STEPS))
     met = met.select("k", mask.alias("mask")).groupBy("k").agg(F.array(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).cast("long") for i in range(2 * STEPS + 1)]).alias("c"))
-    return dealt.mapInArrow(_count_sizes, "k bigint, c array<bigint>").unionByName(met)
+    packed = dealt.mapInArrow(lambda batches: _count_sizes(batches, blocks), "block int, k array<bigint>, c array<int>")
+    return packed.repartition("block").mapInArrow(_added, "k bigint, c array<bigint>").unionByName(met)
 
 
 def _outside(rows: DataFrame) -> DataFrame:
     """The rows (k, g, n, toks) that may have a link outside their group, by the sizes and the shingles that others hold."""
     flat = rows.select("k", "g", _sized(F.col("n")).alias("b"), F.explode("toks").alias("tok"))
-    parts = []
+    parts, blocks = [], max(16, rows.count() // BLOCK)
     for i in range(RANGES):
-        parts.append(stash(_sizes_met(flat.where(F.pmod("tok", F.lit(RANGES)) == i)), "met"))
+        parts.append(stash(_sizes_met(flat.where(F.pmod("tok", F.lit(RANGES)) == i), blocks), "met"))
         release(rows.sparkSession)
     each = reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(2 * STEPS + 1)]).alias("c"))
     sized = rows.select("k", "n").join(each, "k")
