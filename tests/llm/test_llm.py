@@ -335,3 +335,12 @@ def test_pipeline_stages(spark, docs, tmp_path):
     ids = {r.doc_id for r in out.collect()}
     text = {k: t for k, t, *_ in ROWS}
     assert ids and not any(len(words(text[k])) < 50 for k in ids)
+
+
+def test_op6_no_documents_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string")
+    df = spark.createDataFrame([(1, "a b a", 7, "k"), (2, "c", 8, None), (None, "a b", 9, "k")], "doc_id long, text string, doc long, bucket string")
+    got = {x.doc_id: (x.n_tokens, x.score) for x in lm_scoring.lm_scores(df, labels).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 3, 2: 1, None: 2}
+    assert got[1][1] < 0 < got[2][1]
+    assert lm_scoring.lm_scores(df.limit(0), labels).collect() == []
