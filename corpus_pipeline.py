@@ -17,7 +17,8 @@ from quern.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).where(F.col("kept")).select(*docs.columns)
+    # The row goes along as one column, so that measures don't take the place of columns named like them.
+    return quality_rules(docs.select("text", F.struct("*").alias("_row"))).where(F.col("kept")).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
