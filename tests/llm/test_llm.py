@@ -344,3 +344,12 @@ def test_op6_no_documents_and_clashing_columns(spark):
     assert {k: v[0] for k, v in got.items()} == {1: 3, 2: 1, None: 2}
     assert got[1][1] < 0 < got[2][1]
     assert lm_scoring.lm_scores(df.limit(0), labels).collect() == []
+
+
+def test_pipeline_quality_keeps_clashing_columns(spark):
+    prose = " ".join(["the", "of", *(f"word{k}" for k in range(70))])
+    df = spark.createDataFrame([(1, prose, "mine", "many", "row"), (2, "too short", "b", None, None), (None, None, "c", "d", "e")], "doc_id long, text string, kept string, n_words string, _row string")
+    out = corpus_pipeline.quality(spark, df, "")
+    assert out.columns == df.columns
+    assert [tuple(x) for x in out.collect()] == [(1, prose, "mine", "many", "row")]
+    assert corpus_pipeline.quality(spark, df.limit(0), "").collect() == []
