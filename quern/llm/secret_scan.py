@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and novelty against a dictionary-primed zstandard compressor.
 
 Operator 4. Base spans come from three patterns (assignments, access keys, long hex strings). The method adds spans:
-in texts that hold a sensitive word, strings of 16 characters or more close behind such a word are candidates.
-A compressor primed with identifiers and the surrounding text compresses that text with and without the
-candidate; the difference is what the candidate costs. Ordinary words and repeated strings cost little;
-a string that costs nearly as many bytes as random characters of its alphabet is reported as ``novel``.
-Base spans stay whatever they cost.
+unbroken strings of 16 characters or more, however long, that hold such a word or lie close before or behind one
+are candidates. A compressor primed with identifiers and parts of words compresses the surrounding text with and without
+the candidate; the difference is what the candidate costs. Ordinary words and repeated strings cost little;
+a string that costs as many bytes as random characters of its alphabet is reported as ``novel``. Words alone may be
+reported where they are rare and long and hold none of the parts. Base spans stay whatever they cost.
 
 One pass over the documents without a shuffle; a regular-expression engine linear in the text sorts out texts
 that can hold nothing before Python looks at the rest.
@@ -34,14 +34,15 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
-#: Candidates of the method; a sensitive word has to start within ``CONTEXT`` characters before.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: Candidates of the method; a sensitive word has to lie within ``CONTEXT`` characters before or behind, or inside.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 _SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
 CONTEXT = 48
-#: Characters of text before and after a candidate that prime the compressor.
+#: Characters of text before and after a candidate that are compressed with it.
 AROUND = 400
-#: Least marginal bytes, as a part of those that random characters of the alphabet need.
-NOVEL = 0.8
+#: Least marginal bytes, as a part of those that random characters of the alphabet need: the sum for strings of ``SHORT``
+#: characters or fewer, the second falling with the length, as the compressor spends more on short ones.
+NOVEL, EXTRA, SHORT = 0.85, 0.15, 40
 #: Texts without a match of these have no span of any kind.
 _ANY = r"(?i)(passw|passphrase|secret|token|api_?key|api-key|access[_-]?key|private[_-]?key|credential|bearer|authorization)"
 _ANY_CASED = r"(AKIA[A-Z0-9]{16}|[0-9a-f]{24})"
@@ -53,6 +54,18 @@ username user_name database connection_string configuration environment variable
 example_password your_api_key_here changeme placeholder xxxxxxxxxxxxxxxx 0000000000000000 1234567890123456 abcdefghijklmnopqrstuvwxyz
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef getElementById application_default_credentials authentication authorization_code
 """
+#: Fixed parts of long words and names, so that those cost less than random letters.
+WORD_PARTS = """
+ational ization isation ability ibility fulness iveness lessness ingness ments ically ology ological graphic graphy metric
+inter intra trans counter under over micro macro multi hyper super electro photo thermo psycho neuro cardio immuno pharma
+consti represent respons administr communic environ develop manage govern character different independ understand institut
+tion sion ment ness ance ence able ible ious eous ship hood ward wise like less ling ight ough ound ther ever some thing
+Controller Manager Service Handler Factory Provider Exception Request Response Config Listener Repository Validator Generator
+"""
+#: Fixed text before the surrounding one: where that is short, the compressor would store letters as they are.
+PLAIN = """the mail went out on friday and nobody knew that the entry for the new server, which is needed by all of us, was gone,
+and we have to change it before the end of the month because the other team will need it as well. A quick look at both of
+the jobs gave no clue; you may ask again, but expect a lazy reply. """
 
 
 class Span(NamedTuple):
@@ -74,16 +87,17 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Novelty:
-    """Marginal compressed bytes, with the identifiers as dictionary."""
+    """Marginal compressed bytes, with identifiers and parts of words as dictionary."""
+
+    def __init__(self, level: int = 19, identifiers: str = WORD_PARTS + IDENTIFIERS):
+        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.press = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_dict_id=False)
 
-    def __init__(self, level: int = 3):
-        self.level = level
-        self.identifiers = IDENTIFIERS.encode()
+    def marginal(self, before: str, candidate: str, after: str) -> int:
+        return self._size(before + candidate + after) - self._size(before + after)
 
-    def marginal(self, around: str, candidate: str) -> int:
-        primed = zstandard.ZstdCompressionDict(self.identifiers + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        press = zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_dict_id=False)
-        return len(press.compress(candidate.encode())) - len(press.compress(b""))
+    def _size(self, text: str) -> int:
+        return len(self.press.compress((PLAIN + text).encode()))
 
     def expected(self, candidate: str) -> float:
         """Bytes that random characters of the candidate's alphabet need."""
@@ -97,21 +111,26 @@ class Novelty:
 
 def novel_spans(text: str, base: list[Span], novelty: Novelty) -> list[tuple[Span, float]]:
     """Candidates outside base spans that cost what random characters do, with that ratio."""
-    out, last = [], -1
-    for sign in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, sign.end(), min(len(text), sign.end() + CONTEXT + 512)):
-            if m.start() > sign.end() + CONTEXT:
-                break
-            a, b = m.span()
-            # Letters alone are a word of some language; a secret mixes them with digits.
-            mixed = re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])
-            if a < last or not mixed or (b < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[b])) or any(s.start < b and a < s.end for s in base):
-                continue
-            around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
-            ratio = novelty.marginal(around, m[0]) / novelty.expected(m[0])
-            if ratio >= NOVEL:
-                out.append((Span("novel", a, b), ratio))
-                last = b
+    signs = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not signs:
+        return []
+    taken = sorted((s.start, s.end) for s in base)
+    out, near, cover, reach = [], 0, 0, -1
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        # Candidates go up and don't overlap: words too far before this one are too far before all that follow.
+        while near < len(signs) and signs[near][1] + CONTEXT < a:
+            near += 1
+        if near == len(signs):
+            break
+        while cover < len(taken) and taken[cover][0] < b:
+            reach = max(reach, taken[cover][1])
+            cover += 1
+        if signs[near][0] > b + CONTEXT or reach > a:
+            continue
+        ratio = novelty.marginal(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) / novelty.expected(m[0])
+        if ratio >= NOVEL + EXTRA * min(1, SHORT / (b - a)):
+            out.append((Span("novel", a, b), ratio))
     return out
 
 

@@ -202,6 +202,46 @@ def test_op4_novelty():
     assert found == ["xK9vQ2mZ7pL4tR8wB3nY6cD1fG5h"]
 
 
+def test_op4_novelty_of_any_length_and_side():
+    n, r = secret_scan.Novelty(), random.Random(3)
+    prose = "the mail went out on friday and nobody knew why the server was needed by all of us "
+
+    def novel(text):
+        return [text[s.start : s.end] for s in secret_scan.spans_of(text, n) if s.kind == "novel"]
+
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        for size in (20, 60, 600, 5000):
+            found = "".join(r.choice(letters) for _ in range(size))
+            assert letters[0] == "0" and size >= 24 or novel(prose + "the client secret was " + found + " until may") == [found]
+            assert letters[0] == "0" and size >= 24 or novel(prose + found + " is my password " + prose) == [found]
+            assert novel(prose + found + " " + prose) == []
+            assert novel(prose + "password " + prose + found) == []
+    assert novel(prose + "the password of internationalization responsibilities ================ client_secret_rotation_policy " + prose) == []
+    assert novel(f"the token {found[:300]} and the token {found[:300]}") == []  # repeated, so it costs nothing beside the other
+    assert secret_scan.spans_of("", n) == secret_scan.spans_of(None, n) == []
+
+
+def test_op4_spans_are_those_of_every_candidate(docs):
+    """Against a plain search: each unbroken string, each word near it, no order of candidates assumed."""
+    n, r = secret_scan.Novelty(), random.Random(4)
+    token = lambda: "".join(r.choice("abcXYZ0189_/") for _ in range(r.randint(10, 30)))
+    for _ in range(60):
+        text = " ".join(r.choice([token(), token(), "secret", "Bearer", "api-key", "password=" + token(), "of the", "\u00e9\U0001f600"]) for _ in range(25))
+        base, want = secret_scan.base_spans(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            a, b = m.span()
+            near = any(s.start() <= b + secret_scan.CONTEXT and s.end() + secret_scan.CONTEXT >= a for s in secret_scan._SENSITIVE.finditer(text))
+            if b - a >= 16 and near and not any(s.start < b and a < s.end for s in base):
+                cost = n.marginal(text[max(0, a - secret_scan.AROUND) : a], m[0], text[b : b + secret_scan.AROUND]) / n.expected(m[0])
+                want += [(a, b)] * (cost >= secret_scan.NOVEL + secret_scan.EXTRA * min(1, secret_scan.SHORT / (b - a)))
+        assert [(s.start, s.end) for s, _ in secret_scan.novel_spans(text, base, n)] == want
+    rows = [None, "", "x", text, text]
+    spark = docs.sparkSession
+    got = secret_scan.report(spark.createDataFrame([(None, t) for t in rows], "doc_id long, text string")).collect()
+    assert len(got) == 5 and sorted(g.spans for g in got)[:3] == ["", "", ""] and len({g.spans for g in got}) == 2
+    assert secret_scan.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_op2_law(docs):
     rows = sharding.report(docs, 8).collect()
     assert len(rows) == len(ROWS)
