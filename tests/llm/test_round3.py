@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("quern.llm")
 from pyspark.sql import functions as F
-from quern.llm import fill_in_middle
+from quern.llm import fill_in_middle, sentencepiece_codec
 
 
 def sha(text):
@@ -53,3 +53,51 @@ def test_fim_keeps_the_row_and_restores_the_text(spark):
     assert out.where(F.col("row.n") != F.col("row.doc_id")).count() == 0
     assert out.where(fill_in_middle.restored(F.col("output"), F.col("form")) != F.coalesce("row.text", F.lit(""))).count() == 0
     assert fill_in_middle.report(docs.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+
+
+PARTS = ["a", "ab", "the", " ", "  ", "=", "==", "-", "\n", "\t", "é", "漢字", "😀", "▁", "ing", "er", "in", "\u0301", "1", "0", " " * 17, "aaa", "<s>", "\0"]
+
+
+def piece_texts():
+    r = random.Random(4)
+    out = [None, "", " ", "\n", "▁", "▁▁", "</s>", "<0x0A>", *texts()[:40]]
+    out += ["".join(r.choice(PARTS[: r.randint(2, len(PARTS))]) for _ in range(r.randint(0, 90))) for _ in range(1500)]
+    out += [lead + c * n + tail for n in (2, 3, 14, 15, 16, 17, 33, 47, 48, 49, 63, 64, 65, 130, 999) for c in (" ", "=", "a", "ab", "0") for lead in ("", "x") for tail in ("", "the", "\n")]
+    out.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40_000)))
+    return out
+
+
+def test_sentencepiece_equals_the_library(spark, library):
+    rows = [(k if k % 19 else None, t, "clash") for k, t in enumerate(piece_texts())]
+    rows += rows[5:9]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+    want = []
+    for k, t, _ in rows:
+        ids = library.encode(t or "", add_bos=False, add_eos=True)
+        want.append((k, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
+    assert sorted(map(tuple, sentencepiece_codec.report(docs).collect()), key=repr) == sorted(want, key=repr)
+    assert sentencepiece_codec.encode(docs).where("row.ids = 'clash'").count() == len(rows)
+    assert sentencepiece_codec.report(docs.limit(0)).count() == 0
+
+
+def test_decode_of_any_ids_equals_the_library(spark, library):
+    r = random.Random(6)
+    pick = [lambda: r.randrange(32_000), lambda: r.randrange(260), lambda: r.choice([29871, 259, 0, 1, 2, 229, 153, 132])]
+    rows = [(k, [r.choice(pick)() for _ in range(r.randint(0, 9))]) for k in range(3000)] + [(3000, None)]
+    got = {x.row.k: x.decoded for x in sentencepiece_codec.decode(spark.createDataFrame(rows, "k long, ids array<int>")).collect()}
+    assert got == {k: library.decode(i or []) for k, i in rows}
+
+
+def test_words_merge_alike_alone_and_together(library):
+    model = sentencepiece_codec.model_of(sentencepiece_codec.default_model())
+    encoder = sentencepiece_codec.Encoder(model)
+    many = [t or "" for t in piece_texts()]
+    flat, sizes = encoder.encode(many)
+    assert flat.tolist() == [i for t in many for i in library.encode(t)] and sizes.tolist() == [len(library.encode(t)) for t in many]
+    assert [len(x) for x in encoder.encode([""])] == [0, 1]
