@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quern.llm import decontamination, fill_in_middle, jaccard_join, line_dedup, lm_scoring, mixing, quality_rules, quotation, secret_scan, sentencepiece_codec, sharding, substring_dedup
+from quern.llm import decontamination, fill_in_middle, jaccard_join, line_dedup, lm_scoring, mixing, quality_rules, quotation, secret_scan, sentencepiece_codec, sharding, structure_repair, substring_dedup
 
 QUERIES = {
     "op1_quotation_linking": quotation.op1_quotation_linking,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_structure_repair": structure_repair.op11_structure_repair,
     "op12_sentencepiece": sentencepiece_codec.op12_sentencepiece,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
@@ -27,5 +28,6 @@ SQL = {
     "op8_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op9_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_structure_repair": structure_repair.ORACLE_SQL,
     "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

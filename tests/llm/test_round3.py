@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import defaultdict
 
 import pytest
 
 pytest.importorskip("quern.llm")
 from pyspark.sql import functions as F
-from quern.llm import fill_in_middle, sentencepiece_codec
+from quern.llm import fill_in_middle, sentencepiece_codec, structure_repair
 
 
 def sha(text):
@@ -101,3 +103,102 @@ def test_words_merge_alike_alone_and_together(library):
     flat, sizes = encoder.encode(many)
     assert flat.tolist() == [i for t in many for i in library.encode(t)] and sizes.tolist() == [len(library.encode(t)) for t in many]
     assert [len(x) for x in encoder.encode([""])] == [0, 1]
+
+
+GOES = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+ROLE = {2: "user", 3: "assistant"}
+
+
+def repair_plain(rows):
+    """(role, text, fault) in order -> least (cost, audit) and its lines, by one state after another."""
+    best = {0: (0, "", ())}
+
+    def add(now, state, element):
+        now[state] = min(now.get(state, element), element)
+
+    def inserted(now):
+        for _ in range(3):
+            for state, (cost, audit, out) in list(now.items()):
+                for initial in "ua":
+                    if state in GOES[initial]:
+                        to = GOES[initial][state]
+                        add(now, to, (cost + 5, audit + "I", (*out, ROLE[to] + ":")))
+        return now
+
+    for role, text, fault in rows:
+        now = {}
+        for state, (cost, audit, out) in inserted(best).items():
+            add(now, state, (cost + 2, audit + "D", out))
+            if fault in ("blank", "duplicate"):
+                continue
+            extra = 5 * (fault == "truncated")
+            to = GOES.get(role[:1], {}).get(state)
+            if to is not None:
+                add(now, to, (cost + extra, audit + "K", (*out, f"{role}:{text}")))
+            for initial in "ua":
+                if state in GOES[initial]:
+                    to = GOES[initial][state]
+                    add(now, to, (cost + 1 + extra, audit + "R", (*out, f"{ROLE[to]}:{text}")))
+        best = now
+    return min(e for state, e in inserted(best).items() if state in (0, 3))
+
+
+def structure_plain(rows, hurt=True):
+    held = defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20 if hurt else 9
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        held[conv] += [(turn, "user" if fate == 4 else role, text)] * {0: 0, 3: 2}.get(fate, 1)
+    out = []
+    for conv, turns in held.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        seen, faulty = set(), []
+        for _, role, text in turns:
+            bare = text.rstrip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        numbers = [t for t, _, _ in turns if t is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:], strict=False))
+        cost, audit, lines = repair_plain(faulty) if faulty else (0, "", ())
+        out.append((conv, gaps, *(sum(f[2] == x for f in faulty) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(lines))))
+    return sorted(out, key=repr)
+
+
+def talks():
+    r = random.Random(8)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None]
+    said = ["hi.", "what?", "well", "", " \n", None, "a.\n", "é!", "x" * 3000 + ".", "b. ", "c"]
+    rows = [(c, r.choice([None, *range(-2, 9)]), r.choice(roles), r.choice(said)) for c in (None, *range(60)) for _ in range(r.randint(1, 9))]
+    rows += [(100, 0, "user", "same.")] * 40 + [(100, 1, "assistant", "")] * 30 + [(101, None, None, None)] * 3
+    rows += [(200, t, r.choice(roles[:5]), f"{r.randrange(400)}{r.choice('.?x')}") for t in range(900)]
+    return rows
+
+
+def test_structure_repair_equals_brute_force(spark):
+    rows = talks()
+    turns = spark.createDataFrame([(*t, "clash") for t in rows], "conv_id long, turn long, role string, text string, cost string").repartition(5)
+    got = structure_repair.report(turns)
+    assert sorted(map(tuple, got.collect()), key=repr) == structure_plain(rows)
+    assert structure_repair.report(turns.limit(0)).count() == 0
+
+
+def test_structure_repair_over_many_chunks(spark, monkeypatch):
+    # Chunks of four turns in groups of two partitions: the conversation of 900 goes through all three levels.
+    monkeypatch.setattr(structure_repair, "CHUNK", 2)
+    monkeypatch.setattr(structure_repair, "GROUP", 34)
+    rows = [t for t in talks() if t[0] in (100, 101, 200)]
+    repairs = structure_repair.Repairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    counts = {r.conv_id: tuple(r)[1:7] for r in repairs.conversations().collect()}
+    digests = {int(r.conv[1:]): tuple(r)[1:] for r in repairs.digests().collect()}
+    assert sorted(((c, *counts[c], *digests[c]) for c in counts), key=repr) == structure_plain(rows, hurt=False)
+    turns = repairs.turns().collect()
+    added = {r.conv_id: r.added for r in repairs.conversations().collect()}
+    for conv in counts:
+        mine = sorted((t for t in turns if t.conv_id == conv), key=lambda t: t.place)
+        assert "".join(t.audit for t in mine) + "I" * added[conv] == digests[conv][0]
+        lines = [f"{x.role}:{x.text}" for t in mine for x in t.repaired] + ["user:", "assistant:"][2 - added[conv] :]
+        assert sha("\n".join(lines)) == digests[conv][1]
+        assert sum(t.copies for t in mine) == sum(x[0] == conv for x in rows)
