@@ -212,7 +212,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4_0
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Columns of the input, without documents that hold a window of a benchmark item."""
-    return find_benchmark(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+    # The row goes along as one column, so that hits don't take the place of a user's column.
+    return find_benchmark(docs.select("text", F.struct("*").alias("_doc")), benchmark).where(F.size("hits") == 0).select("_doc.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 Operator 3. Each source has a target of words: its weight's share of 150% of all words, at most twice its own size,
 the excess dealt again by weight. A source is taken whole as often as its target allows; of the rest, its
 documents are read in a random order, cut into blocks, up to the target. Documents longer than the gap that is left are
-then skipped, and the rest of the order is read up to the gap, round after round, until no document fits.
+then skipped, and the rest of the order is read up to the gap, round after round, until no document fits; then second copies
+are taken in the same way. A source that still misses its target may take one document over it, or is filled anew from its
+largest documents on, whichever is nearer. No document is taken more than twice.
 
 Blocks are then dealt to output shards. The tree halves the shards again and again; at each node the number of blocks of
 each source that go left is a multivariate hypergeometric draw, given the node's blocks and the left half's exact
@@ -16,13 +18,12 @@ at most ``MOST_BLOCKS``. All row work is DataFrame operations. Results depend on
 
 Defined results: a null text has no words and is never taken. A null source is a source of its own, the last.
 Equal rows are told apart by a rank among equals. Null doc_ids are allowed. If no source has a word, nothing is
-taken. Other columns are kept by ``mix``; names that begin with an underscore are its own. No rows give no rows.
+taken. Other columns are kept by ``mix``, whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +34,8 @@ from quern.llm.common import stash, table, words_of
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SHARDS = 8
+#: A source that misses its target by more than this share, and its smallest document, is filled anew by size.
+NEAR = 0.02
 #: Documents of a block, about; most blocks of a source; most sources.
 BLOCK, MOST_BLOCKS, MOST_SOURCES = 100, 50_000, 100_000
 
@@ -116,34 +119,75 @@ def plan_mix(docs: DataFrame, key: str = "_row", shards: int = SHARDS, seed: int
     rows = rows.withColumn("_c", F.row_number().over(same)).withColumn("_u", u)
     rows = rows.withColumn("_b", F.least((F.col("_u") / F.lit(float(2**63)) * F.col("_blocks")).cast("int"), F.col("_blocks") - 1))
     rows = stash(rows, "mixrows")
-    rows = _filled(rows, {k: line[5] for k, line in enumerate(lines)}, key)
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_full") + F.col("_in").cast("int")).otherwise(0))
+    gap, room = {k: line[5] for k, line in enumerate(lines)}, {k: int(MOST) - line[4] for k, line in enumerate(lines)}
+    rows = _filled(rows, gap, room, {k: line[3] for k, line in enumerate(lines)}, key)
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("_full") + F.col("_in")).otherwise(0))
     return _dealt(rows, each, key, shards, seed)
 
 
-def _filled(rows: DataFrame, gap: dict[int, float], key: str) -> DataFrame:
-    """Adds _in: whether a document is taken for its source's rest, so that no other would fit in what is left of it.
+def _filled(rows: DataFrame, gap: dict[int, float], room: dict[int, int], goal: dict[int, float], key: str) -> DataFrame:
+    """Adds _in: how often a document is taken for its source's rest, at most as often as the source has ``room`` for.
+
+    First copies come first; where no further document fits, second copies fill what is left. A source that still misses by
+    more than its smallest document and ``NEAR`` of its target takes the smallest document that has room over the target, if
+    that comes nearer. If it misses by as much then, it is filled anew from its largest documents on, and the nearer filling stays.
+    """
+    left = stash(rows.where("size > 0").select("_s", "_b", "_u", key, "_c", "size"), "mixleft")
+    allowed = {r["_s"]: max(r["low"], NEAR * goal[r["_s"]]) for r in left.groupBy("_s").agg(F.min("size").alias("low")).collect()}
+    taken, missed = _in_rounds(left, gap, room, allowed, key, by_size=False)
+    again = {s for s, g in missed.items() if s in allowed and abs(g) > allowed[s]}
+    if again:
+        part = left.where(F.col("_s").isin(sorted(again)))
+        other, now = _in_rounds(part, {s: gap[s] for s in again}, room, allowed, key, by_size=True)
+        better = sorted(s for s in again if abs(now[s]) < abs(missed[s]))
+        taken = taken.where(~F.col("_s").isin(better)).unionByName(other.where(F.col("_s").isin(better)))
+    return rows.join(taken, ["_s", key, "_c"], "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+
+
+def _in_rounds(rows: DataFrame, gap: dict[int, float], room: dict[int, int], allowed: dict[int, float], key: str, by_size: bool) -> tuple[DataFrame, dict[int, float]]:
+    """(_s, key, _c, _in) of the documents taken, and what each source misses (below 0: is over by).
 
     A round takes documents of size up to the gap, in their order, while their sum is within it. The first of them always
     is, so a source that takes none in a round has none that fit.
     """
-    inner = Window.partitionBy("_s", "_b").orderBy("_u", key, "_c").rowsBetween(Window.unboundedPreceding, 0)
+    spark = rows.sparkSession
+    if by_size:
+        # Sources whose largest documents make up most of them: these come first, by size, and each copy for itself.
+        each = _literal(spark, [[s, list(range(1, room[s] + 1))] for s in gap], "_gs int, _each array<bigint>")
+        rows = rows.join(F.broadcast(each), F.col("_gs") == F.col("_s")).withColumns({"_b": F.lit(0), "_u": -F.col("size"), "_k": F.explode("_each")}).drop("_gs", "_each")
+        room = dict.fromkeys(gap, 1)
+        # A target may be passed by what it may be missed by.
+        gap = {s: g + allowed[s] for s, g in gap.items()}
+    else:
+        rows = rows.withColumn("_k", F.lit(1))
+    inner = Window.partitionBy("_s", "_b").orderBy("_u", key, "_c", "_k").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    left, taken = rows.where("size > 0").select("_s", "_b", "_u", key, "_c", "size"), []
-    while open_ := [[s, g] for s, g in gap.items() if g >= 1]:
-        fits = left.join(F.broadcast(_literal(rows.sparkSession, open_, "_gs int, _gap double")), (F.col("_gs") == F.col("_s")) & (F.col("size") <= F.col("_gap"))).drop("_gs")
-        sums = fits.groupBy("_s", "_b").agg(F.sum("size").alias("w"))
-        lead = sums.select("_s", "_b", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_lead"))
-        now = fits.join(lead, ["_s", "_b"]).withColumn("_new", F.col("_lead") + F.sum("size").over(inner) <= F.col("_gap"))
-        now = stash(now.drop("_lead", "_gap"), "mixorder")
-        took = now.where("_new").groupBy("_s").agg(F.sum("size").alias("w")).collect()
-        gap = {r["_s"]: gap[r["_s"]] - r.w for r in took}
-        left = now.where("NOT _new").drop("_new")
-        taken.append(now.where("_new").select("_s", key, "_c"))
-    if not taken:
-        return rows.withColumn("_in", F.lit(False))
-    picked = reduce(DataFrame.unionByName, taken).withColumn("_in", F.lit(True))
-    return rows.join(picked, ["_s", key, "_c"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    gap = dict(gap)
+    now = rows.withColumn("_in", F.lit(0))
+    for copy in (1, 2):
+        # The second time over, what was taken once may be taken again.
+        closed = {s for s in gap if room[s] < copy}
+        while open_ := [[s, g] for s, g in gap.items() if g >= 1 and s not in closed]:
+            fits = (F.col("_in") < copy) & (F.col("size") <= F.col("_gap"))
+            tried = now.join(F.broadcast(_literal(spark, open_, "_gs int, _gap double")), F.col("_gs") == F.col("_s"), "left").drop("_gs")
+            tried = tried.withColumn("_w", F.when(F.coalesce(fits, F.lit(False)), F.col("size")))
+            sums = tried.groupBy("_s", "_b").agg(F.sum("_w").alias("w"))
+            lead = sums.select("_s", "_b", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_lead"))
+            new = F.coalesce(F.col("_w").isNotNull() & (F.col("_lead") + F.sum("_w").over(inner) <= F.col("_gap")), F.lit(False))
+            now = stash(tried.join(lead, ["_s", "_b"]).withColumn("_new", new).withColumn("_in", F.col("_in") + F.col("_new").cast("int")).drop("_lead", "_gap", "_w"), "mixorder")
+            took = {r["_s"]: r.w for r in now.where("_new").groupBy("_s").agg(F.sum("size").alias("w")).collect()}
+            closed |= {s for s, _ in open_ if s not in took}
+            gap = {s: g - took.get(s, 0) for s, g in gap.items()}
+            now = now.drop("_new")
+    if by_size:
+        gap = {s: g - allowed[s] for s, g in gap.items()}
+    # One more where that comes nearer to a target that is missed.
+    rooms = _literal(spark, [[s, room[s], g] for s, g in gap.items() if g > allowed.get(s, g)], "_gs int, _room int, _gap double")
+    over = now.join(F.broadcast(rooms), F.col("_gs") == F.col("_s")).where((F.col("_in") < F.col("_room")) & (F.col("size") < 2 * F.col("_gap")))
+    last = over.groupBy("_s").agg(F.min(F.struct("size", "_in", "_u", key, "_c", "_k")).alias("m")).select("_s", F.col(f"m.{key}").alias(key), F.col("m._c").alias("_c"), F.col("m._k").alias("_k"), F.col("m.size").alias("more"))
+    gap |= {r["_s"]: gap[r["_s"]] - r.more for r in last.collect()}
+    now = now.join(F.broadcast(last.withColumn("_more", F.lit(1)).drop("more")), ["_s", key, "_c", "_k"], "left").withColumn("_in", F.col("_in") + F.coalesce("_more", F.lit(0)))
+    return now.where("_in > 0").groupBy("_s", key, "_c").agg(F.sum("_in").cast("int").alias("_in")), gap
 
 
 def _dealt(rows: DataFrame, each: list, key: str, shards: int, seed: int) -> DataFrame:
@@ -179,11 +223,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """The mixed documents: columns of the input, a row for each copy taken, in shuffled order in each output shard."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    # The row goes along as one column, so that a user's columns can't clash with these.
+    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("doc_id", "source", "text").alias("_row"), "doc_id", "source", "text")
     plan = plan_mix(_sized(rows.select("doc_id", "source", "text", "_row")).select("doc_id", "source", "_row", "size"), shards=shards, seed=seed)
     # Equal rows share their plan's rows by sum: copies of a group of equals are dealt to the group.
     taken = plan.where("copies > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_c", "shards", "place"))).alias("_t"))
-    nth = Window.partitionBy("_row").orderBy("doc_id")
+    rows = rows.select("_doc", "_row")
+    nth = Window.partitionBy("_row").orderBy("_row")
     if plan.where("_c > 1").limit(1).count():
         rows = rows.withColumn("_c", F.row_number().over(nth))
     else:
@@ -192,7 +238,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     out = rows.join(taken, "_row").withColumn("_m", F.explode(mine))
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = out.repartition(parts, F.col("_m.shard"), F.pmod(F.col("_m.place"), F.lit(parts // shards))).sortWithinPartitions("_m.shard", "_m.place")
-    return out.select(*docs.columns)
+    return out.select("_doc.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

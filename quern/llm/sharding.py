@@ -6,8 +6,8 @@ uniformly random assignment. Then rows are permuted inside their block, cut by t
 and permuted again inside the shard, which numbers their slots. Shard sizes differ by one at most (law ``rows``).
 
 The matrix has blocks x shards numbers and is drawn on the driver; rows only pass through windows of one
-block's size: blocks and the sub-blocks of a shard hold ``BLOCK`` rows or so, however many rows a source or a
-text has. All row work is DataFrame operations.
+block's size: blocks and the sub-blocks of a shard hold ``BLOCK`` rows or so, however many rows a source has; rows that
+are equal in doc_id and text share a block. All row work is DataFrame operations.
 
 Results depend on the rows and the seed alone, so a lost executor's tasks are redone alike.
 
@@ -51,10 +51,11 @@ def _order(seed: int, *columns: str) -> Column:
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """All columns of the input, shard (int from 0) and slot (long from 0, gapless in each shard)."""
-    rows = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot", "_row", "_block", "_sub", "_at", "_lead")])
+    # The row goes along as one column, so that a user's columns can't clash with these.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("_doc"), _order(seed, "doc_id", "text").alias("_row"))
     n = rows.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK))
-    rows = rows.withColumn("_row", _order(seed, "doc_id", "text")).withColumn("_block", F.pmod(_order(seed + 1, "_row"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("_block", F.pmod(_order(seed + 1, "_row"), F.lit(blocks)).cast("int"))
     # Equal rows have equal hashes; a block's copies are told apart by their rank only.
     sizes = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], shards, seed)
@@ -80,8 +81,7 @@ def _slots(dealt: DataFrame, seed: int) -> DataFrame:
     lead = counts.select("shard", "_sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lead"))
     inner = Window.partitionBy("shard", "_sub").orderBy(_order(seed + 4, "_row", "_at"), "_row", "_at", "_block")
     out = dealt.withColumn("slot", F.row_number().over(inner) - 1).join(lead, ["shard", "_sub"])
-    keep = [c for c in dealt.columns if c not in ("_row", "_block", "_sub", "_at", "shard")]
-    return out.select(*keep, "shard", (F.col("slot") + F.col("_lead")).cast("long").alias("slot"))
+    return out.select("_doc.*", "shard", (F.col("slot") + F.col("_lead")).cast("long").alias("slot"))
 
 
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

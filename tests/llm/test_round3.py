@@ -202,3 +202,44 @@ def test_structure_repair_over_many_chunks(spark, monkeypatch):
         lines = [f"{x.role}:{x.text}" for t in mine for x in t.repaired] + ["user:", "assistant:"][2 - added[conv] :]
         assert sha("\n".join(lines)) == digests[conv][1]
         assert sum(t.copies for t in mine) == sum(x[0] == conv for x in rows)
+
+
+CLASH = "doc_id long, text string, source string, hits string, _row string, _cuts string, _block string, _doc string, `size` string, _in string, shard string"
+
+
+def test_stages_keep_columns_by_value(spark):
+    from quern.llm import decontamination, mixing, sharding
+
+    rows = [(k, f"words of the text number {k} and more " * (k % 5 + 1), "ab"[k % 2], *[f"{c}{k}" for c in "hrcbdsin"]) for k in range(40)]
+    docs = spark.createDataFrame(rows, CLASH)
+    bench = spark.createDataFrame([(1, "words of the text number 7 and more")], "item_id long, text string")
+    kept = decontamination.decontaminate(docs, bench).collect()
+    assert sorted(map(tuple, kept)) == [r for r in rows if r[0] != 7]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+    sharded = sharding.shard(docs)
+    assert sharded.columns == [*docs.columns[:-1], "shard", "slot"] and sorted(tuple(r)[:-2] for r in sharded.collect()) == [r[:-1] for r in rows]
+
+
+def nearest(sizes, target):
+    """Least |sum - target| of at most two copies of each."""
+    sums = {0}
+    for size in sizes:
+        sums = {s + k * size for s in sums for k in (0, 1, 2)}
+    return min(abs(s - target) for s in sums)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    from quern.llm import mixing
+
+    r = random.Random(2)
+    sources = {"dealt": [46, 141, 142, 150, 189, 243, 261, 372, 453, 2065], "huge": [500, 3, 4, 5], "even": [100] * 30, "one": [70], "large last": [9, 8, 7, 300, 310, 290]}
+    sources |= {f"r{k}": [r.choice([3, 20, 90, 700]) for _ in range(r.randint(1, 8))] for k in range(14)}
+    rows = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s, sizes in sources.items() for n in sizes)]
+    got = defaultdict(list)
+    for x in mixing.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got[rows[x.doc_id][2]].append(x)
+    for s, sizes in sources.items():
+        target, taken = got[s][0].target, sum(x.taken for x in got[s])
+        assert all(x.taken in (0, x["size"], 2 * x["size"]) for x in got[s])
+        assert abs(taken - target) <= max(min(sizes), 0.02 * target, 2 * nearest(sizes, target)), (s, target, taken, nearest(sizes, target))
