@@ -65,13 +65,19 @@ def inside(points: DataFrame, intervals: DataFrame, key: str, width: float) -> D
     return points.withColumn("_b", b("ts")).join(spread, [key, "_b"]).where("ts BETWEEN start AND end").drop("_b")
 
 
-def variance_runs(rows: DataFrame, key: str, order: str, value: str, fps: float, below: float) -> DataFrame:
-    """key, start, end in seconds of runs of windows whose variance is below a threshold. Windows of max(4, fps / 2) rows, half a window apart."""
-    win = max(4, int(fps // 2))
+def variance_runs(rows: DataFrame, durations: DataFrame, key: str, order: str, value: str, fps: float, below: float) -> DataFrame:
+    """key, start, end in seconds of runs of windows whose variance is below a threshold.
+
+    Windows of max(4, fps / 2) rows start half a window apart, before the last window's length; a series shorter than that is one window,
+    of one row none. A run ends where the first window that isn't still starts; one that is open ends with the
+    video. durations: key, duration.
+    """
+    win = max(4, int(fps * 0.5))
     step = win // 2
     w = Window.partitionBy(key).orderBy(order)
     r = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_v": F.var_pop(value).over(w.rowsBetween(0, win - 1))})
-    r = r.where((F.col("_i") % step == 0) & (F.col("_i") + win <= F.col("_n")))
+    r = r.where((F.col("_n") > 1) & (F.col("_i") % step == 0) & ((F.col("_i") < F.col("_n") - win) | (F.col("_i") == 0)))
     again = Window.partitionBy(key).orderBy("_i")
-    r = r.withColumn("_low", F.col("_v") < below).withColumn("_run", F.sum((~F.col("_low")).cast("int")).over(again))
-    return r.where("_low").groupBy(key, "_run").agg((F.min("_i") / fps).alias("start"), ((F.max("_i") + win) / fps).alias("end")).drop("_run")
+    r = r.withColumns({"_low": F.col("_v") < below, "_next": F.lead("_i").over(again)}).withColumn("_run", F.sum((~F.col("_low")).cast("int")).over(again))
+    runs = r.where("_low").groupBy(key, "_run").agg(F.min("_i").alias("_first"), F.max_by(F.struct("_next"), "_i").alias("_last"))
+    return runs.join(durations, key).select(key, (F.col("_first") / fps).alias("start"), F.coalesce(F.col("_last._next") / fps, F.col("duration")).alias("end"))

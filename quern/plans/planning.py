@@ -180,12 +180,15 @@ def points_inside(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("user_id", F.round("ts", 5).alias("ts")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT l_suppkey AS k, l_discount::DOUBLE * 10 AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
-w AS (SELECT *, var_pop(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM l), s AS (SELECT * FROM w WHERE i % 2 = 0 AND i + 5 <= n), r AS (SELECT *, x < 0.0613 AS lo, sum((x >= 0.0613)::INT) OVER (PARTITION BY k ORDER BY i) AS run FROM s)
-SELECT k AS l_suppkey, round(min(i) / 10.0, 5)::DOUBLE AS "start", round((max(i) + 5) / 10.0, 5)::DOUBLE AS "end" FROM r WHERE lo GROUP BY k, run""")
+@query("""WITH l AS (SELECT l_suppkey AS k, sqrt((l_discount::DOUBLE * 10) ** 2 + (l_tax::DOUBLE * 10) ** 2) AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+p AS (SELECT 10.0::DOUBLE AS fps, greatest(4, floor(10.0 * 0.5)::INT) AS win), w AS (SELECT l.k, l.i, l.n, fps, win, var_pop(m.v) AS x FROM l, p JOIN l m ON m.k = l.k AND m.i >= l.i AND m.i < l.i + win WHERE l.n > 1 AND l.i % (win // 2) = 0 AND (l.i < l.n - win OR l.i = 0) GROUP BY ALL),
+s AS (SELECT *, x < 0.08 AS still, coalesce(lag(x < 0.08) OVER o, false) AS was FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+e AS (SELECT k, i / fps AS t, still, n / fps + 0.25 AS duration FROM s WHERE still <> was), r AS (SELECT *, lead(t) OVER (PARTITION BY k ORDER BY t) AS stop FROM e)
+SELECT k AS l_suppkey, round(t, 5)::DOUBLE AS "start", round(coalesce(stop, duration), 5)::DOUBLE AS "end" FROM r WHERE still""")
 def gyro_static(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), (F.col("l_discount").cast("double") * 10).alias("v"))
-    r = spans.variance_runs(l, "l_suppkey", "o", "v", 10.0, 0.0613)
+    l = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"), F.sqrt(F.pow(F.col("l_discount").cast("double") * 10, 2) + F.pow(F.col("l_tax").cast("double") * 10, 2)).alias("v"))
+    durations = l.groupBy("l_suppkey").agg((F.count("*") / 10 + 0.25).alias("duration"))
+    r = spans.variance_runs(l, durations, "l_suppkey", "o", "v", 10.0, 0.08)
     return r.select("l_suppkey", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"))
 
 

@@ -85,7 +85,7 @@ def fused_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BANK = "rt AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({k}, 'R{k:02d}', [{', '.join(repr(a) for a in h.split(',') if a)}]::VARCHAR[], [{', '.join(repr(a) for a in s.split(',') if a)}]::VARCHAR[], {t}, '{m}', {routes.COST[c]}::DOUBLE)" for k, (h, s, t, m, c) in enumerate(x.split("/") for x in routes.BANK)
+    f"({k}, '{name}', {hard}::VARCHAR[], {soft}::VARCHAR[], {top}, '{mode}', {routes.COST[tier]}::DOUBLE)" for k, (name, hard, soft, top, mode, tier, _) in enumerate(routes.BANK)
 ) + ") t(idx, route_id, hard, soft, topm, mode, cost))"
 
 
@@ -102,7 +102,7 @@ g2 AS (SELECT *, 0.7 * (qamp - avg(CASE WHEN inn THEN qamp END) OVER w) / (stdde
 g3 AS (SELECT *, CASE WHEN inn THEN fu - min(CASE WHEN inn THEN fu END) OVER w + coalesce(-max(CASE WHEN NOT inn THEN base END) OVER w, 0) + 1e-6 ELSE base END AS sem FROM g2 WINDOW w AS (PARTITION BY query_id, route_id)),
 g4 AS (SELECT g3.*, ax.* EXCLUDE (query_id, video_id), ({_IN}) AS ok FROM g3 JOIN ax USING (query_id, video_id)),
 g5 AS (SELECT *, count_if(ok) OVER w AS cand, CASE WHEN ok THEN exp((sem - max(CASE WHEN ok THEN sem END) OVER w) / 0.4) END AS e FROM g4 WINDOW w AS (PARTITION BY query_id, route_id)),
-g6 AS (SELECT *, CASE WHEN mode = 's' AND cand > 1 THEN e / (sum(e) OVER w + 1e-12) WHEN ok THEN sem END AS v, {_N} AS n, {_P} AS p FROM g5 WINDOW w AS (PARTITION BY query_id, route_id)),
+g6 AS (SELECT *, CASE WHEN mode = 'col_softmax_post_filter' AND cand > 1 THEN e / (sum(e) OVER w + 1e-12) WHEN ok THEN sem END AS v, {_N} AS n, {_P} AS p FROM g5 WINDOW w AS (PARTITION BY query_id, route_id)),
 g7 AS (SELECT *, round(CASE WHEN len(soft) > 0 AND v IS NOT NULL THEN 0.8 * (CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0.5 END) + 0.2 * ({_SOFT.format(n='n', p='p')}) ELSE v END, 9) AS f FROM g6 WINDOW w AS (PARTITION BY query_id, route_id)),
 g8 AS (SELECT *, row_number() OVER (PARTITION BY query_id, route_id ORDER BY f DESC NULLS LAST, video_id) - 1 AS pos FROM g7),
 gr AS (SELECT query_id, route_id, idx, CASE WHEN ok THEN pos ELSE -1 END AS rank, NOT ok AS gt_filtered, cand, cost, CASE WHEN NOT ok THEN -2 ELSE 1 / (pos + 1) + 0.5 * (pos < 1)::INT + 0.1 * (pos < 5)::INT - 0.05 * cost END AS utility FROM g8 WHERE own = video_id),
@@ -114,7 +114,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     s = search.qamp_scores(search.prototypes(f), search.query_set(f))
     bank = routes.bank(spark)
-    sem = routes.single_scores(_axes(spark, d, s), sorted({int(x.split("/")[2]) for x in routes.BANK}))
+    sem = routes.single_scores(_axes(spark, d, s), sorted({top for _, _, _, top, *_ in routes.BANK}))
     return routes.executed(sem, bank)
 
 
@@ -138,10 +138,10 @@ def route_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_GRID + """SELECT round(avg((o.rank = 0)::INT), 6) AS oracle_r1, round(avg((m.rank = 0)::INT), 6) AS method_r1, round(avg((o.rank = 0)::INT) - avg((m.rank = 0)::INT), 6) AS gap_r1,
-round(avg(CASE WHEN o.rank >= 0 THEN 1 / (o.rank + 1) END) - avg(CASE WHEN m.rank >= 0 THEN 1 / (m.rank + 1) END), 6) AS gap_mrr FROM ob o JOIN gr m ON m.query_id = o.query_id AND m.route_id = 'R00'""")
+round(avg(CASE WHEN o.rank >= 0 THEN 1 / (o.rank + 1) END) - avg(CASE WHEN m.rank >= 0 THEN 1 / (m.rank + 1) END), 6) AS gap_mrr FROM ob o JOIN gr m ON m.query_id = o.query_id AND m.route_id = 'R00_semantic_only_top500'""")
 def oracle_gap(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d).withColumn("utility", F.round("utility", 9))
-    gap = routes.oracle_gap(g.where("route_id = 'R00'"), routes.best_route(g))
+    gap = routes.oracle_gap(g.where("route_id = 'R00_semantic_only_top500'"), routes.best_route(g))
     return gap.select(*[F.round(c, 6).alias(c) for c in gap.columns])
 
 

@@ -29,9 +29,15 @@ def test_words_within_words_are_no_time_rule(spark):
 
 def test_wrong_routes_are_errors(spark):
     assert routes.bank(spark).count() == 30
-    for line in ("geo/geo/500/r/low", "place//500/r/low", "//0/r/low"):
+    good = ("a", ["geo"], ["time"], 500, "qamp", "low", False)
+    assert routes.bank(spark, [good]).count() == 1
+    assert routes.bank(spark, [(*good[:5], "high", True)]).count() == 1
+    wrong = {0: "", 1: ["time"], 2: ["place"], 3: 42, 4: "best", 5: "none", 6: True}
+    for k, value in wrong.items():
         with pytest.raises(ValueError):
-            routes.bank(spark, [line])
+            routes.bank(spark, [(*good[:k], value, *good[k + 1 :])])
+    with pytest.raises(ValueError):
+        routes.bank(spark, [good, good])
 
 
 def test_a_bank_without_a_plain_route_gets_one(spark, tmp_path):
@@ -108,3 +114,13 @@ def test_streams_end_with_the_rows_of_a_batch(spark, tmp_path, form):
         assert [(r.event_type, r.n, r.total) for r in got] == [("click", 5, 5.0)]
     else:
         assert sorted(r.event_id for r in got) == [0, 1, 2, 3, 9]
+
+
+def test_still_runs_end_where_the_next_window_starts(spark):
+    # Ten rows a second: windows of five rows, two apart. Still, moving, still to the end.
+    values = [0.0] * 8 + [0.0, 9.0] * 4 + [1.0] * 12
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 1.0), ("c", 0, 1.0), ("c", 1, 1.0)], "k string, i int, v double")
+    durations = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 7.0)], "k string, duration double")
+    got = sorted((r.k, round(r.start, 3), round(r.end, 3)) for r in spans.variance_runs(rows, durations, "k", "i", "v", 10.0, 0.01).collect())
+    # Windows start at 0, 2, .. 22; those from 6 on hold a 9, until the one at 16; "b" has one row, "c" one short window.
+    assert got == [("a", 0.0, 0.6), ("a", 1.6, 3.0), ("c", 0.0, 7.0)]
