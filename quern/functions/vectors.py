@@ -22,7 +22,12 @@ def mean_vector(vectors: Column) -> Column:
     return F.transform(total, lambda x: x / F.size(vectors))
 
 
-def scores(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+def above(rows: DataFrame, queries: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """Like :func:`scores`, of unit vectors and only where the product is ``least`` or more; the others don't leave the kernel."""
+    return scores(rows, queries, block, least)
+
+
+def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float | None = None) -> DataFrame:
     """(query_id, score) with all columns of rows but emb: products of every row with every query.
 
     Queries (query_id, emb) are a stated set; they go to the executors in blocks of ``block`` rows.
@@ -44,9 +49,13 @@ def scores(rows: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
                     piece = batch.slice(k, 2048)
                     vectors = np.array(piece.column(at).to_pylist(), np.float64).reshape(piece.num_rows, -1)
                     product = vectors @ matrix.T
-                    index = pa.array(np.repeat(np.arange(piece.num_rows), len(ids)))
-                    columns = [piece.column(i).take(index) for i, c in enumerate(names) if c != "emb"]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(ids, piece.num_rows)), pa.array(product.ravel())], names=[*keep, "query_id", "score"])
+                    if least is None:
+                        row, query, product = np.repeat(np.arange(piece.num_rows), len(ids)), np.tile(ids, piece.num_rows), product.ravel()
+                    else:
+                        row, query = np.nonzero(product >= least)
+                        product, query = product[row, query], ids[query]
+                    columns = [piece.column(i).take(pa.array(row)) for i, c in enumerate(names) if c != "emb"]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(query), pa.array(product)], names=[*keep, "query_id", "score"])
 
         return rows.mapInArrow(run, schema)
 

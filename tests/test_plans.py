@@ -1,9 +1,12 @@
 import datetime as dt
+import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, metadata, routes, sampling, segments, spans
+from quern.operators import evaluate, experts, identity, metadata, routes, sampling, segments, spans
 from quern.sources import tables
 from quern.streaming import events
 
@@ -124,3 +127,67 @@ def test_still_runs_end_where_the_next_window_starts(spark):
     got = sorted((r.k, round(r.start, 3), round(r.end, 3)) for r in spans.variance_runs(rows, durations, "k", "i", "v", 10.0, 0.01).collect())
     # Windows start at 0, 2, .. 22; those from 6 on hold a 9, until the one at 16; "b" has one row, "c" one short window.
     assert got == [("a", 0.0, 0.6), ("a", 1.6, 3.0), ("c", 0.0, 7.0)]
+
+
+def test_close_frames_have_close_hashes():
+    r = np.random.RandomState(0)
+    image = r.randint(0, 256, (64, 64, 3), dtype=np.uint8)
+    other = image.copy()
+    other[0, 0] = (other[0, 0].astype(int) + 1) % 256
+    a, b = (int(x) for x in identity.perceptual_hashes(np.stack([image, other])))
+    assert bin((a ^ b) & (2**64 - 1)).count("1") <= 5
+    # A frame of another size, against the definition by sums.
+    grey = r.randint(0, 256, (50, 70), dtype=np.uint8)
+    ys, xs = np.linspace(0, 50, 33).astype(int), np.linspace(0, 70, 33).astype(int)
+    small = np.array([[grey[ys[i] : ys[i + 1], xs[j] : xs[j + 1]].mean() for j in range(32)] for i in range(32)])
+    n = np.arange(32)
+    low = np.array([[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in n for x in n) * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 16 for v in range(8)] for u in range(8)])
+    low[0, 0] = 0
+    want = sum(1 << k for k, c in enumerate(low.ravel()) if c > np.median(low))
+    assert int(identity.perceptual_hashes(grey[None])[0]) & (2**64 - 1) == want
+
+
+def test_hashes_of_frames_of_all_shapes(spark):
+    r = np.random.RandomState(1)
+    shapes = [(40, 40, 3), (40, 40, 1), (8, 8, 1), (33, 90, 3), (40, 40, 3)]
+    images = [r.randint(0, 256, s, dtype=np.uint8) for s in shapes]
+    images[4] = images[0]
+    rows = [(k, *s, bytearray(i.tobytes()), "x") for k, (s, i) in enumerate(zip(shapes, images, strict=True))] + [(5, 0, 0, 0, bytearray(), "x"), (6, None, None, None, None, "x")]
+    got = {x.id: x for x in identity.hashed(spark.createDataFrame(rows, "id int, height int, width int, channels int, pixels binary, note string")).collect()}
+    assert got[0].phash == got[4].phash and got[0].exact_key == got[4].exact_key == hashlib.sha256(np.ascontiguousarray(images[0][::16, ::16]).tobytes()).hexdigest()
+    assert all(got[k].phash == int(identity.perceptual_hashes(images[k][None] if shapes[k][2] == 3 else images[k][None, ..., 0])[0]) for k in range(5))
+    assert got[5].phash == got[6].phash == 0 and got[5].exact_key == got[6].exact_key == hashlib.sha256(b"").hexdigest() and got[6].note == "x"
+
+
+@pytest.mark.parametrize("bands", [6, 7, 8])
+def test_hamming_join_equals_all_pairs(spark, bands):
+    r = random.Random(bands)
+    seeds = [r.getrandbits(64) for _ in range(12)]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    turned = lambda x: signed(x ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))))
+    store = [(k, turned(r.choice(seeds))) for k in range(150)] + [(k, signed(seeds[0])) for k in range(150, 200)] + [(200, None)]
+    queries = [(k, turned(r.choice(seeds))) for k in range(80)] + [(80, None), (81, signed(seeds[0]))] * 2
+    got = identity.nearest_by_hash(spark.createDataFrame(queries, "query_id long, phash long"), spark.createDataFrame(store, "frame_id long, phash long"), 5, bands).collect()
+    first, last = {}, {}
+    for k, h in store:
+        first.setdefault(h, k)
+        last[h] = k
+    want = []
+    for q, h in queries:
+        near = [] if h is None else sorted((bin((h ^ s) & (2**64 - 1)).count("1"), first[s], last[s]) for s in first if s is not None)
+        want.append((q, near[0][2], near[0][0]) if near and near[0][0] <= 5 else (q, None, None))
+    assert sorted(((x.query_id, x.match_id, x.distance) for x in got), key=repr) == sorted(want, key=repr)
+    assert any(w[1] is None for w in want) and any((w[2] or 0) > 2 for w in want)
+
+
+def test_masks_part_more_hashes_into_longer_keys():
+    assert [identity.bands_for(n, 5) for n in (10, 10**5, 10**8, 10**10)] == [6, 7, 8, 9]
+    assert all(bin(m & (2**64 - 1)).count("1") >= 18 for m in identity.masks_of(5, 7)) and len(identity.masks_of(5, 7)) == 21
+
+
+def test_levels_of_identity(spark):
+    store = spark.createDataFrame([(1, "a", 0, [1.0, 0.0]), (2, "a", 0, [1.0, 0.0]), (3, "b", 255, [0.0, 1.0])], "frame_id long, exact_key string, phash long, emb array<double>")
+    queries = spark.createDataFrame([(1, "a", 2**62, [0.0, 1.0]), (2, "z", 7, [0.0, 1.0]), (3, "z", 2**62 - 1, [0.1, 0.995]), (4, "z", 2**62 - 1, [0.7, 0.7])], "query_id long, exact_key string, phash long, emb array<double>")
+    got = lambda mode: sorted(tuple(r) for r in identity.matched(queries, store, mode).collect())
+    assert got("embedding") == [(1, "exact", 2), (2, "perceptual", 2), (3, "embedding", 3), (4, "miss", None)]
+    assert got("perceptual")[2:] == [(3, "miss", None), (4, "miss", None)] and got("exact")[1] == (2, "miss", None)
