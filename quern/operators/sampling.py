@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.scans import anchored, anchors
+
 MERGE_GAP, FPS, BUCKETS = 0.05, 25.0, 10
 
 
@@ -34,23 +36,16 @@ def dense_proposals(intervals: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def merged(proposals: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
-    """video_id, ts, subscribers (sorted), frame_idx: proposals less than gap after the first of a point join that point.
-
-    A video's plan is one fold over its proposals; their number is bounded by the tasks' limits.
-    """
-    point = F.struct("ts", "task_id")
-    kind = "array<struct<ts:double,tasks:array<string>>>"
+    """video_id, ts, subscribers (sorted), frame_idx: proposals less than gap after the first of a point join that point."""
+    points = anchored(proposals, "video_id", "ts", gap)
+    plan = points.groupBy("video_id", F.col("anchor").alias("ts")).agg(F.array_sort(F.collect_set("task_id")).alias("subscribers"))
+    return plan.select("video_id", "ts", "subscribers", F.floor(F.col("ts") * FPS).cast("int").alias("frame_idx"))
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["ts"] - F.try_element_at(acc, F.lit(-1))["ts"] < gap)
-        more = F.array(F.struct(last["ts"].alias("ts"), F.array_union(last["tasks"], F.array(x["task_id"])).alias("tasks")))
-        one = F.array(F.struct(x["ts"].alias("ts"), F.array(x["task_id"]).alias("tasks")))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), more)).otherwise(F.concat(acc, one)).cast(kind)
 
-    plan = proposals.groupBy("video_id").agg(F.aggregate(F.array_sort(F.collect_list(point)), F.array().cast(kind), step).alias("p"))
-    rows = plan.select("video_id", F.explode("p").alias("p"))
-    return rows.select("video_id", F.col("p.ts").alias("ts"), F.array_sort("p.tasks").alias("subscribers"), F.floor(F.col("p.ts") * FPS).cast("int").alias("frame_idx"))
+def union_of_samplers(samples: DataFrame, gap: float = 0.2) -> DataFrame:
+    """video_id, ts, origins: samples (video_id, ts, origin) of several samplers; those up to gap after a point join it, with their origins."""
+    points = anchored(samples, "video_id", "ts", gap, strict=True)
+    return points.groupBy("video_id", F.col("anchor").alias("ts")).agg(F.array_join(F.array_sort(F.collect_set("origin")), "|").alias("origins"))
 
 
 def static_mask(videos: DataFrame, static: DataFrame, boundaries: DataFrame, least: float = 2.0) -> DataFrame:
@@ -99,11 +94,17 @@ def static_runs(frames: DataFrame, key: str, ts: str, value: str, threshold: flo
     return static, d.where(F.col("_d") > boundary).select(key, F.col(ts).alias("ts"))
 
 
-def spaced(rows: DataFrame, key: str, ts: str, score: str, tau: float, gap: float) -> DataFrame:
-    """key, ts of rows with a score of tau or more, each at least gap after the last one taken."""
-    kind = "array<double>"
-    fold = F.aggregate(F.array_sort(F.collect_list(ts)), F.array().cast(kind), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return rows.where(F.col(score) >= tau).groupBy(key).agg(fold.alias("t")).select(key, F.explode("t").alias(ts))
+def spaced(rows: DataFrame, key: str, ts: str, score: str, tau: float, gap: float, fallback: float | None = None) -> DataFrame:
+    """key, ts of rows with a score of tau or more, each at least gap after the last one taken.
+
+    With ``fallback`` a key without such a row gives its :func:`changed_frames` at that threshold.
+    """
+    taken = anchors(rows.where(F.col(score) >= tau), key, ts, gap)
+    if fallback is None:
+        return taken
+    none = rows.groupBy(key).agg(F.max(score).alias("_m")).where((F.col("_m") < tau) | F.col("_m").isNull()).select(F.col(key).alias("_k"))
+    rest = rows.join(none, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    return taken.unionByName(changed_frames(rest, key, ts, score, fallback).select(key, ts))
 
 
 def independent(videos: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -124,16 +125,3 @@ def interest(rows: DataFrame, key: str, ts: str, score: str, tau: float, width:
     if most:
         r = r.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc(), ts))).where(F.col("_k") <= most)
     return r.select(key, F.greatest(F.lit(0.0), F.col(ts) - width).alias("start"), (F.col(ts) + width).alias("end"), F.col(score).alias("score"))
-
-
-def suppressed(segments: Column, threshold: float) -> Column:
-    """Segments (start, end, score) by score, each kept if its IoU with all kept ones is below the threshold."""
-    kind = "array<struct<start:double,end:double,score:double>>"
-    order = F.array_sort(segments, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-
-    def iou(a, b):
-        both = F.greatest(F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]), F.lit(0.0))
-        hull = F.greatest(a["end"], b["end"]) - F.least(a["start"], b["start"])
-        return F.when(hull > 0, both / hull).otherwise(0.0)
-
-    return F.aggregate(order, F.array().cast(kind), lambda acc, x: F.when(F.forall(acc, lambda y: iou(x, y) < threshold), F.concat(acc, F.array(x).cast(kind))).otherwise(acc))

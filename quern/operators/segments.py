@@ -61,28 +61,6 @@ def uniform_grid(videos: DataFrame, fps: float, most: int) -> DataFrame:
     return g.select("video_id", "i", F.when(F.col("_n") > most, F.col("i") * F.col("duration") / most).otherwise(F.col("i") / fps).alias("ts"))
 
 
-def anchored_merge(points: Column, gap: float) -> Column:
-    """Sorted points reduced to anchors: a point less than gap after the last anchor joins it."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(F.array_sort(points), start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-
-
-def interest_budget(intervals: Column, most: int = 10, total: float = 60.0, least: float = 0.2) -> Column:
-    """Intervals by score while there are fewer than ``most`` and time is left; one over is cut, a cut below ``least`` skipped; by start."""
-    kind = "struct<sum:double,kept:array<struct<start:double,end:double,score:double>>>"
-    order = F.array_sort(intervals, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-
-    def step(acc, x):
-        left, size = total - acc["sum"], x["end"] - x["start"]
-        end = F.when(size > left, x["start"] + left).otherwise(x["end"])
-        take = (F.size(acc["kept"]) < most) & ((size <= left) | (left >= least))
-        one = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["score"].alias("score")))
-        return F.when(take, F.struct((acc["sum"] + end - x["start"]).alias("sum"), F.concat(acc["kept"], one).alias("kept"))).otherwise(acc).cast(kind)
-
-    first = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:double,end:double,score:double>>").alias("kept")).cast(kind)
-    return F.array_sort(F.aggregate(order, first, step)["kept"])
-
-
 def nearest_gap(left: DataFrame, right: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Rows of left with gap: the time to the nearest row of right with the same key; null for none."""
     both = left.select(key, ts, F.lit(0).alias("_r")).unionByName(right.select(key, ts, F.lit(1).alias("_r")))

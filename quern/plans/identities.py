@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import identity
-from quern.plans.catalogue import query
+from quern.operators import identity, sampling, scans
+from quern.plans.catalogue import _SERIES, _series, query
 from quern.sources.tables import table
 
 #: A frame of 8 x 8 grey pixels of each embedding; its hash by DCT of the frame blown up to 32 x 32.
@@ -65,3 +65,31 @@ def frame_matches(spark: SparkSession, d: str) -> DataFrame:
     q = _turned(h).withColumn("exact_key", F.when(F.col("query_id") % 60 == 0, F.col("exact_key")).otherwise("other")).join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
     store = h.join(e, "vec_id").where("vec_id % 3 = 0").withColumnRenamed("vec_id", "frame_id")
     return identity.matched(q, store, cosine=0.9)
+
+
+@query(_SERIES + """, w AS (SELECT user_id, greatest(0, t - 0.7) AS s, t + v / 20 + 0.7 AS e, v FROM r WHERE v > 30), m AS (SELECT *, coalesce(s - max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1.5, true) AS n FROM w),
+c AS (SELECT *, sum(n::INT) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m), j AS (SELECT user_id, min(s) AS s, max(e) AS e, max(v) AS v FROM c GROUP BY user_id, g),
+p AS (SELECT user_id, list({'u': least(e - s, 25), 's': [s], 'e': [least(e, s + 25)], 'v': [v]} ORDER BY v DESC, s, e) AS p FROM j GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN len(a.s) < 6 AND (x.u <= 25 - a.u OR 25 - a.u >= 0.2) THEN {'u': a.u + least(x.u, 25 - a.u), 's': list_concat(a.s, x.s), 'e': list_concat(a.e, [least(x.e[1], x.s[1] + 25 - a.u)]), 'v': list_concat(a.v, x.v)} ELSE a END) AS k FROM p),
+u AS (SELECT user_id, unnest(k.s) AS s, unnest(k.e) AS e, unnest(k.v) AS v FROM f) SELECT user_id, round(s, 4) AS "start", round(e, 4) AS "end", v AS score FROM u""")
+def interest_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Interest about lively rows: widened, merged, and taken by score within a budget."""
+    i = _series(spark, d).where("v > 30").select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("v") / 20).alias("end"), F.col("v").alias("score"))
+    return scans.interest_plan(i, "user_id", 0.7, 1.5, 6, 25.0).select("user_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "score")
+
+
+@query(_SERIES + """, a AS (SELECT user_id, t, 'lively' AS o FROM r WHERE v > 40 UNION ALL SELECT user_id, t, 'even' FROM r WHERE floor(t)::BIGINT % 2 = 0), p AS (SELECT user_id, list({'t': [t], 'o': [[o]]} ORDER BY t, o) AS p FROM a GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN x.t[1] - a.t[len(a.t)] > 8 THEN {'t': list_concat(a.t, x.t), 'o': list_concat(a.o, x.o)} ELSE {'t': a.t, 'o': list_concat(a.o[1:len(a.o) - 1], [list_distinct(list_concat(a.o[len(a.o)], x.o[1]))])} END) AS f FROM p),
+u AS (SELECT user_id, unnest(f.t) AS t, unnest(f.o) AS o FROM f) SELECT user_id, round(t, 6) AS t, array_to_string(list_sort(o), '|') AS origins FROM u""")
+def union_of_samplers(spark: SparkSession, d: str) -> DataFrame:
+    """Lively rows and those of even hours, of which those up to eight hours after a point join it."""
+    r = _series(spark, d).withColumnsRenamed({"user_id": "video_id", "t": "ts"})
+    both = r.where("v > 40").withColumn("origin", F.lit("lively")).unionByName(r.where(F.floor("ts") % 2 == 0).withColumn("origin", F.lit("even")))
+    return sampling.union_of_samplers(both, 8.0).select(F.col("video_id").alias("user_id"), F.round("ts", 6).alias("t"), "origins")
+
+
+@query(_SERIES + """, p AS (SELECT user_id, list([{'t': t, 'v': v}] ORDER BY v DESC, t) AS p FROM r GROUP BY user_id), f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN len(a) < 5 AND len(list_filter(a, lambda y: abs(y.t - x[1].t) <= 12)) = 0 THEN list_concat(a, x) ELSE a END) AS k FROM p),
+u AS (SELECT user_id, unnest(k) AS k FROM f) SELECT user_id, round(k.t, 6) AS t, k.v AS v FROM u""")
+def best_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """The five best rows of each user that lie more than twelve hours apart."""
+    return scans.best_spaced(_series(spark, d), "user_id", "t", "v", 5, 12.0).select("user_id", F.round("t", 6).alias("t"), "v")

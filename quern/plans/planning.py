@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import sampling, segments, spans
+from quern.operators import sampling, scans, spans
 from quern.plans.catalogue import _SERIES, _series, query
 from quern.sources.tables import table
 
@@ -127,9 +127,8 @@ _NMS_IOU = "greatest(least(y.e, x[1].e) - greatest(y.s, x[1].s), 0) / (greatest(
 f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN len(list_filter(a, lambda y: NOT (""" + _NMS_IOU + """))) = 0 THEN list_concat(a, x) ELSE a END) AS k FROM p), u AS (SELECT user_id, unnest(k) AS k FROM f)
 SELECT user_id, round(k.s, 5) AS "start", round(k.e, 5) AS "end", k.v AS score FROM u""")
 def suppressed_segments(spark: SparkSession, d: str) -> DataFrame:
-    x = F.struct(F.col("t").alias("start"), (F.col("t") + 3 + F.col("v") / 10).alias("end"), F.col("v").alias("score"))
-    k = _series(spark, d).groupBy("user_id").agg(sampling.suppressed(F.collect_list(x), 0.3).alias("k")).select("user_id", F.explode("k").alias("k"))
-    return k.select("user_id", F.round("k.start", 5).alias("start"), F.round("k.end", 5).alias("end"), F.col("k.score").alias("score"))
+    x = _series(spark, d).select("user_id", F.col("t").alias("start"), (F.col("t") + 3 + F.col("v") / 10).alias("end"), F.col("v").alias("score"))
+    return scans.suppressed(x, "user_id", 0.3).select("user_id", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "score")
 
 
 #: True segments about clicks, predicted ones about errors.
@@ -195,5 +194,5 @@ def gyro_static(spark: SparkSession, d: str) -> DataFrame:
 @query(_SERIES + """, p AS (SELECT user_id, list([t] ORDER BY t) AS p FROM r GROUP BY user_id), f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN x[1] - a[len(a)] >= 5 THEN list_concat(a, x) ELSE a END) AS a FROM p)
 SELECT user_id, len(a)::INT AS n, round(list_sum(a), 3) AS total FROM f""")
 def anchored_merge(spark: SparkSession, d: str) -> DataFrame:
-    p = _series(spark, d).groupBy("user_id").agg(F.collect_list("t").alias("p")).withColumn("a", segments.anchored_merge(F.col("p"), 5.0))
-    return p.select("user_id", F.size("a").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    a = scans.anchors(_series(spark, d), "user_id", "t", 5.0)
+    return a.groupBy("user_id").agg(F.count("*").cast("int").alias("n"), F.round(F.sum("t"), 3).alias("total"))

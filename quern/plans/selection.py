@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import experts, search
+from quern.operators import experts, scans, search
 from quern.plans.catalogue import _FRAMES, _LATTICE, _SERIES, _lattice, _series, query
-from quern.operators import segments
 from quern.sources.tables import frames, table
 
 _SUBSETS = "su AS (SELECT sid, 1 + ((sid & 1) > 0)::INT * 2.0 + ((sid & 2) > 0)::INT * 2.0 + ((sid & 4) > 0)::INT * 3.0 + ((sid & 8) > 0)::INT * 1.5 AS cost FROM range(0, 16) t(sid))"
@@ -106,6 +105,5 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN len(a.s) < 10 AND (x.u <= 60 - a.u OR 60 - a.u >= 0.2) THEN {'u': a.u + least(x.u, 60 - a.u), 's': list_concat(a.s, x.s), 'e': list_concat(a.e, [least(x.e[1], x.s[1] + 60 - a.u)]), 'v': list_concat(a.v, x.v)} ELSE a END) AS k FROM p),
 u AS (SELECT user_id, unnest(k.s) AS s, unnest(k.e) AS e, unnest(k.v) AS v FROM f) SELECT user_id, round(s, 5) AS "start", round(e, 5) AS "end", v AS score FROM u""")
 def interest_budget(spark: SparkSession, d: str) -> DataFrame:
-    i = _series(spark, d).select("user_id", F.struct(F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score")).alias("x"))
-    kept = i.groupBy("user_id").agg(segments.interest_budget(F.collect_list("x")).alias("k"))
-    return kept.select("user_id", F.explode("k").alias("k")).select("user_id", F.round("k.start", 5).alias("start"), F.round("k.end", 5).alias("end"), F.col("k.score").alias("score"))
+    i = _series(spark, d).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score"))
+    return scans.budgeted(i, "user_id").select("user_id", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "score")

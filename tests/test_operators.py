@@ -3,12 +3,13 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, metadata, search, segments
+from quern.operators import evaluate, metadata, scans, search, segments
 
 
 def test_anchored_merge_compares_with_the_first_point(spark):
-    df = spark.createDataFrame([([1.0, 1.02, 1.06, 1.07, 1.2],), ([],)], "p array<double>")
-    assert [r.a for r in df.select(segments.anchored_merge(F.col("p"), 0.05).alias("a")).collect()] == [[1.0, 1.06, 1.2], []]
+    df = spark.createDataFrame([(1, t) for t in (1.0, 1.02, 1.06, 1.07, 1.2)], "k int, t double")
+    assert sorted(r.t for r in scans.anchors(df, "k", "t", 0.05).collect()) == [1.0, 1.06, 1.2]
+    assert scans.anchors(df.limit(0), "k", "t", 0.05).count() == 0
 
 
 def test_smoothing_pads_with_zeros(spark):
@@ -18,10 +19,8 @@ def test_smoothing_pads_with_zeros(spark):
 
 
 def test_interest_budget_cuts_the_interval_over(spark):
-    rows = [([(0.0, 40.0, 0.9), (50.0, 90.0, 0.8), (95.0, 99.0, 0.1)],)]
-    df = spark.createDataFrame(rows, "x array<struct<start:double,end:double,score:double>>")
-    got = df.select(segments.interest_budget(F.col("x")).alias("k")).first().k
-    assert [tuple(x) for x in got] == [(0.0, 40.0, 0.9), (50.0, 70.0, 0.8)]
+    df = spark.createDataFrame([(1, 0.0, 40.0, 0.9), (1, 50.0, 90.0, 0.8), (1, 95.0, 99.0, 0.1)], "k int, start double, end double, score double")
+    assert sorted(tuple(x)[1:] for x in scans.budgeted(df, "k").collect()) == [(0.0, 40.0, 0.9), (50.0, 70.0, 0.8)]
 
 
 def test_iou_uses_the_hull(spark):

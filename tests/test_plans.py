@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, identity, metadata, routes, sampling, segments, spans
+from quern.operators import evaluate, experts, identity, metadata, routes, sampling, scans, segments, spans
 from quern.sources import tables
 from quern.streaming import events
 
@@ -56,8 +56,8 @@ def test_plans_join_what_tasks_share(spark):
 
 
 def test_suppression(spark):
-    x = spark.sql("SELECT array(named_struct('start', 0D, 'end', 5D, 'score', .9D), named_struct('start', 1D, 'end', 6D, 'score', .8D), named_struct('start', 20D, 'end', 25D, 'score', .7D)) AS s")
-    assert [k.start for k in x.select(sampling.suppressed(F.col("s"), 0.3).alias("k")).first().k] == [0.0, 20.0]
+    x = spark.createDataFrame([(1, 0.0, 5.0, 0.9), (1, 1.0, 6.0, 0.8), (1, 20.0, 25.0, 0.7)], "k int, start double, end double, score double")
+    assert sorted(r.start for r in scans.suppressed(x, "k", 0.3).collect()) == [0.0, 20.0]
 
 
 def test_segment_measures(spark):
@@ -191,3 +191,79 @@ def test_levels_of_identity(spark):
     got = lambda mode: sorted(tuple(r) for r in identity.matched(queries, store, mode).collect())
     assert got("embedding") == [(1, "exact", 2), (2, "perceptual", 2), (3, "embedding", 3), (4, "miss", None)]
     assert got("perceptual")[2:] == [(3, "miss", None), (4, "miss", None)] and got("exact")[1] == (2, "miss", None)
+
+
+def walk(times, gap, strict=False):
+    out = []
+    for t in sorted(times):
+        if not out or (t - out[-1] > gap if strict else t - out[-1] >= gap):
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_anchors_over_blocks_equal_one_walk(spark, strict):
+    r = random.Random(3)
+    series = {k: [round(r.uniform(0, 40), r.choice([1, 3])) for _ in range(n)] for k, n in enumerate((1, 2, 30, 400, 4000))}
+    series[None] = [0.1 * i for i in range(300)] + [-3.7, -3.7, 1000.0]
+    rows = [(k, t, "x") for k, ts in series.items() for t in ts] + [(3, None, "x")]
+    df = spark.createDataFrame(rows, "k int, t double, anchor string").drop("anchor").repartition(3)
+    for gap, gaps in ((0.3, 2), (0.1, 7), (5.0, 64)):
+        got = {}
+        for x in scans.anchors(df, "k", "t", gap, strict, gaps).collect():
+            got.setdefault(x.k, []).append(x.t)
+        assert {k: sorted(v) for k, v in got.items()} == {k: walk(v, gap, strict) for k, v in series.items()}
+    for x in scans.anchored(df, "k", "t", 0.3, strict, 2).collect():
+        assert x.anchor == max(a for a in walk(series[x.k], 0.3, strict) if a <= x.t)
+
+
+def test_a_long_series_is_scanned_in_blocks(spark):
+    rows = spark.range(80_000).select(F.lit(1).alias("k"), (F.col("id") * 0.01).alias("t"), F.lit(1.0).alias("v"))
+    assert sampling.spaced(rows, "k", "t", "v", 0.5, 0.05).count() == len(walk([i * 0.01 for i in range(80_000)], 0.05))
+
+
+def test_spaced_frames_fall_back_to_changes(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.1), (1, 1.0, 0.3), (1, 2.0, 0.31), (2, 0.0, 0.9), (2, 0.2, 0.9), (3, 0.0, None)], "k int, t double, v double")
+    got = sorted(map(tuple, sampling.spaced(df, "k", "t", "v", 0.5, 1.0, fallback=0.06).collect()))
+    assert got == [(1, 0.0), (1, 1.0), (2, 0.0), (3, 0.0)]
+    assert sorted(map(tuple, sampling.spaced(df, "k", "t", "v", 0.5, 1.0).collect())) == [(2, 0.0)]
+
+
+def test_union_of_samplers_joins_origins(spark):
+    grid = [(1, i / 2, "uniform") for i in range(4)] + [(1, i / 4, "dense") for i in range(8)] + [(2, 0.1, "uniform")]
+    got = sorted(map(tuple, sampling.union_of_samplers(spark.createDataFrame(grid, "video_id int, ts double, origin string"), 0.1).collect()))
+    assert got == [(1, i / 4, "dense" if i % 2 else "dense|uniform") for i in range(8)] + [(2, 0.1, "uniform")]
+
+
+def test_interest_is_merged_before_the_budget(spark):
+    schema = "k int, start double, end double, score double"
+    one = spark.createDataFrame([(1, 1.0, 2.0, 0.8), (1, 2.3, 3.0, 0.7), (1, 1.5, 2.5, 0.9)], schema)
+    assert [tuple(x) for x in scans.interest_plan(one, "k", 0.0, 0.5).collect()] == [(1, 1.0, 3.0, 0.9)]
+    three = spark.createDataFrame([(1, 0.0, 0.5, 0.9), (1, 2.0, 2.5, 0.8), (1, 4.0, 4.5, 0.7)], schema)
+    assert sorted(x.start for x in scans.interest_plan(three, "k", 0.0, 0.0, most=2).collect()) == [0.0, 2.0]
+    # What is left after the first is too little for the second, but the third fits.
+    small = spark.createDataFrame([(1, 0.0, 59.9, 0.9), (1, 70.0, 75.0, 0.8), (1, 80.0, 80.05, 0.7)], schema)
+    assert sorted(x.start for x in scans.budgeted(small, "k").collect()) == [0.0, 80.0]
+
+
+@pytest.mark.parametrize("large", [5, 10**6])
+def test_suppression_equals_one_greedy_walk(spark, large, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(7)
+    rows = [(k, round(a := r.uniform(0, 60), 2), round(a + r.uniform(0, 6), 2), r.choice([0.5, r.random()])) for k in (1, 2, None) for _ in range(120)]
+    rows += [(5, float(i), i + 1.5, i / 100) for i in range(60)] + rows[:3]
+    got = sorted(map(tuple, scans.suppressed(spark.createDataFrame(rows, "k int, start double, end double, score double"), "k", 0.25, large).collect()), key=repr)
+    want = []
+    for k in (1, 2, None, 5):
+        kept = []
+        for x in sorted({x for x in rows if x[0] == k}, key=lambda x: (-x[3], x[1], x[2])):
+            over = [max(0.0, min(x[2], y[2]) - max(x[1], y[1])) / (max(x[2], y[2]) - min(x[1], y[1]) or 1) for y in kept]
+            if all(o < 0.25 for o in over):
+                kept.append(x)
+        want += kept
+    assert got == sorted(want, key=repr)
+
+
+def test_best_rows_lie_apart(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.9), (1, 0.3, 0.8), (1, 0.31, 0.7), (1, 5.0, 0.1), (2, 1.0, 0.5), (2, 1.0, 0.5)], "k int, t double, v double")
+    assert sorted(map(tuple, scans.best_spaced(df, "k", "t", "v", 2, 0.3).collect())) == [(1, 0.0, 0.9), (1, 0.31, 0.7), (2, 1.0, 0.5)]
