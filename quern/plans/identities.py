@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import identity, sampling, scans
+from quern.operators import identity, sampling, scans, spectra
 from quern.plans.catalogue import _SERIES, _series, query
 from quern.sources.tables import table
 
@@ -93,3 +93,31 @@ u AS (SELECT user_id, unnest(k) AS k FROM f) SELECT user_id, round(k.t, 6) AS t,
 def best_spaced(spark: SparkSession, d: str) -> DataFrame:
     """The five best rows of each user that lie more than twelve hours apart."""
     return scans.best_spaced(_series(spark, d), "user_id", "t", "v", 5, 12.0).select("user_id", F.round("t", 6).alias("t"), "v")
+
+
+#: Sensor streams of suppliers: gyroscope from prices, and a pull that swings with a frequency of each supplier's own.
+_SENSOR = """WITH l AS (SELECT l_suppkey AS k, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+g AS (SELECT k, avg(sqrt((d * (k % 5)) ** 2 + (t * (k % 5)) ** 2 + (q / 500 * (k % 5)) ** 2)) AS gm FROM l GROUP BY k),
+a AS (SELECT k, i, n, sqrt(d ** 2 + t ** 2 + (9.8 + (k % 4) * sin(2 * pi() * (k % 9 + 1) * 0.45 * i / 50) + q / 400) ** 2) - 9.80 AS v FROM l WHERE k % 11 <> 0),
+m AS (SELECT k, avg(abs(v)) AS am FROM a WHERE n > 4 GROUP BY k), f AS (SELECT k, max(n) AS n, j, sum(v * cos(2 * pi() * (j * i % n) / n)) AS re, sum(v * sin(2 * pi() * (j * i % n) / n)) AS im FROM a, range(1, 100000) r(j) WHERE j <= n // 2 GROUP BY k, j),
+h AS (SELECT k, arg_max(j, re * re + im * im) AS j, max(n) AS n FROM f GROUP BY k)
+"""
+
+
+def _sensors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    l = table(spark, d, "lineitem")
+    k = F.col("l_suppkey")
+    x = l.select(k, *[F.col(c).cast("double").alias(c) for c in ("l_discount", "l_tax", "l_quantity")], (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1).alias("i"))
+    gyro = x.select("l_suppkey", (F.col("l_discount") * (k % 5)).alias("gx"), (F.col("l_tax") * (k % 5)).alias("gy"), (F.col("l_quantity") / 500 * (k % 5)).alias("gz"))
+    swing = F.lit(9.8) + (k % 4) * F.sin(F.lit(2.0) * F.lit(3.141592653589793) * (k % 9 + 1) * 0.45 * F.col("i") / 50) + F.col("l_quantity") / 400
+    accel = x.where(k % 11 != 0).select("l_suppkey", "i", F.col("l_discount").alias("ax"), F.col("l_tax").alias("ay"), swing.alias("az"))
+    return gyro, accel
+
+
+@query(_SENSOR + """SELECT g.k AS l_suppkey, CASE WHEN gm < 0.05 AND (am IS NULL OR am < 0.3) THEN 'stationary' WHEN hz BETWEEN 2.2 AND 4 AND am > 1.5 THEN 'running' WHEN hz >= 1.2 AND hz < 2.2 AND am > 0.5 THEN 'walking'
+WHEN hz < 1 AND gm < 0.2 AND am < 0.5 THEN 'vehicle' WHEN gm BETWEEN 0.05 AND 0.5 THEN 'walking' WHEN gm > 1 THEN 'running' ELSE 'unknown' END AS label, round(gm, 5) AS gyro_mag, round(am, 5) AS accel_mag, round(hz, 5) AS hz
+FROM g LEFT JOIN (SELECT k, am, j * 50.0::DOUBLE / n AS hz FROM m JOIN h USING (k)) USING (k)""")
+def sensor_motion(spark: SparkSession, d: str) -> DataFrame:
+    """Motion of suppliers' sensor streams by rules on means and main frequency."""
+    m = spectra.sensor_motion(*_sensors(spark, d), "l_suppkey")
+    return m.select("l_suppkey", "label", *[F.round(c, 5).alias(c) for c in ("gyro_mag", "accel_mag", "hz")])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, identity, metadata, routes, sampling, scans, segments, spans
+from quern.operators import evaluate, experts, identity, metadata, routes, sampling, scans, segments, spans, spectra
 from quern.sources import tables
 from quern.streaming import events
 
@@ -267,3 +267,31 @@ def test_suppression_equals_one_greedy_walk(spark, large, tmp_path):
 def test_best_rows_lie_apart(spark):
     df = spark.createDataFrame([(1, 0.0, 0.9), (1, 0.3, 0.8), (1, 0.31, 0.7), (1, 5.0, 0.1), (2, 1.0, 0.5), (2, 1.0, 0.5)], "k int, t double, v double")
     assert sorted(map(tuple, scans.best_spaced(df, "k", "t", "v", 2, 0.3).collect())) == [(1, 0.0, 0.9), (1, 0.31, 0.7), (2, 1.0, 0.5)]
+
+
+def test_main_frequency_in_one_task_and_spread(spark):
+    r = np.random.RandomState(5)
+    series = {"a": r.randn(50), "b": r.randn(51), "c": np.sin(np.arange(97) * 2 * np.pi * 11 / 97), "d": r.randn(2), "e": np.arange(200.0)}
+    df = spark.createDataFrame([(k, i, float(x)) for k, xs in series.items() for i, x in enumerate(xs)] + [("one", 0, 1.0)], "key string, i int, v double").repartition(3)
+    want = {k: (len(x), 1 + int(np.abs(np.fft.rfft(x - x.mean()))[1:].argmax())) for k, x in series.items()} | {"one": (1, None)}
+    assert {x.key: (x.n_rows, x.bin) for x in spectra.main_frequency(df, "key", "i", "v").collect()} == want
+    spread = {x.key: (x.n_rows, x.bin) for x in spectra.main_frequency(df, "key", "i", "v", long=10).collect()}
+    assert spread == want
+
+
+def test_spread_transform_equals_the_whole(spark):
+    x = np.random.RandomState(2).randn(300)
+    df = spark.createDataFrame([("a", i, float(v), 300) for i, v in enumerate(x)], "_key string, i long, x double, n long")
+    got = sorted((r.i, r.re, r.im) for r in spectra.spread_transform(df).collect())
+    assert np.allclose([complex(a, b) for _, a, b in got], np.fft.fft(x), atol=1e-8)
+
+
+def test_motion_of_sensor_streams(spark):
+    t = np.linspace(0, 2.0, 100)
+    swing = 3.0 * np.sin(2 * np.pi * 3.0 * t)
+    gyro = [("still", 0.0, 0.0, 0.0)] * 100 + [("run", *(0.3 * x)) for x in np.random.RandomState(0).randn(100, 3).tolist() for x in [np.array(x)]] + [("short", 1.0, 1.0, 1.0), ("alone", 0.9, 0.9, 0.9), ("alone", 0.9, 0.9, 0.9)]
+    accel = [("still", i, 0.0, 0.0, 9.8) for i in range(100)] + [("run", i, 0.0, 0.0, 9.8 + float(s)) for i, s in enumerate(swing)] + [("alone", i, 0.0, 0.0, 20.0) for i in range(4)]
+    got = {x.k: x for x in spectra.sensor_motion(spark.createDataFrame([(k, *map(float, v)) for k, *v in gyro], "k string, gx double, gy double, gz double"), spark.createDataFrame(accel, "k string, i int, ax double, ay double, az double"), "k").collect()}
+    assert got["still"].label == "stationary" and got["run"].label == "running" and abs(got["run"].hz - 3) < 0.5
+    assert tuple(got["short"])[1:] == ("unknown", 0.0, None, None, None)
+    assert got["alone"].label == "running" and got["alone"].accel_mag is None and got["alone"].confidence == 0.5
