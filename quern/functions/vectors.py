@@ -67,3 +67,62 @@ def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float
         part = add(held) if held else rows.limit(0).select(*keep, F.lit(0).cast("bigint").alias("query_id"), F.lit(0.0).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block: int = 4096, cells: int = 2_000_000) -> DataFrame:
+    """video_id, query_id, base, qamp of every video with every query: a row for each pair leaves the kernel, not one for each prototype.
+
+    videos: video_id and protos, an array of (k, emb) in the order of k. base is the best product over the prototypes of the greatest of ``ks``, null where there is none;
+    qamp the mean over ``ks`` of the products pooled by their softmax at ``tau``; a k without prototypes adds 0. Queries (query_id, emb) are a
+    stated set, sent to the executors in blocks of ``block`` rows. A task holds about ``cells`` products at a time.
+    """
+    finest, t = max(ks), max(tau, 1e-6)
+    schema = videos.select("video_id").withColumns({"query_id": F.lit(0).cast("bigint"), "base": F.lit(None).cast("double"), "qamp": F.lit(0.0)}).schema
+    slim = videos.select("video_id", F.transform("protos", lambda p: p["k"].cast("int")).alias("k"), F.flatten(F.transform("protos", lambda p: p["emb"])).alias("emb"))
+
+    def pool(batch, matrix):
+        """base and qamp of (videos, queries)."""
+        n, dim = batch.num_rows, matrix.shape[1]
+        k = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        base, qamp = np.full((n, len(matrix)), np.nan), np.zeros((n, len(matrix)))
+        if len(k):
+            product = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ matrix.T
+            video = np.repeat(np.arange(n), sizes)
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(k) != 0) | (np.diff(video) != 0))))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+            best = np.maximum.reduceat(product, first)
+            weight = np.exp((product - best[group]) / t)
+            each = np.add.reduceat(weight * product, first) / (np.add.reduceat(weight, first) + 1e-9)
+            np.add.at(qamp, video[first], each)
+            fine = k[first] == finest
+            base[video[first][fine]] = best[fine]
+        return base, qamp / len(ks)
+
+    def run_with(sent):
+        def run(batches):
+            ids, matrix = sent.value
+            for batch in batches:
+                step = max(1, cells // (max(len(ids), 1) * 12))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    base, qamp = pool(part, matrix)
+                    names = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(ids))))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(ids, part.num_rows)), pa.array(base.ravel(), from_pandas=True), pa.array(qamp.ravel())], names=schema.names)
+
+        return run
+
+    out, held = None, []
+
+    def add(out, part):
+        sent = videos.sparkSession.sparkContext.broadcast((np.array([q for q, _ in part], np.int64), np.array([e for _, e in part], np.float64)))
+        one = slim.mapInArrow(run_with(sent), schema)
+        return one if out is None else out.unionByName(one)
+
+    for row in queries.select("query_id", "emb").toLocalIterator():
+        held.append((row.query_id, row.emb))
+        if len(held) == block:
+            out, held = add(out, held), []
+    if held:
+        out = add(out, held)
+    return videos.sparkSession.createDataFrame([], schema) if out is None else out

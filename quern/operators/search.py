@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import l2_normalise, mean_vector, scores
+from quern.functions.vectors import dot, l2_normalise, mean_vector, pooled_scores
 
 EASY, HARD = 0.08, 0.02
 
@@ -31,21 +31,70 @@ def query_set(frames: DataFrame) -> DataFrame:
     return frames.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "video_id", l2_normalise(F.col("emb")).alias("emb"))
 
 
+def proto_lists(protos: DataFrame, ks) -> DataFrame:
+    """video_id and protos: an array of (k, emb) in the order of k. A video's prototypes number the sum of ``ks``; null ones are left out."""
+    return protos.where(F.col("k").isin(*ks) & F.col("emb").isNotNull()).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("k", "emb")), lambda a, b: a["k"] - b["k"]).alias("protos"))
+
+
 def base_scores(protos: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """query_id, video_id, base: the best product over the finest prototypes, of which there are ``k``."""
-    finest = protos.where(F.col("k") == k)
-    return scores(finest.select("video_id", "emb"), queries).groupBy("query_id", "video_id").agg(F.max("score").alias("base"))
+    return pooled_scores(proto_lists(protos, (k,)), queries, (k,), 1.0).select("query_id", "video_id", "base")
 
 
 def qamp_scores(protos: DataFrame, queries: DataFrame, ks=(2, 4, 6), tau: float = 0.1) -> DataFrame:
     """query_id, video_id, base, qamp: softmax-weighted pooling over each K's prototypes, averaged over all K."""
-    t = max(tau, 1e-6)
-    s = scores(protos.select("video_id", "k", "emb"), queries)
-    top = Window.partitionBy("query_id", "video_id", "k")
-    e = s.withColumn("e", F.exp((F.col("score") - F.max("score").over(top)) / t))
-    per_k = e.groupBy("query_id", "video_id", "k").agg((F.sum(F.col("e") * F.col("score")) / (F.sum("e") + 1e-9)).alias("pooled"), F.max("score").alias("best"))
-    n, finest = len(ks), max(ks)
-    return per_k.groupBy("query_id", "video_id").agg(F.max(F.when(F.col("k") == finest, F.col("best"))).alias("base"), (F.sum("pooled") / n).alias("qamp"))
+    return pooled_scores(proto_lists(protos, ks), queries, ks, tau).select("query_id", "video_id", "base", "qamp")
+
+
+def moments(scored: DataFrame) -> DataFrame:
+    """The context of a gallery: video_id, n, total, squares over the base scores of queries; kept as a table, later searches read it and add to it."""
+    return scored.groupBy("video_id").agg(F.count("base").alias("n"), F.sum("base").alias("total"), F.sum(F.col("base") * F.col("base")).alias("squares"))
+
+
+def added_moments(*contexts: DataFrame) -> DataFrame:
+    """One context of the queries of several."""
+    out = contexts[0]
+    for other in contexts[1:]:
+        out = out.unionByName(other)
+    return out.groupBy("video_id").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+
+
+def single_search(protos: DataFrame, queries: DataFrame, k: int = 10, context: DataFrame | None = None, alpha: float = 0.5, tau: float = 0.01, beta: float = 0.4, top: int = 50, ks=(2, 4, 6)) -> DataFrame:
+    """query_id, video_id, rank from 0, score, margin: each query searched for itself, whatever others are searched with it.
+
+    Hubness is measured against ``context`` (see :func:`moments`), the scores of earlier queries; a video that it doesn't have counts as one with mean and
+    deviation 0. Without a context the product with the mean of a video's finest prototypes is its expected score, and the query's scores give the
+    deviation. The ``top`` videos by base score are re-ranked and put over the best of the others; with ``beta`` above 0, scores are a softmax over the videos.
+    Queries are a stated set; a task holds the scores of one query's ``top`` videos and sums over the others.
+    """
+    scored = qamp_scores(protos, queries, ks, tau)
+    own, t = Window.partitionBy("query_id"), max(beta, 1e-6)
+    # Sums over all videos need no row of their own; only the best by base score go on, and Spark drops the others before the shuffle.
+    sums = scored.groupBy("query_id").agg(F.stddev_pop("base").alias("_sd"), F.sum(F.exp((F.col("base") - 1) / t)).alias("_mass"))
+    most = max(top, k) + 1
+    rows = scored.withColumn("_place", F.row_number().over(own.orderBy(F.col("base").desc(), "video_id"))).where(F.col("_place") <= most).join(sums, "query_id")
+    if context is None:
+        finest = protos.where((F.col("k") == max(ks)) & F.col("emb").isNotNull()).groupBy("video_id").agg(mean_vector(F.collect_list("emb")).alias("_mean"))
+        rows = rows.join(finest, "video_id", "left").join(queries.select("query_id", "emb"), "query_id")
+        rows = rows.withColumns({"mu": F.coalesce(dot(F.col("_mean"), F.col("emb")), F.lit(0.0)), "sd": F.col("_sd") + 1e-8})
+    else:
+        mean = F.col("total") / F.col("n")
+        spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+        held = context.where("n > 0").select("video_id", mean.alias("mu"), (spread + 1e-8).alias("sd"))
+        rows = rows.join(held, "video_id", "left").fillna({"mu": 0.0, "sd": 1e-8})
+    rows = rows.withColumn("in", F.col("_place") <= top).withColumn("nnn", (F.col("base") - F.col("mu")) / F.col("sd"))
+    inside = lambda c: F.when(F.col("in"), F.col(c))
+    z = lambda c: (F.col(c) - F.avg(inside(c)).over(own)) / (F.stddev_pop(inside(c)).over(own) + 1e-8)
+    rows = rows.withColumn("fused", (1 - alpha) * z("nnn") + alpha * z("qamp"))
+    shift = F.coalesce(F.max(F.when(~F.col("in"), F.col("base"))).over(own), F.lit(0.0))
+    rows = rows.withColumn("score", F.when(F.col("in"), F.col("fused") - F.min(inside("fused")).over(own) + shift + 1e-6).otherwise(F.col("base")))
+    if beta > 0:
+        high = F.max("score").over(own)
+        # Those that aren't candidates keep their base score: their share of the sum is what candidates leave of all.
+        rows = rows.withColumns({"_e": F.exp((F.col("score") - high) / t), "_rest": F.exp((1 - high) / t) * F.greatest(F.col("_mass") - F.sum(F.when(F.col("in"), F.exp((F.col("base") - 1) / t))).over(own), F.lit(0.0))})
+        rows = rows.withColumn("score", F.col("_e") / (F.sum(inside("_e")).over(own) + F.col("_rest") + 1e-9))
+    best = with_margin(top_k(rows, max(k, 2), "score"), "score").where(F.col("rank") < k)
+    return best.select("query_id", "video_id", "rank", "score", "margin")
 
 
 def reranked(scored: DataFrame, alpha: float = 0.7, top: int = 500, shift_mode: str = "reference") -> DataFrame:
@@ -105,15 +154,24 @@ def masked_softmax(scored: DataFrame, beta: float = 0.4, keep: str = "passed") -
     return e.withColumn("out", F.col("_e") / (F.sum("_e").over(w) + 1e-12)).drop("_e")
 
 
-def hybrid_search(scored: DataFrame, k: int = 10, beta: float = 0.4, meta_alpha: float = 1.0) -> DataFrame:
-    """The k best of each query among the rows that pass, with rank, semantic (the score before) and margin.
+#: Fixed value: the score of a video that a filter shuts out.
+FILTERED = -1e9
+
+
+def hybrid_search(scored: DataFrame, k: int = 10, beta: float = 0.4, meta_alpha: float = 1.0, hard: bool = True, softmax_after: bool = True) -> DataFrame:
+    """The k best of each query, with rank, out, semantic (the score before), passed and margin (best less second).
 
     scored: query_id, video_id, out (re-ranked scores of all pairs), passed, soft (metadata score) and constrained. With meta_alpha
-    below 1 the scores of constrained queries are blended with soft. Rows that don't pass are no results.
+    below 1 the scores of constrained queries are blended with soft. Rows that don't pass have ``FILTERED`` as score, and fill the list where
+    fewer than k pass; with ``hard`` off all pass. The softmax over queries is taken among the rows that pass, or with ``softmax_after`` off among
+    all; with beta 0 there is none.
     """
-    s = masked_softmax(scored.withColumn("semantic", F.col("out")), beta).where("passed")
+    s = scored.withColumn("semantic", F.col("out")).withColumn("passed", F.coalesce("passed", F.lit(False)) if hard else F.lit(True))
+    if beta > 0:
+        s = masked_softmax(s, beta) if softmax_after else column_softmax(s, beta)
     if meta_alpha < 1:
         s = s.withColumn("out", F.when(F.col("constrained"), meta_alpha * F.col("out") + (1 - meta_alpha) * F.col("soft")).otherwise(F.col("out")))
+    s = s.withColumn("out", F.when(F.col("passed"), F.col("out")).otherwise(FILTERED))
     return with_margin(top_k(s, max(k, 2))).where(F.col("rank") < k)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import l2_normalise
 from quern.operators import metadata, routes, search
 from quern.plans.catalogue import _FRAMES, _batch, query
 from quern.sources.tables import frames, table
@@ -49,32 +50,80 @@ def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
 _ALL = "(h_t::INT + h_g::INT + h_m::INT + h_d::INT)"
 _PRODUCT = "((CASE WHEN h_t THEN s_t ELSE 1 END) * (CASE WHEN h_g THEN s_g ELSE 1 END) * (CASE WHEN h_m THEN s_m ELSE 1 END) * (CASE WHEN h_d THEN s_d ELSE 1 END))::DOUBLE"
 _HYBRID = _FRAMES + _VIDEO + f""", hx AS (SELECT ou.query_id, ou.video_id, out AS semantic, p_t AND p_g AND p_m AND p_d AS ok, {_ALL} AS n, {_SOFT.format(n=_ALL, p=_PRODUCT)} AS soft FROM ou JOIN ax USING (query_id, video_id)),
-he AS (SELECT *, exp((semantic - max(semantic) OVER (PARTITION BY video_id)) / 0.4) AS e FROM hx WHERE ok),
-hs AS (SELECT *, e / (sum(e) OVER (PARTITION BY video_id) + 1e-12) AS s FROM he), hf AS (SELECT *, {{score}} AS f FROM hs),
+he AS (SELECT *, CASE WHEN {{inside}} THEN exp((semantic - max(CASE WHEN {{inside}} THEN semantic END) OVER (PARTITION BY video_id)) / 0.4) END AS e FROM hx),
+hs AS (SELECT *, e / (sum(e) OVER (PARTITION BY video_id) + 1e-12) AS s FROM he), hf AS (SELECT *, CASE WHEN {{passed}} THEN {{score}} ELSE -1e9 END::DOUBLE AS f FROM hs),
 hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, video_id) - 1 AS rank FROM hf),
 hm AS (SELECT query_id, max(CASE WHEN rank = 0 THEN f END) - coalesce(max(CASE WHEN rank = 1 THEN f END), 0) AS margin FROM hr GROUP BY query_id)
-SELECT query_id, video_id, rank::INT AS rank, round(f, 5) AS out, round(semantic, 4) AS semantic, round(margin, 5) AS margin FROM hr JOIN hm USING (query_id) WHERE rank < 10"""
+SELECT query_id, video_id, rank::INT AS rank, round(f, 5) AS out, round(semantic, 4) AS semantic, round(margin, 5) AS margin, {{passed}} AS passed FROM hr JOIN hm USING (query_id) WHERE rank < 10"""
 
 
-def _hybrid(spark: SparkSession, d: str, alpha: float) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, alpha: float, **switches) -> DataFrame:
     s, _ = _batch(spark, d)
     rows = _axes(spark, d, s.select("query_id", "video_id", "out"))
-    r = search.hybrid_search(rows, 10, 0.4, alpha)
-    return r.select("query_id", "video_id", "rank", F.round("out", 5).alias("out"), F.round("semantic", 4).alias("semantic"), F.round("margin", 5).alias("margin"))
+    r = search.hybrid_search(rows, 10, 0.4, alpha, **switches)
+    return r.select("query_id", "video_id", "rank", F.round("out", 5).alias("out"), F.round("semantic", 4).alias("semantic"), F.round("margin", 5).alias("margin"), "passed")
 
 
-@query(_HYBRID.format(score="s"))
+@query(_HYBRID.format(score="s", inside="ok", passed="ok"))
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Search under the hard filter, with the softmax over what passes."""
     return _hybrid(spark, d, 1.0)
 
 
-@query(_HYBRID.format(score="CASE WHEN n > 0 THEN 0.6 * s + 0.4 * soft ELSE s END"))
+@query(_HYBRID.format(score="CASE WHEN n > 0 THEN 0.6 * s + 0.4 * soft ELSE s END", inside="ok", passed="ok"))
 def hybrid_fused(spark: SparkSession, d: str) -> DataFrame:
     """The same with soft metadata scores blended in."""
     return _hybrid(spark, d, 0.6)
 
 
+@query(_HYBRID.format(score="s", inside="true", passed="ok"))
+def hybrid_softmax_before(spark: SparkSession, d: str) -> DataFrame:
+    """Search under the hard filter, with the softmax over all videos before it."""
+    return _hybrid(spark, d, 1.0, softmax_after=False)
+
+
+@query(_HYBRID.format(score="CASE WHEN n > 0 THEN 0.6 * s + 0.4 * soft ELSE s END", inside="true", passed="true"))
+def hybrid_without_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Soft metadata scores alone: nothing is shut out."""
+    return _hybrid(spark, d, 0.6, hard=False)
+
+
+#: Two sets of queries: those of the batch give the context, those beside them are searched.
+_TWO = _FRAMES.replace("vec_id % 20 = 0", "vec_id % 10 = 0")
+_SINGLE = """si AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, video_id) <= 20 AS inn, (base - mu) / sd AS nnn FROM sb),
+sf AS (SELECT *, 0.5 * (nnn - avg(CASE WHEN inn THEN nnn END) OVER w) / (stddev_pop(CASE WHEN inn THEN nnn END) OVER w + 1e-8) + 0.5 * (qamp - avg(CASE WHEN inn THEN qamp END) OVER w) / (stddev_pop(CASE WHEN inn THEN qamp END) OVER w + 1e-8) AS fu FROM si WINDOW w AS (PARTITION BY query_id)),
+ss AS (SELECT *, CASE WHEN inn THEN fu - min(CASE WHEN inn THEN fu END) OVER w + coalesce(max(CASE WHEN NOT inn THEN base END) OVER w, 0) + 1e-6 ELSE base END AS sco FROM sf WINDOW w AS (PARTITION BY query_id)),
+se AS (SELECT *, exp((sco - max(sco) OVER w) / 0.4) AS ex FROM ss WINDOW w AS (PARTITION BY query_id)), st AS (SELECT *, ex / (sum(ex) OVER (PARTITION BY query_id) + 1e-9) AS f FROM se),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, video_id) - 1 AS rank FROM st), sg AS (SELECT query_id, max(CASE WHEN rank = 0 THEN f END) - max(CASE WHEN rank = 1 THEN f END) AS margin FROM sr GROUP BY query_id)
+SELECT query_id, video_id, rank::INT AS rank, round(f, 5) AS score, round(margin, 5) AS margin FROM sr JOIN sg USING (query_id) WHERE rank < 5"""
+
+
+def _beside(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = frames(spark, d)
+    other = f.where("vec_id % 20 = 10").select(F.col("vec_id").alias("query_id"), "video_id", l2_normalise(F.col("emb")).alias("emb"))
+    return search.prototypes(f), search.query_set(f), other
+
+
+def _five(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "video_id", "rank", F.round("score", 5).alias("score"), F.round("margin", 5).alias("margin"))
+
+
+@query(_TWO + ", cx AS (SELECT video_id, avg(base) AS mu, stddev_pop(base) + 1e-8 AS sd FROM bq WHERE query_id % 20 = 0 GROUP BY video_id), sb AS (SELECT query_id, video_id, base, qamp, mu, sd FROM bq JOIN cx USING (video_id) WHERE query_id % 20 = 10), " + _SINGLE)
+def single_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each query for itself, against the kept context of two halves of the earlier queries."""
+    protos, earlier, now = _beside(spark, d)
+    halves = [search.moments(search.base_scores(protos, earlier.where(f"query_id % 40 = {r}"))) for r in (0, 20)]
+    return _five(search.single_search(protos, now, 5, search.added_moments(*halves), tau=0.1, top=20))
+
+
+@query(_TWO + """, me AS (SELECT video_id, p, avg(x) AS x FROM (SELECT video_id, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM pr WHERE k = 6) GROUP BY ALL), mn AS (SELECT video_id, list(x ORDER BY p) AS m FROM me GROUP BY video_id),
+sb AS (SELECT b.query_id, b.video_id, base, qamp, list_dot_product(q, m) AS mu, stddev_pop(base) OVER (PARTITION BY b.query_id) + 1e-8 AS sd FROM bq b JOIN mn USING (video_id) JOIN qs ON qs.query_id = b.query_id WHERE b.query_id % 20 = 10), """ + _SINGLE)
+def single_search_alone(spark: SparkSession, d: str) -> DataFrame:
+    """Each query for itself, without a context."""
+    protos, _, now = _beside(spark, d)
+    return _five(search.single_search(protos, now, 5, tau=0.1, top=20))
+
+
 @query(_FRAMES + """, x AS (SELECT query_id, video_id, base, qamp, min(base) OVER w AS lo, max(base) OVER w AS hi, min(qamp) OVER w AS l2, max(qamp) OVER w AS h2 FROM bq WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, video_id, round(0.5 * (CASE WHEN hi > lo THEN (base - lo) / (hi - lo) ELSE base END) + 0.5 * qamp, 6) AS fused, round(CASE WHEN h2 > l2 THEN (qamp - l2) / (h2 - l2) ELSE 0.5 END, 6) AS scaled FROM x""")
 def fused_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from quern.functions import vectors
 from quern.operators import evaluate, metadata, scans, search, segments
 
 
@@ -71,3 +72,73 @@ def test_discordance(spark):
 def test_few_rows_in_a_bin_have_no_threshold(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in range(10)], "s double, m double")
     assert [r.threshold for r in evaluate.binned_thresholds(df, "s", "m", 0.1, 2).collect()] == [math.inf, math.inf]
+
+
+def pooled_plain(protos, q, ks, tau):
+    out = {}
+    for v in {p[0] for p in protos}:
+        pooled = []
+        for k in ks:
+            s = np.array([np.dot(e, q) for video, kk, e in protos if video == v and kk == k and e is not None])
+            w = np.exp((s - s.max()) / tau) if len(s) else s
+            pooled.append((w * s).sum() / (w.sum() + 1e-9) if len(s) else 0.0)
+        fine = [np.dot(e, q) for video, kk, e in protos if video == v and kk == max(ks) and e is not None]
+        out[v] = (max(fine) if fine else None, sum(pooled) / len(ks))
+    return out
+
+
+def test_pooled_scores_equal_loops(spark):
+    r = np.random.RandomState(1)
+    protos = [(v, k, r.randn(5).tolist()) for v in range(9) for k in (2, 4) for _ in range(k)] + [(9, 2, r.randn(5).tolist()), (0, 4, None)]
+    queries = [(q, r.randn(5).tolist()) for q in range(7)]
+    p, q = spark.createDataFrame(protos, "video_id int, k int, emb array<double>"), spark.createDataFrame(queries, "query_id long, emb array<double>")
+    for block, cells in ((4096, 2_000_000), (3, 40)):
+        got = {(x.query_id, x.video_id): (x.base, x.qamp) for x in vectors.pooled_scores(search.proto_lists(p, (2, 4)), q, (2, 4), 0.1, block, cells).collect()}
+        assert len(got) == 70
+        for k, e in queries:
+            for v, (base, qamp) in pooled_plain(protos, e, (2, 4), 0.1).items():
+                assert np.isclose(got[k, v][1], qamp) and (got[k, v][0] is None if base is None else np.isclose(got[k, v][0], base))
+    assert search.qamp_scores(p, q.limit(0), (2, 4)).count() == 0
+
+
+def test_context_of_parts_is_the_context_of_the_whole(spark):
+    scored = spark.createDataFrame([(q, v, float(q * v % 7)) for q in range(10) for v in range(4)], "query_id int, video_id int, base double")
+    whole = {x.video_id: tuple(x)[1:] for x in search.moments(scored).collect()}
+    parts = search.added_moments(*[search.moments(scored.where(f"query_id % 3 = {k}")) for k in range(3)])
+    assert {x.video_id: tuple(x)[1:] for x in parts.collect()} == whole
+
+
+def one_hot(spark):
+    protos = [(f"v{i}", 2, [float(i == j) for j in range(8)]) for i in range(3) for _ in range(2)]
+    return spark.createDataFrame(protos, "video_id string, k int, emb array<double>"), spark.createDataFrame([(1, [0.0, 0.0, 1.0] + [0.0] * 5)], "query_id long, emb array<double>")
+
+
+def test_single_search_finds_the_axis(spark):
+    got = search.single_search(*one_hot(spark), k=3, alpha=0.0, beta=0.0, top=1, ks=(2,)).orderBy("rank").collect()
+    assert got[0].video_id == "v2" and len(got) == 3
+    # A context that makes v2 a hub puts another first among three candidates.
+    context = spark.createDataFrame([("v0", 2, 0.0, 0.0), ("v2", 2, 20.0, 202.0)], "video_id string, n long, total double, squares double")
+    assert search.single_search(*one_hot(spark), k=1, context=context, alpha=0.0, top=3, ks=(2,)).first().video_id != "v2"
+
+
+def test_single_search_is_a_softmax_over_all_videos(spark):
+    r = np.random.RandomState(4)
+    unit = lambda x: (x / np.linalg.norm(x)).tolist()
+    protos = spark.createDataFrame([(v, 2, unit(r.randn(6))) for v in range(40) for _ in range(2)], "video_id int, k int, emb array<double>")
+    q = spark.createDataFrame([(k, unit(r.randn(6))) for k in range(3)], "query_id long, emb array<double>")
+    all_ = search.single_search(protos, q, k=40, top=5, ks=(2,)).collect()
+    for k in range(3):
+        mine = [x.score for x in all_ if x.query_id == k]
+        assert len(mine) == 40 and np.isclose(sum(mine), 1, atol=1e-6)
+    few = {(x.query_id, x.video_id): x.score for x in search.single_search(protos, q, k=3, top=5, ks=(2,)).collect()}
+    assert all(np.isclose(few[x.query_id, x.video_id], x.score) for x in all_ if x.rank < 3)
+
+
+def test_hybrid_search_fills_up_with_what_fails(spark):
+    rows = [(1, "a", 0.9, False, 0.0, True), (1, "b", 0.2, True, 1.0, True), (1, "c", 0.5, False, 0.0, True)]
+    s = spark.createDataFrame(rows, "query_id int, video_id string, out double, passed boolean, soft double, constrained boolean")
+    got = search.hybrid_search(s, 3, beta=0.0).orderBy("rank").collect()
+    assert [(x.video_id, x.passed) for x in got] == [("b", True), ("a", False), ("c", False)]
+    assert got[0].margin == 0.2 - search.FILTERED and got[1].semantic == 0.9
+    assert [x.video_id for x in search.hybrid_search(s, 3, beta=0.0, hard=False).orderBy("rank").collect()] == ["a", "c", "b"]
+    assert search.hybrid_search(s, 1, beta=0.0, meta_alpha=0.3, hard=False).first().video_id == "b"
