@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.evaluate import marginals, subsets
 
 #: The optional experts, their costs, and the cost of the base that is always paid.
-NAMES, COSTS, BASE_COST = ("highlight", "face", "scene", "metadata"), (2.0, 2.0, 3.0, 1.5), 1.0
+NAMES, COSTS, BASE_COST = ("highlight", "face", "face_id", "scene"), (2.0, 2.0, 3.0, 1.5), 1.0
 
 
 def subset_table(spark: SparkSession, names=NAMES, costs=COSTS, base: float = BASE_COST) -> DataFrame:
@@ -52,22 +52,21 @@ def submodularity_ratio(values: DataFrame, experts: int) -> DataFrame:
 
 def greedy(values: DataFrame, costs, budget: float, stop: float = 0.0, base: float = BASE_COST) -> DataFrame:
     """query_id, sid, cost, n_experts: experts added while the best affordable one adds more than ``stop``; of equal ones the first."""
-    n = len(costs)
     v = values.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("sid", "value"))).alias("v"))
-    state = v.withColumns({"sid": F.lit(0), "left": F.lit(budget - base)})
-    for _ in range(n):
+
+    # A fold over the steps: as columns of their own, steps would be written out in each other by the optimiser.
+    def step(acc, _):
         options = []
-        for j in range(n):
-            free = (F.shiftright("sid", j).bitwiseAND(F.lit(1)) == 0) & (F.lit(float(costs[j])) <= F.col("left"))
-            gain = F.element_at("v", F.col("sid").bitwiseOR(F.lit(1 << j))) - F.element_at("v", F.col("sid"))
-            options.append(F.when(free & (gain > stop), F.struct(gain.alias("gain"), F.lit(-j).alias("j"))))
-        best = F.array_max(F.array_compact(F.array(*options)))
-        state = state.withColumn("best", best)
-        price, more = F.lit(0.0), F.lit(0)
-        for j in range(n):
-            mine = F.col("best.j") == -j
-            price, more = F.when(mine, float(costs[j])).otherwise(price), F.when(mine, 1 << j).otherwise(more)
-        state = state.withColumns({"left": F.col("left") - price, "sid": F.col("sid").bitwiseOR(more)})
+        for j, cost in enumerate(costs):
+            free = (F.shiftright(acc["sid"], j).bitwiseAND(F.lit(1)) == 0) & (F.lit(float(cost)) <= acc["left"])
+            gain = F.element_at("v", acc["sid"].bitwiseOR(F.lit(1 << j))) - F.element_at("v", acc["sid"])
+            options.append(F.when(free & (gain > stop), F.struct(gain.alias("gain"), F.lit(-j).alias("j"), F.lit(float(cost)).alias("cost"), F.lit(1 << j).alias("bit"))))
+        best = F.array(F.array_max(F.array_compact(F.array(*options))))
+        taken = lambda b: F.struct(acc["sid"].bitwiseOR(b["bit"]).alias("sid"), (acc["left"] - b["cost"]).alias("left"))
+        return F.element_at(F.transform(best, lambda b: F.when(b.isNull(), acc).otherwise(taken(b))), 1)
+
+    first = F.struct(F.lit(0).alias("sid"), F.lit(float(budget - base)).alias("left"))
+    state = v.select("query_id", F.aggregate(F.sequence(F.lit(1), F.lit(len(costs))), first, step).alias("s")).select("query_id", "s.sid", "s.left")
     return state.select("query_id", "sid", (budget - F.col("left")).alias("cost"), (1 + F.bit_count("sid")).alias("n_experts"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import experts, scans, search
+from quern.functions.vectors import l2_normalise
+from quern.operators import evaluate, experts, gallery, scans, search
 from quern.plans.catalogue import _FRAMES, _LATTICE, _SERIES, _lattice, _series, query
 from quern.sources.tables import frames, table
 
@@ -107,3 +108,74 @@ u AS (SELECT user_id, unnest(k.s) AS s, unnest(k.e) AS e, unnest(k.v) AS v FROM
 def interest_budget(spark: SparkSession, d: str) -> DataFrame:
     i = _series(spark, d).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score"))
     return scans.budgeted(i, "user_id").select("user_id", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "score")
+
+
+def _words(words) -> str:
+    return " OR ".join(f"contains(tx, '{w}')" for w in words)
+
+
+#: Signals of videos out of embeddings, queries' texts out of documents, and the experts' scores.
+_GALLERY = """WITH fr AS (SELECT vec_id, vec_id // 10 AS video_id, vec_id % 10 AS frame_no, embedding::DOUBLE[] AS e, embedding[2]::DOUBLE AS hl, vec_id % 3 = 0 AS face, embedding[3]::DOUBLE AS conf, list_reverse(embedding::DOUBLE[]) AS fe, CASE label WHEN 0 THEN 'vehicle' WHEN 1 THEN 'beach' WHEN 2 THEN 'sport' ELSE 'indoor' END AS label FROM embeddings),
+ex AS (SELECT video_id, p, avg(x) AS x FROM (SELECT video_id, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM fr) GROUP BY ALL), em AS (SELECT video_id, list(x ORDER BY p) AS m FROM ex GROUP BY video_id),
+fx AS (SELECT video_id, p, avg(x) AS x FROM (SELECT video_id, unnest(fe) AS x, generate_subscripts(fe, 1) AS p FROM fr WHERE face) GROUP BY ALL), fm AS (SELECT video_id, list(x ORDER BY p) AS m FROM fx GROUP BY video_id),
+lb AS (SELECT video_id, arg_max(label, n * 1000 - first) AS scene FROM (SELECT video_id, label, count(*) AS n, min(frame_no) AS first FROM fr GROUP BY ALL) GROUP BY video_id),
+ga AS (SELECT video_id, max(hl) AS hl, coalesce(max(conf) FILTER (face), 0) AS face, any_value(list_transform(em.m, lambda x: x / (sqrt(list_dot_product(em.m, em.m)) + 1e-9))) AS emb,
+ any_value(list_transform(fm.m, lambda x: x / (sqrt(list_dot_product(fm.m, fm.m)) + 1e-9))) AS femb, any_value(scene) AS scene FROM fr JOIN em USING (video_id) LEFT JOIN fm USING (video_id) JOIN lb USING (video_id) GROUP BY video_id),
+qu AS (SELECT vec_id AS query_id, video_id AS own, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-9)) AS q, list_transform(fe, lambda x: x / (sqrt(list_dot_product(fe, fe)) + 1e-9)) AS fq, lower(coalesce(text, '')) AS tx FROM fr LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0),
+pi AS (SELECT *, """ + _words(gallery.PERSON) + " AS person, " + _words(gallery.HIGHLIGHT) + " AS lively, CASE " + " ".join(f"WHEN {_words(w)} THEN '{n}'" for n, w in gallery.SCENES) + """ END AS cue FROM qu),
+pa AS (SELECT query_id, own, video_id, list_dot_product(q, emb) AS sem, hl, ga.face, CASE WHEN query_id % 40 = 0 THEN coalesce(list_dot_product(femb, fq), 0) END AS fid, scene = cue AS sc, person, lively FROM pi, ga),
+xs AS (SELECT query_id, own, video_id, (sem - min(sem) OVER w) / (max(sem) OVER w - min(sem) OVER w) AS sem, CASE WHEN lively THEN 1 ELSE 0.3::DOUBLE END * (hl - min(hl) OVER w) / (max(hl) OVER w - min(hl) OVER w) AS highlight, CASE WHEN person THEN (face - min(face) OVER w) / (max(face) OVER w - min(face) OVER w) ELSE 0 END AS face,
+ coalesce((fid - min(fid) OVER w) / (max(fid) OVER w - min(fid) OVER w), 0) AS face_id, coalesce(sc::INT, 0) AS scene FROM pa WINDOW w AS (PARTITION BY query_id)),
+tt AS (SELECT query_id, own, video_id, sid, round(sem + (sid & 1) * 0.35::DOUBLE * highlight + ((sid >> 1) & 1) * 0.35::DOUBLE * face + ((sid >> 2) & 1) * 0.35::DOUBLE * face_id + ((sid >> 3) & 1) * 0.35::DOUBLE * scene, 9) AS t FROM xs, range(0, 16) z(sid)),
+rk AS (SELECT query_id, sid, count_if(t > o) AS rank FROM (SELECT *, max(CASE WHEN video_id = own THEN t END) OVER (PARTITION BY query_id, sid) AS o FROM tt) GROUP BY query_id, sid),
+v AS (SELECT query_id, sid, 1 / (rank + 1) AS value FROM rk), m AS (SELECT a.query_id, a.sid, e AS expert, b.value - a.value AS marginal FROM v a, range(0, 4) t(e), v b WHERE (a.sid >> e) & 1 = 0 AND b.query_id = a.query_id AND b.sid = (a.sid | (1 << e)))
+"""
+
+
+def _gallery(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of the experts, and ranks under every subset."""
+    e = table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    video, label = F.floor(F.col("vec_id") / 10).cast("long"), F.when(F.col("label") == 0, "vehicle").when(F.col("label") == 1, "beach").when(F.col("label") == 2, "sport").otherwise("indoor")
+    f = e.select("vec_id", video.alias("video_id"), (F.col("vec_id") % 10).alias("frame_no"), F.col("e").alias("emb"), F.col("e")[1].alias("highlight"), (F.col("vec_id") % 3 == 0).alias("face"), F.col("e")[2].alias("confidence"), F.reverse("e").alias("face_emb"), label.alias("label"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    q = f.where("vec_id % 20 = 0").join(texts, "vec_id", "left")
+    q = q.select(F.col("vec_id").alias("query_id"), F.col("video_id").alias("own"), l2_normalise(F.col("emb")).alias("emb"), "text", F.when(F.col("vec_id") % 40 == 0, F.col("face_emb")).alias("face_emb"))
+    scored = gallery.expert_scores(gallery.gallery_signals(f), q)
+    return scored, gallery.subset_ranks(scored)
+
+
+@query(_GALLERY + "SELECT query_id, sid::INT AS sid, rank::INT AS rank, round(1 / (rank + 1), 6) AS value FROM rk")
+def subset_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of the right videos under all 16 subsets of the experts."""
+    _, ranks = _gallery(spark, d)
+    return ranks.select("query_id", "sid", "rank", F.round(gallery.value_of(F.col("rank")), 6).alias("value"))
+
+
+@query(_GALLERY + "SELECT expert::INT AS expert, count(*)::BIGINT AS n, round(avg(marginal), 6) AS mean, round(avg((marginal > 0)::INT), 6) AS positive, row_number() OVER (ORDER BY avg(marginal) DESC, expert)::INT AS place FROM m GROUP BY expert")
+def expert_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """What each expert adds to the subsets without it, measured on ranks."""
+    r = gallery.expert_ranking(evaluate.marginals(gallery.lattice(_gallery(spark, d)[1]), 4))
+    return r.select("expert", "n", F.round("mean", 6).alias("mean"), F.round("positive", 6).alias("positive"), "place")
+
+
+@query(_GALLERY.replace("WITH fr", "WITH RECURSIVE fr") + """, c AS (SELECT unnest([0, 1, 2, 3]) AS e, unnest([2.0, 2.0, 3.0, 1.5])::DOUBLE AS cost),
+st AS (SELECT query_id, 0::BIGINT AS sid, 4.0::DOUBLE AS remain, 0 AS step FROM v WHERE sid = 0 UNION ALL
+ SELECT query_id, sid, remain, step FROM (SELECT st.query_id, st.sid | (1 << c.e) AS sid, st.remain - c.cost AS remain, step + 1 AS step, row_number() OVER (PARTITION BY st.query_id ORDER BY m.marginal DESC, c.e) AS k
+ FROM st JOIN m ON m.query_id = st.query_id AND m.sid = st.sid JOIN c ON c.e = m.expert WHERE c.cost <= st.remain AND m.marginal > 0) WHERE k = 1),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step DESC) AS k FROM st) WHERE k = 1), ps AS (SELECT query_id, count_if(1 - sem <= 0.4)::BIGINT AS set_size, max(1 - sem <= 0.4 AND video_id = own) AS in_set FROM xs GROUP BY query_id)
+SELECT query_id, sid::INT AS sid, rank::INT AS rank, 5 - remain AS cost, (1 + bit_count(sid::INT))::INT AS n_experts, in_set, set_size FROM pk JOIN rk USING (query_id, sid) JOIN ps USING (query_id)""")
+def expert_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy choice of experts within a budget, the rank under it, and the prediction set."""
+    scored, ranks = _gallery(spark, d)
+    out = gallery.selected(scored, ranks, gallery.lattice(ranks), threshold=0.4)
+    return out.withColumn("n_experts", F.col("n_experts").cast("int"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT source, count(*)::BIGINT AS n, sum(toxic)::BIGINT AS k FROM labels JOIN documents USING (doc_id) GROUP BY source),
+b AS (SELECT source, n, k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM g UNION ALL SELECT source, n, k, CASE WHEN below THEN lo ELSE mid END, CASE WHEN below THEN mid ELSE hi END, step + 1
+ FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) <= 0.05 AS below FROM b WHERE step < 50 AND k < n))
+SELECT g.source, g.n, g.k AS failures, round(CASE WHEN g.k = g.n THEN 1 ELSE (lo + hi) / 2 END, 6)::DOUBLE AS upper FROM g LEFT JOIN b ON b.source IS NOT DISTINCT FROM g.source AND step = 50""")
+def failure_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The exact upper bound of the share of toxic documents of each source."""
+    g = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("failures"))
+    return g.withColumn("upper", F.round(evaluate.exact_upper(F.col("failures"), F.col("n")), 6))

@@ -1,12 +1,13 @@
 import datetime as dt
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, identity, metadata, routes, sampling, scans, segments, spans, spectra
+from quern.operators import evaluate, experts, gallery, identity, metadata, routes, sampling, scans, segments, spans, spectra
 from quern.sources import tables
 from quern.streaming import events
 
@@ -295,3 +296,52 @@ def test_motion_of_sensor_streams(spark):
     assert got["still"].label == "stationary" and got["run"].label == "running" and abs(got["run"].hz - 3) < 0.5
     assert tuple(got["short"])[1:] == ("unknown", 0.0, None, None, None)
     assert got["alone"].label == "running" and got["alone"].accel_mag is None and got["alone"].confidence == 0.5
+
+
+def test_signals_of_a_gallery(spark):
+    rows = [("a", 0, [1.0, 0.0], 0.2, True, 0.7, [0.0, 2.0], "x"), ("a", 1, [0.0, 1.0], 0.9, False, 0.99, [5.0, 0.0], "y"), ("a", 2, [0.0, 1.0], 0.1, True, 0.8, [0.0, 4.0], "y"), ("b", 0, [3.0, 4.0], None, False, None, None, None)]
+    frames = spark.createDataFrame(rows, "video_id string, frame_no int, emb array<double>, highlight double, face boolean, confidence double, face_emb array<double>, label string")
+    got = {r.video_id: r for r in gallery.gallery_signals(frames).collect()}
+    assert np.allclose(got["a"].emb, np.array([1, 2]) / 5**0.5) and (got["a"].highlight, got["a"].face, got["a"].scene) == (0.9, 0.8, "y")
+    assert np.allclose(got["a"].face_emb, [0, 1]) and np.isclose(got["a"].scenes["x"], 1 / 3)
+    assert np.allclose(got["b"].emb, [0.6, 0.8]) and tuple(got["b"])[2:6] == (0.0, 0.0, None, "other")
+
+
+def test_words_of_queries(spark):
+    q = spark.createDataFrame([("A MAN runs to the Beach street",), ("精彩的山",), ("",), (None,)], "text string")
+    got = [(r.wants_person, r.wants_highlight, r.scene_cue) for r in gallery.priors(q).collect()]
+    assert got == [(True, False, "urban"), (False, True, "nature"), (False, False, None), (False, False, None)]
+
+
+def test_ranks_of_all_subsets_equal_sorting(spark):
+    r = np.random.RandomState(9)
+    names = ["highlight", "face", "face_id", "scene"]
+    rows = [(q, v, q if q < 4 else 99, *(round(float(x), 2) for x in r.rand(5))) for q in range(5) for v in range(30)]
+    scored = spark.createDataFrame(rows, "query_id int, video_id int, own int, sem double, highlight double, face double, face_id double, scene double")
+    got = {(x.query_id, x.sid): x.rank for x in gallery.subset_ranks(scored).collect()}
+    assert len(got) == 80
+    for q in range(5):
+        for s in range(16):
+            total = {v: round(sem + 0.35 * sum(e for j, e in enumerate(es) if s >> j & 1), 9) for query, v, _, sem, *es in rows if query == q}
+            assert got[q, s] == (sum(t > total[q] for t in total.values()) if q < 4 else -1)
+    values = gallery.lattice(gallery.subset_ranks(scored))
+    picked = gallery.selected(scored, gallery.subset_ranks(scored), values, threshold=0.5).collect()
+    assert all(p.cost <= 5 and p.rank == got[p.query_id, p.sid] for p in picked) and len(picked) == 5 and names == list(experts.NAMES)
+    for metric, want in (("rr", 0.25), ("recall@1", 0.0), ("recall@5", 1.0)):
+        assert spark.range(1).select(gallery.value_of(F.lit(3), metric).alias("v")).first().v == want
+
+
+def test_exact_upper_bounds(spark):
+    def bound(k, n, alpha=0.05):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            p = (lo + hi) / 2
+            low = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+            lo, hi = (lo, p) if low <= alpha else (p, hi)
+        return lo
+
+    cases = [(0, 1), (0, 100), (2, 100), (37, 40), (39, 40), (50, 5000), (4000, 5000), (1, 100_000)]
+    df = spark.createDataFrame([*cases, (0, 0), (7, 7)], "k int, n int")
+    got = {(r.k, r.n): r.u for r in df.select("k", "n", evaluate.exact_upper(F.col("k"), F.col("n")).alias("u")).collect()}
+    assert all(abs(got[c] - bound(*c)) < 1e-9 for c in cases) and got[0, 0] == got[7, 7] == 1.0
+    assert abs(got[0, 100] - (1 - 0.05 ** (1 / 100))) < 1e-9 and 0.02 < got[2, 100] < 0.10
