@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import metadata, routes, search
+from quern.operators import metadata, planners, routes, search
 from quern.plans.catalogue import _FRAMES, _batch, query
 from quern.sources.tables import frames, table
 
@@ -231,3 +231,67 @@ def planner_choice(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BANK} SELECT CASE cost WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 4 THEN 'high' ELSE 'full' END AS budget_tier, count(*)::BIGINT AS n, count_if(len(hard) > 0)::BIGINT AS hard, count_if(len(soft) > 0)::BIGINT AS soft, max(cost) AS cost FROM rt GROUP BY cost")
 def route_bank(spark: SparkSession, d: str) -> DataFrame:
     return routes.summary(routes.bank(spark))
+
+
+#: The bank, and a soft route for each set of axes beside it.
+_SETS = [[a for j, a in enumerate(metadata.AXES) if k >> j & 1] for k in range(1, 16)]
+_WIDER = _BANK.replace(") t(idx", ", " + ", ".join(f"(30, 'dynamic_soft_{'_'.join(sorted(x))}', []::VARCHAR[], {x}::VARCHAR[], 500, 'nnn_qamp', {2.0 if len(x) > 1 else 1.0}::DOUBLE)" for x in _SETS) + ") t(idx")
+_ALLOWED = lambda axes, zones: " AND ".join(f"(NOT {_on(axes, a)} OR z_{a} IN ({zones}))" for a in metadata.AXES)
+_ZONED = _GRID.replace(_BANK, _WIDER) + ", e AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2) AS p FROM embeddings WHERE vec_id % 20 = 0), zo AS (SELECT query_id, " + ", ".join(f"CASE WHEN p[{k}] >= {t}::DOUBLE THEN 'hard_safe' WHEN p[{k}] >= {t}::DOUBLE * 0.6::DOUBLE THEN 'soft_uncertain' ELSE 'unsafe' END AS z_{a}" if t else f"'unsafe' AS z_{a}" for k, (a, t) in enumerate(_TAU.items(), 1)) + """ FROM e),
+pv AS (SELECT zo.*, rt.*, ((query_id * 7 + idx * 13) % 101) / 101.0::DOUBLE AS value FROM zo, rt WHERE idx < 30), pt AS (SELECT *, CASE WHEN len(hard) + len(soft) = 0 THEN 'semantic' WHEN """ + _ALLOWED("hard", "'hard_safe'") + " AND " + _ALLOWED("soft", "'hard_safe', 'soft_uncertain'") + """ THEN 'hard' END AS tier FROM pv),
+pa AS (SELECT query_id, count_if(tier = 'hard') AS n_hard, avg(value) FILTER (tier = 'semantic') * 1.05::DOUBLE AS own, any_value(list_filter([""" + ", ".join(f"CASE WHEN z_{a} = 'soft_uncertain' THEN '{a}' END" for a in metadata.AXES) + """], lambda x: x IS NOT NULL)) AS doubt FROM pt GROUP BY query_id),
+pc AS (SELECT query_id, route_id, idx, value, tier FROM pt WHERE tier IS NOT NULL UNION ALL SELECT query_id, 'dynamic_soft_' || array_to_string(list_sort(doubt), '_'), 30, own, 'soft' FROM pa WHERE len(doubt) > 0),
+pp AS (SELECT pc.*, n_hard, (len(doubt) > 0)::INT AS n_soft FROM pc JOIN pa USING (query_id) QUALIFY row_number() OVER (PARTITION BY pc.query_id ORDER BY value DESC, idx) = 1),
+pr1 AS (SELECT pp.*, gr.rank, gr.cost FROM pp JOIN gr USING (query_id, route_id))
+"""
+
+
+def _zoned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of all pairs, the bank, and the choices of the planner by zones."""
+    f = frames(spark, d)
+    s = search.qamp_scores(search.prototypes(f), search.query_set(f))
+    bank = routes.bank(spark)
+    sem = routes.single_scores(_axes(spark, d, s), [500, 1000] + [t for t in routes.CANDIDATES if t not in (500, 1000)])
+    # A stated bank of 30 routes.
+    values = _probabilities(spark, d).where("query_id % 20 = 0").crossJoin(F.broadcast(bank)).withColumn("value", (F.col("query_id") * 7 + F.col("idx") * 13) % 101 / 101)
+    return sem, bank, planners.zoned_choice(values, _TAU)
+
+
+@query(_ZONED + "SELECT query_id, route_id, round(value, 6) AS value, n_hard::BIGINT AS n_hard, n_soft::BIGINT AS n_soft, CASE WHEN tier = 'semantic' AND n_hard = 0 AND n_soft = 0 THEN 'semantic' WHEN tier = 'soft' THEN 'soft' ELSE 'none' END AS fallback_type, rank::INT AS rank FROM pr1")
+def zoned_planner(spark: SparkSession, d: str) -> DataFrame:
+    """Routes chosen by zones, some of them the query's own, and the ranks under them."""
+    sem, _, choices = _zoned(spark, d)
+    ranks = routes.executed_choices(sem, choices).select("query_id", "rank")
+    return choices.join(ranks, "query_id").select("query_id", "route_id", F.round("value", 6).alias("value"), "n_hard", F.col("n_soft").cast("long").alias("n_soft"), "fallback_type", F.col("rank").cast("int").alias("rank"))
+
+
+@query(_ZONED + """, ca AS (SELECT a.query_id, a.route_id AS r1, a.rank AS k1, b.route_id AS r2, b.rank AS k2, c.route_id AS r3, c.rank AS k3 FROM pr1 a JOIN gr b ON b.query_id = a.query_id AND b.route_id = 'R16_semantic_top1000_nnn_qamp' JOIN gr c ON c.query_id = a.query_id AND c.route_id = 'R29_full_budget_all_soft_dense_refine'),
+cb AS (SELECT *, k2 >= 0 AND k2 < k1 AS up FROM ca), cc AS (SELECT *, CASE WHEN k1 >= 0 AND k1 < 5 THEN 1 WHEN (CASE WHEN up THEN k2 ELSE k1 END) BETWEEN 0 AND 9 THEN 2 ELSE 3 END AS stage FROM cb),
+cd AS (SELECT *, CASE stage WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN up THEN 2 ELSE 1 END ELSE CASE WHEN greatest(k1, k2, k3) < 0 THEN 1 WHEN k1 >= 0 AND k1 <= least(CASE WHEN k2 < 0 THEN 9999 ELSE k2 END, CASE WHEN k3 < 0 THEN 9999 ELSE k3 END) THEN 1 WHEN k2 >= 0 AND k2 <= (CASE WHEN k3 < 0 THEN 9999 ELSE k3 END) THEN 2 ELSE 3 END END AS w FROM cc)
+SELECT query_id, CASE w WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS route_id, (CASE w WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END)::INT AS rank, stage::INT AS stage FROM cd""")
+def planner_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The planner by zones, with larger routes for the queries that it fails."""
+    sem, bank, choices = _zoned(spark, d)
+    return planners.cascade(sem, routes.executed_choices(sem, choices), bank).select("query_id", "route_id", "rank", "stage")
+
+
+@query(_GRID + """, aq AS (SELECT it.query_id, list_filter([CASE WHEN t0 IS NOT NULL THEN 'time' END, CASE WHEN qg IS NOT NULL THEN 'geo' END, CASE WHEN qm IS NOT NULL THEN 'motion' END, CASE WHEN qd IS NOT NULL THEN 'device' END], lambda x: x IS NOT NULL) AS asked FROM it),
+mr AS (SELECT query_id, max(CASE WHEN k = 1 THEN sem END) - max(CASE WHEN k = 2 THEN sem END) AS margin FROM (SELECT query_id, sem, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, video_id) AS k FROM g3 WHERE idx = 15) GROUP BY query_id),
+ma AS (SELECT query_id, route_id, idx, mode, len(hard) AS n, len(hard) = len(asked) AS w FROM aq, rt WHERE len(hard) > 0 AND len(list_filter(hard, lambda x: NOT list_contains(asked, x))) = 0),
+b1 AS (SELECT query_id, arg_max(route_id, n * 1000 - idx) AS r FROM ma GROUP BY query_id), b5 AS (SELECT query_id, arg_max(route_id, CASE WHEN w AND mode = 'col_softmax_post_filter' THEN 1000000 ELSE 0 END + n * 1000 - idx) AS r FROM ma GROUP BY query_id),
+ch AS (SELECT query_id, 'semantic' AS baseline, 'R00_semantic_only_top500' AS route_id FROM aq UNION ALL SELECT query_id, 'rules', coalesce(r, 'R00_semantic_only_top500') FROM aq LEFT JOIN b1 USING (query_id) UNION ALL SELECT query_id, 'all_hard', coalesce(r, 'R00_semantic_only_top500') FROM aq LEFT JOIN b5 USING (query_id)
+ UNION ALL SELECT query_id, 'margin', CASE WHEN margin > 0.08 THEN 'R00_semantic_only_top500' WHEN margin > 0.02 THEN 'R16_semantic_top1000_nnn_qamp' ELSE 'R29_full_budget_all_soft_dense_refine' END FROM mr
+ UNION ALL SELECT query_id, 'random', rt.route_id FROM aq JOIN rt ON rt.idx = ('0x' || md5(query_id::VARCHAR)[1:8])::BIGINT % 30),
+c8 AS (SELECT a.query_id, len(aq.asked) > 0 AS bound, a.route_id AS r1, a.rank AS k1, ru.route_id AS r2, b.rank AS k2, l.route_id AS r3, l.rank AS k3, a.cost AS o1, b.cost AS o2, l.cost AS o3 FROM gr a JOIN aq USING (query_id) JOIN ch ru ON ru.query_id = a.query_id AND ru.baseline = 'rules' JOIN gr b ON b.query_id = a.query_id AND b.route_id = ru.route_id JOIN gr l ON l.query_id = a.query_id AND l.route_id = 'R16_semantic_top1000_nnn_qamp' WHERE a.route_id = 'R01_semantic_only_top300'),
+c9 AS (SELECT *, CASE WHEN k1 < 0 THEN 9999 ELSE k1 END AS a1, CASE WHEN NOT bound THEN 99999 WHEN k2 < 0 THEN 9999 ELSE k2 END AS a2, CASE WHEN k3 < 0 THEN 9999 ELSE k3 END AS a3 FROM c8),
+cw AS (SELECT *, CASE WHEN k1 = 0 THEN 1 WHEN bound AND k2 >= 0 AND k2 < k1 THEN 2 WHEN a1 <= a2 AND a1 <= a3 THEN 1 WHEN a2 <= a3 THEN 2 ELSE 3 END AS w FROM c9)
+SELECT query_id, baseline, route_id, rank::INT AS rank, cost FROM ch JOIN gr USING (query_id, route_id) UNION ALL SELECT query_id, 'oracle', route_id, rank::INT, cost FROM ob UNION ALL SELECT query_id, 'cascade', CASE w WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END, (CASE w WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END)::INT, CASE w WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END FROM cw""")
+def route_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Seven baselines of routing over the grid of all routes."""
+    f = frames(spark, d)
+    s = search.qamp_scores(search.prototypes(f), search.query_set(f))
+    bank, axes = routes.bank(spark), _axes(spark, d, s)
+    sem = routes.single_scores(axes, sorted({top for _, _, _, top, *_ in routes.BANK}))
+    two = search.with_margin(search.top_k(sem.where("topm = 100"), 2, "sem"), "sem").where("rank = 0")
+    asked = two.select("query_id", "margin", F.array_compact(F.array(*[F.when(F.col(f"has_{a}"), a) for a in metadata.AXES])).alias("asked"))
+    return planners.baselines(routes.executed(sem, bank).withColumn("utility", F.round("utility", 9)), bank, asked)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, gallery, identity, metadata, routes, sampling, scans, segments, spans, spectra
+from quern.operators import evaluate, experts, gallery, identity, metadata, planners, routes, sampling, scans, segments, spans, spectra
 from quern.sources import tables
 from quern.streaming import events
 
@@ -345,3 +345,65 @@ def test_exact_upper_bounds(spark):
     got = {(r.k, r.n): r.u for r in df.select("k", "n", evaluate.exact_upper(F.col("k"), F.col("n")).alias("u")).collect()}
     assert all(abs(got[c] - bound(*c)) < 1e-9 for c in cases) and got[0, 0] == got[7, 7] == 1.0
     assert abs(got[0, 100] - (1 - 0.05 ** (1 / 100))) < 1e-9 and 0.02 < got[2, 100] < 0.10
+
+
+def _values(spark, rows):
+    """rows: query, route, hard, soft, value and four probabilities."""
+    schema = "query_id int, route_id string, idx int, hard_axes array<string>, soft_axes array<string>, candidate_topm int, rerank_mode string, cost double, value double, p_time double, p_geo double, p_motion double, p_device double"
+    return spark.createDataFrame([(q, r, i, h, s, 500, "none", 1.0, v, *p) for q, r, i, h, s, v, p in rows], schema)
+
+
+def test_choice_by_zones(spark):
+    bank = [("plain", [], []), ("t", ["time"], []), ("tg", ["time", "geo"], []), ("g", ["geo"], ["time"]), ("s", [], ["geo"])]
+    safe, doubt, no = 0.9, 0.4, 0.1
+    cases = {1: ((safe, no, no, no), (0.1, 0.2, 0.9, 0.9, 0.9)), 2: ((safe, safe, no, no), (0.1, 0.2, 0.9, 0.8, 0.9)), 3: ((no, doubt, no, no), (0.5, 0.9, 0.9, 0.9, 0.2)), 4: ((no, no, no, safe), (0.5, 0.9, 0.9, 0.9, 0.9)), 5: ((doubt, doubt, no, no), (0.5, 0.9, 0.9, 0.9, 0.6))}
+    rows = [(q, r, i, h, s, values[i], p) for q, (p, values) in cases.items() for i, (r, h, s) in enumerate(bank)]
+    got = {x.query_id: x for x in planners.zoned_choice(_values(spark, rows), {"time": 0.5, "geo": 0.5, "motion": 0.5, "device": None}).collect()}
+    assert {q: (x.route_id, x.fallback_type, x.n_hard, x.n_soft) for q, x in got.items()} == {
+        1: ("t", "none", 1, 0), 2: ("tg", "none", 4, 0), 3: ("dynamic_soft_geo", "soft", 1, 1), 4: ("plain", "semantic", 0, 0), 5: ("s", "none", 1, 1),
+    }
+    assert abs(got[3].value - 0.5 * 1.05) < 1e-12 and got[3].soft_axes == ["geo"] and (got[3].cost, got[3].idx) == (1.0, 5)
+
+
+def _sem(spark, ranks):
+    """Scores under which the right video of a query (id 0) has the rank given for each number of candidates."""
+    rows = [(q, v, 0, top, float(100 - v) if v else 99.5 - rank, *([True, 1.0, False] * 4)) for q, by in ranks.items() for top, rank in by.items() for v in range(60)]
+    axes = ", ".join(f"pass_{a} boolean, soft_{a} double, has_{a} boolean" for a in metadata.AXES)
+    return spark.createDataFrame(rows, f"query_id int, video_id int, own int, topm int, sem double, {axes}")
+
+
+def test_cascade_searches_failed_queries_again(spark):
+    bank = routes.bank(spark)
+    sem = _sem(spark, {1: {500: 2, 1000: 0}, 2: {500: 7, 1000: 20}, 3: {500: 30, 1000: 6}, 4: {500: 30, 1000: 20}})
+    plain = bank.where("idx = 0").drop("budget_tier", "dense")
+    first = routes.executed_choices(sem, sem.select("query_id").distinct().crossJoin(plain))
+    assert {x.query_id: x.rank for x in first.collect()} == {1: 2, 2: 7, 3: 30, 4: 30}
+    got = {x.query_id: (x.route_id, x.rank, x.stage) for x in planners.cascade(sem, first, bank).collect()}
+    # The full route reads the same scores as the large one.
+    assert got == {1: (planners.PLAIN, 2, 1), 2: (planners.PLAIN, 7, 2), 3: (planners.LARGE, 6, 2), 4: (planners.LARGE, 20, 3)}
+    lost = first.withColumn("rank", F.lit(-1)).withColumn("gt_filtered", F.lit(True))
+    assert {x.query_id: x.rank for x in planners.cascade(sem, lost, bank).collect()} == {1: 0, 2: 20, 3: 6, 4: 20}
+
+
+def test_baselines_choose_by_what_is_asked(spark):
+    bank = routes.bank(spark)
+    names = {r.idx: r.route_id for r in bank.collect()}
+    asked = spark.createDataFrame([(1, [], 0.1), (2, ["time", "geo"], 0.05), (3, ["device", "motion"], 0.0), (4, ["time", "geo", "motion", "device"], None)], "query_id int, asked array<string>, margin double")
+    grid = spark.createDataFrame([(q, n, i, (i * 7 + q) % 11 - 1, 1.0, float(-((i * 7 + q) % 11))) for q in range(1, 5) for i, n in names.items()], "query_id int, route_id string, idx int, rank int, cost double, utility double")
+    got = {(x.query_id, x.baseline): x for x in planners.baselines(grid, bank, asked).collect()}
+    assert len(got) == 28
+    route = {k: x.route_id[:3] for k, x in got.items()}
+    assert [route[q, "rules"] for q in range(1, 5)] == ["R00", "R06", "R04", "R09"] == [route[q, "all_hard"] for q in range(1, 5)]
+    assert [route[q, "margin"] for q in range(1, 5)] == ["R00", "R16", "R29", "R29"]
+    for q in range(1, 5):
+        assert got[q, "oracle"].route_id == names[min(range(30), key=lambda i: ((i * 7 + q) % 11, i))]
+        ranks = {i: (i * 7 + q) % 11 - 1 for i in names}
+        place = lambda i: ranks[i] if ranks[i] >= 0 else 9999
+        rule = int(got[q, "rules"].route_id[1:3])
+        if ranks[1] == 0:
+            want = 1
+        elif q > 1 and 0 <= ranks[rule] < ranks[1]:
+            want = rule
+        else:
+            want = min([1, rule if q > 1 else 1, 16], key=place)
+        assert got[q, "cascade"].rank == ranks[want]
