@@ -36,7 +36,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(a))
 
 
-def geo_class(lat: Column, lon: Column, alt: Column, coasts) -> Column:
+#: Boxes of coasts (least and greatest latitude, least and greatest longitude).
+COASTS = ((18.0, 20.0, 108.5, 111.0), (36.5, 38.5, 120.0, 122.5), (22.0, 23.5, 113.5, 114.7))
+
+
+def geo_class(lat: Column, lon: Column, alt: Column, coasts=COASTS) -> Column:
     """coast inside one of the (lat, lat, lon, lon) boxes, mountain from 800 m, else unknown; unknown without coordinates."""
     near = F.lit(False)
     for a, b, c, d in coasts:
@@ -159,6 +163,7 @@ def time_window(text: Column, now: dt.datetime) -> Column:
         end = year.replace(year=year.year + 1, month=last + 1) if last < first else year.replace(month=last + 1)
         return span(start, end)
 
+    # Patterns of the time rules, in their order.
     rules = [
         (r"\btoday\b|今天|今日", span(day, day + one)),
         (r"\byesterday\b|昨天|昨日", span(day - one, day)),

@@ -180,9 +180,9 @@ def intent_labels(spark: SparkSession, d: str) -> DataFrame:
     return _phrase(spark, d).select("conv_id", "turn", F.array_join(metadata.classes(x, metadata.GEO), ",").alias("geo"), F.array_join(metadata.classes(x, metadata.MOTION), ",").alias("motion"), metadata.first_class(x, metadata.DEVICE).alias("device"))
 
 
-@query("WITH p AS (SELECT unnest(range(0, " + str(len(PHRASES)) + ")) AS i, lower(unnest([" + ", ".join(f"'{p}'" for p in PHRASES) + r"""])) AS l), n AS (SELECT *, TIMESTAMP '2026-04-24 15:00:00' AS t FROM p),
+@query(_PHRASED.replace("WITH t AS", "WITH p AS") + r""", n AS (SELECT *, TIMESTAMP '2026-04-24 15:00:00' AS t FROM p),
 x AS (SELECT *, date_trunc('day', t) AS d, date_trunc('week', t) AS w, date_trunc('month', t) AS m, date_trunc('year', t) AS y FROM n),
-s AS (SELECT i, CASE WHEN regexp_matches(l, '\btoday\b|今天|今日') THEN [d, d + INTERVAL 1 DAY]
+s AS (SELECT conv_id, turn, CASE WHEN regexp_matches(l, '\btoday\b|今天|今日') THEN [d, d + INTERVAL 1 DAY]
  WHEN regexp_matches(l, '\byesterday\b|昨天|昨日') THEN [d - INTERVAL 1 DAY, d] WHEN contains(l, '前天') THEN [d - INTERVAL 2 DAY, d - INTERVAL 1 DAY]
  WHEN regexp_matches(l, '\bthis week\b|本周|这周') THEN [w, w + INTERVAL 7 DAY] WHEN regexp_matches(l, '\blast week\b|上周|上个星期|上星期') THEN [w - INTERVAL 7 DAY, w]
  WHEN regexp_matches(l, '\bthis month\b|本月|这个月') THEN [m, m + INTERVAL 1 MONTH] WHEN regexp_matches(l, '\blast month\b|上月|上个月') THEN [m - INTERVAL 1 MONTH, m]
@@ -192,10 +192,9 @@ s AS (SELECT i, CASE WHEN regexp_matches(l, '\btoday\b|今天|今日') THEN [d,
  WHEN regexp_matches(l, 'spring|春天|春季') THEN [y + INTERVAL 2 MONTH, y + INTERVAL 5 MONTH] WHEN regexp_matches(l, 'summer|夏天|夏季') THEN [y + INTERVAL 5 MONTH, y + INTERVAL 8 MONTH]
  WHEN regexp_matches(l, 'autumn|fall|秋天|秋季') THEN [y + INTERVAL 8 MONTH, y + INTERVAL 11 MONTH] WHEN regexp_matches(l, 'winter|冬天|冬季') THEN [y + INTERVAL 11 MONTH, y + INTERVAL 14 MONTH]
  WHEN regexp_matches(l, '(\d{4})\s*(年|/|$)') THEN [make_timestamp(regexp_extract(l, '(\d{4})\s*(年|/|$)', 1)::BIGINT, 1, 1, 0, 0, 0.0), make_timestamp(regexp_extract(l, '(\d{4})\s*(年|/|$)', 1)::BIGINT + 1, 1, 1, 0, 0, 0.0)] END AS r FROM x)
-SELECT i::INT AS phrase_id, epoch(r[1])::DOUBLE AS t_start, epoch(r[2])::DOUBLE AS t_end FROM s""")
+SELECT conv_id, turn, epoch(r[1])::DOUBLE AS t_start, epoch(r[2])::DOUBLE AS t_end FROM s""")
 def intent_time_window(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in PHRASES])).alias("phrase_id", "text"))
-    return p.withColumn("w", metadata.time_window(F.col("text"), NOW)).select("phrase_id", "w.t_start", "w.t_end")
+    return _phrase(spark, d).select("conv_id", "turn", metadata.time_window(F.col("text"), NOW).alias("w")).select("conv_id", "turn", "w.t_start", "w.t_end")
 
 
 #: Scored time series: events of a user, in hours.

@@ -228,9 +228,12 @@ def planner_choice(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("query_id", "route_id", F.round("value", 6).alias("value"), "n_safe", "used_fallback")
 
 
-@query(f"WITH {_BANK} SELECT CASE cost WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 4 THEN 'high' ELSE 'full' END AS budget_tier, count(*)::BIGINT AS n, count_if(len(hard) > 0)::BIGINT AS hard, count_if(len(soft) > 0)::BIGINT AS soft, max(cost) AS cost FROM rt GROUP BY cost")
+@query(f"WITH {_BANK}, t AS (SELECT o_orderkey, (['low', 'medium', 'high', 'full', 'none'])[o_orderkey % 5 + 1] AS budget_tier FROM orders), c AS (SELECT CASE cost WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 4 THEN 'high' ELSE 'full' END AS budget_tier, count(*)::BIGINT AS n, count_if(len(hard) > 0)::BIGINT AS hard, count_if(len(soft) > 0)::BIGINT AS soft, max(cost) AS cost FROM rt GROUP BY cost) SELECT o_orderkey, t.budget_tier, n, hard, soft, cost FROM t LEFT JOIN c ON c.budget_tier = t.budget_tier")
 def route_bank(spark: SparkSession, d: str) -> DataFrame:
-    return routes.summary(routes.bank(spark))
+    """The routes that the budget tier of each order allows."""
+    tiers = F.array(*[F.lit(t) for t in (*routes.COST, "none")])
+    orders = table(spark, d, "orders").select("o_orderkey", F.element_at(tiers, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("budget_tier"))
+    return orders.join(F.broadcast(routes.summary(routes.bank(spark))), "budget_tier", "left").select("o_orderkey", "budget_tier", "n", "hard", "soft", "cost")
 
 
 #: The bank, and a soft route for each set of axes beside it.

@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import evaluate, experts, gallery, scans, search
+from quern.operators import evaluate, experts, gallery, metadata, scans, search
 from quern.plans.catalogue import _FRAMES, _LATTICE, _SERIES, _lattice, _series, query
 from quern.sources.tables import frames, table
 
 _SUBSETS = "su AS (SELECT sid, 1 + ((sid & 1) > 0)::INT * 2.0 + ((sid & 2) > 0)::INT * 2.0 + ((sid & 4) > 0)::INT * 3.0 + ((sid & 8) > 0)::INT * 1.5 AS cost FROM range(0, 16) t(sid))"
 
 
-@query(f"WITH {_SUBSETS} SELECT sid::INT AS sid, cost::DOUBLE AS cost, bit_count(sid::INT)::INT AS members FROM su WHERE cost <= 5")
+@query(f"WITH {_SUBSETS} SELECT o_orderkey, count(*)::BIGINT AS n, max(cost)::DOUBLE AS dearest, max(bit_count(sid::INT))::INT AS most FROM orders JOIN su ON cost <= 1 + o_orderkey % 10 GROUP BY o_orderkey")
 def feasible_subsets(spark: SparkSession, d: str) -> DataFrame:
-    return experts.within_budget(experts.subset_table(spark), 5.0).select("sid", "cost", F.size("members").alias("members"))
+    """Subsets of the experts within each order's budget."""
+    orders = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 10).alias("budget"))
+    # Sixteen subsets.
+    fit = experts.within_budget(orders.crossJoin(F.broadcast(experts.subset_table(spark))), F.col("budget"))
+    return fit.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("cost").alias("dearest"), F.max(F.size("members")).alias("most"))
 
 
 @query(_LATTICE + """, p AS (SELECT b.marginal - a.marginal AS x FROM m a JOIN m b ON a.query_id = b.query_id AND a.expert = b.expert AND a.sid <> b.sid AND (a.sid & b.sid) = a.sid),
@@ -78,21 +82,34 @@ def metadata_availability(spark: SparkSession, d: str) -> DataFrame:
     return experts.availability(rows, ["created", "geo"]).select(F.round("created", 6).alias("created"), F.round("geo", 6).alias("geo"))
 
 
-_TEXTS = ["+37.3349-122.0090+010.5/", "-33.86+151.21/", "no place", "+19+109.5"]
-_RATES = ["30000/1001", "25", "0/0", "24/1", "x"]
+#: Boxes that stand for coasts beside the fixed ones, so that positions fall into some.
+_COASTS = (*metadata.COASTS, (40.0, 60.0, 0.0, 90.0))
 
 
-@query("WITH t AS (SELECT unnest(range(0, 4)) AS i, unnest([" + ", ".join(f"'{t}'" for t in _TEXTS) + r"""]) AS t), p AS (SELECT i, regexp_extract(t, '([+-][0-9]+(\.[0-9]+)?)([+-][0-9]+(\.[0-9]+)?)([+-][0-9]+(\.[0-9]+)?)?', ['a', 'x', 'b', 'y', 'c', 'z']) AS r FROM t)
-SELECT i::INT AS i, try_cast(r.a AS DOUBLE) AS latitude, try_cast(r.b AS DOUBLE) AS longitude, try_cast(r.c AS DOUBLE) AS altitude FROM p""")
+@query(r"""WITH t AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '+' || lpad((c_custkey * 37 % 90)::VARCHAR, 2, '0') || '.' || lpad((c_custkey * 7919 % 10000)::VARCHAR, 4, '0') || '-' || lpad((c_custkey * 53 % 180)::VARCHAR, 3, '0') || '.25+' || (c_custkey % 2000)::VARCHAR || '.5/'
+ WHEN 1 THEN '-' || (c_custkey * 11 % 90)::VARCHAR || '+' || (c_custkey * 13 % 180)::VARCHAR || '/' WHEN 2 THEN c_name ELSE '+' || (c_custkey * 17 % 90)::VARCHAR || '.5+' || (c_custkey * 29 % 180)::VARCHAR || '.5' END AS t FROM customer),
+p AS (SELECT k, regexp_extract(t, '([+-][0-9]+(\.[0-9]+)?)([+-][0-9]+(\.[0-9]+)?)([+-][0-9]+(\.[0-9]+)?)?', ['a', 'x', 'b', 'y', 'c', 'z']) AS r FROM t), n AS (SELECT k, try_cast(r.a AS DOUBLE) AS la, try_cast(r.b AS DOUBLE) AS lo, try_cast(r.c AS DOUBLE) AS al FROM p)
+SELECT k AS c_custkey, la AS latitude, lo AS longitude, al AS altitude, CASE WHEN la IS NULL THEN 'unknown' WHEN la BETWEEN 18 AND 20 AND lo BETWEEN 108.5 AND 111 OR la BETWEEN 36.5 AND 38.5 AND lo BETWEEN 120 AND 122.5 OR la BETWEEN 22 AND 23.5 AND lo BETWEEN 113.5 AND 114.7 OR la BETWEEN 40 AND 60 AND lo BETWEEN 0 AND 90 THEN 'coast' WHEN al >= 800 THEN 'mountain' ELSE 'unknown' END AS place,
+ round(2 * 6371 * asin(sqrt(power(sin(radians(la) / 2), 2) + cos(radians(la)) * power(sin(radians(lo) / 2), 2))), 3) AS km FROM n""")
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in _TEXTS])).alias("i", "t")).withColumn("p", experts.iso6709(F.col("t")))
-    return t.select("i", "p.latitude", "p.longitude", "p.altitude")
-
-
-@query("WITH t AS (SELECT unnest(range(0, 5)) AS i, unnest([" + ", ".join(f"'{t}'" for t in _RATES) + "]) AS t) SELECT i::INT AS i, round(CASE WHEN contains(t, '/') THEN try_cast(split_part(t, '/', 1) AS DOUBLE) / nullif(try_cast(split_part(t, '/', 2) AS DOUBLE), 0) ELSE try_cast(t AS DOUBLE) END, 6) AS fps FROM t")
+    """Positions read from texts of customers, with the kind of place and the way from the origin."""
+    k = F.col("c_custkey")
+    part = lambda f, m: (k * f % m).cast("string")
+    long = F.concat(F.lit("+"), F.lpad(part(37, 90), 2, "0"), F.lit("."), F.lpad(part(7919, 10000), 4, "0"), F.lit("-"), F.lpad(part(53, 180), 3, "0"), F.lit(".25+"), part(1, 2000), F.lit(".5/"))
+    short = F.concat(F.lit("-"), part(11, 90), F.lit("+"), part(13, 180), F.lit("/"))
+    text = F.when(k % 4 == 0, long).when(k % 4 == 1, short).when(k % 4 == 2, F.col("c_name")).otherwise(F.concat(F.lit("+"), part(17, 90), F.lit(".5+"), part(29, 180), F.lit(".5")))
+    p = table(spark, d, "customer").select("c_custkey", experts.iso6709(text).alias("p")).select("c_custkey", "p.*")
+    la, lo = F.col("latitude"), F.col("longitude")
+    return p.withColumns({"place": metadata.geo_class(la, lo, F.col("altitude"), _COASTS), "km": F.round(metadata.haversine_km(F.lit(0.0), F.lit(0.0), la, lo), 3)})
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (24000 + p_size * 1000)::VARCHAR || '/1001' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size::VARCHAR || '/' || (p_partkey % 3)::VARCHAR ELSE p_brand END AS t FROM part)
+SELECT p_partkey, round(CASE WHEN contains(t, '/') THEN try_cast(split_part(t, '/', 1) AS DOUBLE) / nullif(try_cast(split_part(t, '/', 2) AS DOUBLE), 0) ELSE try_cast(t AS DOUBLE) END, 6) AS fps FROM t""")
 def frame_rates(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in _RATES])).alias("i", "t"))
-    return t.select("i", F.round(experts.frame_rate(F.col("t")), 6).alias("fps"))
+    """Rates read from texts of parts."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(k % 4 == 0, F.concat((24000 + F.col("p_size") * 1000).cast("string"), F.lit("/1001"))).when(k % 4 == 1, size).when(k % 4 == 2, F.concat(size, F.lit("/"), (k % 3).cast("string"))).otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.round(experts.frame_rate(text), 6).alias("fps"))
 
 
 @query("SELECT 'delta' AS what, round(avg((embedding[2] > 0)::INT - (embedding[1] > 0)::INT), 6) AS value FROM embeddings")

@@ -407,3 +407,11 @@ def test_baselines_choose_by_what_is_asked(spark):
         else:
             want = min([1, rule if q > 1 else 1, 16], key=place)
         assert got[q, "cascade"].rank == ranks[want]
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(19.0, 109.5, None), (30.0, 103.0, None), (30.0, 103.0, 1500.0), (None, None, 1500.0), (18.0, 111.0, 900.0)], "lat double, lon double, alt double")
+    got = [r.g for r in df.select(metadata.geo_class(F.col("lat"), F.col("lon"), F.col("alt")).alias("g")).collect()]
+    assert got == ["coast", "unknown", "mountain", "unknown", "coast"]
+    way = spark.range(1).select(metadata.haversine_km(F.lit(52.52), F.lit(13.405), F.lit(48.8566), F.lit(2.3522)).alias("km")).first().km
+    assert abs(way - 877.5) < 1
