@@ -3,10 +3,14 @@
 Operator 1. Lines that begin with ``>`` marks are quotes of that nesting level. Adjacent lines of one level are a
 passage; the rest of a message, without attribution lines such as "On ... wrote:", is its reply. Passages are normalised
 (lower case, letters and digits only) and hashed by line and by paragraph. Hashes are joined to those of original
-messages' own text: the latest earlier message of the conversation that holds one, or else the first message of
-any conversation. The message that most words of the outermost quotes point to is the parent. Following parents gives
-each message its thread and its depth in it; ordered by thread, depth and turn, every message follows the one that it
-answers, without quotes. Where links between conversations close a circle, its first message loses its parent.
+messages' own text: the latest earlier message of the conversation that holds one, or else the only message of all
+conversations that does; a phrase that several hold tells nothing. The message that most words of the outermost quotes point to is the
+parent. Following parents gives each message its thread, its depth in it, and its position: a message comes before all that answer it,
+and these, each with its own answers, in the order of turns. So thread and position order conversations by replies, without
+quotes. Where links between conversations close a circle, its first message loses its parent.
+
+Positions are ranks in a tour that enters and leaves each message: its steps are doubled until they reach the end, so that no task walks
+a thread.
 
 The earlier message is looked up in blocks of turns: a grouped maximum over earlier blocks, and a window inside one.
 A hot conversation or a very common line is split by those blocks and by partial aggregation. No join pairs
@@ -120,7 +124,8 @@ def _sources(parsed: DataFrame) -> DataFrame:
     near = Window.partitionBy("conv_id", "hash", "b").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("near", F.max("has").over(near)).where("has IS NULL").join(early, ["conv_id", "hash", "b"])
     here = found.select("conv_id", "hash", "turn", F.coalesce("near", "early").alias("here"))
-    first = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # What several messages hold says of none that it is meant.
+    first = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count("*").alias("n")).where("n = 1").drop("n")
     out = quoted.join(here, ["conv_id", "hash", "turn"], "left").join(first, "hash", "left")
     # Elsewhere only in other conversations: in its own, a later message isn't what it answers.
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
@@ -162,10 +167,31 @@ def _threads(parent: DataFrame) -> DataFrame:
             return now.select("m.conv_id", "m.turn", F.col("up").alias("thread"), "depth")
 
 
+def _positions(parent: DataFrame) -> DataFrame:
+    """conv_id, turn, position from 0 of all messages of threads with more than one, parents before their answers."""
+    name = lambda conv, turn: F.struct(F.col(turn).alias("turn"), F.col(conv).alias("conv_id"))
+    child = parent.select(name("conv_id", "turn").alias("m"), name("parent.conv_id", "parent.turn").alias("up"))
+    order = Window.partitionBy("up").orderBy("m")
+    nodes = child.select("m").unionByName(child.select(F.col("up").alias("m"))).distinct()
+    first = child.groupBy("up").agg(F.min("m").alias("down")).withColumnRenamed("up", "m")
+    nodes = nodes.join(child.withColumn("beside", F.lead("m").over(order)), "m", "left").join(first, "m", "left")
+    step = lambda m, side: F.struct(m.alias("m"), F.lit(side).alias("side"))
+    m, up, down, beside = (F.col(c) for c in ("m", "up", "down", "beside"))
+    into = F.when(down.isNotNull(), step(down, 0)).otherwise(step(m, 1))
+    out = F.when(beside.isNotNull(), step(beside, 0)).when(up.isNotNull(), step(up, 1))
+    both = F.explode(F.array(F.struct(step(m, 0).alias("e"), into.alias("next"), F.lit(1).cast("bigint").alias("n")), F.struct(step(m, 1).alias("e"), out.alias("next"), F.lit(0).cast("bigint").alias("n"))))
+    now = stash(nodes.select(both.alias("s")).select("s.*"), "tour")
+    while now.where("next IS NOT NULL").limit(1).count():
+        far = now.select(F.col("e").alias("next"), F.col("next").alias("more"), F.col("n").alias("further"))
+        now = stash(now.join(far, "next", "left").select("e", F.col("more").alias("next"), (F.col("n") + F.coalesce("further", F.lit(0))).alias("n")), "tour")
+    # What is entered from a message to the end; the thread's first message has all before it.
+    return now.where("e.side = 0").select("e.m.conv_id", "e.m.turn", F.col("n").alias("left"))
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply, n_quotes, max_level, n_linked, parent_conv, parent_turn, thread_conv, thread_turn, depth.
+    """conv_id, turn, role, reply, n_quotes, max_level, n_linked, parent_conv, parent_turn, thread_conv, thread_turn, depth, position.
 
-    In the order (thread_conv, thread_turn, depth, turn) a message comes after the one that it answers.
+    In the order (thread_conv, thread_turn, position) a message comes after the one that it answers, and before that one's later answers.
     """
     rows = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     parsed = stash(rows.mapInArrow(_parse, _PARSED), "messages")
@@ -176,13 +202,18 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     best = _acyclic(best)
     linked = sources.groupBy("conv_id", "turn").agg(F.countDistinct("level", "hash").alias("n_linked"))
     threads = _threads(best)
-    known = linked.join(best, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
+    tours = stash(_positions(best), "tours")
+    # A thread's first message has the whole thread to its end.
+    whole = tours.select(F.struct("conv_id", "turn").alias("thread"), F.col("left").alias("whole"))
+    placed = threads.join(whole, "thread").join(tours, ["conv_id", "turn"]).withColumn("position", F.col("whole") - F.col("left")).drop("whole", "left")
+    known = linked.join(best, ["conv_id", "turn"], "left").join(placed, ["conv_id", "turn"], "left")
     out = parsed.drop("own", "quoted").join(known, ["conv_id", "turn"], "left")
     release(messages.sparkSession)
     return out.select(
         "conv_id", "turn", "role", "reply", "n_quotes", "max_level", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.coalesce("thread.conv_id", "conv_id").alias("thread_conv"), F.coalesce("thread.turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
+        F.coalesce("position", F.lit(0)).cast("bigint").alias("position"),
     )
 
 

@@ -243,3 +243,30 @@ def test_mixing_comes_near_its_targets(spark):
         target, taken = got[s][0].target, sum(x.taken for x in got[s])
         assert all(x.taken in (0, x["size"], 2 * x["size"]) for x in got[s])
         assert abs(taken - target) <= max(min(sizes), 0.02 * target, 2 * nearest(sizes, target)), (s, target, taken, nearest(sizes, target))
+
+
+def test_replies_are_ordered_depth_first(spark):
+    from quern.llm import quotation
+
+    says = {0: "The first message of all goes here", 1: "Child one has its own words too", 2: "Child two says another thing now", 3: "Grandchild of one answers that well", 4: "Child three comes late to this", 5: "Great grandchild is the last word"}
+    parent = {1: 0, 2: 0, 3: 1, 4: 0, 5: 3}
+    rows = [(1, t, "user", (f"> {says[parent[t]]}\n\n" if t in parent else "") + says[t]) for t in says] + [(2, 0, "user", "Alone here without any quotes")]
+    # A stock phrase that two messages of other conversations hold, and one that a single message holds.
+    rows += [(3, 0, "user", "Thanks for the help"), (4, 0, "user", "Thanks for the help"), (5, 0, "user", "> Thanks for the help\n\nno parent then"), (6, 0, "user", "> Alone here without any quotes\n\nfound it there")]
+    got = {(x.conv_id, x.turn): x for x in quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert {t: got[1, t].parent_turn for t in says} == {0: None} | parent
+    assert sorted(says, key=lambda t: got[1, t].position) == [0, 1, 3, 5, 2, 4] and [got[1, t].position for t in (0, 1, 3, 5, 2, 4)] == list(range(6))
+    assert got[5, 0].parent_conv is None and (got[6, 0].parent_conv, got[6, 0].thread_conv, got[6, 0].position) == (2, 2, 1) and got[2, 0].position == 0
+
+
+def test_quotation_of_long_threads_ties_and_empty_tables(spark):
+    from quern.llm import quotation
+
+    line = lambda t: f"Message number {t} with words of its own"
+    rows = [(1, t, "user", (f"> {line(t - 1)}\n\n" if t else "") + line(t), "x") for t in range(60)]
+    rows += rows[10:12] + [(None, 1, "user", None, "x"), (2, None, None, "> " + line(3), "x"), (2, 0, "user", "long " * 50_000, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string").repartition(4)
+    got = quotation.link_quotations(df).collect()
+    assert len(got) == len(rows) and all(x.position == x.depth == x.turn for x in got if x.conv_id == 1)
+    assert all(x.position == 0 and x.parent_conv is None for x in got if x.conv_id != 1)
+    assert quotation.link_quotations(df.limit(0)).count() == 0
