@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import identity, sampling, scans, spectra
+from quern.operators import identity, noise, sampling, scans, spectra
 from quern.plans.catalogue import _SERIES, _series, query
 from quern.sources.tables import table
 
@@ -121,3 +121,38 @@ def sensor_motion(spark: SparkSession, d: str) -> DataFrame:
     """Motion of suppliers' sensor streams by rules on means and main frequency."""
     m = spectra.sensor_motion(*_sensors(spark, d), "l_suppkey")
     return m.select("l_suppkey", "label", *[F.round(c, 5).alias(c) for c in ("gyro_mag", "accel_mag", "hz")])
+
+
+def _u(name: str) -> str:
+    return f"('0x' || md5('42:' || by_key || ':{name}')[1:13])::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _normal(name: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_u(name + '/a')})) * cos(6.283185307179586::DOUBLE * {_u(name + '/b')}))"
+
+
+def _pick(name: str, values) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[floor({_u(name)} * {len(values)})::INT + 1]"
+
+
+_NOISE = f"""WITH lv AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {', '.join(f'{x}::DOUBLE' for x in v)})" for n, v in noise.LEVELS.items())}) t(level, {', '.join(noise.FIELDS)})),
+md AS (SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 9 <> 0 THEN epoch(o_orderdate::TIMESTAMP) END AS t, CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey % 90)::DOUBLE END AS la, CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey % 180)::DOUBLE END AS lo, CASE WHEN o_orderkey % 5 <> 0 THEN 'urban' END AS geo,
+ CASE WHEN o_orderkey % 4 <> 0 THEN 'walking' END AS motion, CASE WHEN o_orderkey % 8 <> 0 THEN 0.75::DOUBLE END AS conf, CASE WHEN o_orderkey % 3 <> 0 THEN 'GoPro' END AS make, CASE WHEN o_orderkey % 3 <> 0 THEN 'Hero 9' END AS model FROM orders),
+x AS (SELECT *, level || '/' || video_id::VARCHAR AS by_key FROM md, lv), y AS (SELECT *, la IS NOT NULL AND lo IS NOT NULL AS has, {_u('place missing')} < place_missing AS lost, {_u('place wrong')} < wrong_place AS wrong, {_u('motion missing')} < motion_missing AS still, {_u('motion flip')} < motion_flip AS flip, {_u('device missing')} < device_missing AS gone FROM x)
+SELECT video_id, level, round(CASE WHEN {_u('time missing')} >= time_missing THEN t + shift_days * 86400 * {_normal('time')} END, 3) AS creation_time, round(CASE WHEN NOT has THEN la WHEN NOT lost THEN la + jitter_km * (1.0::DOUBLE / 111.0::DOUBLE) * {_normal('latitude')} END, 6) AS latitude,
+ round(CASE WHEN NOT has THEN lo WHEN NOT lost THEN lo + jitter_km * (1.0::DOUBLE / 111.0::DOUBLE) * {_normal('longitude')} END, 6) AS longitude, CASE WHEN NOT lost AND (has OR geo IS NOT NULL) THEN CASE WHEN wrong THEN {_pick('place', noise.PLACES)} ELSE geo END END AS geo_category,
+ CASE WHEN motion IS NOT NULL AND NOT still THEN CASE WHEN flip THEN {_pick('motion', noise.MOTIONS)} ELSE motion END END AS motion_class, round(CASE WHEN motion IS NULL THEN conf WHEN still THEN NULL WHEN flip THEN greatest(0.3, coalesce(conf, 0.8) - 0.3) ELSE conf END, 6)::DOUBLE AS motion_confidence,
+ CASE WHEN make IS NOT NULL AND NOT gone THEN CASE WHEN {_u('device flip')} < device_flip THEN {_pick('device', noise.MAKERS)} ELSE make END END AS device_make, CASE WHEN NOT (make IS NOT NULL AND gone) THEN model END AS device_model FROM y"""
+
+
+@query(_NOISE)
+def noisy_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of orders' videos at six levels of noise."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    known = lambda m, v: F.when(k % m != 0, v)
+    md = table(spark, d, "orders").select(
+        k.alias("video_id"), known(9, F.col("o_orderdate").cast("timestamp").cast("double")).alias("creation_time"), known(7, (c % 90).cast("double")).alias("latitude"), known(7, (c % 180).cast("double")).alias("longitude"), known(5, F.lit("urban")).alias("geo_category"),
+        known(4, F.lit("walking")).alias("motion_class"), known(8, F.lit(0.75)).alias("motion_confidence"), known(3, F.lit("GoPro")).alias("device_make"), known(3, F.lit("Hero 9")).alias("device_model"),
+    )
+    out = noise.noisy(md, noise.levels(spark))
+    return out.select("video_id", "level", F.round("creation_time", 3).alias("creation_time"), *[F.round(x, 6).alias(x) for x in ("latitude", "longitude", "motion_confidence")], "geo_category", "motion_class", "device_make", "device_model")

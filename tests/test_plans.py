@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, experts, gallery, identity, metadata, planners, routes, sampling, scans, segments, spans, spectra
+from quern.operators import evaluate, experts, gallery, identity, metadata, noise, planners, routes, sampling, scans, segments, spans, spectra
 from quern.sources import tables
 from quern.streaming import events
 
@@ -415,3 +415,42 @@ def test_places(spark):
     assert got == ["coast", "unknown", "mountain", "unknown", "coast"]
     way = spark.range(1).select(metadata.haversine_km(F.lit(52.52), F.lit(13.405), F.lit(48.8566), F.lit(2.3522)).alias("km")).first().km
     assert abs(way - 877.5) < 1
+
+
+def test_draws_are_even_and_normal(spark):
+    df = spark.range(20_000).select(noise.uniform(1, F.col("id"), "a").alias("u"), noise.uniform(1, F.col("id"), "b").alias("w"), noise.normal(1, F.col("id"), "a").alias("z"), noise.choice(1, F.col("id"), "c", "xyz").alias("c"))
+    t = df.toPandas()
+    assert 0 <= t.u.min() and t.u.max() < 1 and abs(t.u.mean() - 0.5) < 0.01 and abs(t.u.var() - 1 / 12) < 0.003 and abs(np.corrcoef(t.u, t.w)[0, 1]) < 0.03
+    assert abs(t.z.mean()) < 0.03 and abs(t.z.std() - 1) < 0.03 and set(t.c) == {"x", "y", "z"} and t.c.value_counts(normalize=True).max() < 0.35
+
+
+def test_noise_at_all_levels(spark):
+    schema = "video_id int, creation_time double, latitude double, longitude double, geo_category string, motion_class string, motion_confidence double, device_make string, device_model string"
+    full = (1e9, 30.0, 100.0, "urban", "walking", 0.9, "GoPro", "Hero")
+    rows = [(k, *full) for k in range(3000)] + [(3000, *[None] * 8), (3001, None, None, None, "coast", None, 0.5, None, "Hero")]
+    md = spark.createDataFrame(rows, schema)
+    got = noise.noisy(md, noise.levels(spark)).toPandas()
+    assert len(got) == 6 * len(rows)
+    clean = got[(got.level == "clean") & (got.video_id < 3000)]
+    assert [tuple(r)[1:9] for r in clean.itertuples(index=False)] == [full] * 3000
+    for level, c in noise.LEVELS.items():
+        mine = got[(got.level == level) & (got.video_id < 3000)]
+        share = dict(zip(noise.FIELDS, c, strict=True))
+        assert abs(mine.creation_time.isna().mean() - share["time_missing"]) < 0.03 and abs(mine.latitude.isna().mean() - share["place_missing"]) < 0.03
+        assert (mine.latitude.isna() == mine.geo_category.isna()).all() and (mine.device_make.isna() == mine.device_model.isna()).all()
+        assert abs(mine.motion_class.isna().mean() - share["motion_missing"]) < 0.03 and mine[mine.motion_confidence < 0.89].motion_confidence.round(6).isin([0.6]).all()
+        assert abs((mine.creation_time - 1e9).std() - share["shift_days"] * 86400) <= 0.06 * share["shift_days"] * 86400 + 1e-9
+    none = got[got.video_id == 3000].drop(columns=["video_id", "level"])
+    assert none.isna().all().all()
+    assert got[got.video_id == 3001][["creation_time", "latitude", "motion_class", "device_make"]].isna().all().all() and (got[got.video_id == 3001].device_model == "Hero").all()
+
+
+def test_perturbed_gallery(spark):
+    rows = [(k, [1.0], 0.5, 0.99, [1.0, 0.0] if k % 2 else None, "x", {"x": 1.0} if k % 3 else None) for k in range(600)]
+    s = spark.createDataFrame(rows, "video_id int, emb array<double>, highlight double, face double, face_emb array<double>, scene string, scenes map<string,double>")
+    same = noise.perturbed(s, 0.0).orderBy("video_id").collect()
+    assert [tuple(r) for r in same] == rows
+    t = noise.perturbed(s, 0.3).toPandas()
+    assert t.highlight.between(0, 1).all() and t.face.between(0, 1).all() and abs(t.highlight.std() - 0.3) < 0.06
+    assert (t[t.video_id % 3 == 0].scene == "x").all() and 0.2 < (t[t.video_id % 3 > 0].scene != "x").mean() < 0.4
+    assert t[t.video_id % 2 == 0].face_emb.isna().all() and all(len(x) == 2 for x in t[t.video_id % 2 == 1].face_emb)
