@@ -9,48 +9,78 @@ from quern.operators.segments import iou
 
 
 def overlaps(pred: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Pairs of predicted (p0, p1, score) and true (g0, g1) segments of one key, with iou."""
+    """Pairs of predicted (p0, p1, score) and true (g0, g1) segments of one key that overlap, with iou; each pair once.
+
+    Both sides are dealt by the buckets in time that they touch, twice their mean length wide, so that a key with very many segments is spread, and
+    segments far from each other never meet.
+    """
     p = pred.select(key, F.col("start").alias("p0"), F.col("end").alias("p1"), F.col("score").alias("p_score"))
     g = truth.select(key, F.col("start").alias("g0"), F.col("end").alias("g1"))
-    return p.join(g, key).withColumn("iou", iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1")))
+    mean = p.select((F.col("p1") - F.col("p0")).alias("l")).unionByName(g.select((F.col("g1") - F.col("g0")).alias("l"))).agg(F.avg("l").alias("l")).first()["l"]
+    width = 2 * mean if mean and mean > 0 else 1.0
+    at = lambda c: F.floor(c / width).cast("long")
+    touched = lambda df, lo, hi: df.where(F.col(hi) > F.col(lo)).withColumn("_b", F.explode(F.sequence(at(F.col(lo)), at(F.col(hi)))))
+    both = touched(p, "p0", "p1").join(touched(g, "g0", "g1"), [key, "_b"])
+    # The first bucket that both touch stands for the pair.
+    both = both.where((F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1")) & (F.col("_b") == at(F.greatest("p0", "g0")))).drop("_b")
+    return both.withColumn("iou", iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1")))
 
 
 def mean_iou(pred: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """key, mean_iou (best match both ways, averaged; 0 if one side is empty), boundary_mae (best match of each true one; null for none)."""
+    """key, mean_iou (best match both ways, averaged; 0 if one side is empty), boundary_mae (best match of each true one; null for none).
+
+    A true segment that no predicted one overlaps is matched with the first of its key.
+    """
     pairs = overlaps(pred, truth, key)
-    a = pairs.groupBy(key, "p0", "p1", "p_score").agg(F.max("iou").alias("x")).groupBy(key).agg(F.avg("x").alias("a"))
+    preds = pred.select(key, F.col("start").alias("p0"), F.col("end").alias("p1"), F.col("score").alias("p_score")).distinct()
+    truths = truth.select(key, F.col("start").alias("g0"), F.col("end").alias("g1")).distinct()
+    first = preds.groupBy(key).agg(F.min(F.struct("p0", "p1")).alias("f"))
+    has = truths.select(key).distinct()
+    best_p = pairs.groupBy(key, "p0", "p1", "p_score").agg(F.max("iou").alias("x"))
+    a = preds.join(has, key, "left_semi").join(best_p, [key, "p0", "p1", "p_score"], "left").groupBy(key).agg(F.avg(F.coalesce("x", F.lit(0.0))).alias("a"))
     error = F.abs(F.col("p0") - F.col("g0")) + F.abs(F.col("p1") - F.col("g1"))
-    best = pairs.withColumn("e", error).groupBy(key, "g0", "g1").agg(F.max("iou").alias("x"), F.max_by("e", F.struct("iou", -F.col("p0"))).alias("e"))
-    b = best.groupBy(key).agg(F.avg("x").alias("b"), F.avg("e").alias("boundary_mae"))
+    best_g = pairs.withColumn("e", error).groupBy(key, "g0", "g1").agg(F.max("iou").alias("x"), F.max_by("e", F.struct("iou", -F.col("p0"))).alias("e"))
+    far = F.abs(F.col("f.p0") - F.col("g0")) + F.abs(F.col("f.p1") - F.col("g1"))
+    matched = truths.join(first, key).join(best_g, [key, "g0", "g1"], "left").withColumn("e", F.coalesce("e", far))
+    b = matched.groupBy(key).agg(F.avg(F.coalesce("x", F.lit(0.0))).alias("b"), F.avg("e").alias("boundary_mae"))
     keys = pred.select(key).unionByName(truth.select(key)).distinct()
     out = keys.join(a, key, "left").join(b, key, "left")
     return out.select(key, F.coalesce((F.col("a") + F.col("b")) / 2, F.lit(0.0)).alias("mean_iou"), "boundary_mae")
 
 
 def recall_at(pred: DataFrame, truth: DataFrame, key: str, k: int, threshold: float) -> DataFrame:
-    """One row: share of the keys with predictions of which one of the k best reaches the threshold with a true one."""
+    """One row: share of the keys with predictions of which one of the k best reaches the threshold (above 0) with a true one."""
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), "start")
     top = pred.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
     hit = overlaps(top, truth, key).where(F.col("iou") >= threshold).select(key).distinct().withColumn("hit", F.lit(1.0))
     return pred.select(key).distinct().join(hit, key, "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
 
-def average_precision(pred: DataFrame, truth: DataFrame, key: str, thresholds: list[float]) -> DataFrame:
-    """key, threshold, ap: 11-point average precision of the predictions by score. Keys with both sides."""
+#: Thresholds of the mean average precision.
+THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+
+
+def average_precision(pred: DataFrame, truth: DataFrame, key: str, thresholds=THRESHOLDS) -> DataFrame:
+    """key, threshold, ap: 11-point average precision of the predictions by score, at thresholds above 0. Keys with both sides."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "start")
-    ranked = pred.withColumn("k", F.row_number().over(order))
-    best = ranked.withColumnsRenamed({"start": "_s"}).withColumnRenamed("_s", "start")
-    g = truth.select(key, F.col("start").alias("g0"), F.col("end").alias("g1"))
-    scored = best.join(g, key).groupBy(key, "k").agg(F.max(iou(F.col("start"), F.col("end"), F.col("g0"), F.col("g1"))).alias("iou"))
+    ranked = pred.withColumn("k", F.row_number().over(order)).withColumnsRenamed({"start": "p0", "end": "p1", "score": "p_score"})
+    best = overlaps(pred, truth, key).groupBy(key, "p0", "p1", "p_score").agg(F.max("iou").alias("iou"))
     n = truth.groupBy(key).agg(F.count("*").alias("n"))
+    scored = ranked.join(n, key).join(best, [key, "p0", "p1", "p_score"], "left").select(key, "k", "n", F.coalesce("iou", F.lit(0.0)).alias("iou"))
     rows = scored.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     by = Window.partitionBy(key, "threshold").orderBy("k")
-    rows = rows.withColumn("tp", F.sum((F.col("iou") >= F.col("threshold")).cast("int")).over(by)).join(n, key)
+    rows = rows.withColumn("tp", F.sum((F.col("iou") >= F.col("threshold")).cast("int")).over(by))
     rows = rows.withColumns({"precision": F.col("tp") / (F.col("k") + 1e-9), "recall": F.col("tp") / F.col("n")})
     at = [F.coalesce(F.max(F.when(F.col("recall") >= r / 10, F.col("precision"))), F.lit(0.0)) for r in range(11)]
     return rows.groupBy(key, "threshold").agg((sum(at[1:], at[0]) / 11).alias("ap"))
 
 
+def mean_average_precision(pred: DataFrame, truth: DataFrame, key: str, thresholds=THRESHOLDS) -> DataFrame:
+    """One row: map, the mean over keys and thresholds, and map_at_half, that at the threshold 0.5."""
+    each = average_precision(pred, truth, key, thresholds)
+    return each.agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("map_at_half"))
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Rows of left and right (both with ts) whose times round to the same bucket of ``width``, half to even: key, bucket, n_left, n_right."""
     bucket = F.bround(F.col("ts") / width, 0).cast("long")

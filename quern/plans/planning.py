@@ -163,6 +163,13 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return spans.average_precision(*_spans(spark, d), "user_id", [0.3, 0.5, 0.7]).withColumn("ap", F.round("ap", 5))
 
 
+@query(_SPANS + """, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, s) AS k FROM p), m AS (SELECT k.user_id, k, max(iou) AS iou FROM k JOIN x ON x.user_id = k.user_id AND x.p0 = k.s AND x.v = k.v GROUP BY ALL),
+t AS (SELECT m.*, th, sum((iou >= th)::INT) OVER (PARTITION BY user_id, th ORDER BY k) AS tp, (SELECT count(*) FROM g WHERE g.user_id = m.user_id) AS n FROM m, (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) q),
+r AS (SELECT user_id, th, r / 10.0::DOUBLE AS lv, coalesce(max(CASE WHEN tp / n >= r / 10.0::DOUBLE THEN tp / (k + 1e-9) END), 0) AS pr FROM t, range(0, 11) z(r) GROUP BY ALL), f AS (SELECT user_id, th, sum(pr) / 11 AS ap FROM r GROUP BY ALL) SELECT round(avg(ap), 5) AS map, round(avg(CASE WHEN th = 0.5 THEN ap END), 5) AS map_at_half FROM f""")
+def mean_average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return spans.mean_average_precision(*_spans(spark, d), "user_id").select(F.round("map", 5).alias("map"), F.round("map_at_half", 5).alias("map_at_half"))
+
+
 def _points(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return table(spark, d, "events").where(F.col("event_type") == kind).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0).alias("ts"))
 

@@ -454,3 +454,28 @@ def test_perturbed_gallery(spark):
     assert t.highlight.between(0, 1).all() and t.face.between(0, 1).all() and abs(t.highlight.std() - 0.3) < 0.06
     assert (t[t.video_id % 3 == 0].scene == "x").all() and 0.2 < (t[t.video_id % 3 > 0].scene != "x").mean() < 0.4
     assert t[t.video_id % 2 == 0].face_emb.isna().all() and all(len(x) == 2 for x in t[t.video_id % 2 == 1].face_emb)
+
+
+def test_overlaps_by_buckets_equal_all_pairs(spark):
+    r = random.Random(11)
+    seg = lambda n: [(k, a := round(r.uniform(-30, 50), 1), round(a + r.choice([0.0, 0.1, 1.5, 9.0]), 1)) for k in (1, 2) for _ in range(n)]
+    pred = [(*s, round(r.random(), 3)) for s in {*seg(60), (1, -100.0, 200.0), (3, 0.0, 1.0)}]
+    truth = [*{*seg(40), (2, 0.0, 500.0), (4, 0.0, 1.0)}]
+    p = spark.createDataFrame(pred, "k int, start double, end double, score double")
+    g = spark.createDataFrame(truth, "k int, start double, end double")
+    want = sorted((k, a, b, c, d) for k, a, b, _ in pred for kk, c, d in truth if k == kk and a < d and c < b and a < b and c < d)
+    assert sorted((x.k, x.p0, x.p1, x.g0, x.g1) for x in spans.overlaps(p, g, "k").collect()) == want
+    assert spans.overlaps(p.limit(0), g.limit(0), "k").count() == 0
+    got = {x.k: x for x in spans.mean_iou(p, g, "k").collect()}
+    assert got[3].mean_iou == got[4].mean_iou == 0.0 and got[3].boundary_mae is None
+    far = spark.createDataFrame([(1, 10.0, 11.0, 0.1), (1, 3.0, 5.0, 0.9)], "k int, start double, end double, score double")
+    one = spans.mean_iou(far, spark.createDataFrame([(1, 0.0, 1.0)], "k int, start double, end double"), "k").first()
+    assert (one.mean_iou, one.boundary_mae) == (0.0, 7.0)
+
+
+def test_mean_average_precision(spark):
+    p = spark.createDataFrame([(1, 0.0, 10.0, 0.9), (2, 0.0, 6.0, 0.9)], "k int, start double, end double, score double")
+    g = spark.createDataFrame([(1, 0.0, 10.0), (2, 0.0, 10.0)], "k int, start double, end double")
+    got = spans.mean_average_precision(p, g, "k").first()
+    # The second reaches 0.5, 0.55 and 0.6 of the ten thresholds.
+    assert abs(got.map - (1 + 0.3) / 2) < 1e-6 and abs(got.map_at_half - 1) < 1e-6
