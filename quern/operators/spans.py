@@ -63,14 +63,14 @@ THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 def average_precision(pred: DataFrame, truth: DataFrame, key: str, thresholds=THRESHOLDS) -> DataFrame:
     """key, threshold, ap: 11-point average precision of the predictions by score, at thresholds above 0. Keys with both sides."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "start")
-    ranked = pred.withColumn("k", F.row_number().over(order)).withColumnsRenamed({"start": "p0", "end": "p1", "score": "p_score"})
+    ranked = pred.withColumn("_rank", F.row_number().over(order)).withColumnsRenamed({"start": "p0", "end": "p1", "score": "p_score"})
     best = overlaps(pred, truth, key).groupBy(key, "p0", "p1", "p_score").agg(F.max("iou").alias("iou"))
-    n = truth.groupBy(key).agg(F.count("*").alias("n"))
-    scored = ranked.join(n, key).join(best, [key, "p0", "p1", "p_score"], "left").select(key, "k", "n", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    n = truth.groupBy(key).agg(F.count("*").alias("_n"))
+    scored = ranked.join(n, key).join(best, [key, "p0", "p1", "p_score"], "left").select(key, "_rank", "_n", F.coalesce("iou", F.lit(0.0)).alias("iou"))
     rows = scored.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    by = Window.partitionBy(key, "threshold").orderBy("k")
+    by = Window.partitionBy(key, "threshold").orderBy("_rank")
     rows = rows.withColumn("tp", F.sum((F.col("iou") >= F.col("threshold")).cast("int")).over(by))
-    rows = rows.withColumns({"precision": F.col("tp") / (F.col("k") + 1e-9), "recall": F.col("tp") / F.col("n")})
+    rows = rows.withColumns({"precision": F.col("tp") / (F.col("_rank") + 1e-9), "recall": F.col("tp") / F.col("_n")})
     at = [F.coalesce(F.max(F.when(F.col("recall") >= r / 10, F.col("precision"))), F.lit(0.0)) for r in range(11)]
     return rows.groupBy(key, "threshold").agg((sum(at[1:], at[0]) / 11).alias("ap"))
 
