@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -188,6 +190,14 @@ def greedy_kept(start: np.ndarray, end: np.ndarray, score: np.ndarray, threshold
     return np.array(kept, np.int64)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in spark.checkpoint.dir; in local mode, where that is unset, in a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()
+
+
 def suppressed(segments: DataFrame, key: str, threshold: float, large: int = LARGE) -> DataFrame:
     """key, start, end, score of the segments kept: by score, then start, each if its IoU with every kept one is below the threshold (above 0).
 
@@ -215,7 +225,7 @@ def suppressed(segments: DataFrame, key: str, threshold: float, large: int = LAR
         kept = kept.unionByName(top.select(F.col("_k").alias(key), F.col("s").alias("start"), F.col("e").alias("end"), F.col("v").alias("score")))
         reach = top.withColumn("_c", F.explode(F.array(F.col("_c") - 1, "_c", F.col("_c") + 1)))
         hit = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")) & (iou(F.col("start"), F.col("end"), F.col("s"), F.col("e")) >= threshold)
-        rows, kept = rows.join(reach, hit, "left_anti").checkpoint(), kept.checkpoint()
+        rows, kept = _cut(rows.join(reach, hit, "left_anti")), _cut(kept)
 
     def run(batches):
         for batch in batches:
