@@ -33,7 +33,9 @@ def query_set(frames: DataFrame) -> DataFrame:
 
 def proto_lists(protos: DataFrame, ks) -> DataFrame:
     """video_id and protos: an array of (k, emb) in the order of k. A video's prototypes number the sum of ``ks``; null ones are left out."""
-    return protos.where(F.col("k").isin(*ks) & F.col("emb").isNotNull()).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("k", "emb")), lambda a, b: a["k"] - b["k"]).alias("protos"))
+    # Null ones go from the lists: a filter of rows would work out every prototype twice.
+    lists = protos.where(F.col("k").isin(*ks)).groupBy("video_id").agg(F.collect_list(F.struct("k", "emb")).alias("protos"))
+    return lists.withColumn("protos", F.array_sort(F.filter("protos", lambda p: p["emb"].isNotNull()), lambda a, b: a["k"] - b["k"]))
 
 
 def base_scores(protos: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
