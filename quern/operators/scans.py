@@ -125,11 +125,12 @@ def anchored(rows: DataFrame, key: str, ts: str, gap: float, strict: bool = Fals
     return rows.where(F.col(ts).isNotNull()).join(blocks, same).withColumn("anchor", F.coalesce(mine, "entry")).drop("_key", "_block", "entry", "anchors")
 
 
-def budgeted(intervals: DataFrame, key: str, most: int = 10, total: float = 60.0, least: float = 0.2) -> DataFrame:
+def budgeted(intervals: DataFrame, key: str, most: int = 10, total: float = 60.0, least: float = 0.2, length: str | None = None) -> DataFrame:
     """key, start, end, score of the intervals taken by score while there are fewer than ``most`` and time is left.
 
     One that is longer than what is left is cut to it; where less than ``least`` is left, a longer one is passed over. Rows go by in the order of
-    score, then start, with the time and number taken as state. Ties at the same start go by end.
+    score, then start, with the time and number taken as state. Ties at the same start go by end. ``length`` names a column of lengths that are
+    known better than as end - start, which is rounded.
     """
     kinds = [f.dataType.simpleString() for f in intervals.select(key).schema]
 
@@ -137,22 +138,23 @@ def budgeted(intervals: DataFrame, key: str, most: int = 10, total: float = 60.0
         now, used, n = object(), 0.0, 0
         for batch in batches:
             out = []
-            for at, (name, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            for at, (name, a, b, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
                 if name != now:
                     now, used, n = name, 0.0, 0
                 if n >= most:
                     continue
                 left = total - used
-                if used + (b - a) > total:
+                if size > left:
                     if left < least:
                         continue
-                    b = a + left
+                    b = min(b, a + total - used)
                 out.append((at, b))
-                used, n = used + (b - a), n + 1
+                used, n = used + min(size, left), n + 1
             kept = batch.take(pa.array([r for r, _ in out], pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array([b for _, b in out], pa.float64()), kept.column(3)], names=[key, "start", "end", "score"])
 
-    slim = intervals.select(key, *[F.col(c).cast("double").alias(c) for c in ("start", "end", "score")])
+    size = F.col(length) if length else F.col("end") - F.col("start")
+    slim = intervals.select(key, *[F.col(c).cast("double").alias(c) for c in ("start", "end", "score")], size.cast("double").alias("_length"))
     ordered = slim.repartition(key).sortWithinPartitions(key, F.col("score").desc(), "start", "end")
     return ordered.mapInArrow(run, f"{key} {kinds[0]}, start double, end double, score double")
 

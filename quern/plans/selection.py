@@ -123,8 +123,8 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT user_id, list_reduce(p, lambda a, x: CASE WHEN len(a.s) < 10 AND (x.u <= 60 - a.u OR 60 - a.u >= 0.2) THEN {'u': a.u + least(x.u, 60 - a.u), 's': list_concat(a.s, x.s), 'e': list_concat(a.e, [least(x.e[1], x.s[1] + 60 - a.u)]), 'v': list_concat(a.v, x.v)} ELSE a END) AS k FROM p),
 u AS (SELECT user_id, unnest(k.s) AS s, unnest(k.e) AS e, unnest(k.v) AS v FROM f) SELECT user_id, round(s, 5) AS "start", round(e, 5) AS "end", v AS score FROM u""")
 def interest_budget(spark: SparkSession, d: str) -> DataFrame:
-    i = _series(spark, d).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score"))
-    return scans.budgeted(i, "user_id").select("user_id", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "score")
+    i = _series(spark, d).select("user_id", F.col("t").alias("start"), (F.col("t") + F.col("v") / 10).alias("end"), F.col("v").alias("score"), (F.col("v") / 10).alias("length"))
+    return scans.budgeted(i, "user_id", length="length").select("user_id", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "score")
 
 
 def _words(words) -> str:
