@@ -245,6 +245,10 @@ def test_interest_is_merged_before_the_budget(spark):
     # What is left after the first is too little for the second, but the third fits.
     small = spark.createDataFrame([(1, 0.0, 59.9, 0.9), (1, 70.0, 75.0, 0.8), (1, 80.0, 80.05, 0.7)], schema)
     assert sorted(x.start for x in scans.budgeted(small, "k").collect()) == [0.0, 80.0]
+
+
+def test_lengths_are_not_rounded_with_starts(spark):
+    schema = "k int, start double, end double, score double"
     # 60 - 59.85 is rounded to less than 0.15, and a length that is given isn't rounded with its start.
     near = spark.createDataFrame([(1, 0.0, 59.85, 0.9, 59.85), (1, 70.0, 70.15, 0.8, 0.15), (1, 80.0, 80.14, 0.7, 0.14)], schema + ", length double")
     assert sorted(x.start for x in scans.budgeted(near, "k", length="length").collect()) == [0.0, 80.0]
