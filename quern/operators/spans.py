@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.segments import iou
@@ -95,6 +95,16 @@ def inside(points: DataFrame, intervals: DataFrame, key: str, width: float) -> D
     return points.withColumn("_b", b("ts")).join(spread, [key, "_b"]).where("ts BETWEEN start AND end").drop("_b")
 
 
+def _variance(values: Column) -> Column:
+    """Population variance of a short array by running means, each step as DuckDB rounds it: a variance that equals a threshold falls on the same side."""
+
+    def step(a, x):
+        n = a["n"] + 1
+        return F.element_at(F.transform(F.array(a["mean"] + (x - a["mean"]) / n), lambda mean: F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))), 1)
+
+    return F.aggregate(values, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), step, lambda a: F.when(a["n"] > 0, a["m2"] / a["n"]))
+
+
 def variance_runs(rows: DataFrame, durations: DataFrame, key: str, order: str, value: str, fps: float, below: float) -> DataFrame:
     """key, start, end in seconds of runs of windows whose variance is below a threshold.
 
@@ -105,8 +115,8 @@ def variance_runs(rows: DataFrame, durations: DataFrame, key: str, order: str, v
     win = max(4, int(fps * 0.5))
     step = win // 2
     w = Window.partitionBy(key).orderBy(order)
-    r = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_v": F.var_pop(value).over(w.rowsBetween(0, win - 1))})
-    r = r.where((F.col("_n") > 1) & (F.col("_i") % step == 0) & ((F.col("_i") < F.col("_n") - win) | (F.col("_i") == 0)))
+    r = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_w": F.collect_list(value).over(w.rowsBetween(0, win - 1))})
+    r = r.where((F.col("_n") > 1) & (F.col("_i") % step == 0) & ((F.col("_i") < F.col("_n") - win) | (F.col("_i") == 0))).withColumn("_v", _variance(F.col("_w"))).drop("_w")
     again = Window.partitionBy(key).orderBy("_i")
     r = r.withColumns({"_low": F.col("_v") < below, "_next": F.lead("_i").over(again)}).withColumn("_run", F.sum((~F.col("_low")).cast("int")).over(again))
     runs = r.where("_low").groupBy(key, "_run").agg(F.min("_i").alias("_first"), F.max_by(F.struct("_next"), "_i").alias("_last"))

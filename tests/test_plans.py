@@ -130,6 +130,13 @@ def test_still_runs_end_where_the_next_window_starts(spark):
     assert got == [("a", 0.0, 0.6), ("a", 1.6, 3.0), ("c", 0.0, 7.0)]
 
 
+def test_a_variance_at_the_threshold_is_not_below_it(spark):
+    # The variance of the five is 0.08, which other ways to sum round to less.
+    rows = spark.createDataFrame([(k, i, v) for k, values in enumerate(([0.3, 1.0, 0.4, 0.6, 0.2], [0.3, 0.9, 0.4, 0.6, 0.2])) for i, v in enumerate(values)], "k int, i int, v double")
+    got = spans.variance_runs(rows, spark.createDataFrame([(0, 1.0), (1, 1.0)], "k int, duration double"), "k", "i", "v", 10.0, 0.08)
+    assert [tuple(r) for r in got.collect()] == [(1, 0.0, 1.0)]
+
+
 def test_close_frames_have_close_hashes():
     r = np.random.RandomState(0)
     image = r.randint(0, 256, (64, 64, 3), dtype=np.uint8)
