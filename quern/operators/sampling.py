@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.operators.scans import anchored, anchors
 
 MERGE_GAP, FPS, BUCKETS = 0.05, 25.0, 10
+#: Buckets of a mask that go in one number.
+WORD = 64
 
 
 def _grid(fps: Column, most: Column, duration: Column) -> Column:
@@ -48,22 +50,51 @@ def union_of_samplers(samples: DataFrame, gap: float = 0.2) -> DataFrame:
     return points.groupBy("video_id", F.col("anchor").alias("ts")).agg(F.array_join(F.array_sort(F.collect_set("origin")), "|").alias("origins"))
 
 
+def mask_words(videos: DataFrame, static: DataFrame, boundaries: DataFrame, least: float = 2.0) -> DataFrame:
+    """video_id, word, n, kept: :func:`static_mask` with ``WORD`` buckets to a row; bit i of kept is bucket word * WORD + i, and n are its buckets."""
+    last = F.greatest(F.lit(1), F.floor(F.col("duration") * BUCKETS).cast("int"))
+    word = lambda c: F.floor(c / WORD).cast("int")
+    words = videos.select("video_id", last.alias("_last"), F.explode(F.sequence(F.lit(0), word(last - 1))).alias("word"))
+    a, b = F.greatest(F.lit(0), F.floor(F.col("start") * BUCKETS).cast("int")) + 1, F.floor(F.col("end") * BUCKETS).cast("int") - 1
+    gone = static.where(F.col("end") - F.col("start") >= least).where(b >= a).select("video_id", a.alias("_a"), b.alias("_b"), F.explode(F.sequence(word(a), word(b))).alias("word"))
+    low, high = F.greatest(F.col("_a") - F.col("word") * WORD, F.lit(0)), F.least(F.col("_b") - F.col("word") * WORD, F.lit(WORD - 1))
+    ones = lambda f, by: F.call_function(f, F.lit(-1).cast("long"), by)
+    none = F.lit(0).cast("long")
+    gone = gone.select("video_id", "word", ones("shiftleft", low).bitwiseAND(ones("shiftrightunsigned", F.lit(WORD - 1) - high)).alias("_gone"), none.alias("_back"))
+    at = F.floor(F.col("ts") * BUCKETS).cast("int")
+    back = boundaries.select("video_id", word(at).alias("word"), none.alias("_gone"), _bit(at).alias("_back"))
+    marks = gone.unionByName(back).groupBy("video_id", "word").agg(F.bit_or("_gone").alias("_gone"), F.bit_or("_back").alias("_back"))
+    # Not broadcast: Spark takes exploded rows for as few as there were before.
+    rows = words.join(marks.hint("merge"), ["video_id", "word"], "left")
+    kept = F.bitwise_not(F.coalesce("_gone", none)).bitwiseOR(F.coalesce("_back", none))
+    return rows.select("video_id", "word", F.least(F.col("_last") - F.col("word") * WORD, F.lit(WORD)).alias("n"), kept.alias("kept"))
+
+
+def _bit(bucket: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bucket, F.lit(WORD)).cast("int"))
+
+
 def static_mask(videos: DataFrame, static: DataFrame, boundaries: DataFrame, least: float = 2.0) -> DataFrame:
     """video_id, bucket of 100 ms, keep. Of a static segment (start, end) of ``least`` seconds only the first bucket stays; buckets of boundaries (ts) do."""
-    last = F.greatest(F.lit(1), F.floor(F.col("duration") * BUCKETS).cast("int"))
-    all_ = videos.select("video_id", F.explode(F.sequence(F.lit(0), last - 1)).alias("bucket"))
-    a, b = F.greatest(F.lit(0), F.floor(F.col("start") * BUCKETS).cast("int")), F.floor(F.col("end") * BUCKETS).cast("int")
-    gone = static.where(F.col("end") - F.col("start") >= least).where(b > a + 1).select("video_id", F.explode(F.sequence(a + 1, b - 1)).alias("bucket")).distinct().withColumn("_gone", F.lit(True))
-    back = boundaries.select("video_id", F.floor(F.col("ts") * BUCKETS).cast("int").alias("bucket")).distinct().withColumn("_back", F.lit(True))
-    rows = all_.join(gone, ["video_id", "bucket"], "left").join(back, ["video_id", "bucket"], "left")
-    return rows.select("video_id", "bucket", (F.col("_gone").isNull() | F.col("_back").isNotNull()).alias("keep"))
+    rows = mask_words(videos, static, boundaries, least).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keep = F.call_function("shiftright", F.col("kept"), F.col("_i")).bitwiseAND(F.lit(1)) == 1
+    return rows.select("video_id", (F.col("word") * WORD + F.col("_i")).alias("bucket"), keep.alias("keep"))
 
 
-def apply_mask(plan: DataFrame, mask: DataFrame, exempt: list[str]) -> DataFrame:
-    """Points of a merged plan whose bucket is kept, or that a task of ``exempt`` subscribes to."""
+def apply_words(plan: DataFrame, words: DataFrame, exempt: list[str]) -> DataFrame:
+    """Points of a merged plan whose bucket is kept by :func:`mask_words`, or that a task of ``exempt`` subscribes to."""
     free = F.arrays_overlap("subscribers", F.array(*[F.lit(t) for t in exempt])) if exempt else F.lit(False)
-    rows = plan.withColumn("bucket", F.floor(F.col("ts") * BUCKETS).cast("int")).join(mask, ["video_id", "bucket"], "left")
-    return rows.where(free | F.coalesce("keep", F.lit(False))).select(*plan.columns)
+    at = F.floor(F.col("ts") * BUCKETS).cast("int")
+    rows = plan.withColumns({"word": F.floor(at / WORD).cast("int"), "_bit": _bit(at)}).join(words.select("video_id", "word", "n", "kept").hint("merge"), ["video_id", "word"], "left")
+    keep = (F.pmod(at, F.lit(WORD)) < F.col("n")) & (F.col("kept").bitwiseAND(F.col("_bit")) != 0)
+    return rows.where(free | F.coalesce(keep, F.lit(False))).select(*plan.columns)
+
+
+def apply_mask(plan: DataFrame, mask: DataFrame, exempt: list[str]) -> DataFrame:
+    """Points of a merged plan whose bucket is kept by :func:`static_mask`, or that a task of ``exempt`` subscribes to."""
+    bucket = F.col("bucket")
+    words = mask.where("keep").groupBy("video_id", F.floor(bucket / WORD).cast("int").alias("word")).agg(F.bit_or(_bit(bucket)).alias("kept"), F.lit(WORD).alias("n"))
+    return apply_words(plan, words, exempt)
 
 
 def thinned(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:

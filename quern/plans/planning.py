@@ -65,21 +65,22 @@ go AS (SELECT DISTINCT video_id, unnest(range(floor(x.s::DOUBLE * 10)::INT + 1,
 mk AS (SELECT bk.video_id, bk.bucket, go.bucket IS NULL OR ba.bucket IS NOT NULL AS keep FROM bk LEFT JOIN go ON go.video_id = bk.video_id AND go.bucket = bk.bucket LEFT JOIN ba ON ba.video_id = bk.video_id AND ba.bucket = bk.bucket)"""
 
 
-def _mask(spark: SparkSession, d: str) -> DataFrame:
+def _mask(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Videos, still segments and boundaries."""
     i = _intervals(spark, d)
-    return sampling.static_mask(_videos(spark, d), i, i.select("video_id", (F.col("start") + 1.3).alias("ts")))
+    return _videos(spark, d), i, i.select("video_id", (F.col("start") + 1.3).alias("ts"))
 
 
 @query(f"WITH {_V} {_MASK} SELECT video_id, count(*)::BIGINT AS buckets, count_if(keep)::BIGINT AS kept, sum(CASE WHEN keep THEN bucket END)::BIGINT AS places FROM mk GROUP BY video_id")
 def static_mask(spark: SparkSession, d: str) -> DataFrame:
-    m = _mask(spark, d)
+    m = sampling.static_mask(*_mask(spark, d))
     return m.groupBy("video_id").agg(F.count("*").alias("buckets"), F.count_if("keep").alias("kept"), F.sum(F.when(F.col("keep"), F.col("bucket"))).alias("places"))
 
 
 @query(_SPARSE + ", " + _MASK + " SELECT me.video_id, count(*)::BIGINT AS n FROM me LEFT JOIN mk ON mk.video_id = me.video_id AND mk.bucket = floor(ts * 10)::INT WHERE list_contains(tasks, 'scene') OR keep GROUP BY me.video_id")
 def masked_plan(spark: SparkSession, d: str) -> DataFrame:
     plan = sampling.merged(sampling.sparse_proposals(_videos(spark, d), _tasks(spark)))
-    return sampling.apply_mask(plan, _mask(spark, d), ["scene"]).groupBy("video_id").agg(F.count("*").alias("n"))
+    return sampling.apply_words(plan, sampling.mask_words(*_mask(spark, d)), ["scene"]).groupBy("video_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_T} {_V} f AS (SELECT video_id, duration, task_id, CASE WHEN gated_by IS NOT NULL THEN greatest(dense_fps, 0.5) ELSE greatest(sparse_fps, dense_fps) END AS fps FROM v, ts), i AS (SELECT video_id, sum(ceil(duration / (1 / fps)))::BIGINT AS independent FROM f WHERE fps > 0 GROUP BY video_id)

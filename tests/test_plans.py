@@ -137,6 +137,28 @@ def test_a_variance_at_the_threshold_is_not_below_it(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 0.0, 1.0)]
 
 
+def test_masks_in_words_equal_sets_of_buckets(spark):
+    r = random.Random(4)
+    videos = [(k, r.choice([0.01, 6.4, 12.8, r.uniform(0, 30)])) for k in range(12)]
+    static = [(r.randrange(14), a := r.uniform(-1, 25), a + r.uniform(0, 9)) for _ in range(30)] + [(1, 2.0, 2.0 + 12.8)]
+    marks = [(r.randrange(14), r.uniform(0, 31)) for _ in range(40)]
+    v, s, m = (spark.createDataFrame(x, f"video_id int, {c}") for x, c in ((videos, "duration double"), (static, "start double, end double"), (marks, "ts double")))
+    mask = sampling.static_mask(v, s, m)
+    want = {}
+    for k, duration in videos:
+        for b in range(max(1, math.floor(duration * 10))):
+            gone = any(j == k and e - a >= 2 and max(0, math.floor(a * 10)) < b < math.floor(e * 10) for j, a, e in static)
+            want[k, b] = not gone or any(j == k and math.floor(t * 10) == b for j, t in marks)
+    assert {(x.video_id, x.bucket): x.keep for x in mask.collect()} == want and False in want.values()
+    plan = spark.createDataFrame([(k, i / 10 + 0.05, ["a", "b"] if i % 7 else ["c"]) for k in range(13) for i in range(320)], "video_id int, ts double, subscribers array<string>")
+    left = {(k, i) for k in range(13) for i in range(320) if i % 7 == 0 or want.get((k, i))}
+    for got in (sampling.apply_words(plan, sampling.mask_words(v, s, m), ["c"]), sampling.apply_mask(plan, mask, ["c"])):
+        assert {(x.video_id, math.floor(x.ts * 10)) for x in got.collect()} == left
+        # Spark takes an exploded mask for small, and would send it to every task through the driver.
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in mask._jdf.queryExecution().executedPlan().toString()
+
+
 def test_close_frames_have_close_hashes():
     r = np.random.RandomState(0)
     image = r.randint(0, 256, (64, 64, 3), dtype=np.uint8)
