@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.scans import anchored, anchors
+from quern.operators.scans import GAPS, anchored, anchors
 
 MERGE_GAP, FPS, BUCKETS = 0.05, 25.0, 10
+#: Seconds of a plan that are merged together.
+BLOCK = 60
 #: Buckets of a mask that go in one number.
 WORD = 64
 
@@ -39,7 +41,8 @@ def dense_proposals(intervals: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def merged(proposals: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
     """video_id, ts, subscribers (sorted), frame_idx: proposals less than gap after the first of a point join that point."""
-    points = anchored(proposals, "video_id", "ts", gap)
+    # Proposals are few a second, so that a block may be long.
+    points = anchored(proposals, "video_id", "ts", gap, gaps=max(GAPS, int(BLOCK / gap)))
     plan = points.groupBy("video_id", F.col("anchor").alias("ts")).agg(F.array_sort(F.collect_set("task_id")).alias("subscribers"))
     return plan.select("video_id", "ts", "subscribers", F.floor(F.col("ts") * FPS).cast("int").alias("frame_idx"))
 

@@ -31,19 +31,52 @@ def _next(times: np.ndarray, start: np.ndarray, gap: float, strict: bool) -> np.
     return at
 
 
-def _exits(times: np.ndarray, gap: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Times that may be a block's first anchor, whatever came before, and the last anchor that each leads to."""
-    after = _next(times, times, gap, strict)
-    last = np.where(after < len(times), np.minimum(after, len(times) - 1), np.arange(len(times)))
+def _after(times: np.ndarray, at: np.ndarray, gap: float, strict: bool) -> np.ndarray:
+    """For each time of blocks, which lie one after the other from ``at`` on, the first place of its block that is far enough; its block's end for none."""
+    end = np.repeat(at[1:], np.diff(at))
+    lo, hi = np.arange(len(times)) + 1, end.copy()
+    # Halves the range of all of them at once.
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        d = times[np.minimum(mid, len(times) - 1)] - times
+        far = (d > gap if strict else d >= gap) & open_
+        hi, lo = np.where(far, mid, hi), np.where(open_ & ~far, mid + 1, lo)
+    return lo
+
+
+def _exits(times: np.ndarray, at: np.ndarray, gap: float, strict: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times that may be their block's first anchor, whatever came before, and the last anchor that each leads to; and offsets of blocks in these."""
+    after, end = _after(times, at, gap, strict), np.repeat(at[1:], np.diff(at))
+    last = np.where(after < end, after, np.arange(len(times)))
     while (more := last[last] != last).any():
         last = np.where(more, last[last], last)
-    first = int(after[0]) + 1
-    return times[:first], times[last[:first]]
+    # The first time of a block that is far from its first, and all before it.
+    first = np.arange(len(times)) <= np.repeat(after[at[:-1]], np.diff(at))
+    counts = np.add.reduceat(first, at[:-1], dtype=np.int64) if len(times) else np.zeros(0, np.int64)
+    return times[first], times[last[first]], np.concatenate(([0], np.cumsum(counts)))
 
 
-def _doubles(lists: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0)))
+def _walked(times: np.ndarray, at: np.ndarray, entry: np.ndarray, gap: float, strict: bool) -> np.ndarray:
+    """Which times are anchors, given the last anchor before each block (nan for none). All blocks go on a step at a time."""
+    after, taken = _after(times, at, gap, strict), np.zeros(len(times), bool)
+    now, end = at[:-1].copy(), at[1:]
+    d = times - np.repeat(entry, np.diff(at))
+    near = np.add.reduceat(~(np.isnan(d) | (d > gap if strict else d >= gap)), at[:-1], dtype=np.int64) if len(times) else 0
+    now = now + near
+    while (on := now < end).any():
+        now, end = now[on], end[on]
+        taken[now] = True
+        now = after[now]
+    return taken
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists, none of them empty, and their offsets."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
 
 
 def _split(column: pa.ListArray) -> list[np.ndarray]:
@@ -58,13 +91,13 @@ def anchor_blocks(rows: DataFrame, key: str, ts: str, gap: float, strict: bool =
     the last anchor for every first one that it may have. A pass over these short rows in the order of blocks finds
     which it has, and the blocks are scanned again from there. So a key with very many rows is spread over its blocks' tasks.
     """
-    held = rows.where(F.col(ts).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).cast("double").alias("_t")).distinct()
-    held = held.groupBy("_key", block_of("_t", gap * gaps).alias("_block")).agg(F.array_sort(F.collect_list("_t")).alias("_times"))
+    held = rows.where(F.col(ts).isNotNull()).select(F.col(key).alias("_key"), F.col(ts).cast("double").alias("_t"))
+    held = held.groupBy("_key", block_of("_t", gap * gaps).alias("_block")).agg(F.array_sort(F.collect_set("_t")).alias("_times"))
 
     def ends(batches):
         for batch in batches:
-            pairs = [_exits(t, gap, strict) for t in _split(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _doubles([p[0] for p in pairs]), _doubles([p[1] for p in pairs])], names=["_key", "_block", "firsts", "lasts"])
+            first, last, at = _exits(*_flat(batch.column(2)), gap, strict)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(first, at), _lists(last, at)], names=["_key", "_block", "firsts", "lasts"])
 
     def chain(batches):
         # Sorted by key and block; the state is a key and its last anchor.
@@ -82,16 +115,10 @@ def anchor_blocks(rows: DataFrame, key: str, ts: str, gap: float, strict: bool =
 
     def walk(batches):
         for batch in batches:
-            out = []
-            for times, entry in zip(_split(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                after = _next(times, times, gap, strict).tolist()
-                at = 0 if entry is None else int(_next(times, np.array([entry]), gap, strict)[0])
-                taken = []
-                while at < len(times):
-                    taken.append(at)
-                    at = after[at]
-                out.append(times[taken])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), _doubles(out)], names=["_key", "_block", "entry", "anchors"])
+            times, at = _flat(batch.column(2))
+            taken = _walked(times, at, batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64), gap, strict)
+            ends = np.concatenate(([0], np.cumsum(taken)))[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), _lists(times[taken], ends)], names=["_key", "_block", "entry", "anchors"])
 
     base = held.select("_key", "_block").schema
     several = "array<double>"
