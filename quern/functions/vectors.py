@@ -27,26 +27,42 @@ def above(rows: DataFrame, queries: DataFrame, least: float, block: int = 4096)
     return scores(rows, queries, block, least)
 
 
-def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float | None = None) -> DataFrame:
+def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float | None = None, second: str | None = None, cells: int = 2_000_000) -> DataFrame:
     """(query_id, score) with all columns of rows but emb: products of every row with every query.
 
-    Queries (query_id, emb) are a stated set; they go to the executors in blocks of ``block`` rows.
+    Queries (query_id, emb) are a stated set; they go to the executors in blocks of ``block`` rows. ``second`` names another vector of both sides, which
+    may be null: its product takes its place in the rows, null where the query has none and 0 where only the row has none. A
+    task holds about ``cells`` products at a time.
     """
-    keep = [c for c in rows.columns if c != "emb"]
+    keep = [c for c in rows.columns if c not in ("emb", second)]
     names = rows.columns
     at = names.index("emb")
-    schema = rows.select(*keep).withColumns({"query_id": F.lit(0).cast("bigint"), "score": F.lit(0.0)}).schema
+    schema = rows.select(*keep).withColumns({"query_id": F.lit(0).cast("bigint"), "score": F.lit(0.0)} | ({second: F.lit(None).cast("double")} if second else {})).schema
     out = None
     held: list = []
 
     def add(part: list):
-        sent = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in part], np.int64), np.array([e for _, e in part], np.float64)))
+        of = [k for k, (*_, x) in enumerate(part) if x is not None]
+        more = (np.array(of, np.int64), np.array([part[k][2] for k in of], np.float64))
+        sent = rows.sparkSession.sparkContext.broadcast((np.array([q for q, *_ in part], np.int64), np.array([e for _, e, _ in part], np.float64), more))
+
+        def other(piece, n):
+            """Products of the second vectors, and which are null."""
+            of, matrix = sent.value[2]
+            product, null = np.zeros((piece.num_rows, n)), np.ones((piece.num_rows, n), bool)
+            column = piece.column(names.index(second))
+            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            null[:, of] = False
+            if len(of) and len(there):
+                product[np.ix_(there, of)] = np.array(column.take(pa.array(there)).to_pylist(), np.float64) @ matrix.T
+            return pa.array(product.ravel(), mask=null.ravel())
 
         def run(batches):
-            ids, matrix = sent.value
+            ids, matrix, _ = sent.value
+            step = max(1, cells // max(len(ids), 1))
             for batch in batches:
-                for k in range(0, batch.num_rows, 2048):
-                    piece = batch.slice(k, 2048)
+                for k in range(0, batch.num_rows, step):
+                    piece = batch.slice(k, step)
                     vectors = np.array(piece.column(at).to_pylist(), np.float64).reshape(piece.num_rows, -1)
                     product = vectors @ matrix.T
                     if least is None:
@@ -54,17 +70,18 @@ def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float
                     else:
                         row, query = np.nonzero(product >= least)
                         product, query = product[row, query], ids[query]
-                    columns = [piece.column(i).take(pa.array(row)) for i, c in enumerate(names) if c != "emb"]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(query), pa.array(product)], names=[*keep, "query_id", "score"])
+                    columns = [piece.column(names.index(c)).take(pa.array(row)) for c in keep]
+                    extra = [other(piece, len(ids))] if second else []
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(query), pa.array(product), *extra], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 
-    for row in queries.select("query_id", "emb").toLocalIterator():
-        held.append((row.query_id, row.emb))
+    for row in queries.select("query_id", "emb", (F.col(second) if second else F.lit(None)).alias("more")).toLocalIterator():
+        held.append((row.query_id, row.emb, row.more))
         if len(held) == block:
             out, held = add(held) if out is None else out.unionByName(add(held)), []
     if held or out is None:
-        part = add(held) if held else rows.limit(0).select(*keep, F.lit(0).cast("bigint").alias("query_id"), F.lit(0.0).alias("score"))
+        part = add(held) if held else rows.sparkSession.createDataFrame([], schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import dot, l2_normalise, mean_vector, scores
+from quern.functions.vectors import l2_normalise, mean_vector, scores
 from quern.operators.experts import BASE_COST, COSTS, NAMES, greedy, prediction_sets
 
 #: Words of a query that ask for persons, for highlights, and for scenes (the first that matches); weight of an expert, and of highlights that aren't asked for.
@@ -73,12 +73,12 @@ def expert_scores(signals: DataFrame, queries: DataFrame) -> DataFrame:
 
     queries: query_id, own (the right video), emb, text, face_emb (or null), a stated set. Experts that a query doesn't ask for give 0, highlights ``UNASKED`` of theirs.
     """
-    asked = priors(queries)
-    pairs = scores(signals.select("video_id", "highlight", "face", "face_emb", "scene", "emb"), queries.select("query_id", "emb")).withColumnRenamed("face_emb", "_mine")
-    known = asked.select("query_id", "own", "wants_person", "wants_highlight", "scene_cue", F.when(F.col("face_emb").isNotNull(), l2_normalise(F.col("face_emb"))).alias("_ref"))
-    pairs = pairs.join(known, "query_id").withColumn("_id", F.when(F.col("_ref").isNotNull(), F.coalesce(dot(F.col("_mine"), F.col("_ref")), F.lit(0.0)))).drop("_mine", "_ref")
+    # The vectors stay in the kernel, and what is known of queries goes to the pairs: no pair is shuffled, and none broadcast.
+    asked = priors(queries).withColumn("face_emb", F.when(F.col("face_emb").isNotNull(), l2_normalise(F.col("face_emb"))))
+    pairs = scores(signals.select("video_id", "highlight", "face", "face_emb", "scene", "emb"), asked.select("query_id", "emb", "face_emb"), second="face_emb").withColumnRenamed("face_emb", "_id")
+    pairs = pairs.join(F.broadcast(asked.select("query_id", "own", "wants_person", "wants_highlight", "scene_cue")), "query_id")
     ends = pairs.groupBy("query_id").agg(*[f(c).alias(f"_{n}_{c}") for c in ("score", "_id", "highlight", "face") for n, f in (("lo", F.min), ("hi", F.max))])
-    pairs = pairs.join(ends, "query_id")
+    pairs = pairs.join(F.broadcast(ends), "query_id")
     part = lambda c: scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
     return pairs.select(
         "query_id", "video_id", "own", part("score").alias("sem"),
@@ -95,7 +95,7 @@ def subset_ranks(scored: DataFrame, weight: float = WEIGHT, names=NAMES) -> Data
     """
     total = lambda pre, s: sum((weight * F.col(pre + n) for j, n in enumerate(names) if s >> j & 1), F.col(pre + "sem"))
     mine = scored.where(F.col("video_id") == F.col("own")).select("query_id", *[F.col(c).alias(f"own_{c}") for c in ("sem", *names)])
-    both = scored.select("query_id", "sem", *names).join(mine, "query_id", "left")
+    both = scored.select("query_id", "sem", *names).join(F.broadcast(mine), "query_id", "left")
     better = [F.count_if(F.round(total("", s), 9) > F.round(total("own_", s), 9)).alias(f"_{s}") for s in range(1 << len(names))]
     counts = both.groupBy("query_id").agg(F.max(F.col("own_sem").isNotNull()).alias("_has"), *better)
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("sid"), F.col(f"_{s}").cast("int").alias("rank")) for s in range(1 << len(names))]))

@@ -368,6 +368,20 @@ def test_ranks_of_all_subsets_equal_sorting(spark):
         assert spark.range(1).select(gallery.value_of(F.lit(3), metric).alias("v")).first().v == want
 
 
+def test_pairs_of_a_gallery_are_neither_shuffled_nor_broadcast(spark):
+    r = np.random.RandomState(3)
+    vector = lambda: [float(x) for x in r.rand(4)]
+    signals = spark.createDataFrame([(v, vector(), 0.1 * v, 0.5, vector() if v % 3 else None, "beach") for v in range(7)], "video_id long, emb array<double>, highlight double, face double, face_emb array<double>, scene string")
+    queries = spark.createDataFrame([(q, q, vector(), "face", [0.0, 0.0, 3.0, 4.0] if q else None) for q in range(3)], "query_id long, own long, emb array<double>, text string, face_emb array<double>")
+    scored = gallery.expert_scores(signals, queries)
+    faces = {x.video_id: 0.6 * x.face_emb[2] + 0.8 * x.face_emb[3] if x.face_emb else 0.0 for x in signals.collect()}
+    lo, hi = min(faces.values()), max(faces.values())
+    got = {(x.query_id, x.video_id): x.face_id for x in scored.collect()}
+    assert len(got) == 21 and all(abs(f - ((faces[v] - lo) / (hi - lo) if q else 0.0)) < 1e-6 for (q, v), f in got.items())
+    plan = gallery.subset_ranks(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
+
+
 def test_exact_upper_bounds(spark):
     def bound(k, n, alpha=0.05):
         lo, hi = 0.0, 1.0
