@@ -14,7 +14,8 @@ words of the target's loss less the background's: the lower, the more it reads l
 Words of at least ``OFTEN`` of all words and bigrams of at least ``OFTEN_PAIR`` are looked up in a broadcast table instead, with
 the same result: a join by them would deal many rows to one task. All others are rare, and joins need no salt.
 
-Target documents are at most ``TARGETS`` of those labelled good, taken by least hash of doc_id.
+The target model counts every document labelled as good. Their doc_ids are broadcast up to ``TARGETS`` of them; with more
+the documents meet them in a shuffle, and are written once with their label.
 
 Defined results: a null or empty text has no words and a null score. With no target document, or no words, the two
 models are the same and scores are 0 (null without words). Null labels and doc_ids label nothing. Several labels
@@ -45,8 +46,8 @@ BUCKET = 1_000_000
 BUCKETS = 64
 #: Stands before the first word of a text.
 START = 0
-#: Upper bound of the labelled documents that the target model counts.
-TARGETS = 100_000
+#: Most target documents whose doc_ids are broadcast.
+TARGETS = 5_000_000
 #: Weight of the bigram estimate.
 MIX = 0.7
 
@@ -219,9 +220,8 @@ def _sums(batches):
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of the target documents, at most TARGETS."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
-    return good.orderBy(F.xxhash64("_good"), "_good").limit(TARGETS)
+    """doc_id of the target documents: all that are labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
 
 
 def _keyed(pairs: DataFrame, often: DataFrame, side: str) -> DataFrame:
@@ -259,7 +259,10 @@ def lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score (target loss less background loss for a word), selected (score below 0)."""
     spark = docs.sparkSession
     good = target_ids(labels)
-    rows = docs.join(F.broadcast(good), docs["doc_id"] == good["_good"], "left").select("text", F.col("_good").isNotNull().cast("int").alias("t"))
+    few = good.count() <= TARGETS
+    rows = docs.join(F.broadcast(good) if few else good.hint("merge"), docs["doc_id"] == good["_good"], "left").select("text", F.col("_good").isNotNull().cast("int").alias("t"))
+    if not few:
+        rows = stash(rows, "labelled")
     words = stash(rows.mapInArrow(_word_counts, "word bigint, n bigint, t bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
     n, t, size = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t"), F.count("*")).first())
     release(spark)
@@ -292,6 +295,8 @@ def lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for done in (known, packed):
             discard(done)
         release(spark)
+    if not few:
+        discard(rows)
     total = reduce(DataFrame.unionByName, sums).groupBy("doc").agg(F.sum("s").alias("s"), F.max("n_tokens").alias("n_tokens"))
     score = F.when(F.col("n_tokens") > 0, F.col("s") / F.col("n_tokens"))
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc")).join(total, "doc").select("doc_id", "n_tokens", score.alias("score"), (score < 0).alias("selected"))

@@ -270,3 +270,14 @@ def test_quotation_of_long_threads_ties_and_empty_tables(spark):
     assert len(got) == len(rows) and all(x.position == x.depth == x.turn for x in got if x.conv_id == 1)
     assert all(x.position == 0 and x.parent_conv is None for x in got if x.conv_id != 1)
     assert quotation.link_quotations(df.limit(0)).count() == 0
+
+
+def test_the_target_model_counts_all_labelled_documents(spark, monkeypatch):
+    from quern.llm import lm_scoring
+
+    docs = spark.createDataFrame([(k, f"a{k % 4} b{k % 3} c{k} a{k % 5}") for k in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(24)], "doc_id long, quality int, toxic int")
+    scores = lambda: {r.doc_id: round(r.score, 9) for r in lm_scoring.lm_scores(docs, labels).collect()}
+    want = scores()
+    monkeypatch.setattr(lm_scoring, "TARGETS", 2)
+    assert scores() == want and len(set(want.values())) > 1
