@@ -114,7 +114,8 @@ def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block:
             np.add.at(qamp, video[first], each)
             fine = k[first] == finest
             base[video[first][fine]] = best[fine]
-        return base, qamp / len(ks)
+        # Rounded, so that equal vectors tie, and a pair that is worked out twice is the same, wherever they stand in a product.
+        return np.round(base, 12), np.round(qamp / len(ks), 12)
 
     def run_with(sent):
         def run(batches):

@@ -42,7 +42,8 @@ def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
         F.when((own % 3 == 0) & F.col("geo").isNotNull(), F.array("geo")).otherwise(F.array().cast("array<string>")).alias("q_geo"), F.when((own % 5 != 1) & F.col("motion").isNotNull(), F.array("motion")).otherwise(F.array().cast("array<string>")).alias("q_motion"),
         F.when(own % 7 == 0, F.lower(F.substring("device", 1, 5))).alias("q_device"),
     )
-    rows = pairs.join(it, "query_id").join(md, "video_id")
+    # A short row for each query and each video goes to the pairs.
+    rows = pairs.join(F.broadcast(it), "query_id").join(F.broadcast(md), "video_id")
     made = {f"has_{a}": metadata.constrained(a) for a in metadata.AXES} | {f"pass_{a}": metadata.axis_pass(a, False) for a in metadata.AXES} | {f"soft_{a}": metadata.axis_score(a) for a in metadata.AXES}
     return rows.withColumns(made | {"passed": metadata.hard_pass(False), "soft": metadata.soft_score(), "constrained": metadata.has_constraint()})
 
@@ -129,7 +130,9 @@ SELECT query_id, video_id, round(0.5 * (CASE WHEN hi > lo THEN (base - lo) / (hi
 def fused_scores(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     s = search.qamp_scores(search.prototypes(f), search.query_set(f))
-    fused, scaled = search.fuse_scores(F.col("base"), F.col("qamp"), 0.5, ["query_id"]), search.min_max(F.col("qamp"), ["query_id"], 0.5)
+    s = search.with_ends(s, ["base", "qamp"])
+    part = lambda c, same: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(same)
+    fused, scaled = 0.5 * part("base", F.col("base")) + 0.5 * F.col("qamp"), part("qamp", F.lit(0.5))
     return s.select("query_id", "video_id", F.round(fused, 6).alias("fused"), F.round(scaled, 6).alias("scaled"))
 
 

@@ -142,3 +142,19 @@ def test_hybrid_search_fills_up_with_what_fails(spark):
     assert got[0].margin == 0.2 - search.FILTERED and got[1].semantic == 0.9
     assert [x.video_id for x in search.hybrid_search(s, 3, beta=0.0, hard=False).orderBy("rank").collect()] == ["a", "c", "b"]
     assert search.hybrid_search(s, 1, beta=0.0, meta_alpha=0.3, hard=False).first().video_id == "b"
+
+
+def test_only_the_best_of_each_task_are_shuffled(spark):
+    from quern.operators import search
+
+    rows = [(q, v, None if v == 3 else float((q or 0) * v % 7)) for q in (1, 2, None) for v in range(40)]
+    df = spark.createDataFrame(rows, "query_id long, video_id long, base double").coalesce(1)
+    got = sorted((tuple(r) for r in search.best_of(df, 5, "base", least=16).collect()), key=str)
+    want = [r for q in (1, 2) for r in sorted((x for x in rows if x[0] == q and x[2] is not None), key=lambda x: (-x[2], x[1]))[:5]]
+    assert [r for r in got if r[0] is not None] == sorted(want, key=str) and len(got) == 15
+    # The softmax over a video's queries, one of which is far below the others.
+    s = spark.createDataFrame([(1, 1, 900.0), (2, 1, 900.4), (3, 1, -900.0)], "query_id long, video_id long, out double")
+    p = {r.query_id: r.out for r in search.column_softmax(s, 0.4).collect()}
+    assert abs(p[2] - 1 / (1 + 2.718281828459045**-1)) < 1e-9 and p[3] == 0 and abs(p[1] + p[2] - 1) < 1e-9
+    plan = search.column_softmax(search.reranked(df.select("*", F.col("base").alias("qamp")), top=10))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
