@@ -80,12 +80,12 @@ def has_constraint() -> Column:
     return constrained("time") | constrained("geo") | constrained("motion") | constrained("device")
 
 
-def axis_pass(axis: str, strict: bool, slack: float = SLACK) -> Column:
-    """Whether a video meets an intent on one axis: an unconstrained one is met, a missing value is unless strict."""
+def axis_pass(axis: str, strict: bool, slack: float = SLACK, lower=F.lower) -> Column:
+    """Whether a video meets an intent on one axis: an unconstrained one is met, a missing value is unless strict. lower: of devices' names, where they aren't."""
     if axis == "time":
         ok = F.col("created").between(F.col("t_start") - slack, F.col("t_end") + slack)
     elif axis == "device":
-        ok = F.instr(F.lower(F.nullif(F.col("device"), F.lit(""))), F.lower(F.col("q_device"))) > 0
+        ok = F.instr(lower(F.nullif(F.col("device"), F.lit(""))), lower(F.col("q_device"))) > 0
     else:
         ok = F.when(F.col(axis).isNotNull(), F.array_contains(f"q_{axis}", F.col(axis)))
     return ~constrained(axis) | F.coalesce(ok, F.lit(not strict))
@@ -104,7 +104,7 @@ def fired() -> Column:
     return F.array_compact(F.array(*[F.when(constrained(axis), F.lit(axis)) for axis in AXES]))
 
 
-def axis_score(axis: str, slack: float = SLACK) -> Column:
+def axis_score(axis: str, slack: float = SLACK, lower=F.lower) -> Column:
     """How well a video meets an intent on one axis, from 0 to 1: a missing value counts 0.5, a motion confidence of 0 as 1."""
     if axis == "time":
         c, h = (F.col("t_start") + F.col("t_end")) / 2, F.greatest((F.col("t_end") - F.col("t_start")) / 2, F.lit(1.0))
@@ -112,7 +112,7 @@ def axis_score(axis: str, slack: float = SLACK) -> Column:
         return F.when(F.col("created").isNull(), 0.5).when(d <= h, 1.0).when(d >= h + k, 0.0).otherwise(1 - (d - h) / k)
     if axis == "device":
         device = F.nullif(F.col("device"), F.lit(""))
-        return F.when(device.isNull(), 0.5).otherwise((F.instr(F.lower(device), F.lower(F.col("q_device"))) > 0).cast("double"))
+        return F.when(device.isNull(), 0.5).otherwise((F.instr(lower(device), lower(F.col("q_device"))) > 0).cast("double"))
     full = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) if axis == "motion" else F.lit(1.0)
     return F.when(F.col(axis).isNull(), 0.5).when(F.array_contains(f"q_{axis}", F.col(axis)), full).otherwise(0.0)
 

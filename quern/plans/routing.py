@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +45,18 @@ def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
         F.when((own % 3 == 0) & F.col("geo").isNotNull(), F.array("geo")).otherwise(F.array().cast("array<string>")).alias("q_geo"), F.when((own % 5 != 1) & F.col("motion").isNotNull(), F.array("motion")).otherwise(F.array().cast("array<string>")).alias("q_motion"),
         F.when(own % 7 == 0, F.lower(F.substring("device", 1, 5))).alias("q_device"),
     )
-    # A short row for each query and each video goes to the pairs.
+    # A short row for each query and each video goes to the pairs; names are lowered there.
+    it, md = it.withColumn("q_device", F.lower("q_device")), md.withColumn("device", F.lower("device"))
     rows = pairs.join(F.broadcast(it), "query_id").join(F.broadcast(md), "video_id")
-    made = {f"has_{a}": metadata.constrained(a) for a in metadata.AXES} | {f"pass_{a}": metadata.axis_pass(a, False) for a in metadata.AXES} | {f"soft_{a}": metadata.axis_score(a) for a in metadata.AXES}
-    return rows.withColumns(made | {"passed": metadata.hard_pass(False), "soft": metadata.soft_score(), "constrained": metadata.has_constraint()})
+    as_is = lambda c: c
+    for a in metadata.AXES:
+        rows = rows.withColumn(f"has_{a}", metadata.constrained(a))
+    made = {f"pass_{a}": metadata.axis_pass(a, False, lower=as_is) for a in metadata.AXES} | {f"soft_{a}": metadata.axis_score(a, lower=as_is) for a in metadata.AXES}
+    rows = rows.withColumns(made)
+    every = lambda of, join: functools.reduce(join, [F.col(f"{of}_{a}") for a in metadata.AXES])
+    n = sum((F.col(f"has_{a}").cast("int") for a in metadata.AXES), F.lit(0))
+    product = functools.reduce(lambda x, a: x * F.when(F.col(f"has_{a}"), F.col(f"soft_{a}")).otherwise(1.0), metadata.AXES, F.lit(1.0))
+    return rows.withColumns({"passed": every("pass", operator.and_), "soft": F.when(n > 1, F.pow(product, 1 / n)).otherwise(product), "constrained": every("has", operator.or_)})
 
 
 _ALL = "(h_t::INT + h_g::INT + h_m::INT + h_d::INT)"

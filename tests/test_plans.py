@@ -530,3 +530,41 @@ def test_mean_average_precision(spark):
     got = spans.mean_average_precision(p, g, "k").first()
     # The second reaches 0.5, 0.55 and 0.6 of the ten thresholds.
     assert abs(got.map - (1 + 0.3) / 2) < 1e-6 and abs(got.map_at_half - 1) < 1e-6
+
+
+def test_places_under_routes_equal_sorting_and_shuffle_no_pairs(spark):
+    """Few values, so that many tie, filtered and missing right videos, and softmax over what passes, against a sort of each query's videos."""
+    import math
+    import random
+
+    draw, beta, rows = random.Random(3), 0.4, []
+    for q in range(3):
+        for v in range(40):
+            pair = [x for _ in metadata.AXES for x in (draw.random() < 0.7, draw.choice([0.0, 0.25, 1.0]), draw.random() < 0.5)]
+            rows += [(q, v, 99 if q == 2 else 7 * q + 3, top, draw.choice([None, 0.1, 0.2, 0.3, 5.0]), *pair) for top in (100, 300, 500, 1000)]
+    axes = ", ".join(f"pass_{a} boolean, soft_{a} double, has_{a} boolean" for a in metadata.AXES)
+    sem = spark.createDataFrame(rows, f"query_id int, video_id int, own int, topm int, sem double, {axes}").repartition(3)
+    got = {(x.query_id, x.route_id): (x.rank, x.gt_filtered, x.candidates) for x in routes.executed(sem, routes.bank(spark), beta).collect()}
+    want = {}
+    for name, hard, soft, top, mode, _, _ in routes.BANK:
+        for q in range(2):
+            held = []
+            for _, v, own, _, x, *pair in [r for r in rows if r[0] == q and r[3] == top]:
+                on = {a: pair[3 * k : 3 * k + 3] for k, a in enumerate(metadata.AXES)}
+                asked = [on[a][1] for a in soft if on[a][2]]
+                held.append((v, v == own, all(on[a][0] for a in hard), x, math.prod(asked) ** (1 / len(asked)) if asked else 1.0))
+            inside = [x for *_, ok, x, _ in held if ok and x is not None]
+            n = sum(ok for *_, ok, _, _ in held)
+            post = mode == "col_softmax_post_filter" and n > 1
+            value = lambda x: math.exp((x - max(inside)) / beta) / (sum(math.exp((y - max(inside)) / beta) for y in inside) + 1e-12) if post else x  # noqa: B023, E731
+            lo, hi = (value(min(inside)), value(max(inside))) if inside else (0, 0)
+            score = lambda ok, x, s: None if not ok or x is None else round(0.8 * ((value(x) - lo) / (hi - lo) if hi > lo else 0.5) + 0.2 * s if soft else value(x), 9)  # noqa: B023, E731
+            order = sorted((score(ok, x, s) is None, -(score(ok, x, s) or 0), v, mine, ok) for v, mine, ok, x, s in held)
+            place = next(k for k, x in enumerate(order) if x[3])
+            want[q, name] = (place if order[place][4] else -1, not order[place][4], n)
+    assert got == want
+    # Without a limit of what is likely, every pair would go through the shuffle.
+    pairs = spark.createDataFrame([(q, v, float((q * 31 + v * 7) % 97) / 97) for q in range(3) for v in range(97)], "query_id int, video_id int, base double")
+    from quern.operators import search
+
+    assert sorted(r.base for r in search.likely(pairs, 5, "base").where("query_id = 1").collect()) == [k / 97 for k in range(92, 97)]
