@@ -158,3 +158,17 @@ def test_only_the_best_of_each_task_are_shuffled(spark):
     assert abs(p[2] - 1 / (1 + 2.718281828459045**-1)) < 1e-9 and p[3] == 0 and abs(p[1] + p[2] - 1) < 1e-9
     plan = search.column_softmax(search.reranked(df.select("*", F.col("base").alias("qamp")), top=10))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)")
+
+
+def test_likely_best_are_cut_before_the_shuffle(spark):
+    from quern.operators import search
+
+    odd = [None, float("nan"), -9.0, 9.0]
+    df = spark.createDataFrame([(q, v, odd[v] if v < 4 and q else (q * 31 + v * 7) % 61 / 61) for q in (0, 1) for v in range(60)], "query_id long, video_id long, base double").repartition(4)
+    for k in (1, 3, 20, 59, 60, 100):
+        want = sorted(str(tuple(r)) for r in search.top_k(df, k, "base").collect())
+        assert sorted(str(tuple(r)) for r in search.top_k(search.likely(df, k, "base"), k, "base").collect()) == want
+    assert search.likely(df, 3, "base").count() < 12
+    # Re-ranking cuts before its best are shuffled.
+    plan = search.reranked(df.select("*", F.col("base").alias("qamp")), top=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bound" in plan
