@@ -86,19 +86,34 @@ def scores(rows: DataFrame, queries: DataFrame, block: int = 4096, least: float
     return out
 
 
-def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block: int = 4096, cells: int = 2_000_000) -> DataFrame:
-    """video_id, query_id, base, qamp of every video with every query: a row for each pair leaves the kernel, not one for each prototype.
+def query_blocks(queries: DataFrame, block: int = 4096) -> list:
+    """Queries (query_id, emb), a stated set, as broadcasts of (ids, matrix), ``block`` rows each."""
+    held, out = [], []
 
-    videos: video_id and protos, an array of (k, emb) in the order of k. base is the best product over the prototypes of the greatest of ``ks``, null where there is none;
-    qamp the mean over ``ks`` of the products pooled by their softmax at ``tau``; a k without prototypes adds 0. Queries (query_id, emb) are a
-    stated set, sent to the executors in blocks of ``block`` rows. A task holds about ``cells`` products at a time.
-    """
-    finest, t = max(ks), max(tau, 1e-6)
-    schema = videos.select("video_id").withColumns({"query_id": F.lit(0).cast("bigint"), "base": F.lit(None).cast("double"), "qamp": F.lit(0.0)}).schema
-    slim = videos.select("video_id", F.transform("protos", lambda p: p["k"].cast("int")).alias("k"), F.flatten(F.transform("protos", lambda p: p["emb"])).alias("emb"))
+    def add(part):
+        out.append(queries.sparkSession.sparkContext.broadcast((np.array([q for q, _ in part], np.int64), np.array([e for _, e in part], np.float64))))
+
+    for row in queries.select("query_id", "emb").toLocalIterator():
+        held.append((row.query_id, row.emb))
+        if len(held) == block:
+            add(held)
+            held = []
+    if held:
+        add(held)
+    return out
+
+
+def flat_lists(videos: DataFrame) -> DataFrame:
+    """videos (video_id, protos and more) with protos as k and emb, the vectors one after the other, for :func:`pooled_blocks`."""
+    more = [c for c in videos.columns if c not in ("video_id", "protos")]
+    return videos.select("video_id", F.transform("protos", lambda p: p["k"].cast("int")).alias("k"), F.flatten(F.transform("protos", lambda p: p["emb"])).alias("emb"), *more)
+
+
+def pooled_blocks(ks, tau: float, cells: int = 2_000_000):
+    """A function of batches of :func:`flat_lists` and a matrix of queries that gives (part of a batch, base, qamp), the latter by video and query, see :func:`pooled_scores`."""
+    finest, t, n_ks = max(ks), max(tau, 1e-6), len(ks)
 
     def pool(batch, matrix):
-        """base and qamp of (videos, queries)."""
         n, dim = batch.num_rows, matrix.shape[1]
         k = batch.column(1).flatten().to_numpy(zero_copy_only=False)
         sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
@@ -115,32 +130,39 @@ def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block:
             fine = k[first] == finest
             base[video[first][fine]] = best[fine]
         # Rounded, so that equal vectors tie, and a pair that is worked out twice is the same, wherever they stand in a product.
-        return np.round(base, 12), np.round(qamp / len(ks), 12)
+        return np.round(base, 12), np.round(qamp / n_ks, 12)
+
+    def blocks(batches, matrix):
+        for batch in batches:
+            step = max(1, cells // (max(len(matrix), 1) * 12))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield part, *pool(part, matrix)
+
+    return blocks
+
+
+def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block: int = 4096, cells: int = 2_000_000) -> DataFrame:
+    """video_id, query_id, base, qamp of every video with every query: a row for each pair leaves the kernel, not one for each prototype.
+
+    videos: video_id and protos, an array of (k, emb) in the order of k. base is the best product over the prototypes of the greatest of ``ks``, null where there is none;
+    qamp the mean over ``ks`` of the products pooled by their softmax at ``tau``; a k without prototypes adds 0. Queries (query_id, emb) are a
+    stated set, sent to the executors in blocks of ``block`` rows. A task holds about ``cells`` products at a time.
+    """
+    schema = videos.select("video_id").withColumns({"query_id": F.lit(0).cast("bigint"), "base": F.lit(None).cast("double"), "qamp": F.lit(0.0)}).schema
+    slim, blocks = flat_lists(videos.select("video_id", "protos")), pooled_blocks(ks, tau, cells)
 
     def run_with(sent):
         def run(batches):
             ids, matrix = sent.value
-            for batch in batches:
-                step = max(1, cells // (max(len(ids), 1) * 12))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    base, qamp = pool(part, matrix)
-                    names = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(ids))))
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(ids, part.num_rows)), pa.array(base.ravel(), from_pandas=True), pa.array(qamp.ravel())], names=schema.names)
+            for part, base, qamp in blocks(batches, matrix):
+                names = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(ids))))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.tile(ids, part.num_rows)), pa.array(base.ravel(), from_pandas=True), pa.array(qamp.ravel())], names=schema.names)
 
         return run
 
-    out, held = None, []
-
-    def add(out, part):
-        sent = videos.sparkSession.sparkContext.broadcast((np.array([q for q, _ in part], np.int64), np.array([e for _, e in part], np.float64)))
+    out = None
+    for sent in query_blocks(queries, block):
         one = slim.mapInArrow(run_with(sent), schema)
-        return one if out is None else out.unionByName(one)
-
-    for row in queries.select("query_id", "emb").toLocalIterator():
-        held.append((row.query_id, row.emb))
-        if len(held) == block:
-            out, held = add(out, held), []
-    if held:
-        out = add(out, held)
+        out = one if out is None else out.unionByName(one)
     return videos.sparkSession.createDataFrame([], schema) if out is None else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,6 +127,52 @@ def soft_score(slack: float = SLACK) -> Column:
     return F.when(n > 1, F.pow(product, 1 / n)).otherwise(product)
 
 
+def axis_blocks(slack: float = SLACK):
+    """A function of columns of videos and of queries that gives has, by axis and query, and ok and score, by axis, video and query.
+
+    The same as :func:`constrained`, :func:`axis_pass` (not strict) and :func:`axis_score`, for kernels that hold pairs as blocks. Columns are numpy arrays (nan or None for
+    null); names of devices are lowered, and q_geo and q_motion have tuples.
+    """
+    axes = AXES
+
+    def listed(values, asked, within):
+        """Whether a value is within what is asked, for each distinct one of both."""
+        names, wanted = list(dict.fromkeys(values)), list(dict.fromkeys(asked))
+        met = np.array([[v is not None and within(v, w) for w in wanted] for v in names], bool).reshape(len(names), len(wanted))
+        row, column = ({x: k for k, x in enumerate(of)} for of in (names, wanted))
+        return met[np.ix_([row[v] for v in values], [column[w] for w in asked])]
+
+    def block(v: dict, q: dict):
+        has, ok, score = [], [], []
+        for axis in axes:
+            if axis == "time":
+                made, t0, t1 = v["created"][:, None], q["t_start"], q["t_end"]
+                with np.errstate(invalid="ignore"):
+                    h = np.maximum((t1 - t0) / 2, 1.0)
+                    k, d, null = np.maximum(slack, h), np.abs(made - (t0 + t1) / 2), np.isnan(made)
+                    has.append(~np.isnan(t0))
+                    ok.append(~has[-1] | null | ((made >= t0 - slack) & ((made <= t1 + slack) | np.isnan(t1))))
+                    score.append(np.where(null, 0.5, np.where(d <= h, 1.0, np.where(d >= h + k, 0.0, 1 - (d - h) / k))))
+                continue
+            if axis == "device":
+                values, asked = [x or None for x in v["device"]], list(q["q_device"])
+                has.append(np.array([bool(w) for w in asked], bool))
+                met = listed(values, asked, lambda x, w: bool(w) and w in x)
+            else:
+                values, asked = list(v[axis]), list(q[f"q_{axis}"])
+                has.append(np.array([bool(w) for w in asked], bool))
+                met = listed(values, asked, lambda x, w: bool(w) and x in w)
+            null, full = np.array([x is None for x in values], bool)[:, None], 1.0
+            if axis == "motion":
+                sure = v["confidence"]
+                full = np.where(np.isnan(sure) | (sure == 0), 1.0, sure)[:, None]
+            ok.append(~has[-1] | null | met)
+            score.append(np.where(null, 0.5, np.where(met, full, 0.0)))
+        return has, ok, score
+
+    return block
+
+
 def classes(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
     """Classes of which a keyword is a substring of the lower-cased text, in the lexicon's order."""
     low = F.lower(text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
 from quern.operators import metadata, planners, routes, search
+from quern.operators.scans import _cut as cut
 from quern.plans.catalogue import _FRAMES, _batch, query
 from quern.sources.tables import frames, table
 
@@ -27,8 +28,8 @@ ax AS (SELECT it.query_id, it.own, md.video_id, t0 IS NOT NULL AS h_t, qg IS NOT
 _SOFT = "CASE WHEN {n} > 1 THEN pow({p}, 1.0::DOUBLE / {n}) ELSE {p} END"
 
 
-def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
-    """pairs (query_id, video_id) with own and, for each axis, has_, pass_ and soft_."""
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A short row for each query (its intent and own), and one for each video (its metadata); names of devices are lowered."""
     f = frames(spark, d)
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     orders = o.select(
@@ -36,17 +37,23 @@ def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
         F.when(k % 5 != 0, F.when(F.col("o_orderpriority") < "3", "walking").otherwise("vehicle")).alias("motion"), (k % 4 / 4).alias("confidence"), F.when(k % 3 == 0, "GoPro 9").otherwise("iPhone 12").alias("device"),
     )
     videos = f.select("video_id").distinct()
+    # Videos' ids go to the orders, so that only their own are shuffled.
+    orders = orders.join(F.broadcast(videos), videos["video_id"] == k, "left_semi")
     # A video without metadata has the values that the last branch of each CASE gives in SQL.
-    md = videos.join(orders, videos["video_id"] == k, "left").withColumn("device", F.coalesce("device", F.lit("iPhone 12"))).drop("o_orderkey")
+    md = cut(videos.join(orders, videos["video_id"] == k, "left").withColumn("device", F.coalesce("device", F.lit("iPhone 12"))).drop("o_orderkey"))
     own = F.col("own")
-    it = search.query_set(f).select("query_id", F.col("video_id").alias("own")).join(md.withColumnRenamed("video_id", "own"), "own")
+    it = search.query_set(f).select("query_id", F.col("video_id").alias("own")).join(F.broadcast(md.withColumnRenamed("video_id", "own")), "own")
     it = it.select(
         "query_id", "own", F.when(own % 4 == 0, F.col("created") - 1209600).alias("t_start"), F.when(own % 4 == 0, F.col("created") + 1209600).alias("t_end"),
         F.when((own % 3 == 0) & F.col("geo").isNotNull(), F.array("geo")).otherwise(F.array().cast("array<string>")).alias("q_geo"), F.when((own % 5 != 1) & F.col("motion").isNotNull(), F.array("motion")).otherwise(F.array().cast("array<string>")).alias("q_motion"),
         F.when(own % 7 == 0, F.lower(F.substring("device", 1, 5))).alias("q_device"),
     )
-    # A short row for each query and each video goes to the pairs; names are lowered there.
-    it, md = it.withColumn("q_device", F.lower("q_device")), md.withColumn("device", F.lower("device"))
+    return cut(it.withColumn("q_device", F.lower("q_device"))), md.withColumn("device", F.lower("device"))
+
+
+def _axes(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, video_id) with own and, for each axis, has_, pass_ and soft_."""
+    it, md = _facts(spark, d)
     rows = pairs.join(F.broadcast(it), "query_id").join(F.broadcast(md), "video_id")
     as_is = lambda c: c
     for a in metadata.AXES:
@@ -175,10 +182,8 @@ ob AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
-    s = search.qamp_scores(search.prototypes(f), search.query_set(f))
-    bank = routes.bank(spark)
-    sem = routes.single_scores(_axes(spark, d, s), sorted({top for _, _, _, top, *_ in routes.BANK}))
-    return routes.executed(sem, bank)
+    it, md = _facts(spark, d)
+    return routes.grid(search.proto_lists(search.prototypes(f), (2, 4, 6)), md, search.query_set(f), it, routes.bank(spark))
 
 
 @query(_GRID + "SELECT query_id, route_id, rank::INT AS rank, gt_filtered, cand::BIGINT AS candidates, round(utility, 6)::DOUBLE AS utility FROM gr")
@@ -308,7 +313,7 @@ def route_baselines(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     s = search.qamp_scores(search.prototypes(f), search.query_set(f))
     bank, axes = routes.bank(spark), _axes(spark, d, s)
-    sem = routes.single_scores(axes, sorted({top for _, _, _, top, *_ in routes.BANK}))
+    sem = routes.single_scores(axes, [100])
     two = search.with_margin(search.top_k(sem.where("topm = 100"), 2, "sem"), "sem").where("rank = 0")
     asked = two.select("query_id", "margin", F.array_compact(F.array(*[F.when(F.col(f"has_{a}"), a) for a in metadata.AXES])).alias("asked"))
-    return planners.baselines(routes.executed(sem, bank).withColumn("utility", F.round("utility", 9)), bank, asked)
+    return planners.baselines(_grid(spark, d).withColumn("utility", F.round("utility", 9)), bank, asked)

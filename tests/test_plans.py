@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import vectors
 from quern.operators import evaluate, experts, gallery, identity, metadata, noise, planners, routes, sampling, scans, segments, spans, spectra
+from quern.plans import routing
 from quern.sources import tables
 from quern.streaming import events
 
@@ -568,3 +570,40 @@ def test_places_under_routes_equal_sorting_and_shuffle_no_pairs(spark):
     from quern.operators import search
 
     assert sorted(r.base for r in search.likely(pairs, 5, "base").where("query_id = 1").collect()) == [k / 97 for k in range(92, 97)]
+
+
+def test_the_grid_in_the_kernel_equals_that_of_pairs(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 8))).tolist()
+    # More videos than the least number of candidates, some of them alike, one without its finest prototypes and one without metadata.
+    each = {v: (unit(12) if v % 9 else unit(2) * 6) for v in range(130)}
+    each |= {v: each[v - 1] for v in range(20, 30, 2)}
+    lists = [(v, [(k, e) for k, e in zip([2] * 2 + [4] * 4 + [6] * 6, x, strict=True) if (v, k) != (7, 6)]) for v, x in each.items()]
+    pick = lambda *x: x[rng.integers(len(x))]
+    meta = [(v, *((pick(None, 5e3, 2e4, 9e4), pick(None, "a", "b"), pick(None, "x", "y"), pick(None, 0.0, 0.5), pick(None, "", "gopro 9", "iphone 12")) if v != 3 else (None,) * 5)) for v in each]
+    intents = [(20 * i, int(rng.integers(140)), *pick((None, None), (1e4, 2e4), (8e4, 8e4)), pick([], ["a"], ["a", "b"], None), pick([], ["x"]), pick(None, "", "gopro")) for i in range(25)]
+    lists = spark.createDataFrame(lists, "video_id long, protos array<struct<k:int,emb:array<double>>>")
+    meta = spark.createDataFrame(meta, "video_id long, created double, geo string, motion string, confidence double, device string")
+    intents = spark.createDataFrame(intents, "query_id long, own long, t_start double, t_end double, q_geo array<string>, q_motion array<string>, q_device string")
+    queries = spark.createDataFrame([(20 * i, e) for i, e in enumerate(unit(25))], "query_id long, emb array<double>")
+    bank = routes.bank(spark)
+    got = routes.grid(lists, meta, queries, intents, bank, block=10)
+    pairs = vectors.pooled_scores(lists, queries, (2, 4, 6), 0.1).join(intents, "query_id").join(meta, "video_id")
+    for a in metadata.AXES:
+        pairs = pairs.withColumns({f"has_{a}": metadata.constrained(a), f"pass_{a}": metadata.axis_pass(a, False), f"soft_{a}": metadata.axis_score(a)})
+    want = routes.executed(routes.single_scores(pairs, [100, 300, 500, 1000]), bank)
+    shown = lambda df: sorted((r.query_id, r.idx, r["rank"], r.gt_filtered, r.candidates, round(r.utility, 9)) for r in df.collect())
+    assert shown(got) == shown(want) and got.count() > 300
+    assert routes.grid(lists.limit(0), meta, queries, intents, bank).count() == 0
+
+
+def test_metadata_of_videos_takes_no_shuffle_of_all_orders(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, [1.0, float(i)]) for i in range(100)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    orders = spark.range(50_000).selectExpr("id AS o_orderkey", "current_date() AS o_orderdate", "'F' AS o_orderstatus", "'1' AS o_orderpriority")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sparkContext.setJobGroup("facts", "facts")
+    it, md = routing._facts(spark, str(tmp_path))
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    written = [tracker.lastStageAttempt(s).shuffleWriteRecords() for j in spark.sparkContext.statusTracker().getJobIdsForGroup("facts") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert md.count() == 10 and it.count() == 5 and max(written) < 5_000
