@@ -65,9 +65,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
-    # Python tells the JVM what it has dropped from another thread.
-    time.sleep(0.1)
-    spark.sparkContext._jvm.System.gc()
+    # Python tells the JVM what it has dropped from another thread, which looks for that once a second; and of a query that has just ended
+    # some is only let go after a first collection.
+    for _ in range(2):
+        time.sleep(0.6)
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:

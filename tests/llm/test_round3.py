@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 
 pytest.importorskip("quern.llm")
 from pyspark.sql import functions as F
-from quern.llm import fill_in_middle, sentencepiece_codec, structure_repair
+from quern.llm import common, fill_in_middle, sentencepiece_codec, structure_repair
 
 
 def sha(text):
@@ -281,3 +282,17 @@ def test_the_target_model_counts_all_labelled_documents(spark, monkeypatch):
     want = scores()
     monkeypatch.setattr(lm_scoring, "TARGETS", 2)
     assert scores() == want and len(set(want.values())) > 1
+
+
+def test_release_drops_the_shuffle_files_of_what_is_gone(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    common.release(spark)
+    time.sleep(2)
+    for _ in range(4):
+        before = files()
+        common.stash(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+        assert files() > before
+        common.release(spark)
+        # Spark drops the files itself, a moment later.
+        time.sleep(0.5)
+        assert files() <= before
