@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute
 
 _PLACES = 64
+#: Bytes of text that are hashed at a time.
+_BYTES = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +58,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first word (n + 1 of them)."""
+    """Hashes of all words in order, and for each text the index of its first word (n + 1 of them).
+
+    Texts are hashed about ``_BYTES`` at a time, as a byte takes many times its size here and a word 8 bytes in the result.
+    """
+    column = column.cast(pa.large_string())
+    ends = np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    words, at, start, n = [], [np.zeros(1, np.int64)], 0, 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _BYTES, side="right")))
+        more, of = _hashes(column.slice(start, stop - start), lower)
+        words.append(more)
+        at.append(n + of[1:])
+        start, n = stop, n + len(more)
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(at)
+
+
+def _hashes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     raw, at = text_bytes(column)
     inside = _IN_WORD[raw]
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))

@@ -296,3 +296,21 @@ def test_release_drops_the_shuffle_files_of_what_is_gone(spark):
         # Spark drops the files itself, a moment later.
         time.sleep(0.5)
         assert files() <= before
+
+
+def test_words_are_hashed_a_few_texts_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from quern.llm import wordhash
+
+    texts = pa.array([None, "", "Ab c", " \n", *[f"word{k} of a text " * 400 for k in range(1200)], None])
+    tracemalloc.start()
+    words, at = wordhash.word_hashes(texts, lower=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * texts.nbytes
+    monkeypatch.setattr(wordhash, "_BYTES", 1)
+    one, of = wordhash.word_hashes(texts, lower=True)
+    assert np.array_equal(one, words) and np.array_equal(of, at) and at[-1] == len(words) == 1200 * 1600 + 2
