@@ -307,7 +307,8 @@ def _sizes_met(part: DataFrame, blocks: int) -> DataFrame:
     dealt = marked.where("common IS NULL").select("tok", "k", "g", F.col("b").cast("long").alias("b")).repartition("tok")
     often = marked.where("common").select(*part.columns)
     by_size = often.groupBy("tok", "b").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).groupBy("tok").agg(F.collect_list(F.struct("b", "lo", "hi")).alias("held"))
-    met = often.join(F.broadcast(stash(by_size, "often")), "tok")
+    # It has the common shingles alone, so that they needn't be told apart again.
+    met = part.join(F.broadcast(stash(by_size, "often")), "tok")
     other = F.filter("held", lambda x: ((x["lo"] != F.col("g")) | (x["hi"] != F.col("g"))) & (F.abs(x["b"] - F.col("b")) <= STEPS))
     mask = F.aggregate(other, F.lit(0), lambda m, x: m + F.call_function("shiftleft", F.lit(1), x["b"] - F.col("b") + STEPS))
     met = met.select("k", mask.alias("mask")).groupBy("k").agg(F.array(*[F.sum(F.shiftright("mask", i).bitwiseAND(F.lit(1))).cast("long") for i in range(2 * STEPS + 1)]).alias("c"))

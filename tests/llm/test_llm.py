@@ -135,6 +135,13 @@ def test_op8_family_without_its_base(spark):
     assert len(near) > 100 and len(set(low.values())) > 25 and got == low
 
 
+def test_op8_common_shingles_are_looked_up_once(spark):
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("g"), (F.col("id") % 3 + 5).cast("int").alias("b"), F.lit(7).cast("long").alias("tok"))
+    met = jaccard_join._sizes_met(rows, 16)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert met.count() == 2000 and met.where("c[4] <> 1 OR aggregate(c, 0L, (x, y) -> x + y) <> 3").count() == 0
+
+
 def test_op9_hits(docs, bench):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: pattern.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
