@@ -142,6 +142,53 @@ def pooled_blocks(ks, tau: float, cells: int = 2_000_000):
     return blocks
 
 
+def best_blocks(ks, tau: float, cells: int = 2_000_000):
+    """Like :func:`pooled_blocks`, with a function of places of videos and of queries, which gives qamp of these pairs, instead of qamp of all: only a few of the best need it."""
+    layout = np.repeat(sorted(ks), sorted(ks)).astype(np.int64)
+    width, finest, t, whole = len(layout), max(ks), max(tau, 1e-6), pooled_blocks(ks, tau, cells)
+
+    def known(qamp):
+        return lambda v, q: qamp[v, q]
+
+    def pooled(vectors, matrix):
+        def at(v, q):
+            out, dim = np.zeros(len(v)), matrix.shape[1]
+            # Where many are asked for, one product of all is cheaper than one of each.
+            many = len(v) * 8 > len(vectors) * len(matrix)
+            every = (vectors.reshape(-1, dim) @ matrix.T).reshape(len(vectors), width, -1) if many else None
+            step = max(1, cells // (width if many else width * dim))
+            for k in range(0, len(v), step):
+                row, column = v[k : k + step], q[k : k + step]
+                product = every[row, :, column] if many else np.matmul(vectors[row], matrix[column][:, :, None])[:, :, 0]
+                for size in np.unique(layout):
+                    part = product[:, layout == size]
+                    weight = np.exp((part - part.max(axis=1, keepdims=True)) / t)
+                    out[k : k + step] += (weight * part).sum(axis=1) / (weight.sum(axis=1) + 1e-9)
+            return np.round(out / len(ks), 12)
+
+        return at
+
+    def blocks(batches, matrix):
+        for batch in batches:
+            step = max(1, cells // (max(len(matrix), 1) * width))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                n, k = part.num_rows, part.column(1).flatten().to_numpy(zero_copy_only=False)
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                if len(k) != n * width or (sizes != width).any() or (k.reshape(n, width) != layout).any():
+                    for one, base, qamp in whole([part], matrix):
+                        yield one, base, known(qamp)
+                    continue
+                vectors = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, width, matrix.shape[1])
+                product = vectors[:, width - finest :].reshape(n * finest, -1) @ matrix.T
+                base = product.reshape(n, finest, -1).max(axis=1)
+                # Rounded as there.
+                np.divide(np.rint(np.multiply(base, 1e12, out=base), out=base), 1e12, out=base)
+                yield part, base, pooled(vectors, matrix)
+
+    return blocks
+
+
 def pooled_scores(videos: DataFrame, queries: DataFrame, ks, tau: float, block: int = 4096, cells: int = 2_000_000) -> DataFrame:
     """video_id, query_id, base, qamp of every video with every query: a row for each pair leaves the kernel, not one for each prototype.
 

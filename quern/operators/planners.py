@@ -64,6 +64,15 @@ def own_route(axes: str, idx: str) -> Column:
     return F.struct(*[v.alias(c) for c, v in parts.items()])
 
 
+def with_own_routes(bank: DataFrame, choices: DataFrame) -> DataFrame:
+    """The bank and, behind it, each route of queries' own in choices: one for each set of axes at most."""
+    own = choices.join(F.broadcast(bank.select("route_id")), "route_id", "left_anti").select(*[c for c in _ROUTE if c != "idx"]).distinct().collect()
+    rows = [tuple(r[c] for c in _ROUTE) for r in bank.select(*_ROUTE).orderBy("idx").collect()]
+    after = max(r[1] for r in rows) + 1
+    rows += [(r.route_id, after + k, *[r[c] for c in _ROUTE[2:]]) for k, r in enumerate(sorted(own, key=lambda r: r.route_id))]
+    return choices.sparkSession.createDataFrame(rows, bank.select(*_ROUTE).schema)
+
+
 def _better(rank: Column, than: Column) -> Column:
     return (rank >= 0) & (rank < than)
 
@@ -74,14 +83,23 @@ def cascade(sem: DataFrame, first: DataFrame, bank: DataFrame, beta: float = 0.4
 
     first: results of a planner. Only queries that a stage fails are searched again in the next; sem is read once more for each.
     """
+    return _cascade(first, lambda failed, name: _again(sem, failed, bank, name, beta))
+
+
+def cascade_of(results: DataFrame, first: DataFrame) -> DataFrame:
+    """Like :func:`cascade`, over results that hold the large and the full route of every query."""
+    return _cascade(first, lambda failed, name: _met(failed, results.where(F.col("route_id") == name)))
+
+
+def _cascade(first: DataFrame, again) -> DataFrame:
     keep = ("query_id", "route_id", "rank", "cost")
     one = first.select(*keep)
     done = _better(F.col("rank"), F.lit(ENOUGH))
-    two = _again(sem, one.where(~done), bank, LARGE, beta)
+    two = again(one.where(~done), LARGE)
     # The better one, with what both had.
     held = two.select("query_id", "first", F.when(_better(F.col("next.rank"), F.col("first.rank")), F.col("next")).otherwise(F.col("first")).alias("best"), "next")
     fair = _better(F.col("best.rank"), F.lit(FAIR))
-    three = _again(sem, held.where(~fair).select("query_id", "first.*"), bank, FULL, beta).withColumnRenamed("next", "last")
+    three = again(held.where(~fair).select("query_id", "first.*"), FULL).withColumnRenamed("next", "last")
     rest = held.where(~fair).select("query_id", "next").join(three, "query_id")
     order = lambda c, k: F.when(F.col(f"{c}.rank") >= 0, F.struct(F.col(f"{c}.rank").alias("r"), F.lit(k).alias("k"), F.col(c).alias("x")))
     least = F.array_min(F.array_compact(F.array(order("first", 0), order("next", 1), order("last", 2))))
@@ -94,7 +112,10 @@ def _again(sem: DataFrame, failed: DataFrame, bank: DataFrame, name: str, beta:
     """query_id, first and next (route_id, rank, cost): what queries had, and their result on another route."""
     route = bank.where(F.col("route_id") == name).select(*_ROUTE)
     # One route.
-    more = executed_choices(sem, failed.select("query_id").crossJoin(F.broadcast(route)), beta)
+    return _met(failed, executed_choices(sem, failed.select("query_id").crossJoin(F.broadcast(route)), beta))
+
+
+def _met(failed: DataFrame, more: DataFrame) -> DataFrame:
     cells = lambda: F.struct("route_id", F.col("rank").cast("int").alias("rank"), "cost")
     return failed.select("query_id", cells().alias("first")).join(more.select("query_id", cells().alias("next")), "query_id")
 

@@ -268,23 +268,28 @@ pr1 AS (SELECT pp.*, gr.rank, gr.cost FROM pp JOIN gr USING (query_id, route_id)
 """
 
 
-def _zoned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of all pairs, the bank, and the choices of the planner by zones."""
-    f = frames(spark, d)
-    s = search.qamp_scores(search.prototypes(f), search.query_set(f))
+def _zoned(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The choices of the planner by zones, and the results of each query on the route chosen for it and on those named besides."""
     bank = routes.bank(spark)
-    sem = routes.single_scores(_axes(spark, d, s), [500, 1000] + [t for t in routes.CANDIDATES if t not in (500, 1000)])
     # A stated bank of 30 routes.
     values = _probabilities(spark, d).where("query_id % 20 = 0").crossJoin(F.broadcast(bank)).withColumn("value", (F.col("query_id") * 7 + F.col("idx") * 13) % 101 / 101)
-    return sem, bank, planners.zoned_choice(values, _TAU)
+    choices = cut(planners.zoned_choice(values, _TAU))
+    wider = planners.with_own_routes(bank, choices)
+    # Routes of a query's own have one number in its choices, and each its own in the wider bank.
+    chosen = choices.select("query_id", "route_id")
+    for name in more:
+        chosen = chosen.unionByName(choices.select("query_id", F.lit(name).alias("route_id")))
+    chosen = chosen.join(F.broadcast(wider.select("route_id", "idx")), "route_id").select("query_id", "idx")
+    f = frames(spark, d)
+    it, md = _facts(spark, d)
+    return choices, routes.grid(search.proto_lists(search.prototypes(f), (2, 4, 6)), md, search.query_set(f), it, wider, chosen=chosen)
 
 
 @query(_ZONED + "SELECT query_id, route_id, round(value, 6) AS value, n_hard::BIGINT AS n_hard, n_soft::BIGINT AS n_soft, CASE WHEN tier = 'semantic' AND n_hard = 0 AND n_soft = 0 THEN 'semantic' WHEN tier = 'soft' THEN 'soft' ELSE 'none' END AS fallback_type, rank::INT AS rank FROM pr1")
 def zoned_planner(spark: SparkSession, d: str) -> DataFrame:
     """Routes chosen by zones, some of them the query's own, and the ranks under them."""
-    sem, _, choices = _zoned(spark, d)
-    ranks = routes.executed_choices(sem, choices).select("query_id", "rank")
-    return choices.join(ranks, "query_id").select("query_id", "route_id", F.round("value", 6).alias("value"), "n_hard", F.col("n_soft").cast("long").alias("n_soft"), "fallback_type", F.col("rank").cast("int").alias("rank"))
+    choices, results = _zoned(spark, d)
+    return choices.join(results.select("query_id", "route_id", "rank"), ["query_id", "route_id"]).select("query_id", "route_id", F.round("value", 6).alias("value"), "n_hard", F.col("n_soft").cast("long").alias("n_soft"), "fallback_type", F.col("rank").cast("int").alias("rank"))
 
 
 @query(_ZONED + """, ca AS (SELECT a.query_id, a.route_id AS r1, a.rank AS k1, b.route_id AS r2, b.rank AS k2, c.route_id AS r3, c.rank AS k3 FROM pr1 a JOIN gr b ON b.query_id = a.query_id AND b.route_id = 'R16_semantic_top1000_nnn_qamp' JOIN gr c ON c.query_id = a.query_id AND c.route_id = 'R29_full_budget_all_soft_dense_refine'),
@@ -293,8 +298,9 @@ cd AS (SELECT *, CASE stage WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN up THEN 2 ELSE 1
 SELECT query_id, CASE w WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS route_id, (CASE w WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END)::INT AS rank, stage::INT AS stage FROM cd""")
 def planner_cascade(spark: SparkSession, d: str) -> DataFrame:
     """The planner by zones, with larger routes for the queries that it fails."""
-    sem, bank, choices = _zoned(spark, d)
-    return planners.cascade(sem, routes.executed_choices(sem, choices), bank).select("query_id", "route_id", "rank", "stage")
+    choices, results = _zoned(spark, d, planners.LARGE, planners.FULL)
+    first = choices.select("query_id", "route_id").join(results, ["query_id", "route_id"])
+    return planners.cascade_of(results, first).select("query_id", "route_id", F.col("rank").cast("int").alias("rank"), "stage")
 
 
 @query(_GRID + """, aq AS (SELECT it.query_id, list_filter([CASE WHEN t0 IS NOT NULL THEN 'time' END, CASE WHEN qg IS NOT NULL THEN 'geo' END, CASE WHEN qm IS NOT NULL THEN 'motion' END, CASE WHEN qd IS NOT NULL THEN 'device' END], lambda x: x IS NOT NULL) AS asked FROM it),
@@ -310,10 +316,8 @@ cw AS (SELECT *, CASE WHEN k1 = 0 THEN 1 WHEN bound AND k2 >= 0 AND k2 < k1 THEN
 SELECT query_id, baseline, route_id, rank::INT AS rank, cost FROM ch JOIN gr USING (query_id, route_id) UNION ALL SELECT query_id, 'oracle', route_id, rank::INT, cost FROM ob UNION ALL SELECT query_id, 'cascade', CASE w WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END, (CASE w WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END)::INT, CASE w WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END FROM cw""")
 def route_baselines(spark: SparkSession, d: str) -> DataFrame:
     """Seven baselines of routing over the grid of all routes."""
-    f = frames(spark, d)
-    s = search.qamp_scores(search.prototypes(f), search.query_set(f))
-    bank, axes = routes.bank(spark), _axes(spark, d, s)
-    sem = routes.single_scores(axes, [100])
-    two = search.with_margin(search.top_k(sem.where("topm = 100"), 2, "sem"), "sem").where("rank = 0")
-    asked = two.select("query_id", "margin", F.array_compact(F.array(*[F.when(F.col(f"has_{a}"), a) for a in metadata.AXES])).alias("asked"))
-    return planners.baselines(_grid(spark, d).withColumn("utility", F.round("utility", 9)), bank, asked)
+    f, bank = frames(spark, d), routes.bank(spark)
+    it, md = _facts(spark, d)
+    grid, margins = routes.grid_with_margins(search.proto_lists(search.prototypes(f), (2, 4, 6)), md, search.query_set(f), it, bank, 100)
+    asked = cut(it.select("query_id", metadata.fired().alias("asked")).join(margins, "query_id"))
+    return planners.baselines(grid.withColumn("utility", F.round("utility", 9)), bank, asked)

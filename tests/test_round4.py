@@ -2,7 +2,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from quern.operators import identity
+from pyspark.sql import functions as F
+
+from quern.functions import vectors
+from quern.operators import identity, planners, routes, search
 from quern.plans import identities  # noqa: F401
 from quern.plans.catalogue import SQL
 
@@ -17,3 +20,51 @@ def test_equal_frequencies_round_as_in_sql():
     c.register("embeddings", frames)
     want = {k: h for k, _, h in c.execute(SQL["frame_hashes"]).fetchall()}
     assert identity.perceptual_hashes(pixels.reshape(-1, 8, 8)).tolist() == [want[k] for k in range(200)]
+
+
+def _videos(spark, n=130, dim=8, queries=12):
+    """Prototypes of videos, one of them without its finest, metadata, queries and intents."""
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, dim))).tolist()
+    pick = lambda *x: x[rng.integers(len(x))]
+    lists = [(v, [(k, e) for k, e in zip([2] * 2 + [4] * 4 + [6] * 6, unit(12), strict=True) if (v, k) != (7, 6)]) for v in range(n)]
+    meta = [(v, pick(None, 5e3, 2e4, 9e4), pick(None, "a", "b"), pick(None, "x", "y"), pick(None, 0.0, 0.5), pick(None, "", "gopro 9", "iphone 12")) for v in range(n)]
+    intents = [(20 * i, int(rng.integers(n)), *pick((None, None), (1e4, 2e4)), pick([], ["a"]), pick([], ["x"]), pick(None, "gopro")) for i in range(queries)]
+    return (
+        spark.createDataFrame(lists, "video_id long, protos array<struct<k:int,emb:array<double>>>"),
+        spark.createDataFrame(meta, "video_id long, created double, geo string, motion string, confidence double, device string"),
+        spark.createDataFrame([(20 * i, e) for i, e in enumerate(unit(queries))], "query_id long, emb array<double>"),
+        spark.createDataFrame(intents, "query_id long, own long, t_start double, t_end double, q_geo array<string>, q_motion array<string>, q_device string"),
+    )
+
+
+def test_chosen_routes_and_margins_come_from_the_kernel(spark):
+    lists, meta, queries, intents = _videos(spark)
+    bank = routes.bank(spark)
+    whole, margins = routes.grid_with_margins(lists, meta, queries, intents, bank, 100, block=5)
+    rows = lambda df: sorted(str((r.query_id, r.route_id, r["rank"], r.gt_filtered, r.candidates, round(r.utility, 9))) for r in df.collect())
+    chosen = intents.select("query_id", F.explode(F.array((F.col("query_id") / 20 % 30).cast("int"), F.lit(16), F.lit(29))).alias("idx")).distinct()
+    got = routes.grid(lists, meta, queries, intents, bank, block=5, chosen=chosen)
+    assert rows(got) == rows(whole.join(chosen, ["query_id", "idx"])) and got.count() == 36
+    pairs = vectors.pooled_scores(lists, queries, (2, 4, 6), 0.1)
+    two = search.with_margin(search.top_k(routes.single_scores(pairs, [100]), 2, "sem"), "sem").where("rank = 0")
+    shown = lambda df: {r.query_id: round(r.margin, 9) for r in df.collect()}
+    assert shown(margins) == shown(two)
+
+
+def test_routes_of_a_querys_own_stand_once_in_the_wider_bank(spark):
+    bank = routes.bank(spark)
+    own = lambda axes: ("dynamic_soft_" + "_".join(axes), 30, [], axes, 500, "nnn_qamp", 1.0)
+    plain = ("R00_semantic_only_top500", 0, [], [], 500, "nnn_qamp", 1.0)
+    schema = "query_id long, route_id string, idx int, hard_axes array<string>, soft_axes array<string>, candidate_topm int, rerank_mode string, cost double"
+    choices = spark.createDataFrame([(0, *own(["geo"])), (20, *own(["time"])), (40, *own(["geo"])), (60, *plain)], schema)
+    wider = planners.with_own_routes(bank, choices).collect()
+    assert [(r.route_id, r.idx) for r in wider[29:]] == [("R29_full_budget_all_soft_dense_refine", 29), ("dynamic_soft_geo", 30), ("dynamic_soft_time", 31)]
+
+
+def test_cascade_over_results_of_all_queries(spark):
+    ranks = {1: (2, 0, 0), 2: (7, 20, 0), 3: (30, 6, 1), 4: (30, 20, -1)}
+    names = ("R00_semantic_only_top500", planners.LARGE, planners.FULL)
+    results = spark.createDataFrame([(q, n, r, 1.0) for q, by in ranks.items() for n, r in zip(names, by, strict=True)], "query_id long, route_id string, rank int, cost double")
+    got = {x.query_id: (x.route_id, x.rank, x.stage) for x in planners.cascade_of(results, results.where(F.col("route_id") == names[0])).collect()}
+    assert got == {1: (names[0], 2, 1), 2: (names[0], 7, 2), 3: (names[1], 6, 2), 4: (names[1], 20, 3)}
