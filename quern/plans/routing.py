@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import l2_normalise
-from quern.operators import metadata, planners, routes, search
+from quern.operators import hybrid, metadata, planners, routes, search
 from quern.operators.scans import _cut as cut
-from quern.plans.catalogue import _FRAMES, _batch, query
+from quern.plans.catalogue import _FRAMES, query
 from quern.sources.tables import frames, table
 
 #: Metadata of the embeddings' videos, taken from orders; intents of queries from the metadata of the right video.
@@ -77,9 +77,9 @@ SELECT query_id, video_id, rank::INT AS rank, round(f, 5) AS out, round(semantic
 
 
 def _hybrid(spark: SparkSession, d: str, alpha: float, **switches) -> DataFrame:
-    s, _ = _batch(spark, d)
-    rows = _axes(spark, d, s.select("query_id", "video_id", "out"))
-    r = search.hybrid_search(rows, 10, 0.4, alpha, **switches)
+    f = frames(spark, d)
+    it, md = _facts(spark, d)
+    r = hybrid.hybrid_search(search.proto_lists(search.prototypes(f), (2, 4, 6)), md, search.query_set(f), it, 10, 0.4, alpha, **switches)
     return r.select("query_id", "video_id", "rank", F.round("out", 5).alias("out"), F.round("semantic", 4).alias("semantic"), F.round("margin", 5).alias("margin"), "passed")
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import identity, planners, routes, search
+from quern.operators import hybrid, identity, metadata, planners, routes, search
 from quern.plans import identities  # noqa: F401
 from quern.plans.catalogue import SQL
 
@@ -68,3 +68,23 @@ def test_cascade_over_results_of_all_queries(spark):
     results = spark.createDataFrame([(q, n, r, 1.0) for q, by in ranks.items() for n, r in zip(names, by, strict=True)], "query_id long, route_id string, rank int, cost double")
     got = {x.query_id: (x.route_id, x.rank, x.stage) for x in planners.cascade_of(results, results.where(F.col("route_id") == names[0])).collect()}
     assert got == {1: (names[0], 2, 1), 2: (names[0], 7, 2), 3: (names[1], 6, 2), 4: (names[1], 20, 3)}
+
+
+def test_hybrid_search_in_the_kernel_equals_sorting(spark):
+    """Also where scores tie, as do those of videos that pass for one query only."""
+    lists, meta, queries, intents = _videos(spark, n=60)
+    pairs = vectors.pooled_scores(lists, queries, (2, 4, 6), 0.1)
+    s = search.reranked(pairs, top=20).join(intents, "query_id").join(meta, "video_id")
+    s = s.select("query_id", "video_id", "out", metadata.hard_pass(False).alias("passed"), metadata.soft_score().alias("soft"), metadata.has_constraint().alias("constrained")).toPandas()
+    for k, beta, alpha, hard, after in ((10, 0.4, 1.0, True, True), (10, 0.4, 0.6, True, True), (10, 0.4, 1.0, True, False), (10, 0.4, 0.6, False, True), (60, 0.0, 1.0, True, True)):
+        passed = s.passed | (not hard)
+        x = s.out.where(passed | (not after)) if beta else s.out
+        e = np.exp((x - x.groupby(s.video_id).transform("max")) / beta) if beta else x
+        f = e / (e.groupby(s.video_id).transform("sum") + 1e-12) if beta else x
+        f = f.where(~s.constrained, alpha * f + (1 - alpha) * s.soft).where(passed, search.FILTERED)
+        rows = s.assign(f=f, key=-f, passed=passed).sort_values(["query_id", "key", "video_id"], na_position="last")
+        rows["rank"] = rows.groupby("query_id").cumcount()
+        want = {(r.query_id, r.rank): (r.video_id, None if r.f != r.f else round(r.f, 9), r.passed) for r in rows[rows["rank"] < k].itertuples()}
+        got = hybrid.hybrid_search(lists, meta, queries, intents, k, beta, alpha, hard, after, top=20, block=5).collect()
+        assert {(r.query_id, r["rank"]): (r.video_id, None if r.out is None else round(r.out, 9), r.passed) for r in got} == want
+    assert hybrid.hybrid_search(lists.limit(0), meta, queries, intents).count() == 0
