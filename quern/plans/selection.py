@@ -150,28 +150,27 @@ v AS (SELECT query_id, sid, 1 / (rank + 1) AS value FROM rk), m AS (SELECT a.que
 
 
 def _gallery(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scores of the experts, and ranks under every subset."""
+    """Ranks under every subset of the experts, and prediction sets."""
     e = table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
     video, label = F.floor(F.col("vec_id") / 10).cast("long"), F.when(F.col("label") == 0, "vehicle").when(F.col("label") == 1, "beach").when(F.col("label") == 2, "sport").otherwise("indoor")
     f = e.select("vec_id", video.alias("video_id"), (F.col("vec_id") % 10).alias("frame_no"), F.col("e").alias("emb"), F.col("e")[1].alias("highlight"), (F.col("vec_id") % 3 == 0).alias("face"), F.col("e")[2].alias("confidence"), F.reverse("e").alias("face_emb"), label.alias("label"))
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     q = f.where("vec_id % 20 = 0").join(texts, "vec_id", "left")
     q = q.select(F.col("vec_id").alias("query_id"), F.col("video_id").alias("own"), l2_normalise(F.col("emb")).alias("emb"), "text", F.when(F.col("vec_id") % 40 == 0, F.col("face_emb")).alias("face_emb"))
-    scored = gallery.expert_scores(gallery.gallery_signals(f), q)
-    return scored, gallery.subset_ranks(scored)
+    return gallery.ranks_and_sets(gallery.gallery_signals(f), q, 0.4)
 
 
 @query(_GALLERY + "SELECT query_id, sid::INT AS sid, rank::INT AS rank, round(1 / (rank + 1), 6) AS value FROM rk")
 def subset_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of the right videos under all 16 subsets of the experts."""
-    _, ranks = _gallery(spark, d)
+    ranks, _ = _gallery(spark, d)
     return ranks.select("query_id", "sid", "rank", F.round(gallery.value_of(F.col("rank")), 6).alias("value"))
 
 
 @query(_GALLERY + "SELECT expert::INT AS expert, count(*)::BIGINT AS n, round(avg(marginal), 6) AS mean, round(avg((marginal > 0)::INT), 6) AS positive, row_number() OVER (ORDER BY avg(marginal) DESC, expert)::INT AS place FROM m GROUP BY expert")
 def expert_ranking(spark: SparkSession, d: str) -> DataFrame:
     """What each expert adds to the subsets without it, measured on ranks."""
-    r = gallery.expert_ranking(evaluate.marginals(gallery.lattice(_gallery(spark, d)[1]), 4))
+    r = gallery.expert_ranking(evaluate.marginals(gallery.lattice(_gallery(spark, d)[0]), 4))
     return r.select("expert", "n", F.round("mean", 6).alias("mean"), F.round("positive", 6).alias("positive"), "place")
 
 
@@ -183,8 +182,8 @@ pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 SELECT query_id, sid::INT AS sid, rank::INT AS rank, 5 - remain AS cost, (1 + bit_count(sid::INT))::INT AS n_experts, in_set, set_size FROM pk JOIN rk USING (query_id, sid) JOIN ps USING (query_id)""")
 def expert_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Greedy choice of experts within a budget, the rank under it, and the prediction set."""
-    scored, ranks = _gallery(spark, d)
-    out = gallery.selected(scored, ranks, gallery.lattice(ranks), threshold=0.4)
+    ranks, sets = _gallery(spark, d)
+    out = gallery.selected_of(ranks, sets, gallery.lattice(ranks))
     return out.withColumn("n_experts", F.col("n_experts").cast("int"))
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import hybrid, identity, metadata, planners, routes, search
+from quern.operators import gallery, hybrid, identity, metadata, planners, routes, search
 from quern.plans import identities  # noqa: F401
 from quern.plans.catalogue import SQL
 
@@ -88,3 +88,18 @@ def test_hybrid_search_in_the_kernel_equals_sorting(spark):
         got = hybrid.hybrid_search(lists, meta, queries, intents, k, beta, alpha, hard, after, top=20, block=5).collect()
         assert {(r.query_id, r["rank"]): (r.video_id, None if r.out is None else round(r.out, 9), r.passed) for r in got} == want
     assert hybrid.hybrid_search(lists.limit(0), meta, queries, intents).count() == 0
+
+
+def test_ranks_of_subsets_in_the_kernel_equal_those_of_pairs(spark):
+    r = np.random.default_rng(3)
+    vector = lambda: r.normal(size=4).tolist()
+    signals = spark.createDataFrame([(v, vector(), float(r.random()), float(r.random()), vector() if v % 3 else None, ("beach", "sport", "other")[v % 3]) for v in range(40)], "video_id long, emb array<double>, highlight double, face double, face_emb array<double>, scene string")
+    texts = ("a face", "jump on the beach", None, "match of people")
+    queries = spark.createDataFrame([(q, (5 * q) % 45, vector(), texts[q % 4], vector() if q % 2 else None) for q in range(13)], "query_id long, own long, emb array<double>, text string, face_emb array<double>")
+    scored = gallery.expert_scores(signals, queries)
+    ranks, sets = gallery.ranks_and_sets(signals, queries, 0.4, block=5, cells=30)
+    shown = lambda df: sorted(tuple(x) for x in df.collect())
+    want = gallery.subset_ranks(scored)
+    assert shown(ranks) == shown(want) and min(x[2] for x in shown(ranks)) == -1
+    values = gallery.lattice(want)
+    assert shown(gallery.selected_of(ranks, sets, values)) == shown(gallery.selected(scored, want, values, threshold=0.4))
